@@ -43,7 +43,7 @@ def running_totals(counts: DataFrame, keys: list[str], value: str, sums: list[st
 
 
 def score_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.groupBy(*keys, "p").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("label").cast("long")).alias("pos"))
+    return rows.groupBy(*keys, "p").agg(F.count("*").alias("n"), F.sum(F.col("label").cast("long")).alias("pos"))
 
 
 def score_steps(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -81,7 +81,7 @@ def _log_loss(label: Column, p: Column) -> Column:
 
 def _pointwise(threshold: str | None) -> list[Column]:
     label, p = F.col("label"), F.col("p")
-    out = [F.count(F.lit(1)).alias("rows"), F.avg(label.cast("double")).alias("positive_rate"),
+    out = [F.count("*").alias("rows"), F.avg(label.cast("double")).alias("positive_rate"),
            F.avg((p - label) * (p - label)).alias("brier_score"), F.avg(_log_loss(label, p)).alias("log_loss")]
     if threshold:
         hit = p >= F.col(threshold)
@@ -140,14 +140,14 @@ def roc_curve(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def confusion(rows: DataFrame, keys: list[str], threshold: str = "threshold") -> DataFrame:
     return rows.groupBy(*keys, F.col("label").cast("int").alias("actual"),
-                        (F.col("p") >= F.col(threshold)).cast("int").alias("predicted")).agg(F.count(F.lit(1)).alias("rows"))
+                        (F.col("p") >= F.col(threshold)).cast("int").alias("predicted")).agg(F.count("*").alias("rows"))
 
 
 def reliability(rows: DataFrame, keys: list[str], left_closed: bool = False) -> DataFrame:
     """Ten uniform bins; right-closed for the curve, left-closed for audits and ECE."""
     place = F.least(F.floor(F.col("p") * 10), F.lit(9)) if left_closed else F.greatest(F.ceil(F.col("p") * 10) - 1, F.lit(0))
     return rows.groupBy(*keys, place.cast("int").alias("bin")).agg(
-        F.count(F.lit(1)).alias("rows"), F.avg("p").alias("mean_probability"),
+        F.count("*").alias("rows"), F.avg("p").alias("mean_probability"),
         F.avg(F.col("label").cast("double")).alias("observed_fraction"))
 
 
@@ -160,7 +160,7 @@ def ece(rows: DataFrame, keys: list[str]) -> DataFrame:
 def error_counts(rows: DataFrame, keys: list[str], threshold: str = "threshold") -> DataFrame:
     hit, yes = F.col("p") >= F.col(threshold), F.col("label") == 1
     return rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if(hit & yes).alias("true_positive"), F.count_if(hit & ~yes).alias("false_positive"),
+        F.count("*").alias("rows"), F.count_if(hit & yes).alias("true_positive"), F.count_if(hit & ~yes).alias("false_positive"),
         F.count_if(~hit & ~yes).alias("true_negative"), F.count_if(~hit & yes).alias("false_negative"),
         F.count_if((F.col("p") >= 0.8) & ~yes).alias("high_confidence_false_positive"),
         F.count_if((F.col("p") <= 0.2) & yes).alias("high_confidence_false_negative"))
@@ -174,7 +174,7 @@ def error_rows(rows: DataFrame, threshold: str = "threshold") -> DataFrame:
 
 def exact_quantiles(rows: DataFrame, keys: list[str], value: str, probabilities: dict[str, float]) -> DataFrame:
     """Linearly interpolated quantiles from running counts, without holding a group's values."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
     steps = running_totals(counts, keys, value, ["n"], descending=False, own_range=True)
     first = F.col("cum_n") - F.col("n")
 
@@ -226,10 +226,12 @@ def spearman(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     def average_rank(column: str) -> Column:
         order = Window.partitionBy(*keys).orderBy(column)
         ties = Window.partitionBy(*keys, column)
-        return F.rank().over(order) + (F.count(F.lit(1)).over(ties) - 1) / 2
+        return F.rank().over(order) + (F.count("*").over(ties) - 1) / 2
 
     ranked = rows.select(*keys, average_rank(x).alias("rank_x"), average_rank(y).alias("rank_y"))
-    return ranked.groupBy(*keys).agg(F.corr("rank_x", "rank_y").alias("spearman_rho"))
+    # Null for a constant column, where ``corr`` would divide by zero.
+    spread = F.stddev_pop("rank_x") * F.stddev_pop("rank_y")
+    return ranked.groupBy(*keys).agg(F.try_divide(F.covar_pop("rank_x", "rank_y"), spread).alias("spearman_rho"))
 
 
 def prediction_entropy(p: Column) -> Column:

@@ -33,7 +33,7 @@ def weighted_average_precision(rows: DataFrame, keys: list[str], times: list[int
     """keys, draw, average_precision for every weight column."""
     days = len(times)
     counts = rows.groupBy(*keys, "p", "timestamp").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("label").cast("long")).alias("pos"))
+        F.count("*").alias("n"), F.sum(F.col("label").cast("long")).alias("pos"))
     counts = counts.withColumn("bucket", F.floor(F.col("p") * WIDE_BUCKETS).cast("int"))
     on = lambda value, t: F.sum(F.when(F.col("timestamp") == t, F.col(value)).otherwise(0)).cast("double")
     names = [(v, i) for v in ("n", "pos") for i in range(days)]
@@ -118,4 +118,4 @@ def partition_summary(intervals: DataFrame) -> DataFrame:
     """Across participant partitions: mean, min, max of a metric and intervals that exclude zero."""
     return intervals.groupBy("population", "model").agg(
         F.avg("average_precision").alias("ap_mean"), F.min("average_precision").alias("ap_min"), F.max("average_precision").alias("ap_max"),
-        F.avg("brier_score").alias("brier_mean"), F.count(F.lit(1)).alias("partitions"))
+        F.avg("brier_score").alias("brier_mean"), F.count("*").alias("partitions"))

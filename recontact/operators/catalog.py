@@ -10,7 +10,6 @@ from recontact.operators.pointintime import capacity
 from recontact.operators.retrieval import source_times
 from recontact.policy import DAY, Policy
 
-ONE = F.lit(1)
 
 
 def catalog_scan(sources: dict[str, DataFrame]) -> DataFrame:
@@ -28,7 +27,7 @@ def classify_rows(rows: DataFrame) -> DataFrame:
     """Numeric triplets as strings or numbers -> valid, invalid and self rows per source."""
     valid, self_row = row_tests()
     return rows.groupBy("dataset_id").agg(
-        F.count(ONE).alias("raw_rows"), F.count_if(~valid).alias("invalid_rows"), F.count_if(valid & self_row).alias("self_contact_rows"),
+        F.count("*").alias("raw_rows"), F.count_if(~valid).alias("invalid_rows"), F.count_if(valid & self_row).alias("self_contact_rows"),
         F.count_if(valid & ~self_row).alias("event_rows"))
 
 
@@ -52,13 +51,13 @@ def catalog_contacts(rows: DataFrame) -> DataFrame:
 
 def dataset_manifest(contacts: DataFrame) -> DataFrame:
     """Participants, pairs, records, first/last time, span and days without records per source."""
-    pairs = contacts.groupBy("dataset_id", *PAIR).agg(F.count(ONE).alias("n"), F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi"))
+    pairs = contacts.groupBy("dataset_id", *PAIR).agg(F.count("*").alias("n"), F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi"))
     totals = pairs.groupBy("dataset_id").agg(
-        F.count(ONE).alias("valid_pairs"), F.sum("n").alias("event_rows"), F.min("lo").alias("first_timestamp"), F.max("hi").alias("last_timestamp"))
+        F.count("*").alias("valid_pairs"), F.sum("n").alias("event_rows"), F.min("lo").alias("first_timestamp"), F.max("hi").alias("last_timestamp"))
     people = (pairs.select("dataset_id", F.explode(F.array(*PAIR)).alias("user_id")).distinct()
-              .groupBy("dataset_id").agg(F.count(ONE).alias("participants")))
+              .groupBy("dataset_id").agg(F.count("*").alias("participants")))
     active = (contacts.select("dataset_id", floor_div("timestamp", DAY).alias("d")).distinct()
-              .groupBy("dataset_id").agg(F.count(ONE).alias("active_days")))
+              .groupBy("dataset_id").agg(F.count("*").alias("active_days")))
     touched = floor_div("last_timestamp", DAY) - floor_div("first_timestamp", DAY) + 1
     return totals.join(people, "dataset_id").join(active, "dataset_id").select(
         "dataset_id", "participants", "valid_pairs", "event_rows", "first_timestamp", "last_timestamp",
@@ -69,9 +68,9 @@ def dataset_manifest(contacts: DataFrame) -> DataFrame:
 def dataset_days(contacts: DataFrame) -> DataFrame:
     """Records and participants per source and study day, empty days included."""
     d = floor_div("timestamp", DAY)
-    records = contacts.groupBy("dataset_id", d.alias("d")).agg(F.count(ONE).alias("event_rows"))
+    records = contacts.groupBy("dataset_id", d.alias("d")).agg(F.count("*").alias("event_rows"))
     people = (contacts.select("dataset_id", d.alias("d"), F.explode(F.array(*PAIR)).alias("user_id")).distinct()
-              .groupBy("dataset_id", "d").agg(F.count(ONE).alias("participants_with_contacts")))
+              .groupBy("dataset_id", "d").agg(F.count("*").alias("participants_with_contacts")))
     spine = (records.groupBy("dataset_id").agg(F.min("d").alias("first_day"), F.max("d").alias("last_day"))
              .withColumn("d", F.explode(F.sequence("first_day", "last_day"))))
     dense = spine.join(records, ["dataset_id", "d"], "left").join(people, ["dataset_id", "d"], "left")

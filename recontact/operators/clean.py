@@ -62,7 +62,7 @@ def daily_coverage(people: DataFrame, seen: DataFrame, span: Span, policy: Polic
     first, last = span.scheduled
     spine = people.withColumn("study_day", F.explode(F.sequence(F.lit(first + 1).cast("long"), F.lit(last + 1).cast("long"))))
     bins = (seen.groupBy("user_id", study_day("timestamp").alias("study_day"))
-            .agg(F.count(F.lit(1)).alias("recorded_bins")))
+            .agg(F.count("*").alias("recorded_bins")))
     dense = spine.join(bins, ["user_id", "study_day"], "left").withColumn(
         "recorded_bins", F.coalesce("recorded_bins", F.lit(0)).cast("long"))
     known = policy.scan_coverage_available
@@ -76,9 +76,9 @@ def quality_report(raw: DataFrame, contacts: DataFrame, seen: DataFrame, people:
     """One row of counts; the distinct counts come from tables that are already distinct."""
     valid = "user_a >= 0 AND user_b >= 0"
     scalar = lambda frame, value: frame.agg(value.alias("v")).scalar()
-    rows = scalar(contacts, F.count(F.lit(1)))
+    rows = scalar(contacts, F.count("*"))
     report = raw.agg(
-        F.count(F.lit(1)).alias("input_rows"),
+        F.count("*").alias("input_rows"),
         F.count_if(F.expr(f"NOT ({valid})")).alias("invalid_id_rows"),
         F.count_if(F.expr(f"{valid} AND user_a = user_b")).alias("self_contact_rows"),
         F.count_if(F.col("user_b") == -1).alias("empty_scan_rows"),
@@ -90,22 +90,22 @@ def quality_report(raw: DataFrame, contacts: DataFrame, seen: DataFrame, people:
     return report.select(
         "input_rows", "invalid_id_rows", "self_contact_rows", "empty_scan_rows", "external_device_rows",
         (F.col("candidate_rows") - rows).alias("duplicate_contact_rows"), rows.alias("contact_rows"),
-        scalar(people, F.count(F.lit(1))).alias("participants"),
-        scalar(seen, F.count(F.lit(1))).alias("observation_bins"),
+        scalar(people, F.count("*")).alias("participants"),
+        scalar(seen, F.count("*")).alias("observation_bins"),
         "source_timestamp_min", "source_timestamp_max",
         scalar(contacts, F.min("rssi")).alias("rssi_min"), scalar(contacts, F.max("rssi")).alias("rssi_max"),
         F.round(scalar(contacts, F.avg("rssi")), 6).alias("rssi_mean"), "missing_rssi", "missing_timestamp")
 
 
 def daily_contacts(contacts: DataFrame) -> DataFrame:
-    return contacts.groupBy(study_day("timestamp").alias("study_day")).agg(F.count(F.lit(1)).alias("contact_rows"))
+    return contacts.groupBy(study_day("timestamp").alias("study_day")).agg(F.count("*").alias("contact_rows"))
 
 
 def duplicate_counts(contacts: DataFrame) -> DataFrame:
     """Catalogue policy: repeats stay in the data, only their number is reported."""
-    keyed = contacts.groupBy("dataset_id", "timestamp", *PAIR).agg(F.count(F.lit(1)).alias("n"))
+    keyed = contacts.groupBy("dataset_id", "timestamp", *PAIR).agg(F.count("*").alias("n"))
     return keyed.groupBy("dataset_id").agg(
-        F.sum("n").alias("event_rows"), F.count(F.lit(1)).alias("unique_contact_records"),
+        F.sum("n").alias("event_rows"), F.count("*").alias("unique_contact_records"),
         F.sum(F.col("n") - 1).alias("duplicate_canonical_records"))
 
 
@@ -126,4 +126,4 @@ def unique_contacts(contacts: DataFrame) -> DataFrame:
 
 def rssi_anomalies(contacts: DataFrame) -> DataFrame:
     return contacts.agg(F.count_if(F.col("rssi") > 0).alias("positive_rssi_rows"),
-                        F.count(F.lit(1)).alias("contact_rows"))
+                        F.count("*").alias("contact_rows"))

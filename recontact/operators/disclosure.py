@@ -40,7 +40,7 @@ def reference_table(labels: DataFrame, bank: DataFrame, policy: Policy) -> DataF
     recency = F.coalesce(*[F.when((age >= low * DAY) & (age < high * DAY), name) for name, low, high in RECENCY])
     frequency = F.coalesce(*[F.when(days.between(low, high), name) for name, low, high in FREQUENCY])
     counted = rows.groupBy(recency.alias("recency"), frequency.alias("frequency")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("label_24h").cast("long")).alias("positive"))
+        F.count("*").alias("n"), F.sum(F.col("label_24h").cast("long")).alias("positive"))
     spine = labels.sparkSession.createDataFrame([(r[0], f[0]) for r in RECENCY for f in FREQUENCY], "recency string, frequency string")
     cells = spine.join(counted, ["recency", "frequency"], "left")
     n, positive = F.coalesce("n", F.lit(0)), F.coalesce("positive", F.lit(0))

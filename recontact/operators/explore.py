@@ -9,7 +9,6 @@ from recontact.operators.clean import PAIR
 from recontact.operators.pointintime import KEY, day_range
 from recontact.policy import DAY, HOUR, Policy
 
-ONE = F.lit(1)
 
 
 def scope(contacts: DataFrame, days: tuple[int, int] | None = None, users: tuple[int, ...] = (), pair: tuple[int, int] | None = None) -> DataFrame:
@@ -31,27 +30,27 @@ def _dense(spine: DataFrame, counts: DataFrame, key: str, value: str) -> DataFra
 
 def daily_trend(contacts: DataFrame, days: tuple[int, int]) -> DataFrame:
     spine = day_range(contacts.sparkSession, days[0], days[1]).withColumnRenamed("day", "study_day")
-    return _dense(spine, contacts.groupBy(study_day("timestamp").alias("study_day")).agg(F.count(ONE).alias("contact_records")), "study_day", "contact_records")
+    return _dense(spine, contacts.groupBy(study_day("timestamp").alias("study_day")).agg(F.count("*").alias("contact_records")), "study_day", "contact_records")
 
 
 def hourly_trend(contacts: DataFrame) -> DataFrame:
     spine = day_range(contacts.sparkSession, 0, 23).withColumnRenamed("day", "hour")
     hour = floor_div(F.col("timestamp") % DAY, HOUR)
-    return _dense(spine, contacts.groupBy(hour.alias("hour")).agg(F.count(ONE).alias("contact_records")), "hour", "contact_records")
+    return _dense(spine, contacts.groupBy(hour.alias("hour")).agg(F.count("*").alias("contact_records")), "hour", "contact_records")
 
 
 def pair_counts(contacts: DataFrame) -> DataFrame:
-    return contacts.groupBy(*PAIR).agg(F.count(ONE).alias("contact_records"))
+    return contacts.groupBy(*PAIR).agg(F.count("*").alias("contact_records"))
 
 
 def pair_frequency(contacts: DataFrame) -> DataFrame:
     """How many pairs have how many contact records."""
-    return pair_counts(contacts).groupBy(F.col("contact_records").alias("frequency")).agg(F.count(ONE).alias("pairs"))
+    return pair_counts(contacts).groupBy(F.col("contact_records").alias("frequency")).agg(F.count("*").alias("pairs"))
 
 
 def activity_topn(contacts: DataFrame, n: int = 20) -> DataFrame:
     ends = contacts.select(F.explode(F.array(*PAIR)).alias("user_id"))
-    return ends.groupBy("user_id").agg(F.count(ONE).alias("contact_records")).orderBy(F.col("contact_records").desc(), "user_id").limit(n)
+    return ends.groupBy("user_id").agg(F.count("*").alias("contact_records")).orderBy(F.col("contact_records").desc(), "user_id").limit(n)
 
 
 def contact_matrix(contacts: DataFrame, n: int = 20) -> DataFrame:
@@ -71,7 +70,7 @@ def rssi_histogram(contacts: DataFrame, selected: DataFrame, bins: int = 30) ->
     low, high = ends.select("low").scalar(), ends.select("high").scalar()
     place = F.when(low == high, F.lit(0)).otherwise(
         F.least(F.floor((F.col("rssi") - low) / ((high - low) / bins)), F.lit(bins - 1))).cast("long")
-    counts = selected.where("rssi IS NOT NULL").groupBy(place.alias("bin")).agg(F.count(ONE).alias("records"))
+    counts = selected.where("rssi IS NOT NULL").groupBy(place.alias("bin")).agg(F.count("*").alias("records"))
     spine = day_range(contacts.sparkSession, 0, bins - 1).withColumnRenamed("day", "bin").where((F.col("bin") == 0) | (low < high))
     middle = F.when(low == high, low).otherwise(low + (F.col("bin") + 0.5) * ((high - low) / bins))
     return spine.join(counts, "bin", "left").select("bin", middle.alias("rssi"), F.coalesce("records", F.lit(0).cast("long")).alias("records"))
@@ -87,12 +86,12 @@ def coverage_trend(coverage: DataFrame) -> DataFrame:
 def overview(contacts: DataFrame, people: DataFrame, labels: DataFrame, span: Span) -> DataFrame:
     first, last = span.scheduled
     known = F.col("eligible_for_evaluation") & F.col("label_24h").isNotNull()
-    base = pair_counts(contacts).agg(F.count(ONE).alias("valid_pairs"), F.sum("contact_records").alias("contact_records"))
+    base = pair_counts(contacts).agg(F.count("*").alias("valid_pairs"), F.sum("contact_records").alias("contact_records"))
     rate = labels.agg(F.count_if(known).alias("eligible_samples"), F.count_if(known & (F.col("label_24h") == 1)).alias("positive_samples"))
     one = lambda frame, name: frame.select(name).scalar()
     eligible, positive = one(rate, "eligible_samples"), one(rate, "positive_samples")
     return base.select(
-        people.agg(F.count(ONE).alias("n")).scalar().alias("participants"), "contact_records", "valid_pairs",
+        people.agg(F.count("*").alias("n")).scalar().alias("participants"), "contact_records", "valid_pairs",
         F.lit(last - first + 1).cast("long").alias("observation_days"), eligible.alias("eligible_samples"),
         F.when(eligible > 0, positive / eligible).alias("positive_rate"))
 
@@ -101,7 +100,7 @@ def highlights(published: DataFrame, group: str, item: str, value: str) -> DataF
     """The largest published value per group and how many items share it (few rows per group)."""
     top = published.where(F.col(value).isNotNull()).withColumn("best", F.max(value).over(Window.partitionBy(group)))
     return top.where(F.col(value) == F.col("best")).groupBy(group).agg(
-        F.min(item).alias("item"), F.max(value).alias("value"), F.count(ONE).alias("ties"))
+        F.min(item).alias("item"), F.max(value).alias("value"), F.count("*").alias("ties"))
 
 
 def pair_cases(keys: DataFrame, bank: DataFrame, outcomes: DataFrame, window_days: int) -> DataFrame:

@@ -139,7 +139,7 @@ def expand_smaller_end(asked: DataFrame, edges: DataFrame, degrees: DataFrame, b
     closing = edges.select(*by, F.col("user_min").alias("low"), F.col("user_max").alias("high"))
     closed = (paths.withColumn("low", F.least("probe", "third")).withColumn("high", F.greatest("probe", "third"))
               .join(closing, [*by, "low", "high"], "left_semi"))
-    return closed.groupBy(*by, *PAIR).agg(F.count(F.lit(1)).alias("common_neighbors"))
+    return closed.groupBy(*by, *PAIR).agg(F.count("*").alias("common_neighbors"))
 
 
 def _probability(pair_mask: Column, seen_a: Column, seen_b: Column) -> tuple[Column, Column]:

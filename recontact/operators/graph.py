@@ -27,11 +27,11 @@ def historical_edges(pairs: DataFrame, span: Span, window_days: int) -> DataFram
 
 def historical_nodes(edges: DataFrame) -> DataFrame:
     return both_ends(edges, "timestamp", "weight", "last_contact").groupBy("timestamp", "user_id").agg(
-        F.sum("weight").alias("activity"), F.count(F.lit(1)).alias("historical_degree"), F.max("last_contact").alias("last_contact"))
+        F.sum("weight").alias("activity"), F.count("*").alias("historical_degree"), F.max("last_contact").alias("last_contact"))
 
 
 def network_density(edges: DataFrame) -> DataFrame:
-    nodes = historical_nodes(edges).groupBy("timestamp").agg(F.count(F.lit(1)).alias("nodes"), F.sum("historical_degree").alias("ends"))
+    nodes = historical_nodes(edges).groupBy("timestamp").agg(F.count("*").alias("nodes"), F.sum("historical_degree").alias("ends"))
     n = F.col("nodes")
     return nodes.select("timestamp", "nodes", (F.col("ends") / 2).cast("long").alias("edges"),
                         F.when(n > 1, F.col("ends") / (n * (n - 1))).otherwise(F.lit(0.0)).alias("density"))
@@ -71,17 +71,17 @@ def bounded_subgraph(edges: DataFrame, focus: int, max_nodes: int = 30, max_edge
 
 def pair_records(unique: DataFrame) -> DataFrame:
     """Distinct edges of the whole archived graph with their number of unique records."""
-    return unique.groupBy("dataset_id", *PAIR).agg(F.count(F.lit(1)).alias("records"))
+    return unique.groupBy("dataset_id", *PAIR).agg(F.count("*").alias("records"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:
-    return both_ends(edges, "dataset_id").groupBy("dataset_id", "user_id").agg(F.count(F.lit(1)).alias("degree"))
+    return both_ends(edges, "dataset_id").groupBy("dataset_id", "user_id").agg(F.count("*").alias("degree"))
 
 
 def network_summary(unique: DataFrame) -> DataFrame:
     edges = pair_records(unique)
-    totals = edges.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("edges"), F.sum("records").alias("unique_contact_records"))
-    nodes = degrees(edges).groupBy("dataset_id").agg(F.count(F.lit(1)).alias("nodes"))
+    totals = edges.groupBy("dataset_id").agg(F.count("*").alias("edges"), F.sum("records").alias("unique_contact_records"))
+    nodes = degrees(edges).groupBy("dataset_id").agg(F.count("*").alias("nodes"))
     n, e = F.col("nodes"), F.col("edges")
     return totals.join(nodes, "dataset_id").select(
         "dataset_id", "nodes", "edges", "unique_contact_records",
@@ -110,7 +110,7 @@ def components(edges: DataFrame, every: int = 3, limit: int = 60) -> DataFrame:
         return moved.unionByName(low.select(*key, F.col("low").alias("v"))).distinct()
 
     def signature(current: DataFrame):
-        return current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("dataset_id", "u", "v").cast("decimal(38,0)"))).first()
+        return current.agg(F.count("*"), F.sum(F.xxhash64("dataset_id", "u", "v").cast("decimal(38,0)"))).first()
 
     state, before = checkpointed(links), None
     for _ in range(limit):
@@ -126,8 +126,8 @@ def components(edges: DataFrame, every: int = 3, limit: int = 60) -> DataFrame:
 
 
 def component_sizes(labels: DataFrame) -> DataFrame:
-    sizes = labels.groupBy("dataset_id", "component").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("components"), F.max("n").alias("largest_component_nodes"))
+    sizes = labels.groupBy("dataset_id", "component").agg(F.count("*").alias("n"))
+    return sizes.groupBy("dataset_id").agg(F.count("*").alias("components"), F.max("n").alias("largest_component_nodes"))
 
 
 # Histogram edges of the published tables (fixed values).
@@ -144,11 +144,11 @@ def _bin(value: Column, bins) -> Column:
 
 
 def histogram(values: DataFrame, column: str, bins) -> DataFrame:
-    return values.groupBy("dataset_id", _bin(F.col(column), bins).alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    return values.groupBy("dataset_id", _bin(F.col(column), bins).alias("bin")).agg(F.count("*").alias("count"))
 
 
 def daily_pairs(unique: DataFrame) -> DataFrame:
-    return unique.groupBy("dataset_id", floor_div("timestamp", DAY).alias("d"), *PAIR).agg(F.count(F.lit(1)).alias("records"))
+    return unique.groupBy("dataset_id", floor_div("timestamp", DAY).alias("d"), *PAIR).agg(F.count("*").alias("records"))
 
 
 def daily_repeat_pairs(unique: DataFrame) -> DataFrame:
@@ -157,7 +157,7 @@ def daily_repeat_pairs(unique: DataFrame) -> DataFrame:
     order = Window.partitionBy("dataset_id", *PAIR).orderBy("d")
     marked = pairs.withColumn("repeated", F.coalesce(F.lag("d").over(order) == F.col("d") - 1, F.lit(False)))
     counted = marked.groupBy("dataset_id", "d").agg(
-        F.sum("records").alias("records"), F.count(F.lit(1)).alias("active_pairs"), F.count_if("repeated").alias("previous_day_repeated_pairs"))
+        F.sum("records").alias("records"), F.count("*").alias("active_pairs"), F.count_if("repeated").alias("previous_day_repeated_pairs"))
     ends = pairs.groupBy("dataset_id").agg(F.min("d").alias("first_day"), F.max("d").alias("last_day"))
     spine = ends.withColumn("d", F.explode(F.sequence("first_day", "last_day")))
     dense = spine.join(counted, ["dataset_id", "d"], "left")
@@ -166,5 +166,5 @@ def daily_repeat_pairs(unique: DataFrame) -> DataFrame:
 
 
 def repeated_pairs(unique: DataFrame) -> DataFrame:
-    days = daily_pairs(unique).groupBy("dataset_id", *PAIR).agg(F.count(F.lit(1)).alias("days"))
+    days = daily_pairs(unique).groupBy("dataset_id", *PAIR).agg(F.count("*").alias("days"))
     return days.groupBy("dataset_id").agg(F.count_if(F.col("days") >= 2).alias("pairs_active_on_multiple_days"))

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from recontact.operators.pointintime import KEY
 
-ONE = F.lit(1)
 
 
 def key_violations(rows: DataFrame, keys: list[str] = KEY, label: str | None = "label_24h") -> DataFrame:
@@ -17,7 +16,7 @@ def key_violations(rows: DataFrame, keys: list[str] = KEY, label: str | None = "
     bad_label = (F.col(label).isNotNull() & ~F.col(label).isin(0, 1)) if label else F.lit(False)
     bad_pair = F.col("user_min") < 0
     bad_pair = bad_pair | (F.col("user_min") >= F.col("user_max"))
-    per_key = rows.groupBy(*keys).agg(F.count(ONE).alias("n"), F.count_if(bad_label).alias("bad_labels"))
+    per_key = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(bad_label).alias("bad_labels"))
     zero = lambda value: F.coalesce(value, F.lit(0).cast("long"))
     return per_key.agg(
         zero(F.sum("n")).alias("rows"), zero(F.sum(F.when(null_key, F.col("n")))).alias("null_keys"),
@@ -27,12 +26,12 @@ def key_violations(rows: DataFrame, keys: list[str] = KEY, label: str | None = "
 
 def one_to_one_join(left: DataFrame, right: DataFrame, keys: list[str] = KEY) -> DataFrame:
     """Full outer join with provenance and the number of rows on each side per key."""
-    l = left.groupBy(*keys).agg(F.count(ONE).alias("left_rows"))
-    r = right.groupBy(*keys).agg(F.count(ONE).alias("right_rows"))
+    l = left.groupBy(*keys).agg(F.count("*").alias("left_rows"))
+    r = right.groupBy(*keys).agg(F.count("*").alias("right_rows"))
     joined = l.join(r, keys, "full").na.fill(0, ["left_rows", "right_rows"])
     side = (F.when(F.col("left_rows") == 0, "right_only").when(F.col("right_rows") == 0, "left_only").otherwise("both"))
     return joined.groupBy(side.alias("provenance")).agg(
-        F.count(ONE).alias("keys"), F.count_if((F.col("left_rows") > 1) | (F.col("right_rows") > 1)).alias("repeated_keys"))
+        F.count("*").alias("keys"), F.count_if((F.col("left_rows") > 1) | (F.col("right_rows") > 1)).alias("repeated_keys"))
 
 
 def must_match(left: DataFrame, right: DataFrame, keys: list[str], flag: str) -> DataFrame:
@@ -53,7 +52,7 @@ def semi_filter(rows: DataFrame, allowed: DataFrame, keys: list[str]) -> DataFra
 def cohort_reconcile(samples: DataFrame, old: DataFrame) -> DataFrame:
     """Is the older cohort a subset of the new one, and do the labels agree?"""
     before = old.select(*KEY, F.col("label_24h").alias("old_label"))
-    joined = samples.select(*KEY, "label_24h", ONE.alias("present")).join(before, KEY, "full")
+    joined = samples.select(*KEY, "label_24h", F.lit(1).alias("present")).join(before, KEY, "full")
     matched = F.col("present").isNotNull() & F.col("old_label").isNotNull()
     return joined.agg(
         F.count("present").alias("samples"), F.count("old_label").alias("old_rows"), F.count_if(matched).alias("matched"),
@@ -86,14 +85,14 @@ def table_diff(before: DataFrame, after: DataFrame, keys: list[str], exact: list
 def fingerprint(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Order-insensitive hash of a table: the rows' 64-bit hashes xor-ed and summed."""
     value = F.xxhash64(*columns)
-    return rows.agg(F.count(ONE).alias("rows"), F.bit_xor(value).alias("xor_hash"),
+    return rows.agg(F.count("*").alias("rows"), F.bit_xor(value).alias("xor_hash"),
                     F.sum(value.cast("decimal(38,0)")).cast("string").alias("sum_hash"))
 
 
 def identity_checks(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """Each accounting rule over each row of an aggregate table: checked and failed counts."""
     results = rows.agg(F.array(*[F.struct(
-        F.lit(name).alias("rule"), F.count(ONE).alias("checked"),
+        F.lit(name).alias("rule"), F.count("*").alias("checked"),
         F.count_if(~F.coalesce(rule, F.lit(False))).alias("failed")) for name, rule in rules.items()]).alias("rows"))
     return results.select(F.inline("rows"))
 

@@ -41,14 +41,14 @@ def capacity(times: DataFrame, group: str, fractions: tuple[float, float, float]
     order = Window.partitionBy(group).orderBy("timestamp")
     whole = Window.partitionBy(group)
     first_cut, second_cut = F.col("n") * F.lit(fractions[0]), F.col("n") * F.lit(fractions[0] + fractions[1])
-    ranked = (times.withColumn("i", F.row_number().over(order) - 1).withColumn("n", F.count(F.lit(1)).over(whole))
+    ranked = (times.withColumn("i", F.row_number().over(order) - 1).withColumn("n", F.count("*").over(whole))
               .withColumn("a", first_cut.cast("int")).withColumn("b", second_cut.cast("int")))
     cut = lambda index: F.max(F.when(F.col("i") == F.col(index), F.col("timestamp"))).over(whole)
     ranked = ranked.withColumn("cut_a", cut("a")).withColumn("cut_b", cut("b"))
     usable = (F.col("a") >= 1) & (F.col("b") > F.col("a")) & (F.col("b") < F.col("n"))
     ends = F.col("timestamp") + DAY
     return ranked.groupBy(group).agg(
-        F.count(F.lit(1)).alias("complete_snapshots"),
+        F.count("*").alias("complete_snapshots"),
         F.count_if(usable & (F.col("i") < F.col("a")) & (ends < F.col("cut_a"))).alias("train_times"),
         F.count_if(usable & (F.col("i") >= F.col("a")) & (F.col("i") < F.col("b")) & (ends < F.col("cut_b"))).alias("validation_times"),
         F.count_if(usable & (F.col("i") >= F.col("b"))).alias("test_times"))
@@ -75,7 +75,7 @@ def pair_days(contacts: DataFrame, policy: Policy, extra: tuple[str, ...] = ())
     slot_day = floor_div("timestamp", DAY)
     first_seen = contacts.withColumn("day", history_day("timestamp", policy))
     return first_seen.groupBy(*extra, *PAIR, "day").agg(
-        F.count(F.lit(1)).alias("contacts"),
+        F.count("*").alias("contacts"),
         F.count_distinct(floor_div("timestamp", policy.bin_seconds)).alias("bins"),
         F.sum("rssi").alias("rssi_sum"), F.count("rssi").alias("rssi_n"), F.max("rssi").alias("rssi_max"),
         F.max("timestamp").alias("last_contact"),
@@ -87,7 +87,7 @@ def user_scans(seen: DataFrame, policy: Policy) -> DataFrame:
     """Observed bins per participant and first snapshot day that sees them."""
     return (seen.where(F.col("scan_observed"))
             .groupBy("user_id", history_day("timestamp", policy).alias("day"))
-            .agg(F.count(F.lit(1)).alias("scans")))
+            .agg(F.count("*").alias("scans")))
 
 
 def presence(pairs: DataFrame, windows: tuple[int, ...], extra: tuple[str, ...] = ()) -> DataFrame:
@@ -128,7 +128,7 @@ def future_coverage(seen: DataFrame, span: Span) -> DataFrame:
     """Observed bins per participant inside each complete 24 h horizon."""
     counted = (seen.where(F.col("scan_observed"))
                .groupBy("user_id", horizon_day("timestamp", span.policy).alias("day"))
-               .agg(F.count(F.lit(1)).alias("bins"),
+               .agg(F.count("*").alias("bins"),
                     F.count_distinct(floor_div("timestamp", span.policy.bin_seconds)).alias("distinct_bins")))
     return in_span(counted, span).withColumn("coverage", F.col("bins") / span.policy.expected_bins)
 
@@ -184,7 +184,7 @@ def labels_24h(evidence: DataFrame, policy: Policy) -> DataFrame:
 
 def label_funnel(labels: DataFrame) -> DataFrame:
     return labels.groupBy("timestamp").agg(
-        F.count(F.lit(1)).alias("candidate_rows"), F.count_if("eligible_for_evaluation").alias("eligible_samples"),
+        F.count("*").alias("candidate_rows"), F.count_if("eligible_for_evaluation").alias("eligible_samples"),
         F.count_if(F.col("label_24h") == 1).alias("positive_labels"),
         F.count_if(F.col("label_24h") == 0).alias("negative_labels"),
         F.count_if(F.col("label_24h").isNull()).alias("unknown_labels"))
@@ -239,6 +239,6 @@ def candidate_expansion(one_day: DataFrame, seven_day: DataFrame, labels: DataFr
     return flagged.groupBy("timestamp").agg(
         F.count_if(short).alias("candidates_1d"), F.count_if(short & known).alias("eligible_1d"),
         F.count_if(short & known & (F.col("label_24h") == 1)).alias("positive_1d"),
-        F.count(F.lit(1)).alias("candidates_7d"), F.count_if(known).alias("eligible_7d"),
+        F.count("*").alias("candidates_7d"), F.count_if(known).alias("eligible_7d"),
         F.count_if(known & (F.col("label_24h") == 1)).alias("positive_7d"),
         F.count_if(known & ~short).alias("extra_eligible_rows"))

@@ -42,7 +42,7 @@ def retrieval_scores(unique: DataFrame, policy: Policy) -> DataFrame:
     """
     windows = policy.windows
     pairs = unique.groupBy(*SOURCE, *PAIR, history_day("timestamp", policy).alias("day")).agg(
-        F.count(F.lit(1)).alias("contacts"), F.max("timestamp").alias("last_contact"))
+        F.count("*").alias("contacts"), F.max("timestamp").alias("last_contact"))
     candidate = pairs.select(*SOURCE, *PAIR, "day", "last_contact", *[
         F.sum("contacts").over(Window.partitionBy(*SOURCE, *PAIR).orderBy("day").rangeBetween(-(w - 1), 0)).alias(f"count_{w}") for w in windows])
     tall = candidate.select(*SOURCE, "day", *PAIR, "last_contact", F.inline(F.array(*[
@@ -61,7 +61,7 @@ def retrieval_scores(unique: DataFrame, policy: Policy) -> DataFrame:
 
 def _degrees(graph: DataFrame) -> DataFrame:
     ends = graph.select(*SOURCE, "window_days", "day", F.explode(F.array(*PAIR)).alias("user_id"))
-    return ends.groupBy(*SOURCE, "window_days", "day", "user_id").agg(F.count(F.lit(1)).alias("degree"))
+    return ends.groupBy(*SOURCE, "window_days", "day", "user_id").agg(F.count("*").alias("degree"))
 
 
 def _shared(asked: DataFrame, graph: DataFrame, degrees: DataFrame) -> DataFrame:
@@ -72,7 +72,7 @@ def network_densities(unique: DataFrame, policy: Policy) -> DataFrame:
     """Nodes, edges and density of each source's window graph at each complete snapshot."""
     pairs = unique.select(*SOURCE, *PAIR, history_day("timestamp", policy).alias("day")).distinct()
     graph = presence(pairs, policy.windows, tuple(SOURCE)).join(source_times(unique, policy), [*SOURCE, "window_days", "day"], "left_semi")
-    nodes = _degrees(graph).groupBy(*SOURCE, "window_days", "day").agg(F.count(F.lit(1)).alias("nodes"), F.sum("degree").alias("ends"))
+    nodes = _degrees(graph).groupBy(*SOURCE, "window_days", "day").agg(F.count("*").alias("nodes"), F.sum("degree").alias("ends"))
     n = F.col("nodes")
     return nodes.select(*SOURCE, snapshot_time("day", policy).alias("timestamp"), "window_days", "nodes",
                         (F.col("ends") / 2).cast("long").alias("edges"),
@@ -98,7 +98,7 @@ def rank_scores(scores: DataFrame) -> DataFrame:
     order = [*group, F.col("score").desc(), *PAIR]
     ordered = checkpointed(checked.repartitionByRange(*order).sortWithinPartitions(*order)
                            .withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id()))
-    pieces = ordered.groupBy(*group, "part").agg(F.count(F.lit(1)).alias("rows"), F.min("place").alias("first_place"))
+    pieces = ordered.groupBy(*group, "part").agg(F.count("*").alias("rows"), F.min("place").alias("first_place"))
     earlier = Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = pieces.select(*group, "part", "first_place", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("before"))
     return ordered.join(offsets, [*group, "part"]).select(
@@ -119,12 +119,12 @@ def future_pairs(unique: DataFrame, policy: Policy) -> DataFrame:
 def retrieval_metrics(scores: DataFrame, unique: DataFrame, policy: Policy) -> DataFrame:
     """Hits, pool sizes and capture ratios per list and K; no negative labels are implied."""
     future = future_pairs(unique, policy)
-    totals = future.groupBy(*SOURCE, "day").agg(F.count(F.lit(1)).alias("future_observed_positive_pairs"))
+    totals = future.groupBy(*SOURCE, "day").agg(F.count("*").alias("future_observed_positive_pairs"))
     day = ((F.col("timestamp") - policy.offset) / DAY).cast("long")
     keyed = scores.withColumn("day", day)
     hit = future.withColumn("hit", F.lit(1))
     pools = keyed.join(hit, [*SOURCE, "day", *PAIR], "left").groupBy(*SOURCE, "day", "window_days").agg(
-        F.count(F.lit(1)).alias("candidate_count"), F.count("hit").alias("future_positive_pairs_in_candidate_pool"))
+        F.count("*").alias("candidate_count"), F.count("hit").alias("future_positive_pairs_in_candidate_pool"))
     top = top_ranked(scores, max(policy.retrieval_k)).withColumn("day", day).join(hit, [*SOURCE, "day", *PAIR], "left")
     hits = top.groupBy(*SOURCE, "day", "window_days", "method").agg(*[
         F.count(F.when(F.col("rank") <= k, F.col("hit"))).alias(f"hits_{k}") for k in policy.retrieval_k])
@@ -160,7 +160,7 @@ def retrieval_aggregate(metrics: DataFrame, policy: Policy) -> DataFrame:
     pool = F.col("future_positive_pairs_in_candidate_pool")
     sums = scoped.groupBy("dataset_id", "scope", "window_days", "method", "k").agg(
         *[F.sum(c).alias(c) for c in (*COUNTS, "actual_k")],
-        F.count(F.lit(1)).alias("eligible_prediction_times"),
+        F.count("*").alias("eligible_prediction_times"),
         F.count_if(F.col("candidate_count") > 0).alias("nonempty_candidate_times"),
         F.count_if(pool > 0).alias("times_with_positive_pool"))
     total, found = F.col("future_observed_positive_pairs"), F.col("observed_positive_hits_at_k")
@@ -176,7 +176,7 @@ def retrieval_feasibility(metrics: DataFrame) -> DataFrame:
     pool = F.col("future_positive_pairs_in_candidate_pool")
     times = metrics.where((F.col("method") == METHODS[0]) & (F.col("k") == 5))
     counted = times.groupBy("dataset_id", "window_days").agg(
-        F.count(F.lit(1)).alias("complete_prediction_times"), F.count_if(F.col("candidate_count") > 0).alias("nonempty_candidate_times"),
+        F.count("*").alias("complete_prediction_times"), F.count_if(F.col("candidate_count") > 0).alias("nonempty_candidate_times"),
         F.count_if(pool > 0).alias("positive_pool_times"))
     return counted.withColumn("status", F.when(F.col("positive_pool_times") >= 3, "positive_retrieval_ready").otherwise("insufficient_history"))
 
@@ -188,5 +188,5 @@ def pool_sets(scores: DataFrame, unique: DataFrame, policy: Policy) -> DataFrame
     times = source_times(unique, policy).where(F.col("window_days") == 1)
     positive = future_pairs(unique, policy).join(times, [*SOURCE, "day"], "left_semi")
     sets = {"both": candidate.intersect(positive), "candidate_only": candidate.exceptAll(positive), "positive_only": positive.exceptAll(candidate)}
-    parts = [frame.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("pairs")).withColumn("part", F.lit(name)) for name, frame in sets.items()]
+    parts = [frame.groupBy("dataset_id").agg(F.count("*").alias("pairs")).withColumn("part", F.lit(name)) for name, frame in sets.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])

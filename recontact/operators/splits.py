@@ -12,7 +12,6 @@ from recontact.functions.timemath import Span
 from recontact.operators.pointintime import KEY
 from recontact.policy import DAY, Policy
 
-ONE = F.lit(1)
 
 
 def training_cohort(labels: DataFrame, bank: DataFrame) -> DataFrame:
@@ -35,7 +34,7 @@ def cohort_funnel(labels: DataFrame, candidates_1d: DataFrame, span: Span, histo
     recent = whole & F.coalesce("recent", F.lit(False))
     kept = recent & F.col("eligible_for_evaluation") & F.col("label_24h").isNotNull()
     return flagged.groupBy("timestamp").agg(
-        F.count(ONE).alias("all_past_candidate_rows"), F.count_if(~whole).alias("excluded_incomplete_7d_span"),
+        F.count("*").alias("all_past_candidate_rows"), F.count_if(~whole).alias("excluded_incomplete_7d_span"),
         F.count_if(recent).alias("one_day_candidates"), F.count_if(whole & ~recent).alias("excluded_not_1d_candidate"),
         F.count_if(recent & ~kept).alias("excluded_coverage_or_unknown"), F.count_if(kept).alias("eligible_rows"),
         F.count_if(kept & (F.col("label_24h") == 1)).alias("positive"), F.count_if(kept & (F.col("label_24h") == 0)).alias("negative"))
@@ -44,14 +43,14 @@ def cohort_funnel(labels: DataFrame, candidates_1d: DataFrame, span: Span, histo
 def time_counts(rows: DataFrame) -> DataFrame:
     """Rows and classes per snapshot time; every split below is planned on this day-sized table."""
     return rows.groupBy("timestamp").agg(
-        F.count(ONE).alias("rows"), F.count_if(F.col("label_24h") == 1).alias("positive"),
+        F.count("*").alias("rows"), F.count_if(F.col("label_24h") == 1).alias("positive"),
         F.count_if(F.col("label_24h") == 0).alias("negative"))
 
 
 def split_cutoffs(times: DataFrame, fractions: tuple[float, float, float]) -> DataFrame:
     """One row: validation_start and test_start at truncated index positions."""
     order = Window.orderBy("timestamp")
-    ranked = times.select("timestamp", (F.row_number().over(order) - 1).alias("i"), F.count(ONE).over(Window.partitionBy()).alias("n"))
+    ranked = times.select("timestamp", (F.row_number().over(order) - 1).alias("i"), F.count("*").over(Window.partitionBy()).alias("n"))
     first = (F.col("n") * F.lit(fractions[0])).cast("int")
     second = (F.col("n") * F.lit(fractions[0] + fractions[1])).cast("int")
     usable = (first >= 1) & (second > first) & (second < F.col("n"))
@@ -81,7 +80,7 @@ def validation_plan(plan: DataFrame, fraction: float = 0.5) -> DataFrame:
     """timestamp -> calibration (early, purged) or tuning (later) inside the validation split."""
     order = Window.partitionBy("split").orderBy("timestamp")
     ranked = plan.where("split = 'validation'").select(
-        "split", "timestamp", (F.row_number().over(order) - 1).alias("i"), F.count(ONE).over(Window.partitionBy("split")).alias("n"))
+        "split", "timestamp", (F.row_number().over(order) - 1).alias("i"), F.count("*").over(Window.partitionBy("split")).alias("n"))
     at = (F.col("n") * F.lit(fraction)).cast("int")
     cut = F.max(F.when((F.col("i") == at) & (at >= 1), F.col("timestamp"))).over(Window.partitionBy("split"))
     marked = ranked.withColumn("cut", cut)
@@ -92,7 +91,7 @@ def validation_plan(plan: DataFrame, fraction: float = 0.5) -> DataFrame:
 def _support(counts: DataFrame, keys: list[str]) -> DataFrame:
     return counts.groupBy(*keys).agg(
         F.sum("rows").alias("rows"), F.sum("positive").alias("positive"), F.sum("negative").alias("negative"),
-        F.count(ONE).alias("prediction_times"))
+        F.count("*").alias("prediction_times"))
 
 
 def split_support(rows: DataFrame, policy: Policy) -> DataFrame:
@@ -206,12 +205,12 @@ def holdout_population(rows: DataFrame, salts: tuple[str, ...], dataset_id: str)
 def holdout_gate(rows: DataFrame, policy: Policy, salts: tuple[str, ...], dataset_id: str) -> DataFrame:
     """Class counts per salt, fold and set, and whether the fold may be evaluated."""
     counts = holdout_population(rows, salts, dataset_id).groupBy("salt", "timestamp", "population").agg(
-        F.count(ONE).alias("rows"), F.count_if(F.col("label_24h") == 1).alias("positive"), F.count_if(F.col("label_24h") == 0).alias("negative"))
+        F.count("*").alias("rows"), F.count_if(F.col("label_24h") == 1).alias("positive"), F.count_if(F.col("label_24h") == 0).alias("negative"))
     used = counts.join(ready_roles(rows, policy), "timestamp").withColumn("set_name", F.when(
         (F.col("role") != "test") & (F.col("population") == "train"), F.col("role")).when(
         (F.col("role") == "test") & (F.col("population") != "train"), F.col("population"))).where("set_name IS NOT NULL")
     sets = used.groupBy("salt", "test_time", "set_name").agg(
         F.sum("rows").alias("rows"), F.sum("positive").alias("positive"), F.sum("negative").alias("negative"))
     whole = Window.partitionBy("salt", "test_time")
-    enough = (F.min(F.least("positive", "negative")).over(whole) >= policy.min_class_rows) & (F.count(ONE).over(whole) == 4)
+    enough = (F.min(F.least("positive", "negative")).over(whole) >= policy.min_class_rows) & (F.count("*").over(whole) == 4)
     return sets.withColumn("status", F.when(enough, "evaluated").otherwise("insufficient_class_rows"))

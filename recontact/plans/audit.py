@@ -13,8 +13,8 @@ from recontact.operators import pointintime as pit, splits
 from recontact.operators.pointintime import KEY
 from recontact.plans.study import Study
 from recontact.policy import DAY
+from recontact.session import staged
 
-ONE = F.lit(1)
 
 
 def contract(study: Study) -> DataFrame:
@@ -52,15 +52,19 @@ def audited_keys(study: Study) -> DataFrame:
 
 
 def audit_bank(study: Study) -> DataFrame:
-    return study.bounded(audited_keys(study), neighbours=False)
+    """The past-only inputs, written before any outcome is read."""
+    if not hasattr(study, "_audit_bank"):
+        study._audit_bank = staged(study.bounded(audited_keys(study), neighbours=False), "audit-bank")
+    return study._audit_bank
 
 
 def audit_samples(study: Study) -> DataFrame:
     """Availability, revealed outcome and membership of the older cohort per audited key."""
-    keys = audited_keys(study)
+    bank = audit_bank(study)
+    keys = bank.where("window_days = 1").select(((F.col("timestamp") - study.policy.offset) / DAY).cast("long").alias("day"), "user_min", "user_max")
     outcome = pit.reveal_outcomes(keys, study.contacts, study.seen, study.span)
     old = study.cohort.select(*KEY, F.lit(True).alias("in_old"))
-    joined = availability(audit_bank(study)).join(outcome, KEY).join(old, KEY, "left")
+    joined = availability(bank).join(outcome, KEY).join(old, KEY, "left")
     return joined.withColumn("in_old", F.coalesce("in_old", F.lit(False)))
 
 
@@ -75,7 +79,7 @@ def audit_predictions(study: Study, threshold: float = 0.5) -> DataFrame:
 
 def _population(rows: DataFrame, keys: list[str]) -> DataFrame:
     known, label = F.col("reliable_label"), F.col("label_24h")
-    n = F.count(ONE)
+    n = F.count("*")
     return rows.groupBy(*keys).agg(
         n.alias("rows"), F.count_if(label == 1).alias("positive"), F.count_if(label == 0).alias("negative"), F.count_if(~known).alias("unknown"),
         (F.count_if(~known) / n).alias("unknown_rate"), (F.count_if(known) / n).alias("known_label_rate"),
@@ -114,7 +118,7 @@ def scoped(predictions: DataFrame) -> DataFrame:
 def scoped_metrics(predictions: DataFrame) -> DataFrame:
     rows = scoped(predictions)
     keys = ["scope", "window_days"]
-    days = rows.select(*keys, "timestamp").distinct().groupBy(*keys).agg(F.count(ONE).alias("distinct_prediction_days"))
+    days = rows.select(*keys, "timestamp").distinct().groupBy(*keys).agg(F.count("*").alias("distinct_prediction_days"))
     metrics = binary_metrics(rows, keys).join(days, keys)
     one_class = (F.col("positive_rate") == 0) | (F.col("positive_rate") == 1)
     return metrics.withColumns({
@@ -129,7 +133,7 @@ def probability_quantiles(predictions: DataFrame) -> DataFrame:
         F.lit("all_predicted"), F.when(known, "reliable_predicted"), F.when(~known, "unknown_predicted")))))
     keys = ["population", "window_days"]
     marks = exact_quantiles(rows, keys, "p", {"q0": 0.0, "q10": 0.1, "q50": 0.5, "q90": 0.9, "q100": 1.0})
-    return rows.groupBy(*keys).agg(F.count(ONE).alias("rows"), F.avg("p").alias("mean_probability")).join(marks, keys)
+    return rows.groupBy(*keys).agg(F.count("*").alias("rows"), F.avg("p").alias("mean_probability")).join(marks, keys)
 
 
 def sensitivity_groups(rows: DataFrame, bins: str, coverage: str) -> DataFrame:

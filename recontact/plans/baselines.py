@@ -26,7 +26,7 @@ def rule_key(frame: DataFrame, recency: str) -> DataFrame:
 
 
 def _daily(cohort: DataFrame, keys: list[str]) -> DataFrame:
-    return cohort.groupBy("timestamp", *keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("label").cast("long")).alias("pos"))
+    return cohort.groupBy("timestamp", *keys).agg(F.count("*").alias("n"), F.sum(F.col("label").cast("long")).alias("pos"))
 
 
 def score_baselines(cohort: DataFrame, roles: DataFrame, alpha: float = 1.0) -> DataFrame:

@@ -86,7 +86,7 @@ def _estimator(name: str, parameters: dict, rows: int, seed: int):
 def fit_model(name: str, train: DataFrame, window_days: int, seed: int, parameters: dict | None = None,
               columns: tuple[str, ...] = BOUNDED_FEATURES) -> Model:
     preparation = Preparation.fit(train, list(columns))
-    counts = train.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("label").alias("classes")).first()
+    counts = train.agg(F.count("*").alias("n"), F.count_distinct("label").alias("classes")).first()
     if counts.classes != 2:
         raise ValueError("training needs both classes")
     if not preparation.columns:

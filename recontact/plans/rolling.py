@@ -20,7 +20,7 @@ def rolling_summary(predictions: DataFrame, policy: Policy) -> DataFrame:
     pooled = binary_metrics(predictions, KEYS).select(
         *KEYS, "rows", "positive_rate", "average_precision", "roc_auc", "brier_score", "log_loss")
     daily = daily_ap(predictions).groupBy(*KEYS).agg(
-        F.avg("average_precision").alias("mean_daily_ap"), F.count(F.lit(1)).alias("test_days"))
+        F.avg("average_precision").alias("mean_daily_ap"), F.count("*").alias("test_days"))
     ranks = ranking_metrics(predictions, KEYS, policy.ranking_k)
     return (pooled.join(daily, KEYS).join(ranks, KEYS)
             .withColumn("ap_over_prevalence", F.col("average_precision") / F.col("positive_rate")))
@@ -35,7 +35,7 @@ def model_contrast(predictions: DataFrame, contrasts) -> DataFrame:
     """Pooled AP difference and the number of days on which it is positive."""
     pooled = contrast_deltas(average_precision(predictions, KEYS), contrasts, [])
     daily = contrast_deltas(daily_ap(predictions), contrasts, ["timestamp"])
-    days = daily.groupBy("contrast").agg(F.count_if(F.col("delta") > 0).alias("days_positive"), F.count(F.lit(1)).alias("test_days"))
+    days = daily.groupBy("contrast").agg(F.count_if(F.col("delta") > 0).alias("days_positive"), F.count("*").alias("test_days"))
     return pooled.withColumnRenamed("delta", "pooled_delta_ap").join(days, "contrast")
 
 
@@ -58,7 +58,7 @@ def day_table(predictions: DataFrame, bank: DataFrame) -> DataFrame:
     keys = ["timestamp", "user_min", "user_max"]
     rows = predictions.select(*keys, "label").distinct().join(bank, keys)
     days = rows.groupBy("timestamp").agg(
-        F.count(F.lit(1)).alias("rows"), F.avg(F.col("label").cast("double")).alias("positive_rate"),
+        F.count("*").alias("rows"), F.avg(F.col("label").cast("double")).alias("positive_rate"),
         F.avg("pair_contact_days").alias("mean_pair_contact_days"), (F.avg("recency_seconds") / 3600).alias("mean_recency_hours"),
         F.avg((F.col("participant_a_activity") + F.col("participant_b_activity")) / 2).alias("mean_participant_activity"),
         F.avg(F.least("scan_coverage_a", "scan_coverage_b")).alias("mean_min_scan_coverage"),

@@ -1,4 +1,8 @@
-"""The study as one object: each property is the next table of the pipeline."""
+"""The study as one object: each property is the next table of the pipeline.
+
+A few tables are written out on first use, because several later steps read them: contacts,
+pair-days, the cohort with its rule inputs, the fold roles and the rolling predictions.
+"""
 
 from __future__ import annotations
 
@@ -10,11 +14,11 @@ from recontact.functions.timemath import Span
 from recontact.operators import clean, features, pointintime as pit, splits
 from recontact.plans import baselines
 from recontact.policy import Policy
-from recontact.session import configure
+from recontact.session import configure, staged
 
 
 class Study:
-    """Lazy tables of one source. Only the span (one row) is computed on construction."""
+    """Tables of one source. Only the span (one row) is computed on construction."""
 
     def __init__(self, raw: DataFrame, policy: Policy, dataset_id: str = "scans"):
         self.spark: SparkSession = configure(raw.sparkSession)
@@ -27,7 +31,7 @@ class Study:
 
     @cached_property
     def contacts(self) -> DataFrame:
-        return clean.dedup_contacts(self.canonical)
+        return staged(clean.dedup_contacts(self.canonical), "contacts")
 
     @cached_property
     def seen(self) -> DataFrame:
@@ -43,7 +47,7 @@ class Study:
 
     @cached_property
     def pairs(self) -> DataFrame:
-        return pit.pair_days(self.contacts, self.policy)
+        return staged(pit.pair_days(self.contacts, self.policy), "pair-days")
 
     @cached_property
     def scans(self) -> DataFrame:
@@ -84,7 +88,7 @@ class Study:
     @cached_property
     def cohort(self) -> DataFrame:
         """Eligible 1-day candidates with a full 7-day history; labels come with the candidates."""
-        return splits.common_cohort(self.recent_labels, self.timed(self.recent_keys), self.span, self.dataset_id)
+        return staged(splits.common_cohort(self.recent_labels, self.timed(self.recent_keys), self.span, self.dataset_id), "cohort")
 
     @cached_property
     def cohort_keys(self) -> DataFrame:
@@ -105,14 +109,15 @@ class Study:
             *pit.KEY, "window_days", F.col("historical_contact_probability").alias("probability"),
             F.col("recency_seconds").alias("recency"), "pair_contact_bins", "scan_coverage_a", "scan_coverage_b")
         labels = self.cohort.select(*pit.KEY, F.col("label_24h").cast("int").alias("label"))
-        return labels.join(facts, pit.KEY)
+        return staged(labels.join(facts, pit.KEY), "scored-cohort")
 
     @cached_property
     def roles(self) -> DataFrame:
-        return splits.ready_roles(self.cohort, self.policy)
+        return staged(splits.ready_roles(self.cohort, self.policy), "roles")
 
     @cached_property
     def predictions(self) -> DataFrame:
         """Rolling test predictions of the untrained rules: KEY, label, window_days, model, p, threshold."""
         rows = self.scored_cohort.select(*pit.KEY, "label", "window_days", "probability", "recency")
-        return baselines.with_thresholds(baselines.score_baselines(rows, self.roles)).drop("test_time")
+        scored = staged(baselines.score_baselines(rows, self.roles), "scored")
+        return staged(baselines.with_thresholds(scored).drop("test_time"), "predictions")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,3 +43,16 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     """Write the rows to the checkpoint folder, so a lost executor cannot change them."""
     ensure_checkpoint_dir(frame.sparkSession)
     return frame.checkpoint(eager=True)
+
+
+def staged(frame: DataFrame, name: str) -> DataFrame:
+    """Write a stage of a study as Parquet in the shared folder and go on from the file.
+
+    Later stages read it with column pruning and known size, their plans stay small, and a lost
+    executor only costs a re-read.
+    """
+    spark = frame.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/stage-{name}-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
