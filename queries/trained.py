@@ -18,9 +18,12 @@ SMALL = {"logistic_regression": {"max_iter": 100}, "random_forest": {"trees": 20
 
 
 def samples(c: Context) -> DataFrame:
-    """Cohort rows per window with features, label and split, written once per session."""
+    """Cohort rows per window with features, label and split, written once per session.
+
+    Half of the days train, so that the validation days can be parted into calibration and tuning.
+    """
     if not hasattr(c, "_samples"):
-        plan = splits.split_plan(splits.time_counts(c.cohort), c.policy.fractions)
+        plan = splits.split_plan(splits.time_counts(c.cohort), (0.5, 0.3, 0.2))
         part = splits.validation_plan(plan)
         rows = (c.bounded(c.recent_keys).join(c.cohort.select(*KEY, F.col("label_24h").cast("int").alias("label")), KEY)
                 .join(F.broadcast(plan), "timestamp").join(F.broadcast(part), "timestamp", "left"))

@@ -152,15 +152,17 @@ def _log_odds(p: Column) -> Column:
 
 def calibrate(scored: DataFrame, calibration: DataFrame, method: str) -> DataFrame:
     """Adds calibrated ``q``; the calibrator sees early validation rows only (label, p)."""
+    support = calibration.agg(F.count("*").alias("n"), F.count_distinct("label").alias("classes")).first()
+    if support.classes != 2:
+        raise ValueError("the calibration rows need both classes; use a longer validation period")
     if method == "isotonic":
         fitted = IsotonicRegression(labelCol="label", featuresCol="p").fit(calibration.select(F.col("label").cast("double").alias("label"), "p"))
         return fitted.setPredictionCol("q").transform(scored)
     if method != "sigmoid":
         raise ValueError("calibration is sigmoid or isotonic")
-    rows = calibration.count()
     assemble = VectorAssembler(inputCols=["log_odds"], outputCol="features")
     ready = assemble.transform(calibration.select(F.col("label").cast("double").alias("label"), _log_odds(F.col("p")).alias("log_odds")))
-    fitted = LogisticRegression(regParam=1.0 / rows, standardization=False).fit(ready)
+    fitted = LogisticRegression(regParam=1.0 / support.n, standardization=False).fit(ready)
     slope, offset = float(fitted.coefficients[0]), float(fitted.intercept)
     return scored.withColumn("q", 1 / (1 + F.exp(-(slope * _log_odds(F.col("p")) + offset))))
 
