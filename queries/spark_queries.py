@@ -294,8 +294,7 @@ def rssi_stats(c: Context):
 
 
 def _users(c: Context):
-    people = fe.user_history(c.pairs, c.scans, c.span, (1, 3, 7))
-    return people.withColumn("timestamp", snapshot_time("day", c.policy))
+    return c.user_days.withColumn("timestamp", snapshot_time("day", c.policy))
 
 
 @query
@@ -310,9 +309,8 @@ def degree(c: Context):
 
 @query
 def common_neighbours(c: Context):
-    people = fe.user_history(c.pairs, c.scans, c.span, c.policy.windows)
     edges = fe.window_edges(c.pairs, c.span, c.policy.windows)
-    return c.timed(fe.common_neighbours(c.recent_keys, edges, people, c.policy.windows)).select(*KEY, "window_days", "common_neighbors")
+    return c.timed(fe.common_neighbours(c.recent_keys, edges, c.user_days, c.policy.windows)).select(*KEY, "window_days", "common_neighbors")
 
 
 @query

@@ -9,14 +9,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from recontact.functions.metrics import exact_quantiles
+from recontact.functions.metrics import exact_quantiles, running_totals
 from recontact.policy import DAY, Policy
 
-WIDE_BUCKETS = 1024
-
-
 def snapshot_times(rows: DataFrame) -> list[int]:
     """The distinct snapshot times, one per study day."""
     return [r.timestamp for r in rows.select("timestamp").distinct().orderBy("timestamp").collect()]
@@ -30,41 +27,31 @@ def draw_weights(days: int, draws: int, seed: int) -> np.ndarray:
 
 
 def weighted_average_precision(rows: DataFrame, keys: list[str], times: list[int], weights: np.ndarray) -> DataFrame:
-    """keys, draw, average_precision for every weight column."""
-    days = len(times)
-    counts = rows.groupBy(*keys, "p", "timestamp").agg(
-        F.count("*").alias("n"), F.sum(F.col("label").cast("long")).alias("pos"))
-    counts = counts.withColumn("bucket", F.floor(F.col("p") * WIDE_BUCKETS).cast("int"))
-    on = lambda value, t: F.sum(F.when(F.col("timestamp") == t, F.col(value)).otherwise(0)).cast("double")
-    names = [(v, i) for v in ("n", "pos") for i in range(days)]
-    totals = counts.groupBy(*keys, "bucket").agg(*[on(v, times[i]).alias(f"{v}_{i}") for v, i in names])
-    above = Window.partitionBy(*keys).orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(*keys, "bucket", *[
-        F.array(*[F.coalesce(F.sum(f"{v}_{i}").over(above), F.lit(0.0)) for i in range(days)]).alias(f"before_{v}") for v in ("n", "pos")])
-    vectors = counts.groupBy(*keys, "bucket", "p").agg(
-        *[F.array(*[on(v, t) for t in times]).alias(v) for v in ("n", "pos")])
-
-    def partial(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("p", ascending=False)
-        seen = np.array(frame["before_n"].iloc[0], dtype=float)
-        hits = np.array(frame["before_pos"].iloc[0], dtype=float)
-        gain, positives = np.zeros(weights.shape[1]), np.zeros(weights.shape[1])
-        for start in range(0, len(frame), 4096):
-            block = frame.iloc[start:start + 4096]
-            pos = np.stack(block["pos"].to_numpy()).astype(float)
-            cum_n = seen + np.cumsum(np.stack(block["n"].to_numpy()).astype(float), axis=0)
-            cum_pos = hits + np.cumsum(pos, axis=0)
-            seen, hits = cum_n[-1], cum_pos[-1]
-            drawn, shown = pos @ weights, cum_n @ weights
-            gain += np.divide(drawn * (cum_pos @ weights), shown, out=np.zeros_like(drawn), where=shown > 0).sum(axis=0)
-            positives += drawn.sum(axis=0)
-        row = {k: [frame[k].iloc[0]] for k in keys}
-        return pd.DataFrame({**row, "gain": [gain.tolist()], "positives": [positives.tolist()]})
+    """keys, draw, average_precision for every weight column.
+
+    Running totals of all days come from windows over score buckets (they spill); Python only
+    multiplies Arrow batches with the weights and returns one partial sum per batch and key.
+    """
+    on = lambda value, t: F.expr(f"CAST(sum(CASE WHEN timestamp = {t} THEN {value} ELSE 0 END) AS DOUBLE)")
+    span = range(len(times))
+    daily = rows.groupBy(*keys, "p", "timestamp").agg(F.count("*").alias("n"), F.sum(F.col("label").cast("long")).alias("pos"))
+    wide = daily.groupBy(*keys, "p").agg(*[on(v, times[i]).alias(f"{v}_{i}") for v in ("n", "pos") for i in span])
+    steps = running_totals(wide, keys, "p", [f"{v}_{i}" for v in ("n", "pos") for i in span])
+    listed = lambda name: f"array({', '.join(f'{name}_{i}' for i in span)})"
+    vectors = steps.selectExpr(*keys, f"{listed('pos')} AS pos", f"{listed('cum_n')} AS cum_n", f"{listed('cum_pos')} AS cum_pos")
+
+    def partial(batches):
+        for batch in batches:
+            for group, part in batch.groupby(keys, sort=False):
+                drawn = np.stack(part["pos"].to_numpy()) @ weights
+                shown = np.stack(part["cum_n"].to_numpy()) @ weights
+                found = np.stack(part["cum_pos"].to_numpy()) @ weights
+                gain = np.divide(drawn * found, shown, out=np.zeros_like(drawn), where=shown > 0).sum(axis=0)
+                yield pd.DataFrame({**{k: [v] for k, v in zip(keys, group)}, "gain": [gain.tolist()], "positives": [drawn.sum(axis=0).tolist()]})
 
     types = dict(rows.dtypes)
     schema = ", ".join([f"{k} {types[k]}" for k in keys] + ["gain array<double>", "positives array<double>"])
-    parts = (vectors.join(before, [*keys, "bucket"]).groupBy(*keys, "bucket").applyInPandas(partial, schema))
-    tall = parts.select(*keys, F.posexplode(F.arrays_zip("gain", "positives")).alias("draw", "part"))
+    tall = vectors.mapInPandas(partial, schema).select(*keys, F.posexplode(F.arrays_zip("gain", "positives")).alias("draw", "part"))
     summed = tall.groupBy(*keys, "draw").agg(F.sum("part.gain").alias("gain"), F.sum("part.positives").alias("positives"))
     return summed.select(*keys, "draw", F.when(F.col("positives") > 0, F.col("gain") / F.col("positives")).alias("average_precision"))
 

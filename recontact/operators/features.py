@@ -11,11 +11,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from recontact.functions.timemath import Span, floor_div, snapshot_time
+from recontact.functions.timemath import Span, floor_div
 from recontact.operators.clean import PAIR
-from recontact.operators.pointintime import KEY, attach_users, presence, with_time
+from recontact.operators.pointintime import KEY, attach_users, presence
 from recontact.policy import DAY, HOUR, Policy
 
 BOUNDED_FEATURES = (
@@ -31,161 +31,141 @@ BANK_FEATURES = (
     "common_neighbors_historical", "historical_network_degree_a", "historical_network_degree_b", "scan_coverage_a",
     "scan_coverage_b", "history_complete_1d", "history_complete_3d", "history_complete_7d", "history_complete_14d")
 
-_SUMS = ("contacts", "bins", "rssi_sum", "rssi_n", "touched", "overlap")
 
+def _union_all(frames: list[DataFrame]) -> DataFrame:
+    return reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), frames)
 
-def _frame(keys: list[str], days: int):
-    return Window.partitionBy(*keys).orderBy("day").rangeBetween(-(days - 1), 0)
 
+def _over(keys: str, days: int | None) -> str:
+    """A sliding frame of ``days`` snapshots up to the current one; None reaches back to the first."""
+    start = "UNBOUNDED" if days is None else str(days - 1)
+    return f"OVER (PARTITION BY {keys} ORDER BY day RANGE BETWEEN {start} PRECEDING AND CURRENT ROW)"
 
-def _day_bit(flag: Column) -> Column:
-    return F.when(flag, F.expr("shiftleft(1L, int(pmod(day, 16)))")).otherwise(F.lit(0).cast("long"))
 
+def _day_bit(flag: str) -> str:
+    return f"CASE WHEN {flag} THEN shiftleft(1L, int(pmod(day, 16))) ELSE 0L END"
 
-def _union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), frames)
+
+def _record(values: dict[str, str]) -> str:
+    return "named_struct(" + ", ".join(f"'{name}', {value}" for name, value in values.items()) + ")"
 
 
-def user_history(pairs: DataFrame, scans: DataFrame, span: Span, windows: tuple[int, ...], extra: tuple[str, ...] = ()) -> DataFrame:
+def user_history(pairs: DataFrame, scans: DataFrame, span: Span, windows: tuple[int, ...]) -> DataFrame:
     """activity_w, degree_w, scans_w and seen_w per participant and snapshot day (dense).
 
     Degrees are running sums of edge arrivals and departures, so no window graph is built.
     """
     policy = span.policy
-    order = Window.partitionBy(*extra, *PAIR).orderBy("day")
-    edges = pairs.select(*extra, *PAIR, "day", "contacts", F.lead("day").over(order).alias("next_day"))
-    leaves = [F.struct((F.least(F.col("day") + w - 1, F.coalesce(F.col("next_day") - 1, F.lit(2**40))) + 1).alias("day"),
-                       F.lit(0).cast("long").alias("activity"),
-                       *[F.lit(-1 if v == w else 0).cast("long").alias(f"edge_{v}") for v in windows]) for w in windows]
-    arrives = F.struct(F.col("day"), F.col("contacts").alias("activity"), *[F.lit(1).cast("long").alias(f"edge_{v}") for v in windows])
+    edges = pairs.selectExpr(*PAIR, "day", "contacts", f"lead(day) OVER (PARTITION BY {', '.join(PAIR)} ORDER BY day) AS next_day")
+    arrives = _record({"day": "day", "activity": "contacts", **{f"edge_{v}": "1L" for v in windows}})
+    leaves = [_record({"day": f"least(day + {w}, coalesce(next_day, 1L << 40))", "activity": "0L",
+                       **{f"edge_{v}": "-1L" if v == w else "0L" for v in windows}}) for w in windows]
     moves = (edges.withColumn("user_id", F.explode(F.array(*PAIR)))
-             .select(*extra, "user_id", F.inline(F.array(arrives, *leaves))))
-    network = moves.groupBy(*extra, "user_id", "day").agg(
-        F.sum("activity").alias("activity"), *[F.sum(f"edge_{w}").alias(f"edge_{w}") for w in windows])
-    people = _union_all([network.select(*extra, "user_id"), scans.select(*extra, "user_id")]).distinct()
-    spine = people.withColumn("day", F.explode(F.sequence(
-        F.lit(span.first_snapshot).cast("long"), F.lit(span.last_snapshot).cast("long"))))
-    enough = F.col("scans") / policy.expected_bins >= policy.min_scan_coverage
-    facts = _union_all([network, scans, spine]).groupBy(*extra, "user_id", "day").agg(*[
-        F.coalesce(F.sum(c), F.lit(0).cast("long")).alias(c) for c in ("activity", "scans", *[f"edge_{w}" for w in windows])])
-    keys = [*extra, "user_id"]
-    so_far = Window.partitionBy(*keys).orderBy("day").rangeBetween(Window.unboundedPreceding, 0)
+             .selectExpr("user_id", f"inline(array({', '.join([arrives, *leaves])}))"))
+    people = pairs.select(F.explode(F.array(*PAIR)).alias("user_id")).union(scans.select("user_id")).distinct()
+    spine = people.selectExpr("user_id", f"explode(sequence({span.first_snapshot}L, {span.last_snapshot}L)) AS day")
+    names = ["activity", "scans", *[f"edge_{w}" for w in windows]]
+    facts = _union_all([moves, scans, spine]).groupBy("user_id", "day").agg(*[F.expr(f"coalesce(sum({n}), 0L) AS {n}") for n in names])
+    enough = f"scans / {policy.expected_bins} >= {policy.min_scan_coverage!r}D"
     columns = []
     for w in windows:
-        frame = _frame(keys, w)
-        columns += [F.sum("activity").over(frame).alias(f"activity_{w}"), F.sum("scans").over(frame).alias(f"scans_{w}"),
-                    F.bit_or(_day_bit(enough)).over(frame).alias(f"seen_{w}"), F.sum(f"edge_{w}").over(so_far).alias(f"degree_{w}")]
-    dense = facts.select(*keys, "day", *columns)
+        frame = _over("user_id", w)
+        columns += [f"sum(activity) {frame} AS activity_{w}", f"sum(scans) {frame} AS scans_{w}", f"bit_or({_day_bit(enough)}) {frame} AS seen_{w}",
+                    f"sum(edge_{w}) {_over('user_id', None)} AS degree_{w}"]
+    dense = facts.selectExpr("user_id", "day", *columns)
     return dense.where(F.col("day").between(span.first_snapshot, span.last_snapshot))
 
 
-def pair_history(pairs: DataFrame, keys: DataFrame, windows: tuple[int, ...], extra: tuple[str, ...] = ()) -> DataFrame:
+def pair_history(pairs: DataFrame, keys: DataFrame, windows: tuple[int, ...]) -> DataFrame:
     """count/bins/days/rssi/last/touched-mask per window for the given (pair, day) keys."""
-    group = [*extra, *PAIR]
-    facts = pairs.select(*group, "day", "contacts", "bins", "rssi_sum", "rssi_n", "rssi_max", "last_contact", "on_day", "on_next")
-    asked = keys.select(*group, "day").withColumn("asked", F.lit(1))
+    group = ", ".join(PAIR)
+    facts = pairs.select(*PAIR, "day", "contacts", "bins", "rssi_sum", "rssi_n", "rssi_max", "last_contact", "on_day", "on_next")
+    asked = keys.select(*PAIR, "day").withColumn("asked", F.lit(1))
     # One exchange by pair serves the merge and every window below.
-    merged = (_union_all([facts, asked]).repartition(*group).groupBy(*group, "day").agg(
-        F.max("asked").alias("asked"), F.sum("contacts").alias("contacts"), F.sum("bins").alias("bins"),
-        F.sum("rssi_sum").alias("rssi_sum"), F.sum("rssi_n").alias("rssi_n"), F.max("rssi_max").alias("rssi_max"),
-        F.max("last_contact").alias("last_contact"), F.max("on_day").alias("on_day"), F.max("on_next").alias("on_next")))
-    order = Window.partitionBy(*group).orderBy("day")
-    before = Window.partitionBy(*group).orderBy("day").rangeBetween(-1, -1)
+    merged = _union_all([facts, asked]).repartition(*PAIR).groupBy(*PAIR, "day").agg(*[
+        F.expr(f"max({c}) AS {c}") for c in ("asked", "contacts", "bins", "rssi_sum", "rssi_n", "rssi_max", "last_contact", "on_day", "on_next")])
     # The late calendar day of yesterday's slot is the early calendar day of today's slot.
-    marked = (merged.withColumn("touched", F.coalesce(F.col("on_day") + F.col("on_next"), F.lit(0)))
-              .withColumn("overlap", F.coalesce(F.col("on_day") * F.max("on_next").over(before), F.lit(0))))
+    before = f"OVER (PARTITION BY {group} ORDER BY day RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING)"
+    marked = merged.selectExpr("*", "coalesce(on_day + on_next, 0) AS touched", f"coalesce(on_day * max(on_next) {before}, 0) AS overlap")
     columns = []
     for w in windows:
-        frame = _frame(group, w)
-        inner = Window.partitionBy(*group).orderBy("day").rangeBetween(-(w - 2), 0) if w > 1 else None
-        shared = F.coalesce(F.sum("overlap").over(inner), F.lit(0)) if inner is not None else F.lit(0)
-        total = lambda name: F.coalesce(F.sum(name).over(frame), F.lit(0))
-        columns += [total("contacts").alias(f"contacts_{w}"), total("bins").alias(f"bins_{w}"),
-                    (total("touched") - shared).alias(f"days_{w}"), F.sum("rssi_sum").over(frame).alias(f"rssi_sum_{w}"),
-                    total("rssi_n").alias(f"rssi_n_{w}"), F.max("rssi_max").over(frame).alias(f"rssi_max_{w}"),
-                    F.max("last_contact").over(frame).alias(f"last_{w}"),
-                    F.bit_or(_day_bit(F.col("contacts").isNotNull())).over(frame).alias(f"mask_{w}")]
-    ever = F.max("last_contact").over(order.rangeBetween(Window.unboundedPreceding, 0)).alias("last_ever")
-    return marked.select(*group, "day", "asked", ever, *columns).where("asked = 1").drop("asked")
+        frame = _over(group, w)
+        total = lambda name: f"coalesce(sum({name}) {frame}, 0L)"
+        shared = f"coalesce(sum(overlap) {_over(group, w - 1)}, 0L)" if w > 1 else "0L"
+        columns += [f"{total('contacts')} AS contacts_{w}", f"{total('bins')} AS bins_{w}", f"{total('touched')} - {shared} AS days_{w}",
+                    f"sum(rssi_sum) {frame} AS rssi_sum_{w}", f"{total('rssi_n')} AS rssi_n_{w}", f"max(rssi_max) {frame} AS rssi_max_{w}",
+                    f"max(last_contact) {frame} AS last_{w}", f"bit_or({_day_bit('contacts IS NOT NULL')}) {frame} AS mask_{w}"]
+    ever = f"max(last_contact) {_over(group, None)} AS last_ever"
+    return marked.selectExpr(*PAIR, "day", "asked", ever, *columns).where("asked = 1").drop("asked")
 
 
-def window_edges(pairs: DataFrame, span: Span, windows: tuple[int, ...], extra: tuple[str, ...] = ()) -> DataFrame:
-    days = presence(pairs, windows, extra)
-    return days.where(F.col("day").between(span.first_snapshot, span.last_snapshot))
+def window_edges(pairs: DataFrame, span: Span, windows: tuple[int, ...]) -> DataFrame:
+    return presence(pairs, windows).where(F.col("day").between(span.first_snapshot, span.last_snapshot))
 
 
-def common_neighbours(keys: DataFrame, edges: DataFrame, people: DataFrame, windows: tuple[int, ...], extra: tuple[str, ...] = ()) -> DataFrame:
+def common_neighbours(keys: DataFrame, edges: DataFrame, people: DataFrame, windows: tuple[int, ...]) -> DataFrame:
     """Shared neighbours of each key in its window graph: expand the end with fewer neighbours.
 
     The neighbours of the smaller end are looked up in the edge table of the other end by an
-    exact three-column key. The work is the sum of the smaller degrees; a hub's list is only
-    read where its partner is a hub as well.
+    exact key. The work is the sum of the smaller degrees; a hub's list is only read where its
+    partner is a hub as well.
     """
-    by = [*extra, "window_days", "day"]
-    degrees = people.select(*extra, "day", "user_id", F.inline(F.array(*[
-        F.struct(F.lit(w).alias("window_days"), F.col(f"degree_{w}").alias("degree")) for w in windows]))).where("degree > 0")
-    asked = keys.select(*extra, "day", *PAIR).withColumn("window_days", F.explode(F.array(*[F.lit(w) for w in windows])))
-    return expand_smaller_end(asked, edges, degrees, by)
+    listed = ", ".join(_record({"window_days": str(w), "degree": f"degree_{w}"}) for w in windows)
+    degrees = people.selectExpr("day", "user_id", f"inline(array({listed}))").where("degree > 0")
+    asked = keys.selectExpr("day", *PAIR, f"explode(array({', '.join(map(str, windows))})) AS window_days")
+    return expand_smaller_end(asked, edges, degrees, ["window_days", "day"])
 
 
 def expand_smaller_end(asked: DataFrame, edges: DataFrame, degrees: DataFrame, by: list[str]) -> DataFrame:
     ends = attach_users(asked, degrees, {"degree": ("degree_a", "degree_b")}, tuple(by)).where("degree_a > 0 AND degree_b > 0")
-    smaller_a = F.struct("degree_a", "user_min") <= F.struct("degree_b", "user_max")
-    sided = ends.select(*by, *PAIR, F.when(smaller_a, F.col("user_min")).otherwise(F.col("user_max")).alias("expand"),
-                        F.when(smaller_a, F.col("user_max")).otherwise(F.col("user_min")).alias("probe"))
-    lists = edges.select(*by, F.inline(F.array(F.struct(F.col("user_min").alias("expand"), F.col("user_max").alias("third")),
-                                               F.struct(F.col("user_max").alias("expand"), F.col("user_min").alias("third")))))
+    smaller_a = "degree_a < degree_b OR (degree_a = degree_b AND user_min < user_max)"
+    sided = ends.selectExpr(*by, *PAIR, f"if({smaller_a}, user_min, user_max) AS expand", f"if({smaller_a}, user_max, user_min) AS probe")
+    lists = edges.selectExpr(*by, "inline(array(named_struct('expand', user_min, 'third', user_max), named_struct('expand', user_max, 'third', user_min)))")
     paths = sided.join(lists, [*by, "expand"]).where("third <> probe")
-    closing = edges.select(*by, F.col("user_min").alias("low"), F.col("user_max").alias("high"))
-    closed = (paths.withColumn("low", F.least("probe", "third")).withColumn("high", F.greatest("probe", "third"))
+    closing = edges.selectExpr(*by, "user_min AS low", "user_max AS high")
+    closed = (paths.selectExpr(*by, *PAIR, "least(probe, third) AS low", "greatest(probe, third) AS high")
               .join(closing, [*by, "low", "high"], "left_semi"))
     return closed.groupBy(*by, *PAIR).agg(F.count("*").alias("common_neighbors"))
 
 
-def _probability(pair_mask: Column, seen_a: Column, seen_b: Column) -> tuple[Column, Column]:
-    observed = F.coalesce(seen_a, F.lit(0).cast("long")).bitwiseAND(F.coalesce(seen_b, F.lit(0).cast("long")))
-    days = F.bit_count(observed)
-    return F.when(days > 0, F.bit_count(observed.bitwiseAND(pair_mask)) / days), days
+def _probability(mask: str, seen_a: str, seen_b: str) -> tuple[str, str]:
+    observed = f"(coalesce({seen_a}, 0L) & coalesce({seen_b}, 0L))"
+    return f"CASE WHEN {observed} > 0 THEN bit_count({observed} & {mask}) / bit_count({observed}) END", f"bit_count({observed})"
 
 
-def _zero(name: str) -> Column:
-    return F.coalesce(F.col(name), F.lit(0))
+def _mean(total: str, n: str) -> str:
+    return f"CASE WHEN {n} > 0 THEN {total} / {n} END"
 
 
-def bounded_bank(pairs: DataFrame, scans: DataFrame, keys: DataFrame, span: Span, windows: tuple[int, ...],
-                 extra: tuple[str, ...] = (), neighbours: bool = True) -> DataFrame:
-    """The 15 features of every key for each window, one row per (key, window_days)."""
+def bounded_bank(pairs: DataFrame, people: DataFrame, keys: DataFrame, span: Span, windows: tuple[int, ...], neighbours: bool = True) -> DataFrame:
+    """The 15 features of every key for each window, one row per (key, window_days).
+
+    ``people`` is ``user_history`` for at least these windows.
+    """
     policy = span.policy
-    people = user_history(pairs, scans, span, windows, extra)
-    wide = attach_users(pair_history(pairs, keys, windows, extra), people, {
-        f"{fact}_{w}": (f"{fact}_a_{w}", f"{fact}_b_{w}") for w in windows for fact in ("activity", "degree", "scans", "seen")},
-        (*extra, "day"))
     known = policy.scan_coverage_available
-    t = snapshot_time("day", policy)
+    wide = attach_users(pair_history(pairs, keys, windows), people, {
+        f"{fact}_{w}": (f"{fact}_a_{w}", f"{fact}_b_{w}") for w in windows for fact in ("activity", "degree", "scans", "seen")})
+    t = f"(day * {DAY} + {policy.offset})"
     rows = []
     for w in windows:
-        probability, observed = _probability(F.col(f"mask_{w}"), F.col(f"seen_a_{w}"), F.col(f"seen_b_{w}"))
-        coverage = lambda side: (_zero(f"scans_{side}_{w}") / (w * policy.expected_bins)) if known else F.lit(None)
-        rows.append(F.struct(
-            F.lit(w).alias("window_days"),
-            *[value.cast("double").alias(name) for name, value in (
-                ("pair_contact_count", F.col(f"contacts_{w}")), ("pair_contact_bins", F.col(f"bins_{w}")),
-                ("pair_contact_days", F.col(f"days_{w}")), ("recency_seconds", t - F.col(f"last_{w}")),
-                ("rssi_mean", F.when(F.col(f"rssi_n_{w}") > 0, F.col(f"rssi_sum_{w}") / F.col(f"rssi_n_{w}"))),
-                ("rssi_max", F.col(f"rssi_max_{w}")),
-                ("participant_a_activity", _zero(f"activity_a_{w}")), ("participant_b_activity", _zero(f"activity_b_{w}")),
-                ("network_degree_a", _zero(f"degree_a_{w}")), ("network_degree_b", _zero(f"degree_b_{w}")),
-                ("scan_coverage_a", coverage("a")), ("scan_coverage_b", coverage("b")),
-                ("historical_contact_probability", probability if known else F.lit(None)),
-                ("observed_history_days", observed if known else F.lit(None)))]))
-    tall = wide.select(*extra, "day", *PAIR, F.inline(F.array(*rows)))
+        probability, observed = _probability(f"mask_{w}", f"seen_a_{w}", f"seen_b_{w}")
+        values = {"pair_contact_count": f"contacts_{w}", "pair_contact_bins": f"bins_{w}", "pair_contact_days": f"days_{w}",
+                  "recency_seconds": f"{t} - last_{w}", "rssi_mean": _mean(f"rssi_sum_{w}", f"rssi_n_{w}"), "rssi_max": f"rssi_max_{w}"}
+        for side in ("a", "b"):
+            values[f"participant_{side}_activity"] = f"coalesce(activity_{side}_{w}, 0L)"
+            values[f"network_degree_{side}"] = f"coalesce(degree_{side}_{w}, 0L)"
+            values[f"scan_coverage_{side}"] = f"coalesce(scans_{side}_{w}, 0L) / {w * policy.expected_bins}" if known else "NULL"
+        values["historical_contact_probability"] = probability if known else "NULL"
+        values["observed_history_days"] = observed if known else "NULL"
+        rows.append(_record({"window_days": str(w), **{name: f"double({value})" for name, value in values.items()}}))
+    tall = wide.selectExpr("day", *PAIR, f"inline(array({', '.join(rows)}))")
     if neighbours:
-        shared = common_neighbours(keys, window_edges(pairs, span, windows, extra), people, windows, extra)
-        tall = tall.join(shared, [*extra, "window_days", "day", *PAIR], "left")
-        tall = tall.withColumn("common_neighbors", _zero("common_neighbors").cast("double"))
-    else:
-        tall = tall.withColumn("common_neighbors", F.lit(None).cast("double"))
-    return with_time(tall, policy).select(*extra, *KEY, "window_days", *BOUNDED_FEATURES)
+        shared = common_neighbours(keys, window_edges(pairs, span, windows), people, windows)
+        tall = tall.join(shared, ["window_days", "day", *PAIR], "left")
+    counted = "double(coalesce(common_neighbors, 0L))" if neighbours else "double(NULL)"
+    rest = [f"{counted} AS common_neighbors" if name == "common_neighbors" else name for name in BOUNDED_FEATURES]
+    return tall.selectExpr(f"{t} AS timestamp", *PAIR, "window_days", *rest)
 
 
 def time_context(keys: DataFrame, policy: Policy) -> DataFrame:
@@ -203,35 +183,29 @@ def history_complete(keys: DataFrame, span: Span, windows: tuple[int, ...]) -> D
     return keys.withColumns({f"history_complete_{w}d": (F.col("timestamp") - w * DAY >= span.start).cast("double") for w in windows})
 
 
-def feature_bank(pairs: DataFrame, scans: DataFrame, keys: DataFrame, span: Span) -> DataFrame:
+def feature_bank(pairs: DataFrame, people: DataFrame, keys: DataFrame, span: Span) -> DataFrame:
     """The 29-feature, 14-day bank for known-pair keys; unavailable measurements stay null."""
     policy = span.policy
-    windows = policy.bank_windows
-    people = user_history(pairs, scans, span, windows)
+    known = policy.scan_coverage_available
     facts = {"activity_7": ("activity_a", "activity_b"), "degree_7": ("degree_a", "degree_b"),
              "scans_7": ("scans_a", "scans_b"), "seen_14": ("seen_a", "seen_b")}
-    wide = attach_users(pair_history(pairs, keys, windows), people, facts)
+    wide = attach_users(pair_history(pairs, keys, policy.bank_windows), people, facts)
     shared = common_neighbours(keys, window_edges(pairs, span, (7,)), people, (7,)).drop("window_days")
     wide = wide.join(shared, ["day", *PAIR], "left")
-    known = policy.scan_coverage_available
-    probability, _ = _probability(F.col("mask_14"), F.col("seen_a"), F.col("seen_b"))
-    coverage = lambda side: (_zero(f"scans_{side}") / (7 * policy.expected_bins)) if known else F.lit(None)
+    t = f"(day * {DAY} + {policy.offset})"
     values = {
-        **{f"contact_count_{w}d": F.col(f"contacts_{w}") for w in windows},
-        "contact_bins_1d": F.col("bins_1"), "contact_bins_7d": F.col("bins_7"),
-        "time_since_last_contact": F.col("timestamp") - F.col("last_ever"),
-        "unique_contact_days_7d": F.col("days_7"), "unique_contact_days_14d": F.col("days_14"),
-        "historical_contact_probability": probability if known else F.lit(None),
-        "rssi_mean_7d": F.when(F.col("rssi_n_7") > 0, F.col("rssi_sum_7") / F.col("rssi_n_7")), "rssi_max_7d": F.col("rssi_max_7"),
+        **{f"contact_count_{w}d": f"contacts_{w}" for w in policy.bank_windows}, "contact_bins_1d": "bins_1", "contact_bins_7d": "bins_7",
+        "time_since_last_contact": f"{t} - last_ever", "unique_contact_days_7d": "days_7", "unique_contact_days_14d": "days_14",
+        "historical_contact_probability": _probability("mask_14", "seen_a", "seen_b")[0] if known else "NULL",
+        "rssi_mean_7d": _mean("rssi_sum_7", "rssi_n_7"), "rssi_max_7d": "rssi_max_7",
         # Message and call logs carry no arrival times, so their counts stay unknown.
-        "sms_count_7d": F.lit(None), "call_count_7d": F.lit(None),
-        "participant_a_activity_7d": _zero("activity_a"), "participant_b_activity_7d": _zero("activity_b"),
-        "common_neighbors_historical": _zero("common_neighbors"),
-        "historical_network_degree_a": _zero("degree_a"), "historical_network_degree_b": _zero("degree_b"),
-        "scan_coverage_a": coverage("a"), "scan_coverage_b": coverage("b")}
-    rows = with_time(wide, policy)
-    rows = rows.select(*KEY, *[value.cast("double").alias(name) for name, value in values.items()])
-    return history_complete(time_context(rows, policy), span, windows).select(*KEY, *BANK_FEATURES)
+        "sms_count_7d": "NULL", "call_count_7d": "NULL",
+        "participant_a_activity_7d": "coalesce(activity_a, 0L)", "participant_b_activity_7d": "coalesce(activity_b, 0L)",
+        "common_neighbors_historical": "coalesce(common_neighbors, 0L)",
+        "historical_network_degree_a": "coalesce(degree_a, 0L)", "historical_network_degree_b": "coalesce(degree_b, 0L)",
+        **{f"scan_coverage_{side}": f"coalesce(scans_{side}, 0L) / {7 * policy.expected_bins}" if known else "NULL" for side in ("a", "b")}}
+    rows = wide.selectExpr(f"{t} AS timestamp", *PAIR, *[f"double({value}) AS {name}" for name, value in values.items()])
+    return history_complete(time_context(rows, policy), span, policy.bank_windows).select(*KEY, *BANK_FEATURES)
 
 
 # Spans, in days, of the columns whose name does not carry one (fixed values).

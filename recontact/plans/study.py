@@ -1,7 +1,7 @@
 """The study as one object: each property is the next table of the pipeline.
 
 A few tables are written out on first use, because several later steps read them: contacts,
-pair-days, the cohort with its rule inputs, the fold roles and the rolling predictions.
+pair-days, participant-days, the cohort with its rule inputs, the fold roles and the rolling predictions.
 """
 
 from __future__ import annotations
@@ -51,7 +51,12 @@ class Study:
 
     @cached_property
     def scans(self) -> DataFrame:
-        return pit.user_scans(self.seen, self.policy)
+        return staged(pit.user_scans(self.seen, self.policy), "scan-days")
+
+    @cached_property
+    def user_days(self) -> DataFrame:
+        """Windowed activity, degree and scans of every participant at every snapshot."""
+        return staged(features.user_history(self.pairs, self.scans, self.span, self.policy.bank_windows), "user-days")
 
     @cached_property
     def positives(self) -> DataFrame:
@@ -96,11 +101,11 @@ class Study:
         return self.cohort.select(day.alias("day"), "user_min", "user_max")
 
     def bounded(self, keys: DataFrame, windows: tuple[int, ...] | None = None, neighbours: bool = True) -> DataFrame:
-        return features.bounded_bank(self.pairs, self.scans, keys, self.span, windows or self.policy.windows, neighbours=neighbours)
+        return features.bounded_bank(self.pairs, self.user_days, keys, self.span, windows or self.policy.windows, neighbours=neighbours)
 
     @cached_property
     def bank(self) -> DataFrame:
-        return features.feature_bank(self.pairs, self.scans, self.known_keys, self.span)
+        return features.feature_bank(self.pairs, self.user_days, self.known_keys, self.span)
 
     @cached_property
     def scored_cohort(self) -> DataFrame:
