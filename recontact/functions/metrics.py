@@ -51,11 +51,15 @@ def score_steps(rows: DataFrame, keys: list[str]) -> DataFrame:
     return running_totals(score_counts(rows, keys), keys, "p", ["n", "pos"])
 
 
+def _ap_term() -> Column:
+    return F.col("pos") / F.nullif(F.col("all_pos"), F.lit(0)) * F.col("cum_pos") / F.col("cum_n")
+
+
 def average_precision(rows: DataFrame, keys: list[str]) -> DataFrame:
     steps = score_steps(rows, keys)
     return steps.groupBy(*keys).agg(
         F.max("all_n").alias("rows"), F.max("all_pos").alias("positives"),
-        F.when(F.max("all_pos") > 0, F.sum(F.col("pos") / F.col("all_pos") * F.col("cum_pos") / F.col("cum_n"))).alias("average_precision"))
+        F.when(F.max("all_pos") > 0, F.sum(_ap_term())).alias("average_precision"))
 
 
 def roc_auc(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -69,7 +73,7 @@ def _rank_metrics(steps: DataFrame, keys: list[str]) -> DataFrame:
     below = all_neg - (F.col("cum_n") - F.col("cum_pos"))
     return steps.groupBy(*keys).agg(
         F.max("all_n").alias("rows"),
-        F.when(F.max("all_pos") > 0, F.sum(F.col("pos") / F.col("all_pos") * F.col("cum_pos") / F.col("cum_n"))).alias("average_precision"),
+        F.when(F.max("all_pos") > 0, F.sum(_ap_term())).alias("average_precision"),
         F.when((F.max("all_pos") > 0) & (F.max(all_neg) > 0),
                F.sum(F.col("pos") * (below + neg / 2)) / (F.max("all_pos") * F.max(all_neg))).alias("roc_auc"))
 

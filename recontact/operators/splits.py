@@ -189,7 +189,11 @@ def ready_roles(rows: DataFrame, policy: Policy) -> DataFrame:
     return roles.join(rolling_folds(rows, policy).where("status = 'ready'").select("test_time"), "test_time", "left_semi")
 
 
-def participant_group(user: Column, salt: Column, dataset_id: str, tag: str = "T38") -> Column:
+# Leading part of the hashed text (fixed value).
+GROUP_TAG = "T38"
+
+
+def participant_group(user: Column, salt: Column, dataset_id: str, tag: str = GROUP_TAG) -> Column:
     """0 or 1 from the parity of a salted SHA-256 (the parity of its last hex digit)."""
     digest = F.sha2(F.concat_ws("|", F.lit(tag), salt, F.lit(dataset_id), user), 256)
     return (F.conv(F.substring(digest, 64, 1), 16, 10).cast("int") % 2)

@@ -122,7 +122,7 @@ def scoped_metrics(predictions: DataFrame) -> DataFrame:
     metrics = binary_metrics(rows, keys).join(days, keys)
     one_class = (F.col("positive_rate") == 0) | (F.col("positive_rate") == 1)
     return metrics.withColumns({
-        "ap_over_prevalence": F.col("average_precision") / F.col("positive_rate"),
+        "ap_over_prevalence": F.col("average_precision") / F.nullif(F.col("positive_rate"), F.lit(0.0)),
         "status": F.when(one_class, "single_class_descriptive_only").otherwise("both_classes")})
 
 

@@ -23,7 +23,7 @@ def rolling_summary(predictions: DataFrame, policy: Policy) -> DataFrame:
         F.avg("average_precision").alias("mean_daily_ap"), F.count("*").alias("test_days"))
     ranks = ranking_metrics(predictions, KEYS, policy.ranking_k)
     return (pooled.join(daily, KEYS).join(ranks, KEYS)
-            .withColumn("ap_over_prevalence", F.col("average_precision") / F.col("positive_rate")))
+            .withColumn("ap_over_prevalence", F.col("average_precision") / F.nullif(F.col("positive_rate"), F.lit(0.0))))
 
 
 def per_day_metrics(predictions: DataFrame) -> DataFrame:
@@ -64,7 +64,7 @@ def day_table(predictions: DataFrame, bank: DataFrame) -> DataFrame:
         F.avg(F.least("scan_coverage_a", "scan_coverage_b")).alias("mean_min_scan_coverage"),
         F.avg((F.col("pair_contact_days") == 1).cast("double")).alias("share_contact_days_1"))
     scores = daily_ap(predictions).select(*KEYS, "timestamp", "average_precision")
-    return days.join(scores, "timestamp").withColumn("lift", F.col("average_precision") / F.col("positive_rate")).withColumn(
+    return days.join(scores, "timestamp").withColumn("lift", F.col("average_precision") / F.nullif(F.col("positive_rate"), F.lit(0.0))).withColumn(
         "study_day", (F.floor(F.col("timestamp") / DAY) + 1))
 
 
