@@ -26,7 +26,7 @@ def samples(c: Context) -> DataFrame:
         plan = splits.split_plan(splits.time_counts(c.cohort), (0.5, 0.3, 0.2))
         part = splits.validation_plan(plan)
         rows = (c.bounded(c.recent_keys).join(c.cohort.select(*KEY, F.col("label_24h").cast("int").alias("label")), KEY)
-                .join(F.broadcast(plan), "timestamp").join(F.broadcast(part), "timestamp", "left"))
+                .join(F.broadcast(plan.select("timestamp", "split")), "timestamp").join(F.broadcast(part), "timestamp", "left"))
         c._samples = staged(rows, "samples")
     return c._samples
 
@@ -95,7 +95,7 @@ def calibration_compare(c: Context):
 def window_ablation(c: Context):
     """The 14-day bank masked to each model window; communication features stay unavailable."""
     plan = splits.split_plan(splits.time_counts(c.cohort), c.policy.fractions)
-    base = c.bank.join(c.cohort.select(*KEY, F.col("label_24h").cast("int").alias("label")), KEY).join(F.broadcast(plan), "timestamp")
+    base = c.bank.join(c.cohort.select(*KEY, F.col("label_24h").cast("int").alias("label")), KEY).join(F.broadcast(plan.select("timestamp", "split")), "timestamp")
     rows = None
     for w in c.policy.bank_windows:
         part = fe.feature_window_view(base, w).withColumn("window_days", F.lit(w))

@@ -66,13 +66,14 @@ def contact_matrix(contacts: DataFrame, n: int = 20) -> DataFrame:
 
 def rssi_histogram(contacts: DataFrame, selected: DataFrame, bins: int = 30) -> DataFrame:
     """Equal-width counts of the selection on the whole table's range; the last bin is closed."""
-    ends = contacts.agg(F.min("rssi").alias("low"), F.max("rssi").alias("high"))
-    low, high = ends.select("low").scalar(), ends.select("high").scalar()
-    place = F.when(low == high, F.lit(0)).otherwise(
-        F.least(F.floor((F.col("rssi") - low) / ((high - low) / bins)), F.lit(bins - 1))).cast("long")
-    counts = selected.where("rssi IS NOT NULL").groupBy(place.alias("bin")).agg(F.count("*").alias("records"))
-    spine = day_range(contacts.sparkSession, 0, bins - 1).withColumnRenamed("day", "bin").where((F.col("bin") == 0) | (low < high))
-    middle = F.when(low == high, low).otherwise(low + (F.col("bin") + 0.5) * ((high - low) / bins))
+    ends = contacts.agg(F.min("rssi").alias("low"), F.max("rssi").alias("high")).first()
+    low, high = (F.lit(v).cast("double") for v in ends)
+    number = bins if ends.low is not None and ends.low < ends.high else 1
+    width = (high - low) / bins
+    place = F.least(F.floor((F.col("rssi") - low) / width), F.lit(bins - 1)) if number > 1 else F.lit(0)
+    middle = low + (F.col("bin") + 0.5) * width if number > 1 else low
+    counts = selected.where("rssi IS NOT NULL").groupBy(place.cast("long").alias("bin")).agg(F.count("*").alias("records"))
+    spine = day_range(contacts.sparkSession, 0, number - 1).withColumnRenamed("day", "bin")
     return spine.join(counts, "bin", "left").select("bin", middle.alias("rssi"), F.coalesce("records", F.lit(0).cast("long")).alias("records"))
 
 

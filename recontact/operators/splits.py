@@ -59,17 +59,20 @@ def split_cutoffs(times: DataFrame, fractions: tuple[float, float, float]) -> Da
 
 
 def split_plan(times: DataFrame, fractions: tuple[float, float, float]) -> DataFrame:
-    """timestamp -> split (train, validation, test or purged); all purged without cutoffs."""
-    cuts = split_cutoffs(times, fractions)
-    start, test = cuts.select("validation_start").scalar(), cuts.select("test_start").scalar()
+    """timestamp -> split (train, validation, test or purged); all purged without cutoffs.
+
+    The two cutoffs are read once, so that every later plan carries them as constants.
+    """
+    cuts = split_cutoffs(times, fractions).first()
+    start, test = (F.lit(c).cast("long") for c in (cuts.validation_start, cuts.test_start))
     t, end = F.col("timestamp"), F.col("timestamp") + DAY
     role = (F.when((t < start) & (end < start), "train").when((t >= start) & (t < test) & (end < test), "validation")
             .when(t >= test, "test").otherwise("purged"))
-    return times.select("timestamp", role.alias("split"))
+    return times.withColumn("split", role)
 
 
 def assign_split(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    return rows.join(F.broadcast(plan), "timestamp")  # one row per study day
+    return rows.join(F.broadcast(plan.select("timestamp", "split")), "timestamp")  # one row per study day
 
 
 def chrono_split(rows: DataFrame, policy: Policy) -> DataFrame:
@@ -97,14 +100,13 @@ def _support(counts: DataFrame, keys: list[str]) -> DataFrame:
 def split_support(rows: DataFrame, policy: Policy) -> DataFrame:
     """Rows, classes and times per split with the support gate of each."""
     times = time_counts(rows)
-    sets = _support(times.join(split_plan(times, policy.fractions), "timestamp"), ["split"])
+    sets = _support(split_plan(times, policy.fractions), ["split"])
     gate = (F.col("prediction_times") >= policy.min_set_times) & (F.least("positive", "negative") >= policy.min_class_rows)
     return sets.withColumn("supported", gate)
 
 
 def purged_by_day(rows: DataFrame, policy: Policy) -> DataFrame:
-    times = time_counts(rows)
-    return times.join(split_plan(times, policy.fractions).where("split = 'purged'"), "timestamp", "left_semi")
+    return split_plan(time_counts(rows), policy.fractions).where("split = 'purged'").drop("split")
 
 
 def feasibility(rows: DataFrame, policy: Policy) -> DataFrame:

@@ -27,7 +27,8 @@ def contract(study: Study) -> DataFrame:
 
 def deadline_gate(keys: DataFrame, manifest: DataFrame) -> DataFrame:
     """Only snapshots after every label the model has used."""
-    return keys.where(F.col("timestamp") > manifest.select("information_deadline").scalar())
+    deadline = manifest.first().information_deadline
+    return keys.where(F.col("timestamp") > F.lit(deadline).cast("long"))
 
 
 def availability(bank: DataFrame) -> DataFrame:
@@ -71,7 +72,7 @@ def audit_samples(study: Study) -> DataFrame:
 def audit_predictions(study: Study, threshold: float = 0.5) -> DataFrame:
     """Frequency scores per window for the available samples (null probability -> training prior)."""
     plan = splits.split_plan(splits.time_counts(study.cohort), study.policy.fractions).where("split = 'train'")
-    prior = study.cohort.join(plan, "timestamp", "left_semi").agg(F.avg(F.col("label_24h").cast("double")).alias("p")).scalar()
+    prior = plan.agg((F.sum("positive") / F.sum(F.col("positive") + F.col("negative"))).alias("p")).scalar()
     scores = audit_bank(study).select(*KEY, "window_days", F.coalesce("historical_contact_probability", prior).alias("p"))
     return (audit_samples(study).where("prediction_available").join(scores, KEY)
             .withColumn("threshold", F.lit(threshold)).withColumn("label", F.col("label_24h").cast("int")))
