@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from queries.context import Context, context
 from recontact.functions import hawkes, metrics as m, scorecard as card, uncertainty
-from recontact.functions.timemath import snapshot_time, study_day
+from recontact.functions.timemath import snapshot_time
 from recontact.operators import (catalog, clean, disclosure, explore, features as fe, graph, integrity, pointintime as pit,
                                  retrieval, splits)
 from recontact.operators.pointintime import KEY
 from recontact.plans import audit, baselines, rolling
-from recontact.policy import DAY
+from recontact.session import staged
 from recontact.sources import derived, readers
 from recontact.streaming import freshness
 
@@ -636,7 +636,8 @@ def impute_features(c: Context):
     plan = splits.split_plan(splits.time_counts(c.cohort), c.policy.fractions)
     train = c.cohort.join(plan.where("split = 'train'"), "timestamp", "left_semi").select(*KEY).join(bank, KEY)
     names = ["rssi_mean", "historical_contact_probability", "recency_seconds", "observed_history_days"]
-    tall = train.select(F.inline(F.array(*[F.struct(F.lit(x).alias("feature"), F.col(x).alias("value")) for x in names])))
+    tall = staged(train.select(*names), "train-features").select(
+        F.inline(F.array(*[F.struct(F.lit(x).alias("feature"), F.col(x).alias("value")) for x in names])))
     median = m.exact_quantiles(tall, ["feature"], "value", {"median": 0.5})
     facts = tall.groupBy("feature").agg(F.count("*").alias("rows"), F.count_if(F.col("value").isNull()).alias("missing"),
                                         F.avg("value").alias("mean"), F.stddev_pop("value").alias("deviation"))
@@ -963,6 +964,12 @@ def hawkes_forecast(c: Context):
     return hawkes.hawkes_forecast(_cohort_events(c), c.policy, c.policy.half_life_hours)
 
 
+@query
+def hawkes_short(c: Context):
+    """The wider grid of half-lives, from five minutes to a day."""
+    return hawkes.hawkes_forecast(_cohort_events(c), c.policy, tuple(x / 60 for x in c.policy.short_half_life_minutes))
+
+
 def _load_trained() -> None:
     import queries.trained  # noqa: F401  (registers the trained-model queries)
 

@@ -61,12 +61,15 @@ def audit_bank(study: Study) -> DataFrame:
 
 def audit_samples(study: Study) -> DataFrame:
     """Availability, revealed outcome and membership of the older cohort per audited key."""
+    if hasattr(study, "_audit_samples"):
+        return study._audit_samples
     bank = audit_bank(study)
     keys = bank.where("window_days = 1").select(((F.col("timestamp") - study.policy.offset) / DAY).cast("long").alias("day"), "user_min", "user_max")
     outcome = pit.reveal_outcomes(keys, study.contacts, study.seen, study.span)
     old = study.cohort.select(*KEY, F.lit(True).alias("in_old"))
     joined = availability(bank).join(outcome, KEY).join(old, KEY, "left")
-    return joined.withColumn("in_old", F.coalesce("in_old", F.lit(False)))
+    study._audit_samples = staged(joined.withColumn("in_old", F.coalesce("in_old", F.lit(False))), "audit-samples")
+    return study._audit_samples
 
 
 def audit_predictions(study: Study, threshold: float = 0.5) -> DataFrame:
