@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recontact.llm import langid, packing, rules, secret_scan, warc
+from recontact.llm import chosenpath, chroma, langid, lmscore, packing, pieces, rules, secret_scan, substrings, warc
 from recontact.llm.common import fold, prepare, table
 
 #: Place of the public tokenizer files; a parameter of the operators.
@@ -15,12 +15,31 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_chroma_prints(spark: SparkSession, folder: str) -> DataFrame:
+    """The tables hold no sound: every embedding is played as a melody, and the recordings are searched."""
+    return chroma.search(chroma.render_vectors(table(spark, folder, "embeddings")))
+
+
+def op2_chosen_path_join(spark: SparkSession, folder: str) -> DataFrame:
+    return chosenpath.with_keys(chosenpath.join(table(spark, folder, "documents")))
+
+
+def op3_count_min_windows(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return substrings.remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op4_rule_ledger(spark: SparkSession, folder: str) -> DataFrame:
     prepare(spark)
     entries = rules.apply_policy(rules.ledger(table(spark, folder, "documents")))
     return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
 
 
+def op5_recurrent_scores(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text").withColumn("learn", fold(F.col("doc_id"), 7) != 2)
+    return lmscore.score(docs, "learn")
+
+
 def op6_content_archive(spark: SparkSession, folder: str) -> DataFrame:
     found = warc.archive(table(spark, folder, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -38,6 +57,10 @@ def op8_word_first_backoff(spark: SparkSession, folder: str) -> DataFrame:
     return langid.predict(marked, model).drop("text")
 
 
+def op9_piece_backend(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.encode_documents(table(spark, folder, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op10_markov_secrets(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = secret_scan.scan(docs, secret_scan.train(docs))
@@ -48,10 +71,15 @@ def op10_markov_secrets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chroma_prints": op1_chroma_prints,
+    "op2_chosen_path_join": op2_chosen_path_join,
+    "op3_count_min_windows": op3_count_min_windows,
     "op4_rule_ledger": op4_rule_ledger,
+    "op5_recurrent_scores": op5_recurrent_scores,
     "op6_content_archive": op6_content_archive,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_word_first_backoff": op8_word_first_backoff,
+    "op9_piece_backend": op9_piece_backend,
     "op10_markov_secrets": op10_markov_secrets,
 }
 ORACLES: dict[str, str] = {}
