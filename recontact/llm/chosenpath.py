@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from recontact.llm.common import prepare, staged
+from recontact.llm.common import prepare, staged, written
 from recontact.llm.windows import WordHasher, mixed
 from recontact.operators.graph import components
 
@@ -250,7 +250,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
     """
     spark = docs.sparkSession
     prepare(spark)
-    base = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id())
+    base = written(docs, "join-input").select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id())
     signed = staged(signatures(base, shingle), "signatures")
     # A set that a third of the rows hold is one partial minimum per task.
     copies = signed.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("row").alias("copy_row"))

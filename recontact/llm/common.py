@@ -12,7 +12,7 @@ BLANK_RUN = r"[\x20\x09-\x0D]+"
 #: Shuffle files of a finished action are not needed again: every reused result is a written table.
 SHORT_LIVED_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-__all__ = ["BLANKS", "blank_free", "ensure_checkpoint_dir", "fold", "input_bytes", "prepare", "staged", "table", "words_of"]
+__all__ = ["BLANKS", "blank_free", "ensure_checkpoint_dir", "fold", "input_bytes", "prepare", "staged", "table", "words_of", "written"]
 
 
 def prepare(spark: SparkSession) -> None:
@@ -43,3 +43,13 @@ def fold(key: Column, parts: int) -> Column:
 def input_bytes(frame: DataFrame, column: str) -> int:
     """UTF-8 bytes of a text column, from one pass over it."""
     return frame.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0)).alias("n")).first().n
+
+
+def written(frame: DataFrame, name: str) -> DataFrame:
+    """The frame itself if it only reads, filters and selects from files, else a written copy of it.
+
+    Operators that number rows and read them more than once need the same rows in the same order each time.
+    """
+    lines = frame._jdf.queryExecution().optimizedPlan().toString().rstrip().split("\n")
+    reads = all(line.lstrip(" :+-").startswith(("Project ", "Filter ", "Relation ")) for line in lines)
+    return frame if reads else staged(frame, name)

@@ -6,6 +6,7 @@ pipeline is rebuilt for both kinds of models: unigram scores are taken as they a
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
 from collections.abc import Iterator
@@ -36,6 +37,35 @@ def merges_of(scores: dict[str, float]) -> list[tuple[str, str]]:
     return [(left, right) for *_, left, right in sorted(found)]
 
 
+#: Units in which one piece may overlap itself: there the model takes equal scores from the left, which ranked merges cannot say.
+PERIODIC = re.compile(r"(.{1,3}?)\1\1", re.DOTALL)
+
+
+def merged(unit: str, scores: dict[str, float]) -> list[str]:
+    """Pieces of a unit: the neighbours whose join scores best are joined, the leftmost of equals, until none scores."""
+    parts: list[str | None] = list(unit)
+    after, before = [*range(1, len(parts)), -1], [-1, *range(len(parts) - 1)]
+    queue: list[tuple[float, int, str]] = []
+
+    def offer(i: int) -> None:
+        if i >= 0 and after[i] >= 0 and (score := scores.get(joined := parts[i] + parts[after[i]])) is not None:
+            heapq.heappush(queue, (-score, i, joined))
+
+    for i in range(len(parts)):
+        offer(i)
+    while queue:
+        _, i, joined = heapq.heappop(queue)
+        if parts[i] is None or after[i] < 0 or parts[i] + parts[after[i]] != joined:
+            continue
+        gone = after[i]
+        parts[i], parts[gone], after[i] = joined, None, after[gone]
+        if after[i] >= 0:
+            before[after[i]] = i
+        offer(before[i])
+        offer(i)
+    return [p for p in parts if p is not None]
+
+
 class Backend:
     """A tokenizers pipeline that encodes and decodes as the SentencePiece model does."""
 
@@ -47,12 +77,14 @@ class Backend:
         spec, trained = parsed.normalizer_spec, parsed.trainer_spec
         self.pieces = [p.piece for p in parsed.pieces]
         ids = {piece: i for i, piece in enumerate(self.pieces)}
-        unknown = next(i for i, p in enumerate(parsed.pieces) if p.type == UNKNOWN)
+        self.scores: dict[str, float] = {}
+        self.ids, self.fallback = ids, trained.byte_fallback
+        self.unknown = unknown = next(i for i, p in enumerate(parsed.pieces) if p.type == UNKNOWN)
         if trained.model_type == UNIGRAM:
             kind = models.Unigram([(p.piece, p.score) for p in parsed.pieces], unk_id=unknown, byte_fallback=trained.byte_fallback)
         elif trained.model_type == BPE:
-            scores = {p.piece: p.score for p in parsed.pieces if p.type in (NORMAL, USER)}
-            kind = models.BPE(ids, merges_of(scores), unk_token=self.pieces[unknown], fuse_unk=True, byte_fallback=trained.byte_fallback)
+            self.scores = {p.piece: p.score for p in parsed.pieces if p.type in (NORMAL, USER)}
+            kind = models.BPE(ids, merges_of(self.scores), unk_token=self.pieces[unknown], fuse_unk=True, byte_fallback=trained.byte_fallback)
         else:
             raise ValueError("only unigram and BPE models can be rebuilt")
         #: Encodes normalised text.
@@ -86,10 +118,23 @@ class Backend:
     def _learn(self, units: list[str]) -> None:
         """Ids and decoded text of new units, in one batch that the library spreads over its threads."""
         found = [e.ids for e in self.core.encode_batch(units, add_special_tokens=False)]
+        if self.scores:
+            found = [self._periodic(unit) if PERIODIC.search(unit) else ids for unit, ids in zip(units, found, strict=True)]
         back = self.core.decode_batch(found, skip_special_tokens=False)
         for unit, ids, text in zip(units, found, back, strict=True):
             self.known[unit] = (np.asarray(ids, dtype="<u4").tobytes(), text)
 
+    def _periodic(self, unit: str) -> list[int]:
+        out: list[int] = []
+        for piece in merged(unit, self.scores):
+            if piece in self.scores:
+                out.append(self.ids[piece])
+            elif self.fallback:
+                out += [self.ids[f"<0x{b:02X}>"] for b in piece.encode()]
+            elif not out or out[-1] != self.unknown:
+                out.append(self.unknown)
+        return out
+
     def both(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
         """(little-endian unsigned 32-bit ids, text decoded from them) of every text; null counts as empty."""
         if len(self.known) > REMEMBERED:

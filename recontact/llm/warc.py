@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from recontact.llm.common import ensure_checkpoint_dir, prepare
+from recontact.llm.common import ensure_checkpoint_dir, prepare, written
 
 #: Payloads shorter than this are written as responses even when they repeat.
 LEAST_SHARED = 1000
@@ -42,7 +42,7 @@ def store(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
     written by the row that holds them.
     """
     prepare(pages.sparkSession)
-    rows = records(pages, key, url, body).withColumn("record", F.monotonically_increasing_id())
+    rows = records(written(pages, "pages"), key, url, body).withColumn("record", F.monotonically_increasing_id())
     # A digest that a third of the pages share is one partial maximum per task.
     best = (rows.groupBy("address", "payload_bytes")
             .agg(F.max(F.struct("page_id", "record")).alias("holder")))
