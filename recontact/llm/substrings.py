@@ -29,13 +29,27 @@ BLOCK_BYTES, MAX_BLOCKS = 6 << 20, 100_000
 ROWS = 2
 #: Sketch cells per expected window of a shard; a window has about six bytes of text.
 LOAD, BYTES_PER_WINDOW = 4, 6
-#: Odd multipliers of the sketch rows.
-ROW_FACTORS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+#: Odd multiplier of the second sketch row.
+SECOND = 0xA0761D6478BD642F
 
 
-def cells_of(keys: np.ndarray, row: int, width: int) -> np.ndarray:
-    """Cell (below the width, a power of two) of every key in a sketch row."""
-    return (keys * np.uint64(ROW_FACTORS[row])) >> np.uint64(64 - (width.bit_length() - 1))
+def cells_of(keys: np.ndarray, row: int, width: int, shards: int) -> np.ndarray:
+    """Cell (below the width, a power of two) of every key in a sketch row.
+
+    Row 0 takes the bits behind those of the shard, so ascending keys have ascending cells; row 1 hashes the key again.
+    """
+    spread = keys << np.uint64(shards.bit_length() - 1) if row == 0 else keys * np.uint64(SECOND)
+    return spread >> np.uint64(64 - (width.bit_length() - 1))
+
+
+def distinct_cells(keys: np.ndarray, row: int, width: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending distinct cells of ascending keys of one shard, and every key's place among them."""
+    cells = cells_of(keys, row, width, shards)
+    if row:
+        return np.unique(cells, return_inverse=True)
+    fresh = np.ones(len(cells), bool)
+    fresh[1:] = cells[1:] != cells[:-1]
+    return cells[fresh], np.cumsum(fresh) - 1
 
 
 def packed(cells: np.ndarray) -> bytes:
@@ -59,18 +73,13 @@ def block_windows(hasher: WordHasher, texts: list, both: bool) -> tuple[list[int
     return counts, [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.uint64) for k in range(2 if both else 1)]
 
 
-def shards_of(keys: np.ndarray, shards: int) -> np.ndarray:
-    return (keys >> np.uint64(11)) % np.uint64(shards)
-
-
-def _sliced(keys: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(shard, places of its keys) in shard order, the keys' order kept."""
-    of = shards_of(keys, shards)
-    order = np.argsort(of, kind="stable")
-    ends = np.searchsorted(of[order], np.arange(shards + 1, dtype=np.uint64))
-    for shard in range(shards):
-        if ends[shard] < ends[shard + 1]:
-            yield shard, order[ends[shard]:ends[shard + 1]]
+def _sliced(keys: np.ndarray, shards: int) -> Iterator[tuple[int, slice]]:
+    """(shard, its part) of ascending keys; a shard (of a power of two) is the keys' first bits."""
+    bits = shards.bit_length() - 1
+    starts = np.arange(shards, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(1, np.uint64)
+    ends = np.append(np.searchsorted(keys, starts), len(keys))
+    for shard in np.flatnonzero(np.diff(ends)):
+        yield int(shard), slice(int(ends[shard]), int(ends[shard + 1]))
 
 
 def _replies(table: pa.Table, shards: int) -> dict[tuple[int, int], np.ndarray]:
@@ -106,7 +115,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", bl
         raise ValueError("column names with _w_ are used inside")
     total = input_bytes(rest, text)
     blocks = int(min(MAX_BLOCKS, max(4, -(-total // block_bytes))))
-    shards = blocks
+    shards = 1 << (blocks - 1).bit_length()
     width = 1 << max(10, int(np.ceil(np.log2(max(1, LOAD * total / BYTES_PER_WINDOW / shards)))))
     name = f"blocks_{uuid.uuid4().hex}"
     numbered = rest.withColumn("_w_block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
@@ -123,7 +132,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", bl
         rows = []
         for shard, places in _sliced(keys, shards):
             for row in range(ROWS):
-                cells, back = np.unique(cells_of(keys[places], row, width), return_inverse=True)
+                cells, back = distinct_cells(keys[places], row, width, shards)
                 # How often this block reaches a cell: one window twice, or two windows.
                 own = np.bincount(back, weights=counts[places]) >= 2
                 data = packed(cells)
@@ -152,10 +161,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", bl
         """Which of the sorted unique keys both sketch rows estimate as repeated."""
         hit = np.zeros(len(keys), bool)
         for shard, places in _sliced(keys, shards):
-            seen = np.ones(len(places), bool)
-            for row in range(ROWS):
-                _, back = np.unique(cells_of(keys[places], row, width), return_inverse=True)
-                seen &= replies[shard, row][back]
+            mine = keys[places]
+            seen = replies[shard, 0][distinct_cells(mine, 0, width, shards)[1]]
+            # The second row decides only on what the first one leaves; its places count over all keys.
+            left = np.flatnonzero(seen)
+            if len(left):
+                cells = cells_of(mine, 1, width, shards)
+                seen[left] = replies[shard, 1][np.searchsorted(np.unique(cells), cells[left])]
             hit[places] = seen
         return hit
 
@@ -177,7 +189,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", bl
         _, (first, second) = block_windows(WordHasher(window), block.column(1).to_pylist(), True)
         heads, order, a, b = exact_keys(first, second, _replies(answered, shards))
         counts = np.diff(np.append(heads, len(order)))
-        rows = [(number, shard, 0, a[heads][p].tobytes(), b[heads][p].tobytes(), np.packbits(counts[p] >= 2).tobytes(), len(p))
+        rows = [(number, shard, 0, a[heads][p].tobytes(), b[heads][p].tobytes(), np.packbits(counts[p] >= 2).tobytes(), p.stop - p.start)
                 for shard, p in _sliced(a[heads], shards)]
         return _batches(rows, SENT)
 

@@ -58,10 +58,14 @@ def test_same_document_overlaps_and_hot_passages(spark):
 def test_sketch_never_estimates_too_low():
     draw = np.random.default_rng(3)
     keys = draw.integers(0, 1 << 63, 5000).astype(np.uint64)
+    keys.sort()
+    parts = [keys[p] for _, p in substrings._sliced(keys, 8)]
+    assert (np.concatenate(parts) == keys).all()
     for row in range(substrings.ROWS):
-        cells = substrings.cells_of(keys, row, 1 << 12)
+        cells = substrings.cells_of(parts[1], row, 1 << 12, 8)
         assert cells.max() < 1 << 12
-        sorted_cells = np.unique(cells)
+        sorted_cells, back = substrings.distinct_cells(parts[1], row, 1 << 12, 8)
+        assert (sorted_cells == np.unique(cells)).all() and (sorted_cells[back] == cells).all()
         wide = int(np.diff(sorted_cells, prepend=np.uint64(0)).max()) >= 1 << 16
         assert (substrings.unpacked(substrings.packed(sorted_cells), len(sorted_cells), wide) == sorted_cells.astype(np.int64)).all()
 
