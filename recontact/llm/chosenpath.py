@@ -119,6 +119,11 @@ def split(members: DataFrame, threshold: float, runs: int = 0) -> DataFrame:
     return members.mapInArrow(run, "bucket long, row long")
 
 
+def _exchanged(frame: DataFrame) -> DataFrame:
+    """Joined by exchange and sort at every size, with skew splitting: what is small today grows with the data."""
+    return frame.hint("merge")
+
+
 def met(classes: DataFrame, threshold: float, runs: int) -> DataFrame:
     """bucket, row: the buckets with two members or more that are to be compared, equal member sets once."""
     level, ready = split(classes.select("row", "tokens"), threshold, runs), None
@@ -129,14 +134,14 @@ def met(classes: DataFrame, threshold: float, runs: int) -> DataFrame:
         small = F.col("size") <= SMALL if depth < DEPTH else F.lit(True)
         # Near copies meet in many buckets with the same members: one of them is compared.
         once = sizes.where(small).groupBy("size", "members").agg(F.min("bucket").alias("bucket"))
-        found = level.join(once.select("bucket"), "bucket", "left_semi")
+        found = level.join(_exchanged(once.select("bucket")), "bucket", "left_semi")
         ready = found if ready is None else ready.unionByName(found)
         if depth == DEPTH:
             break
         large = sizes.where(~small).select("bucket")
         if large.limit(1).count() == 0:
             break
-        level = split(level.join(large, "bucket", "left_semi").join(classes.select("row", "tokens"), "row"), threshold)
+        level = split(level.join(_exchanged(large), "bucket", "left_semi").join(classes.select("row", "tokens"), "row"), threshold)
     return ready
 
 
@@ -173,10 +178,10 @@ def candidate_groups(classes: DataFrame, threshold: float, recall: float) -> Dat
     # A bucket that stayed large is compared in chunks against chunks, so no task gets it whole.
     sized = buckets.withColumn("chunk", F.pmod(F.xxhash64("row"), F.lit(1 << 20)))
     counts = sized.groupBy("bucket").agg(F.count("*").alias("size"))
-    parts = sized.join(counts, "bucket").withColumn("chunks", F.ceil(F.col("size") / 2000).cast("int")).withColumn("chunk", F.pmod("chunk", "chunks").cast("int"))
+    parts = sized.join(_exchanged(counts), "bucket").withColumn("chunks", F.ceil(F.col("size") / 2000).cast("int")).withColumn("chunk", F.pmod("chunk", "chunks").cast("int"))
     pair = F.explode(F.expr("transform(sequence(0, chunks - 1), c -> named_struct('x', least(chunk, c), 'y', greatest(chunk, c)))"))
     tiles = parts.select("bucket", "row", "chunk", pair.alias("t")).select("bucket", "row", F.col("t.x").alias("x"), F.col("t.y").alias("y"))
-    full = tiles.join(classes.select("row", "tokens"), "row")
+    full = tiles.join(_exchanged(classes.select("row", "tokens")), "row")
 
     def compare(group: pa.Table) -> pa.Table:
         rows = group.column("row").to_numpy()
@@ -201,7 +206,7 @@ def exact_links(groups: DataFrame, texts: DataFrame, threshold: float, shingle:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "group", "tiles", "tile")), pa.array(found, pa.large_binary()).cast(pa.binary())],
                                              names=["row", "group", "tiles", "tile", "shingles"])
 
-    with_sets = staged(texts.join(tiled, "row").select("row", "group", "tiles", "tile", "text")
+    with_sets = staged(texts.join(_exchanged(tiled), "row").select("row", "group", "tiles", "tile", "text")
                        .mapInArrow(sets, "row long, group long, tiles int, tile int, shingles binary"), "candidate-sets")
     pair = F.explode(F.expr("transform(sequence(0, tiles - 1), c -> named_struct('x', least(tile, c), 'y', greatest(tile, c)))"))
     dealt = with_sets.select("group", "row", "tile", "shingles", pair.alias("t")).select("group", F.col("t.x").alias("x"), F.col("t.y").alias("y"), "row", "tile", "shingles")
