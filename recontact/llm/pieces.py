@@ -9,6 +9,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -118,11 +119,14 @@ class Backend:
     def _learn(self, units: list[str]) -> None:
         """Ids and decoded text of new units, in one batch that the library spreads over its threads."""
         found = [e.ids for e in self.core.encode_batch(units, add_special_tokens=False)]
-        if self.scores:
-            found = [self._periodic(unit) if PERIODIC.search(unit) else ids for unit, ids in zip(units, found, strict=True)]
-        back = self.core.decode_batch(found, skip_special_tokens=False)
-        for unit, ids, text in zip(units, found, back, strict=True):
-            self.known[unit] = (np.asarray(ids, dtype="<u4").tobytes(), text)
+        for unit, ids in zip(units, found, strict=True):
+            # Three equal runs leave at least two signs fewer than places.
+            if self.scores and len(unit) - len(set(unit)) >= 2 and PERIODIC.search(unit):
+                ids = self._periodic(unit)
+            text = "".join([self.pieces[i] for i in ids])
+            # Only bytes, unknown signs and user pieces need the decoder; other pieces read as they are written.
+            text = unit.replace(MARK, " ") if text == unit else self.core.decode(ids, skip_special_tokens=False)
+            self.known[unit] = (array("I", ids).tobytes(), text)
 
     def _periodic(self, unit: str) -> list[int]:
         out: list[int] = []
