@@ -29,6 +29,17 @@ def classes_of(counts: np.ndarray, groups: int, bins: int) -> np.ndarray:
     return np.concatenate([dense, first + np.arange(groups)]).astype(np.int64)
 
 
+def _softmax(logits: np.ndarray, rows: np.ndarray, own: np.ndarray, whole: bool) -> np.ndarray:
+    """Log probability of one column per row; with ``whole`` the logits become probabilities in place."""
+    logits -= logits.max(axis=1, keepdims=True)
+    picked = logits[rows, own]
+    np.exp(logits, out=logits)
+    total = logits.sum(axis=1)
+    if whole:
+        logits /= total[:, None]
+    return picked - np.log(total)
+
+
 @dataclass
 class Network:
     """Parameters (float32) by name and the class of every id; ids of a class are neighbours."""
@@ -61,7 +72,7 @@ class Network:
 
     def _step(self, ids: np.ndarray, h: np.ndarray):
         p, k = self.values, h.shape[1]
-        gates = p["x"][ids] + p["b"]
+        gates = p["xb"][ids] if "xb" in p else p["x"][ids] + p["b"]
         zr = 1 / (1 + np.exp(-(gates[:, :2 * k] + h @ p["u"][:, :2 * k])))
         z, r = zr[:, :k], zr[:, k:]
         n = np.tanh(gates[:, 2 * k:] + (r * h) @ p["u"][:, 2 * k:])
@@ -71,12 +82,10 @@ class Network:
         """Natural log probability of every target; with ``grads`` also the states' gradient of the summed loss."""
         p = self.values
         logits = states @ p["cw"] + p["cb"]
-        logits -= logits.max(axis=1, keepdims=True)
-        np.exp(logits, out=logits)
-        logits /= logits.sum(axis=1, keepdims=True)
-        cls = self.of_class[targets]
+        # A byte per class sorts faster.
+        cls = self.of_class.astype(np.uint8 if self.of_class.max(initial=0) < 256 else np.int64)[targets]
         rows = np.arange(len(targets))
-        out = np.log(logits[rows, cls] + 1e-30)
+        out = _softmax(logits, rows, cls, grads is not None)
         back = None
         if grads is not None:
             logits[rows, cls] -= 1
@@ -93,13 +102,10 @@ class Network:
                 continue
             at = order[bounds[c]:bounds[c + 1]]
             inner = states[at] @ p["ww"][:, lo:hi] + p["wb"][lo:hi]
-            inner -= inner.max(axis=1, keepdims=True)
-            np.exp(inner, out=inner)
-            inner /= inner.sum(axis=1, keepdims=True)
-            own = targets[at] - lo
-            out[at] += np.log(inner[np.arange(len(at)), own] + 1e-30)
+            own, places = targets[at] - lo, rows[:len(at)]
+            out[at] += _softmax(inner, places, own, grads is not None)
             if grads is not None:
-                inner[np.arange(len(at)), own] -= 1
+                inner[places, own] -= 1
                 grads["ww"][:, lo:hi] += states[at].T @ inner
                 grads["wb"][lo:hi] += inner.sum(axis=0)
                 back[at] += inner @ p["ww"][:, lo:hi].T
@@ -143,8 +149,10 @@ def laid_out(streams: list[np.ndarray], lanes: list[list[int]], start: int):
     return inputs, targets, fresh, sizes, places
 
 
-def scores(net: Network, streams: list[np.ndarray], start: int, most: int = 256, steps: int = 64) -> np.ndarray:
+def scores(net: Network, streams: list[np.ndarray], start: int, most: int = 512, steps: int = 32) -> np.ndarray:
     """Natural log likelihood of every whole stream: the state runs through all of its windows."""
+    # Nothing changes here, so the input rows hold the gates' biases.
+    net = Network(net.of_class, net.values | {"xb": net.values["x"] + net.values["b"]})
     lengths = np.array([len(s) for s in streams], dtype=np.int64)
     out = np.zeros(len(streams))
     if not lengths.sum():
@@ -157,7 +165,8 @@ def scores(net: Network, streams: list[np.ndarray], start: int, most: int = 256,
         h, window = h[:n], []
         upto = min(at + steps, targets.shape[1])
         for t in range(at, upto):
-            h = np.where(fresh[:n, t, None], np.float32(0), h)
+            if fresh[:n, t].any():
+                h = np.where(fresh[:n, t, None], np.float32(0), h)
             *_, h = net._step(inputs[:n, t], h)
             window.append(h)
         found, _ = net._output(np.concatenate(window), targets[:n, at:upto].T.ravel())
@@ -190,11 +199,15 @@ def train(net: Network, streams: list[np.ndarray], start: int, most: int = 256,
             saved.append((before, z, r, cand, h))
         real = np.arange(at, upto)[:, None] < sizes[None, :n]
         grads = {name: np.zeros_like(v) for name, v in p.items() if name != "x"}
-        flat = np.flatnonzero(real.ravel())
-        states = np.concatenate([s[4] for s in saved])
-        _, back = net._output(states[flat], targets[:n, at:upto].T.ravel()[flat], grads)
-        all_back = np.zeros_like(states)
-        all_back[flat] = back
+        states, wanted = np.concatenate([s[4] for s in saved]), targets[:n, at:upto].T.ravel()
+        if real.all():
+            flat = wanted
+            _, all_back = net._output(states, wanted, grads)
+        else:
+            flat = np.flatnonzero(real.ravel())
+            _, back = net._output(states[flat], wanted[flat], grads)
+            all_back = np.zeros_like(states)
+            all_back[flat] = back
         all_back = all_back.reshape(upto - at, n, k)
         gates = np.zeros((upto - at, n, 3 * k), np.float32)
         carried = np.zeros((n, k), np.float32)
@@ -207,11 +220,12 @@ def train(net: Network, streams: list[np.ndarray], start: int, most: int = 256,
             gated = gn @ un.T
             gr = gated * before * r * (1 - r)
             gates[t, :, :k], gates[t, :, k:2 * k], gates[t, :, 2 * k:] = gz, gr, gn
-            grads["u"][:, :2 * k] += before.T @ gates[t, :, :2 * k]
-            grads["u"][:, 2 * k:] += (r * before).T @ gn
             carried = g * z + gated * r + gates[t, :, :2 * k] @ uzr.T
             carried[fresh[:n, at + t]] = 0
         flat_gates = gates.reshape(-1, 3 * k)
+        states_before = np.concatenate([s[0] for s in saved])
+        grads["u"][:, :2 * k] += states_before.T @ flat_gates[:, :2 * k]
+        grads["u"][:, 2 * k:] += (np.concatenate([s[2] for s in saved]) * states_before).T @ flat_gates[:, 2 * k:]
         grads["b"] += flat_gates.sum(axis=0)
         ids = inputs[:n, at:upto].T.ravel()
         order = np.argsort(ids, kind="stable")

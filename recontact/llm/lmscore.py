@@ -27,7 +27,7 @@ HELD_WORDS = 200_000
 #: Passes over the training documents in disjoint slices, parameters averaged after each.
 ROUNDS = 4
 #: Distinct words that a counting task gathers before it hands them on; tokens that are trained or scored together.
-GATHERED, TOKENS = 300_000, 1_000_000
+GATHERED, TOKENS = 300_000, 2_000_000
 #: The end of a text, as a word that no text can hold.
 END = b""
 
@@ -88,7 +88,16 @@ class Vocabulary:
 def gather(counts: DataFrame) -> Vocabulary:
     """The vocabulary from the written counts; sums over all words are made by Spark."""
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("kinds")).first()
-    held = [(bytes(r.word), r.n) for r in counts.orderBy(F.desc("n"), "word").limit(HELD_WORDS).collect()]
+    # Whole sixteenths of an octave of counts, from the top, as many as the bound allows: no sort, and no task sends more than its part.
+    step = F.floor(F.log2("n") * 16).cast("int")
+    least, room = 0, HELD_WORDS
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r.step):
+        room -= r.words
+        if room < 0:
+            least = r.step + 1
+            break
+    found = counts.where((step >= least) | (F.octet_length("word") == 0)).collect()
+    held = sorted(((bytes(r.word), r.n) for r in found), key=lambda w: (-w[1], w[0]))
     inside = [w for w, _ in held if w != END][:VOCABULARY - 1]
     group = F.crc32(F.substring("word", -2, 2)) % GROUPS
     # The few words of the network are left out of their groups' mass.
