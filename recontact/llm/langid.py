@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from recontact.llm.common import prepare, staged
 
@@ -135,17 +135,11 @@ def count_grams(words: DataFrame) -> DataFrame:
     return words.select("lang", "word", "n").mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def _frequencies(rows: list, totals: dict, langs: list[str]) -> tuple[dict[str, int], np.ndarray]:
-    """Log of the smoothed relative frequency; ``totals``: (lang, order) -> all counts and distinct entries."""
-    column = {lang: i for i, lang in enumerate(langs)}
-    places: dict[str, int] = {}
-    for r in rows:
-        places.setdefault(r.item, len(places))
-    counts = np.zeros((len(places), len(langs)))
-    orders = np.zeros(len(places), dtype=int)
-    for r in rows:
-        counts[places[r.item], column[r.lang]] = r.n
-        orders[places[r.item]] = r.size
+def _frequencies(found: pa.Table, totals: dict, langs: list[str]) -> tuple[dict[str, int], np.ndarray]:
+    """Places of the items, and the log of their smoothed relative frequency; ``totals``: (lang, order) -> all counts and distinct entries."""
+    places = {item: place for place, item in enumerate(found.column("item").to_pylist())}
+    orders = found.column("size").to_numpy()
+    counts = np.column_stack([found.column(f"n{i}").to_numpy() for i in range(len(langs))]).astype(float)
     out = np.zeros_like(counts)
     for order in set(orders.tolist()):
         n = np.array([totals.get((lang, order), (0, 0))[0] for lang in langs], dtype=float)
@@ -155,16 +149,25 @@ def _frequencies(rows: list, totals: dict, langs: list[str]) -> tuple[dict[str,
     return places, out
 
 
-def _most_frequent(counted: DataFrame, size, bound: int) -> tuple[list, dict]:
-    """The most frequent items per language and order, with their counts in every language; totals over all items.
+def _most_frequent(counted: DataFrame, size, bound: int, langs: list[str]) -> tuple[pa.Table, dict]:
+    """item, size, n0, n1, ... (its counts in every language) of the most frequent items per language and order; totals over all items.
 
-    The driver gets at most ``bound`` items per language and order, whatever the corpus holds.
+    Counts are cut at whole sixteenths of an octave, as many from the top as the bound allows: nothing is sorted, no task gets a
+    language's items whole, and the driver gets at most ``bound`` items per language and order, whatever the corpus holds.
     """
     sized = counted.withColumn("size", size)
     totals = {(r.lang, r.size): (r.n, r.kinds) for r in sized.groupBy("lang", "size").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect()}
-    first = Window.partitionBy("lang", "size").orderBy(F.desc("n"), "item")
-    chosen = sized.withColumn("k", F.row_number().over(first)).where(f"k <= {bound}").select("item").distinct()
-    return sized.join(chosen, "item", "left_semi").select("lang", "item", "size", "n").collect(), totals
+    step = F.floor(F.log2("n") * 16).cast("int")
+    room, least = dict.fromkeys(totals, bound), {}
+    for r in sorted(sized.groupBy("lang", "size", step.alias("step")).agg(F.count("*").alias("items")).collect(), key=lambda r: -r.step):
+        room[r.lang, r.size] -= r.items
+        if room[r.lang, r.size] >= 0:
+            least[r.lang, r.size] = r.step
+    # One row per language and order.
+    cuts = F.broadcast(counted.sparkSession.createDataFrame([(*k, v) for k, v in least.items()], "lang string, size int, least int"))
+    chosen = sized.join(cuts, ["lang", "size"]).where(step >= F.col("least")).select("item").distinct()
+    own = [F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, lang in enumerate(langs)]
+    return sized.join(chosen, "item", "left_semi").groupBy("item", "size").agg(*own).toArrow(), totals
 
 
 def train(labelled: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
@@ -178,13 +181,11 @@ def train(labelled: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_
     usable = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     words = staged(count_words(usable), "lang-words")
     langs = sorted(r.lang for r in usable.select("lang").distinct().collect())
-    grams = staged(count_grams(words), "lang-grams")
-    word_rows, word_totals = _most_frequent(words.select("lang", F.col("word").alias("item"), "n"), F.lit(0), max_words)
-    gram_rows, gram_totals = _most_frequent(grams.select("lang", F.col("gram").alias("item"), "n"), F.length("item"), max_grams)
     model = Model(langs)
     if langs:
-        model.words, model.word_scores = _frequencies(word_rows, word_totals, langs)
-        model.grams, model.gram_scores = _frequencies(gram_rows, gram_totals, langs)
+        grams = staged(count_grams(words), "lang-grams")
+        model.words, model.word_scores = _frequencies(*_most_frequent(words.select("lang", F.col("word").alias("item"), "n"), F.lit(0), max_words, langs), langs)
+        model.grams, model.gram_scores = _frequencies(*_most_frequent(grams.select("lang", F.col("gram").alias("item"), "n"), F.length("item"), max_grams, langs), langs)
     return model
 
 
