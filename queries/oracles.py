@@ -183,7 +183,8 @@ add("cohort_funnel", """SELECT l.t AS timestamp, count(*) AS all_past_candidate_
     count(*) FILTER (w AND NOT r) AS excluded_not_1d_candidate, count(*) FILTER (w AND r AND NOT ok) AS excluded_coverage_or_unknown, count(*) FILTER (w AND r AND ok) AS eligible_rows,
     count(*) FILTER (w AND r AND ok AND y = 1) AS positive, count(*) FILTER (w AND r AND ok AND y = 0) AS negative
     FROM (SELECT l.*, l.t - 7 * 86400 >= lo AS w, c.t IS NOT NULL AS r FROM lab l LEFT JOIN cand1 c ON c.t = l.t AND c.a = l.a AND c.b = l.b, span) l GROUP BY l.t""")
-SUPPORT = "SELECT split, CAST(sum(n) AS BIGINT) AS rows, CAST(sum(p) AS BIGINT) AS positive, CAST(sum(q) AS BIGINT) AS negative, count(*) AS prediction_times FROM plan GROUP BY split"
+SUPPORT = """SELECT s.split, CAST(coalesce(sum(g.n), 0) AS BIGINT) AS rows, CAST(coalesce(sum(g.p), 0) AS BIGINT) AS positive, CAST(coalesce(sum(g.q), 0) AS BIGINT) AS negative,
+    count(g.t) AS prediction_times FROM (SELECT unnest(['train', 'validation', 'test', 'purged']) AS split) s LEFT JOIN plan g ON g.split = s.split GROUP BY s.split"""
 add("split_support", "SELECT *, prediction_times >= 2 AND least(positive, negative) >= 5 AS supported FROM support", support=SUPPORT)
 add("purged_by_day", "SELECT t AS timestamp, n AS rows, p AS positive, q AS negative FROM plan WHERE split = 'purged'")
 add("feasibility", """SELECT split, rows, concat_ws('; ', CASE WHEN prediction_times < 2 THEN 'fewer than 2 prediction times' END,
@@ -255,8 +256,10 @@ def _aggregate(hide: bool) -> str:
 
 add("retrieval_aggregate", _aggregate(False))
 add("suppressed_retrieval", _aggregate(True))
-add("retrieval_feasibility", """SELECT ds AS dataset_id, w AS window_days, count(*) AS complete_prediction_times, count(*) FILTER (n > 0) AS nonempty_candidate_times, count(*) FILTER (pool > 0) AS positive_pool_times,
-    CASE WHEN count(*) FILTER (pool > 0) >= 3 THEN 'positive_retrieval_ready' ELSE 'insufficient_history' END AS status FROM umet WHERE method = 'historical_frequency' AND k = 5 GROUP BY ds, w""")
+add("retrieval_feasibility", """SELECT s.ds AS dataset_id, s.w AS window_days, count(m.t) AS complete_prediction_times, count(*) FILTER (m.n > 0) AS nonempty_candidate_times, count(*) FILTER (m.pool > 0) AS positive_pool_times,
+    CASE WHEN count(*) FILTER (m.pool > 0) >= 3 THEN 'positive_retrieval_ready' ELSE 'insufficient_history' END AS status
+    FROM (SELECT * FROM (SELECT DISTINCT ds FROM uniq) CROSS JOIN wins) s LEFT JOIN (SELECT * FROM umet WHERE method = 'historical_frequency' AND k = 5) m ON m.ds = s.ds AND m.w = s.w
+    GROUP BY s.ds, s.w""")
 
 # ---- scores and metrics
 MW = "model, w AS window_days"
@@ -433,7 +436,9 @@ add("dataset_days", """SELECT s.ds AS dataset_id, s.d - s.f + 1 AS study_day, co
     FROM (SELECT ds, lo // 86400 AS f, unnest(range(lo // 86400, hi // 86400 + 1)) AS d FROM cman) s LEFT JOIN (SELECT ds, ts // 86400 AS d, count(*) AS n FROM ccon GROUP BY 1, 2) r ON r.ds = s.ds AND r.d = s.d
     LEFT JOIN (SELECT ds, d, count(DISTINCT u) AS n FROM (SELECT ds, ts // 86400 AS d, a AS u FROM ccon UNION ALL SELECT ds, ts // 86400, b FROM ccon) GROUP BY 1, 2) u ON u.ds = s.ds AND u.d = s.d""")
 add("calendar_capacity", """SELECT ds AS dataset_id, w AS window_days, n AS calendar_complete_snapshots, tr AS train_times, va AS validation_times, te AS test_times,
-    CASE WHEN least(tr, va, te) >= 2 THEN 'date_capacity_only' ELSE 'insufficient_days' END AS temporal_status FROM ccap""")
+    CASE WHEN least(tr, va, te) >= 2 THEN 'date_capacity_only' ELSE 'insufficient_days' END AS temporal_status
+    FROM (SELECT s.ds, s.w, coalesce(n, 0) AS n, coalesce(tr, 0) AS tr, coalesce(va, 0) AS va, coalesce(te, 0) AS te FROM (SELECT ds, w FROM cman CROSS JOIN wins) s
+          LEFT JOIN ccap c ON c.ds = s.ds AND c.w = s.w)""")
 add("eligibility", """SELECT m.ds AS dataset_id, CASE WHEN unit AND hi - lo < 8 * 86400 AND NOT sup THEN 'insufficient_history' WHEN chk AND unit THEN 'eligible_primary_24h' ELSE 'exploratory_only' END AS eligibility_status,
     concat_ws('; ', CASE WHEN NOT chk THEN 'missing verified scan support' END, CASE WHEN unit AND coalesce(c.n, 0) < 6 THEN 'insufficient_days' END, CASE WHEN NOT unit THEN 'time_unit_unverified' END) AS reason
     FROM cman m JOIN (VALUES ('scans', true, true, true), ('shipments', true, false, false), ('orders', false, false, false)) s(ds, unit, sup, chk) ON s.ds = m.ds LEFT JOIN ccap c ON c.ds = m.ds AND c.w = 7""")

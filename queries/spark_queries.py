@@ -586,7 +586,7 @@ def suppressed_retrieval(c: Context):
 
 @query
 def retrieval_feasibility(c: Context):
-    return retrieval.retrieval_feasibility(c.retrieval_metrics)
+    return retrieval.retrieval_feasibility(c.retrieval_metrics, c.unique, c.policy)
 
 
 # ---- scores and metrics ------------------------------------------------------------------------

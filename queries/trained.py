@@ -1,4 +1,4 @@
-"""Queries with fitted models. Learners run with few trees here; the defaults are in plans.models."""
+"""Queries with fitted models, with the settings of plans.models."""
 
 from __future__ import annotations
 
@@ -13,8 +13,6 @@ from recontact.plans import audit, models
 from recontact.session import staged
 
 MODEL = ["model", "window_days"]
-SMALL = {"logistic_regression": {"max_iter": 100}, "random_forest": {"trees": 20, "depth": 6},
-         "boosted_trees": {"trees": 10, "depth": 3, "rate": 0.2}}
 
 
 def samples(c: Context) -> DataFrame:
@@ -32,7 +30,14 @@ def samples(c: Context) -> DataFrame:
 
 
 def _fit(c: Context, names, windows, columns=fe.BOUNDED_FEATURES, rows=None):
-    return models.train_windows(rows if rows is not None else samples(c), names, windows, c.policy.seed, SMALL, columns)
+    """Models with the learners' own settings; those of the shared samples are fitted once per session."""
+    if rows is not None:
+        return models.train_windows(rows, names, windows, c.policy.seed, columns=columns)
+    if not hasattr(c, "_models"):
+        c._models = {}
+    for key in [(w, name) for w in windows for name in names if (w, name) not in c._models]:
+        c._models[key] = models.train_windows(samples(c), (key[1],), (key[0],), c.policy.seed, columns=columns)[0]
+    return [c._models[w, name] for w in windows for name in names]
 
 
 def _test(c: Context) -> DataFrame:
@@ -66,7 +71,7 @@ def train_windows(c: Context):
 
 @query
 def grid_search(c: Context):
-    return models.grid_search(samples(c), "logistic_regression", 7, [{"max_iter": 50, "reg": r} for r in (0.1, 1.0, 10.0)], c.policy.seed)
+    return models.grid_search(samples(c), "logistic_regression", 7, [{"reg": r} for r in (0.1, 1.0, 10.0)], c.policy.seed)
 
 
 def _calibrated(c: Context) -> DataFrame:
@@ -111,7 +116,7 @@ def window_ablation(c: Context):
 @query
 def sensitivity(c: Context):
     model = _fit(c, ("logistic_regression",), (7,))[0]
-    return models.sensitivity(model, _test(c).where("window_days = 7"), 5)
+    return models.sensitivity(model, _test(c).where("window_days = 7"))
 
 
 @query
@@ -159,9 +164,9 @@ def score_gbt_hawkes(c: Context):
 
 def _holdout(c: Context) -> DataFrame:
     """Train on pairs inside one half of the participants, test on pairs that touch the other."""
-    rows = staged(splits.holdout_population(samples(c).where("window_days = 7"), SALTS[:2], "scans"), "holdout")
+    rows = staged(splits.holdout_population(samples(c).where("window_days = 7"), SALTS, "scans"), "holdout")
     result = None
-    for salt in SALTS[:2]:
+    for salt in SALTS:
         mine = rows.where(F.col("salt") == salt)
         model = _fit(c, ("logistic_regression",), (7,), rows=mine.where("population = 'train'"))
         part = models.predictions(model, mine.where("split = 'test' AND population <> 'train'"), ("label", "population", "salt"))

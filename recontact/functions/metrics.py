@@ -1,8 +1,8 @@
 """Binary, ranking and calibration metrics as grouped aggregates.
 
 All curve metrics start from ``score_steps``: rows are first counted per (group, score), then
-running totals are taken in two levels (score bucket, then score inside the bucket), so one
-large group is spread over thousands of small windows instead of one sort.
+running totals are taken in two levels (range of scores, then score inside the range), so one
+large group is spread over many windows instead of one sort.
 Rows need ``label`` (0/1) and ``p`` (0..1); ``keys`` are non-null grouping columns.
 """
 
@@ -10,34 +10,37 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BUCKETS = 65536
+from recontact.session import checkpointed
+
 # Log-loss clips at the double machine epsilon (fixed value).
 EPSILON = 2.220446049250313e-16
 
 
-def _bucketed(frame: DataFrame, keys: list[str], value: str, limits: bool) -> DataFrame:
-    """A monotone bucket number per row; by the group's own range when it is not 0..1."""
-    if not limits:
-        return frame.withColumn("bucket", F.floor(F.col(value) * BUCKETS).cast("long"))
-    ends = frame.groupBy(*keys).agg(F.min(value).alias("low_end"), F.max(value).alias("high_end"))
-    width = F.col("high_end") - F.col("low_end")
-    place = F.when(width > 0, F.floor((F.col(value) - F.col("low_end")) / width * BUCKETS)).otherwise(F.lit(0))
-    return frame.join(ends, keys).withColumn("bucket", place.cast("long")).drop("low_end", "high_end")
+def dealt_by_value(counts: DataFrame, keys: list[str], value: str, descending: bool) -> DataFrame:
+    """The rows in even ranges of (group, value), with the number of their range in ``part``.
+
+    The ranges follow the rows and not the values, so scores that all lie close together spread like any others. The
+    dealt rows are checkpointed: every later use sees the same ranges.
+    """
+    way = F.col(value).desc() if descending else F.col(value).asc()
+    return checkpointed(counts.repartitionByRange(*keys, way).withColumn("part", F.spark_partition_id()))
 
 
-def running_totals(counts: DataFrame, keys: list[str], value: str, sums: list[str], descending: bool = True,
-                   own_range: bool = False) -> DataFrame:
-    """Adds ``cum_x`` (inclusive, in value order) and ``all_x`` (group total) for every sum."""
-    placed = _bucketed(counts, keys, value, own_range)
-    way = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    earlier = Window.partitionBy(*keys).orderBy(way("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+def running_totals(counts: DataFrame, keys: list[str], value: str, sums: list[str], descending: bool = True) -> DataFrame:
+    """Adds ``cum_x`` (inclusive, in value order) and ``all_x`` (group total) for every sum; values differ within a group.
+
+    Running sums inside a range of values start at the totals of the group's earlier ranges.
+    """
+    dealt = dealt_by_value(counts, keys, value, descending)
+    earlier = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
-    totals = placed.groupBy(*keys, "bucket").agg(*[F.sum(c).alias(f"part_{c}") for c in sums])
-    offsets = totals.select(*keys, "bucket", *[e for c in sums for e in (
+    totals = dealt.groupBy(*keys, "part").agg(*[F.sum(c).alias(f"part_{c}") for c in sums])
+    offsets = totals.select(*keys, "part", *[e for c in sums for e in (
         F.coalesce(F.sum(f"part_{c}").over(earlier), F.lit(0)).alias(f"before_{c}"),
         F.sum(f"part_{c}").over(whole).alias(f"all_{c}"))])
-    inside = Window.partitionBy(*keys, "bucket").orderBy(way(value)).rowsBetween(Window.unboundedPreceding, 0)
-    joined = placed.join(offsets, [*keys, "bucket"])
+    order = F.col(value).desc() if descending else F.col(value).asc()
+    inside = Window.partitionBy(*keys, "part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = dealt.join(offsets, [*keys, "part"])
     return joined.select(*counts.columns, *[f"all_{c}" for c in sums], *[
         (F.col(f"before_{c}") + F.sum(c).over(inside)).alias(f"cum_{c}") for c in sums])
 
@@ -179,7 +182,7 @@ def error_rows(rows: DataFrame, threshold: str = "threshold") -> DataFrame:
 def exact_quantiles(rows: DataFrame, keys: list[str], value: str, probabilities: dict[str, float]) -> DataFrame:
     """Linearly interpolated quantiles from running counts, without holding a group's values."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-    steps = running_totals(counts, keys, value, ["n"], descending=False, own_range=True)
+    steps = running_totals(counts, keys, value, ["n"], descending=False)
     first = F.col("cum_n") - F.col("n")
 
     def at(rank: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from recontact.functions.timemath import floor_div
 from recontact.operators.clean import PAIR
 from recontact.operators.pointintime import capacity
-from recontact.operators.retrieval import source_times
+from recontact.operators.retrieval import source_times, source_windows
 from recontact.policy import DAY, Policy
 
 
@@ -80,14 +80,13 @@ def dataset_days(contacts: DataFrame) -> DataFrame:
 
 
 def calendar_capacity(unique: DataFrame, policy: Policy) -> DataFrame:
-    """Complete snapshots and purged date capacity per source and window."""
-    times = source_times(unique, policy).select(
-        F.concat_ws("|", "dataset_id", "window_days").alias("line"), (F.col("day") * DAY + policy.offset).alias("timestamp"))
-    counted = capacity(times, "line", policy.fractions)
+    """Complete snapshots and purged date capacity of every source and window, zero for sources too short for one."""
+    line = ["dataset_id", "window_days"]
+    times = source_times(unique, policy).select(*line, (F.col("day") * DAY + policy.offset).alias("timestamp"))
+    counted = source_windows(unique, policy).join(capacity(times, line, policy.fractions), line, "left").na.fill(0)
     enough = F.least("train_times", "validation_times", "test_times") >= 2
     return counted.select(
-        F.split("line", "\\|")[0].alias("dataset_id"), F.split("line", "\\|")[1].cast("int").alias("window_days"),
-        F.col("complete_snapshots").alias("calendar_complete_snapshots"), "train_times", "validation_times", "test_times",
+        *line, F.col("complete_snapshots").alias("calendar_complete_snapshots"), "train_times", "validation_times", "test_times",
         F.when(enough, "date_capacity_only").otherwise("insufficient_days").alias("temporal_status"))
 
 

@@ -36,10 +36,10 @@ def complete_times(spark: SparkSession, span: Span, windows: tuple[int, ...]) ->
             .select("window_days", snapshot_time("day", span.policy).alias("timestamp")))
 
 
-def capacity(times: DataFrame, group: str, fractions: tuple[float, float, float]) -> DataFrame:
+def capacity(times: DataFrame, group: list[str], fractions: tuple[float, float, float]) -> DataFrame:
     """Purged train/validation/test snapshot counts of a timeline, per group."""
-    order = Window.partitionBy(group).orderBy("timestamp")
-    whole = Window.partitionBy(group)
+    order = Window.partitionBy(*group).orderBy("timestamp")
+    whole = Window.partitionBy(*group)
     first_cut, second_cut = F.col("n") * F.lit(fractions[0]), F.col("n") * F.lit(fractions[0] + fractions[1])
     ranked = (times.withColumn("i", F.row_number().over(order) - 1).withColumn("n", F.count("*").over(whole))
               .withColumn("a", first_cut.cast("int")).withColumn("b", second_cut.cast("int")))
@@ -47,7 +47,7 @@ def capacity(times: DataFrame, group: str, fractions: tuple[float, float, float]
     ranked = ranked.withColumn("cut_a", cut("a")).withColumn("cut_b", cut("b"))
     usable = (F.col("a") >= 1) & (F.col("b") > F.col("a")) & (F.col("b") < F.col("n"))
     ends = F.col("timestamp") + DAY
-    return ranked.groupBy(group).agg(
+    return ranked.groupBy(*group).agg(
         F.count("*").alias("complete_snapshots"),
         F.count_if(usable & (F.col("i") < F.col("a")) & (ends < F.col("cut_a"))).alias("train_times"),
         F.count_if(usable & (F.col("i") >= F.col("a")) & (F.col("i") < F.col("b")) & (ends < F.col("cut_b"))).alias("validation_times"),
@@ -64,7 +64,7 @@ def snapshot_capacity(spark: SparkSession, span: Span) -> DataFrame:
                  .where((F.col("timestamp") >= span.start) & (F.col("timestamp") + DAY <= span.end))
                  .select(F.lit(hours).cast("long").alias("interval_hours"), "timestamp"))
         timelines = times if timelines is None else timelines.union(times)
-    return capacity(timelines, "interval_hours", span.policy.fractions)
+    return capacity(timelines, ["interval_hours"], span.policy.fractions)
 
 
 def pair_days(contacts: DataFrame, policy: Policy, extra: tuple[str, ...] = ()) -> DataFrame:

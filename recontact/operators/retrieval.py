@@ -27,6 +27,11 @@ def source_spans(unique: DataFrame, policy: Policy) -> DataFrame:
                        F.floor((F.col("last") - DAY - policy.offset) / DAY).alias("last_day"))
 
 
+def source_windows(unique: DataFrame, policy: Policy) -> DataFrame:
+    """dataset_id, window_days: every source beside every window, whatever its length."""
+    return unique.select("dataset_id").distinct().select("dataset_id", F.explode(F.array(*[F.lit(w) for w in policy.windows])).alias("window_days"))
+
+
 def source_times(unique: DataFrame, policy: Policy) -> DataFrame:
     """dataset_id, window_days, day: snapshots with full history and full horizon."""
     spread = source_spans(unique, policy).withColumn("window_days", F.explode(F.array(*[F.lit(w) for w in policy.windows])))
@@ -168,14 +173,15 @@ def retrieval_aggregate(metrics: DataFrame, policy: Policy) -> DataFrame:
         "evidence_status": F.when(F.col("times_with_positive_pool") < 3, "descriptive_only_insufficient_times").otherwise("descriptive_only")})
 
 
-def retrieval_feasibility(metrics: DataFrame) -> DataFrame:
-    """Complete, non-empty and positive-pool snapshot counts per source and window."""
+def retrieval_feasibility(metrics: DataFrame, unique: DataFrame, policy: Policy) -> DataFrame:
+    """Complete, non-empty and positive-pool snapshot counts of every source and window, zero for sources too short for one."""
     pool = F.col("future_positive_pairs_in_candidate_pool")
-    times = metrics.where((F.col("method") == METHODS[0]) & (F.col("k") == 5))
+    times = metrics.where((F.col("method") == METHODS[0]) & (F.col("k") == min(policy.retrieval_k)))
     counted = times.groupBy("dataset_id", "window_days").agg(
         F.count("*").alias("complete_prediction_times"), F.count_if(F.col("candidate_count") > 0).alias("nonempty_candidate_times"),
         F.count_if(pool > 0).alias("positive_pool_times"))
-    return counted.withColumn("status", F.when(F.col("positive_pool_times") >= 3, "positive_retrieval_ready").otherwise("insufficient_history"))
+    dense = source_windows(unique, policy).join(counted, ["dataset_id", "window_days"], "left").na.fill(0)
+    return dense.withColumn("status", F.when(F.col("positive_pool_times") >= 3, "positive_retrieval_ready").otherwise("insufficient_history"))
 
 
 def pool_sets(scores: DataFrame, unique: DataFrame, policy: Policy) -> DataFrame:

@@ -12,6 +12,7 @@ from recontact.functions.timemath import Span
 from recontact.operators.pointintime import KEY
 from recontact.policy import DAY, Policy
 
+SETS = ("train", "validation", "test", "purged")
 
 
 def training_cohort(labels: DataFrame, bank: DataFrame) -> DataFrame:
@@ -91,16 +92,18 @@ def validation_plan(plan: DataFrame, fraction: float = 0.5) -> DataFrame:
                          .when(F.col("timestamp") >= F.col("cut"), "tuning").otherwise("purged").alias("part"))
 
 
-def _support(counts: DataFrame, keys: list[str]) -> DataFrame:
-    return counts.groupBy(*keys).agg(
-        F.sum("rows").alias("rows"), F.sum("positive").alias("positive"), F.sum("negative").alias("negative"),
-        F.count("*").alias("prediction_times"))
+def _support(plan: DataFrame) -> DataFrame:
+    """One row per set, those without any row included: a global aggregate, turned into rows."""
+    part = lambda name, value: F.coalesce(F.sum(F.when(F.col("split") == name, value)), F.lit(0))
+    sets = F.array(*[F.struct(
+        F.lit(name).alias("split"), *[part(name, F.col(c)).alias(c) for c in ("rows", "positive", "negative")],
+        part(name, F.lit(1)).alias("prediction_times")) for name in SETS])
+    return plan.agg(sets.alias("sets")).select(F.inline("sets"))
 
 
 def split_support(rows: DataFrame, policy: Policy) -> DataFrame:
-    """Rows, classes and times per split with the support gate of each."""
-    times = time_counts(rows)
-    sets = _support(split_plan(times, policy.fractions), ["split"])
+    """Rows, classes and times of every set (zero where it has none) with the support gate of each."""
+    sets = _support(split_plan(time_counts(rows), policy.fractions))
     gate = (F.col("prediction_times") >= policy.min_set_times) & (F.least("positive", "negative") >= policy.min_class_rows)
     return sets.withColumn("supported", gate)
 

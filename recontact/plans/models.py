@@ -14,10 +14,10 @@ from recontact.functions.metrics import best_threshold, binary_metrics, exact_qu
 from recontact.operators.features import BOUNDED_FEATURES
 from recontact.operators.pointintime import KEY
 
-# Defaults of the compared learners (fixed values).
+# Defaults of the compared learners (fixed values). Forests have no limit of depth; 30 is MLlib's own.
 PARAMETERS = {
     "logistic_regression": {"max_iter": 1000},
-    "random_forest": {"trees": 200, "min_leaf": 2, "depth": 10},
+    "random_forest": {"trees": 200, "min_leaf": 2, "depth": 30},
     "boosted_trees": {"trees": 200, "depth": 4, "rate": 0.05},
 }
 

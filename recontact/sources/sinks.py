@@ -2,21 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 
+def _publish(spark: SparkSession, made: str, path: str) -> None:
+    """Put a complete table in its place; an earlier one is removed after that, and put back if the step fails."""
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    target, earlier = place(path), place(f"{made}-earlier")
+    store = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    replaces = store.exists(target)
+    if replaces and not store.rename(target, earlier):
+        raise IOError(f"{path}: the earlier table cannot be set aside")
+    if not store.rename(place(made), target):
+        if replaces:
+            store.rename(earlier, target)
+        raise IOError(f"{path}: the new table cannot be published")
+    if replaces:
+        store.delete(earlier, True)
+
+
 def write_contacts(frame: DataFrame, path: str, day_column: str = "study_day") -> int:
     """Parquet by study day, sorted inside files so that time filters skip row groups.
 
-    The rows are read back and counted before the path is handed on.
+    The rows are computed once, counted while they are written beside the target, and counted again from there; only
+    a complete table takes the target's place, so readers never see part of one and a failure leaves the earlier table. Files follow
+    the volume: large days are split and small ones kept together by the adaptive rebalance.
     """
-    expected = frame.count()
-    (frame.repartition(day_column, F.pmod(F.hash("user_min", "user_max"), F.lit(16)))
-     .sortWithinPartitions("timestamp").write.mode("overwrite").partitionBy(day_column).parquet(path))
-    written = frame.sparkSession.read.parquet(path).count()
+    spark, made, seen = frame.sparkSession, f"{path.rstrip('/')}.made-{uuid.uuid4().hex}", Observation()
+    spread = spark.sql(f"SELECT /*+ REBALANCE(`{day_column}`) */ * FROM {{rows}}", rows=frame.observe(seen, F.count(F.lit(1)).alias("rows")))
+    spread.sortWithinPartitions(day_column, "timestamp").write.partitionBy(day_column).parquet(made)
+    expected, written = seen.get["rows"], spark.read.schema(frame.schema).parquet(made).count()
     if written != expected:
         raise IOError(f"{path}: wrote {written} of {expected} rows")
+    _publish(spark, made, path)
     return written
 
 
