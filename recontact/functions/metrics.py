@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from recontact.session import checkpointed
+from recontact.session import staged
 
 # Log-loss clips at the double machine epsilon (fixed value).
 EPSILON = 2.220446049250313e-16
@@ -20,10 +20,10 @@ def dealt_by_value(counts: DataFrame, keys: list[str], value: str, descending: b
     """The rows in even ranges of (group, value), with the number of their range in ``part``.
 
     The ranges follow the rows and not the values, so scores that all lie close together spread like any others. The
-    dealt rows are checkpointed: every later use sees the same ranges.
+    dealt rows are written: every later use sees the same ranges.
     """
     way = F.col(value).desc() if descending else F.col(value).asc()
-    return checkpointed(counts.repartitionByRange(*keys, way).withColumn("part", F.spark_partition_id()))
+    return staged(counts.repartitionByRange(*keys, way).withColumn("part", F.spark_partition_id()), "score-ranges")
 
 
 def running_totals(counts: DataFrame, keys: list[str], value: str, sums: list[str], descending: bool = True) -> DataFrame:

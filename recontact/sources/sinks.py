@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 
@@ -27,14 +27,15 @@ def _publish(spark: SparkSession, made: str, path: str) -> None:
 def write_contacts(frame: DataFrame, path: str, day_column: str = "study_day") -> int:
     """Parquet by study day, sorted inside files so that time filters skip row groups.
 
-    The rows are computed once, counted while they are written beside the target, and counted again from there; only
+    The rows are counted, written beside the target, and counted again from there (an Observation would make fitted models of the
+    session unserialisable); only
     a complete table takes the target's place, so readers never see part of one and a failure leaves the earlier table. Files follow
     the volume: large days are split and small ones kept together by the adaptive rebalance.
     """
-    spark, made, seen = frame.sparkSession, f"{path.rstrip('/')}.made-{uuid.uuid4().hex}", Observation()
-    spread = spark.sql(f"SELECT /*+ REBALANCE(`{day_column}`) */ * FROM {{rows}}", rows=frame.observe(seen, F.count(F.lit(1)).alias("rows")))
+    spark, made, expected = frame.sparkSession, f"{path.rstrip('/')}.made-{uuid.uuid4().hex}", frame.count()
+    spread = spark.sql(f"SELECT /*+ REBALANCE(`{day_column}`) */ * FROM {{rows}}", rows=frame)
     spread.sortWithinPartitions(day_column, "timestamp").write.partitionBy(day_column).parquet(made)
-    expected, written = seen.get["rows"], spark.read.schema(frame.schema).parquet(made).count()
+    written = spark.read.schema(frame.schema).parquet(made).count()
     if written != expected:
         raise IOError(f"{path}: wrote {written} of {expected} rows")
     _publish(spark, made, path)
