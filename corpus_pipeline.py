@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from recontact.llm import chosenpath, langid, packing, secret_scan, substrings
-from recontact.llm.common import prepare, staged, table, written
+from recontact.llm.common import numbered, prepare, staged, table
 from recontact.llm.queries import tokenizer_path
 
 #: A document is rejected where no language is found or none has the larger part of the posterior.
@@ -29,11 +29,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of near duplicates: the one with the smallest doc_id (null last, then the first row)."""
-    docs = written(docs, "near-duplicate-input")
-    joined = staged(chosenpath.join(docs), "near-duplicates")
+    with_row = numbered(docs, "_row", "near-duplicate-input")
+    joined = staged(chosenpath.join(with_row, row="_row"), "near-duplicates")
     first = joined.groupBy("group_row").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    return numbered.join(first.select(F.col("first.row").alias("_row")), "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return with_row.join(first.select(F.col("first.row").alias("_row")), "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from recontact.llm.common import prepare, staged, written
+from recontact.llm.common import numbered, prepare, staged
 from recontact.llm.windows import WordHasher, mixed
 from recontact.operators.graph import components
 
@@ -245,17 +245,20 @@ def exact_links(groups: DataFrame, texts: DataFrame, threshold: float, shingle:
     return counts, compared.where("other IS NOT NULL").select(F.col("row").alias("a"), F.col("other").alias("b"))
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE, recall: float = RECALL) -> DataFrame:
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE, recall: float = RECALL,
+         row: str | None = None) -> DataFrame:
     """The key column and row (a number of the input row), copy_row, group_row, n_links: one row per input row.
 
     ``copy_row``: smallest row with the same set of word shingles. ``group_row``: smallest row connected by links of exact Jaccard
     similarity >= threshold. ``n_links``: how many other distinct sets are that similar to this row's; copies count once.
     Words are runs of non-blank characters, unchanged; a text of fewer than ``shingle`` words is one shingle.
     Null and blank texts have no shingle and stay alone. Keys may be null or repeated; the text decides.
+    ``row`` names a column of a written table that numbers its rows; without it the rows are numbered and written here.
     """
     spark = docs.sparkSession
     prepare(spark)
-    base = written(docs, "join-input").select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id())
+    columns = [F.col(key).alias("key"), F.col(text).cast("string").alias("text")]
+    base = docs.select(*columns, F.col(row).alias("row")) if row else numbered(docs.select(*columns), "row", "join-input")
     signed = staged(signatures(base, shingle), "signatures")
     # A set that a third of the rows hold is one partial minimum per task.
     copies = signed.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("row").alias("copy_row"))

@@ -12,7 +12,7 @@ BLANK_RUN = r"[\x20\x09-\x0D]+"
 #: Shuffle files of a finished action are not needed again: every reused result is a written table.
 SHORT_LIVED_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-__all__ = ["BLANKS", "blank_free", "ensure_checkpoint_dir", "fold", "input_bytes", "prepare", "staged", "table", "words_of", "written"]
+__all__ = ["BLANKS", "blank_free", "ensure_checkpoint_dir", "fold", "input_bytes", "numbered", "prepare", "staged", "table", "words_of", "written"]
 
 
 def prepare(spark: SparkSession) -> None:
@@ -48,8 +48,16 @@ def input_bytes(frame: DataFrame, column: str) -> int:
 def written(frame: DataFrame, name: str) -> DataFrame:
     """The frame itself if it only reads, filters and selects from files, else a written copy of it.
 
-    Operators that number rows and read them more than once need the same rows in the same order each time.
+    So every job reads the same rows, but not in the same order or splits: numbers need ``numbered``.
     """
     lines = frame._jdf.queryExecution().optimizedPlan().toString().rstrip().split("\n")
     reads = all(line.lstrip(" :+-").startswith(("Project ", "Filter ", "Relation ")) for line in lines)
     return frame if reads else staged(frame, name)
+
+
+def numbered(frame: DataFrame, column: str, name: str) -> DataFrame:
+    """A written copy of the frame with a number of every row.
+
+    How files are split depends on the cores that are there when a job starts, so numbers are given once and read again.
+    """
+    return staged(frame.withColumn(column, F.monotonically_increasing_id()), name)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from recontact.llm import gru
-from recontact.llm.common import prepare, staged, written
+from recontact.llm.common import numbered, prepare, staged
 
 #: Sizes of the network's vocabulary and of its output bins, groups of other words by their last two bytes.
 VOCABULARY, BINS, GROUPS = 480, 24, 32
@@ -215,7 +215,7 @@ def score(docs: DataFrame, trains: str, key: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     prepare(spark)
     flag = F.coalesce(F.expr(trains), F.lit(False))
-    base = written(docs, "lm-input").select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), flag.alias("trains")).withColumn("row", F.monotonically_increasing_id())
+    base = numbered(docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), flag.alias("trains")), "row", "lm-input")
     counts = staged(count_words(base.where("trains").select("text")), "lm-words")
     vocabulary = gather(counts)
     facts = base.select("row", "key", "trains")

@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from recontact.llm.common import ensure_checkpoint_dir, prepare, written
+from recontact.llm.common import ensure_checkpoint_dir, numbered, prepare, written
 
 #: Payloads shorter than this are written as responses even when they repeat.
 LEAST_SHARED = 1000
@@ -38,15 +38,15 @@ def store(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
     Of rows with equal payloads (equal SHA-256 and length) of at least ``LEAST_SHARED`` bytes, the one with the
     largest page_id becomes the response and the others revisit it (a null page_id is smaller than all; of repeated rows with
     one page_id, one is the response). Shorter payloads are all responses.
-    Only keys and digests are shuffled to find the holders, counted before the exchange; a payload's bytes are
-    written by the row that holds them.
+    Only keys and digests are shuffled to find the holders, counted before the exchange; they are numbered in a written
+    table, and the payloads are found by digest and page_id, so no number is worked out twice.
     """
     prepare(pages.sparkSession)
-    rows = records(written(pages, "pages"), key, url, body).withColumn("record", F.monotonically_increasing_id())
+    rows = records(written(pages, "pages"), key, url, body)
+    # Everything but the payloads is numbered and written once.
+    light = numbered(rows.drop("payload"), "record", "records")
     # A digest that a third of the pages share is one partial maximum per task.
-    best = (rows.groupBy("address", "payload_bytes")
-            .agg(F.max(F.struct("page_id", "record")).alias("holder")))
-    light = rows.select("page_id", "record", "url", "address", "payload_bytes", "payload_digest")
+    best = light.groupBy("address", "payload_bytes").agg(F.max(F.struct("page_id", "record")).alias("holder"))
     heads = (light.join(best, ["address", "payload_bytes"])
              .withColumn("holds", F.col("record") == F.col("holder.record"))
              .withColumn("record_type", F.when(F.col("holds") | (F.col("payload_bytes") < LEAST_SHARED), "response").otherwise("revisit"))
@@ -64,9 +64,12 @@ def store(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
         _line("X-Payload-Address", F.concat(F.lit("sha256:"), address)), _line("X-Payload-Length", F.col("payload_bytes").cast("string")),
         _line("Content-Type", "text/html; charset=utf-8"), _line("Content-Length", stored.cast("string")), F.lit(CRLF))
     heads.select("address", "record", header.cast("binary").alias("header")).write.parquet(f"{folder}/headers")
-    # The holder row writes the bytes: it is found by its record number, an exact and never hot key.
-    holders = best.select(F.col("holder.record").alias("record"))
-    rows.select("record", "address", "payload").join(holders, "record", "left_semi").select("address", "payload").write.parquet(f"{folder}/payloads")
+    # A row with the holder's payload and page_id writes the bytes, whatever its number: equal rows become one before the exchange.
+    same = ["address", "payload_bytes", "page"]
+    page = lambda page_id: F.coalesce(page_id.cast("string"), F.lit("")).alias("page")
+    holders = best.select("address", "payload_bytes", page(F.col("holder.page_id")))
+    bodies = rows.select("address", "payload_bytes", page(F.col("page_id")), "payload").dropDuplicates(same)
+    bodies.join(holders, same, "left_semi").select("address", "payload").write.parquet(f"{folder}/payloads")
 
 
 def reconstruct(spark: SparkSession, folder: str) -> DataFrame:
