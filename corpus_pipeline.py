@@ -48,7 +48,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces with their place in sequences of CAPACITY tokens."""
+    """The documents' pieces with their token ids and their place in sequences of CAPACITY tokens."""
     return packing.pack(packing.cut_pieces(docs, tokenizer_path("byte_bpe_50k.json"), CAPACITY, END_ID), CAPACITY)
 
 

@@ -11,13 +11,14 @@ import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from recontact.llm.common import prepare, staged
 
-PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long, ids array<int>"
 #: Fixed value: how byte-level vocabularies of this family cut a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -69,10 +70,10 @@ class Encoder:
 
 
 def cut_pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32: the sequence pieces of every row.
+    """doc_id, piece, start, length, ids_crc32, ids: the sequence pieces of every row with their token ids.
 
     A row of n tokens (end id included) longer than the capacity has its remainder as first piece, full ones after it.
-    Null and empty texts are the end id alone. Repeated rows and null keys are rows like any other.
+    ids_crc32 is of the little-endian 32-bit ids. Null and empty texts are the end id alone. Repeated rows and null keys are rows like any other.
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
@@ -84,17 +85,22 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 rows: list[list] = [[], [], [], [], []]
+                held: list[bytes] = []
                 for ident, ids in zip(part.column(0).to_pylist(), map(encoder.encode, part.column(1).to_pylist()), strict=True):
                     total = len(ids) // 4
+                    held.append(ids)
                     start, piece = 0, 0
                     while start < total:
                         length = (total - start) % capacity or min(capacity, total - start)
                         for column, value in zip(rows, (ident, piece, start, length, zlib.crc32(ids[4 * start:4 * (start + length)])), strict=True):
                             column.append(value)
                         start, piece = start + length, piece + 1
+                # The pieces follow one another in the texts' ids, so these are the lists' values as they are.
+                values = pa.Array.from_buffers(pa.int32(), sum(map(len, held)) // 4, [None, pa.py_buffer(b"".join(held))])
+                lists = pa.ListArray.from_arrays(pa.array([0, *accumulate(rows[3])], pa.int32()), values)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows[0], batch.schema.field(0).type), pa.array(rows[1], pa.int32()), *(pa.array(r, pa.int64()) for r in rows[2:])],
-                    names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                    [pa.array(rows[0], batch.schema.field(0).type), pa.array(rows[1], pa.int32()), *(pa.array(r, pa.int64()) for r in rows[2:]), lists],
+                    names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
 
     return docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, PIECES.format(id=kind))
 

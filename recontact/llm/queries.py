@@ -47,7 +47,7 @@ def op6_content_archive(spark: SparkSession, folder: str) -> DataFrame:
 
 def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.cut_pieces(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"), 1024, 2)
-    return packing.pack(pieces, 1024)
+    return packing.pack(pieces, 1024).drop("ids")
 
 
 def op8_word_first_backoff(spark: SparkSession, folder: str) -> DataFrame:
