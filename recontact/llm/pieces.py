@@ -11,19 +11,20 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from recontact.llm.common import prepare
+from recontact.llm.common import prepare, staged
 
 #: Fixed values of the format: the marker that stands for a blank, kinds of models and of pieces.
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Distinct units whose ids a task remembers, and texts that are encoded together.
-REMEMBERED, BATCH = 300_000, 512
+#: Distinct units whose ids a task remembers, runs whose text it remembers, and texts that are encoded together.
+REMEMBERED, RUNS, BATCH = 300_000, 50_000, 512
 UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -68,9 +69,12 @@ def merged(unit: str, scores: dict[str, float]) -> list[str]:
 
 
 class Backend:
-    """A tokenizers pipeline that encodes and decodes as the SentencePiece model does."""
+    """A tokenizers pipeline that encodes and decodes as the SentencePiece model does.
 
-    def __init__(self, model: bytes):
+    ``encodes`` and ``reads`` false leave out what only encoding needs, and the texts that ``both`` decodes.
+    """
+
+    def __init__(self, model: bytes, encodes: bool = True, reads: bool = True):
         from sentencepiece import sentencepiece_model_pb2
         from tokenizers import AddedToken, Tokenizer, decoders, models, normalizers
 
@@ -85,7 +89,7 @@ class Backend:
             kind = models.Unigram([(p.piece, p.score) for p in parsed.pieces], unk_id=unknown, byte_fallback=trained.byte_fallback)
         elif trained.model_type == BPE:
             self.scores = {p.piece: p.score for p in parsed.pieces if p.type in (NORMAL, USER)}
-            kind = models.BPE(ids, merges_of(self.scores), unk_token=self.pieces[unknown], fuse_unk=True, byte_fallback=trained.byte_fallback)
+            kind = models.BPE(ids, merges_of(self.scores) if encodes else [], unk_token=self.pieces[unknown], fuse_unk=True, byte_fallback=trained.byte_fallback)
         else:
             raise ValueError("only unigram and BPE models can be rebuilt")
         #: Encodes normalised text.
@@ -109,6 +113,12 @@ class Backend:
         joined = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
         self.core.decoder = decoders.Sequence(joined)
         self.known: dict[str, tuple[bytes, str]] = {}
+        self.texts = reads
+        #: Pieces as they read, which of them need no decoder, which are silent, and decoded runs of the others.
+        self.shown = np.array([p.replace(MARK, " ") for p in self.pieces], dtype=object)
+        self.reads = np.array([p.type in (NORMAL, UNUSED) for p in parsed.pieces])
+        self.silent = np.array([self._silent(i) for i in range(len(self.pieces))])
+        self.runs: dict[bytes, str] = {}
 
     def normalise(self, text: str) -> str:
         if not self.plain:
@@ -123,6 +133,9 @@ class Backend:
             # Three equal runs leave at least two signs fewer than places.
             if self.scores and len(unit) - len(set(unit)) >= 2 and PERIODIC.search(unit):
                 ids = self._periodic(unit)
+            if not self.texts:
+                self.known[unit] = (array("I", ids).tobytes(), "")
+                continue
             text = "".join([self.pieces[i] for i in ids])
             # Only bytes, unknown signs and user pieces need the decoder; other pieces read as they are written.
             text = unit.replace(MARK, " ") if text == unit else self.core.decode(ids, skip_special_tokens=False)
@@ -168,38 +181,106 @@ class Backend:
     def _silent(self, i: int) -> bool:
         return self.pieces[i] in ("<s>", "</s>", "<pad>")
 
+    def decoded(self, ids: np.ndarray) -> str:
+        """As ``decode``; runs of pieces that need the decoder (bytes, unknown signs, user pieces) are decoded once a task."""
+        if len(ids) and not 0 <= int(ids.min()) <= int(ids.max()) < len(self.pieces):
+            raise ValueError("an id is not in the model")
+        ids = ids[~self.silent[ids]]
+        special = np.flatnonzero(~self.reads[ids])
+        out, at = [], 0
+        for run in np.split(special, np.flatnonzero(np.diff(special) > 1) + 1) if len(special) else []:
+            out += self.shown[ids[at:run[0]]].tolist()
+            at = run[-1] + 1
+            values = ids[run[0]:at]
+            name = values.tobytes()
+            if name not in self.runs:
+                if len(self.runs) > RUNS:
+                    self.runs.clear()
+                self.runs[name] = self.core.decode(values.tolist(), skip_special_tokens=False)
+            out.append(self.runs[name])
+        text = "".join(out + self.shown[ids[at:]].tolist())
+        return text[1:] if self.prefix and text[:1] == " " else text
 
-def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", verify: int = 100) -> DataFrame:
-    """doc_id, n_ids, ids_crc32, n_bytes (byte-fallback ids), decoded_crc32, round_trip, parity.
 
-    ids_crc32 and decoded_crc32 are of the little-endian 32-bit ids and of the decoded UTF-8 text. ``round_trip``: decoding gives
-    the text back (false where the normaliser changes it). ``parity``: for keys divisible by ``verify``, whether the sentencepiece
-    library itself gives the same ids; null elsewhere. One row per input row; null text counts as empty, a null
-    key stays null. The model file is read on the driver and travels with the job.
+def _lists(values: bytes, lengths: list[int]) -> pa.ListArray:
+    flat = pa.Array.from_buffers(pa.int32(), len(values) // 4, [None, pa.py_buffer(values)])
+    return pa.ListArray.from_arrays(pa.array([0, *accumulate(lengths)], pa.int32()), flat)
+
+
+def _model(path: str) -> bytes:
+    """The model file, read on the driver; it travels with the job."""
+    with open(path, "rb") as file:
+        return file.read()
+
+
+def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", verify: int = 100) -> DataFrame:
+    """doc_id, text, ids, parity: one row per input row; null text counts as empty, a null key stays null.
+
+    ``parity``: for keys divisible by ``verify``, whether the sentencepiece library itself gives the same ids; null elsewhere.
     """
     prepare(docs.sparkSession)
-    with open(path, "rb") as file:
-        model = file.read()
-    kind = docs.schema[key].dataType.simpleString()
+    model = _model(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sentencepiece
-        backend = Backend(model)
+        backend = Backend(model, reads=False)
         library = sentencepiece.SentencePieceProcessor(model_proto=model)
-        byte_ids = np.array([bool(re.fullmatch(r"<0x[0-9A-F]{2}>", p)) for p in backend.pieces])
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH)
                 keys, texts = part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
-                rows: list[list] = [[] for _ in range(6)]
-                for ident, value, (raw, back) in zip(keys, texts, backend.both(texts), strict=True):
-                    ids = np.frombuffer(raw, dtype="<u4")
-                    same = ids.tolist() == library.encode(value) if ident is not None and ident % verify == 0 else None
-                    for column, item in zip(rows, (len(ids), zlib.crc32(raw), int(byte_ids[ids].sum()), zlib.crc32(back.encode()), back == value, same), strict=True):
-                        column.append(item)
-                kinds = [pa.int64()] * 4 + [pa.bool_()] * 2
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(r, k) for r, k in zip(rows, kinds, strict=True))],
-                                                 names=["doc_id", "n_ids", "ids_crc32", "n_bytes", "decoded_crc32", "round_trip", "parity"])
+                found = [raw for raw, _ in backend.both(texts)]
+                same = [np.frombuffer(raw, "<u4").tolist() == library.encode(value) if ident is not None and ident % verify == 0 else None
+                        for ident, value, raw in zip(keys, texts, found, strict=True)]
+                ids = _lists(b"".join(found), [len(raw) // 4 for raw in found])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), ids, pa.array(same, pa.bool_())], names=["doc_id", "text", "ids", "parity"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return (docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
+            .mapInArrow(run, f"doc_id {kind}, text string, ids array<int>, parity boolean"))
+
 
+def decode(rows: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
+    """The rows with the text that a column of ids stands for; null ids give null, an id beyond the model is refused."""
+    prepare(rows.sparkSession)
+    model = _model(path)
+    place = rows.columns.index(ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        backend = Backend(model, encodes=False)
+        for batch in batches:
+            column = batch.column(place)
+            values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+            texts = [backend.decoded(values[a:b]) if there else None
+                     for a, b, there in zip(ends[:-1], ends[1:], column.is_valid().to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, into])
+
+    return rows.mapInArrow(run, rows.withColumn(into, F.lit(None).cast("string")).schema)
+
+
+def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", verify: int = 100) -> DataFrame:
+    """Digests of what ``encode`` and ``decode`` give: doc_id, n_ids, ids_crc32, n_bytes (byte-fallback ids), decoded_crc32, round_trip, parity.
+
+    ids_crc32 and decoded_crc32 are of the little-endian 32-bit ids and of the decoded UTF-8 text. ``round_trip``: decoding gives
+    the text back (false where the normaliser changes it).
+    """
+    byte_ids = np.array([bool(re.fullmatch(r"<0x[0-9A-F]{2}>", p)) for p in Backend(_model(path)).pieces])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(1)
+            values, ends = column.values.to_numpy(zero_copy_only=False).astype("<u4"), column.offsets.to_numpy()
+            spans = list(zip(ends[:-1], ends[1:], strict=True))
+            crcs = pa.array([zlib.crc32(values[a:b].tobytes()) for a, b in spans], pa.int64())
+            n_bytes = pa.array([int(byte_ids[values[a:b]].sum()) for a, b in spans], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends), pa.int64()), crcs, n_bytes, *batch.columns[2:]],
+                                             names=["doc_id", "n_ids", "ids_crc32", "n_bytes", "decoded_crc32", "round_trip", "parity"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    # Written between the two, so that no executor holds the workers of both; the text is compared by its SHA-256.
+    given = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("given")
+    encoded = staged(encode(docs, path, key, text, verify).select("doc_id", "ids", given, "parity"), "piece-ids")
+    light = decode(encoded, path).select("doc_id", "ids", F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"),
+                                         (F.sha2(F.col("decoded").cast("binary"), 256) == F.col("given")).alias("round_trip"), "parity")
     schema = f"doc_id {kind}, n_ids long, ids_crc32 long, n_bytes long, decoded_crc32 long, round_trip boolean, parity boolean"
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+    return light.mapInArrow(run, schema)
