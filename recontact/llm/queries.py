@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recontact.llm import chosenpath, chroma, langid, lmscore, packing, pieces, rules, secret_scan, substrings, warc
+from recontact.llm import chosenpath, chroma, langid, lmscore, merkle, packing, pieces, rules, secret_scan, substrings, warc
 from recontact.llm.common import fold, prepare, table
+from recontact.llm.oracles import ORACLES
 
 #: Place of the public tokenizer files; a parameter of the operators.
 def tokenizer_path(name: str) -> str:
@@ -70,6 +71,13 @@ def op10_markov_secrets(spark: SparkSession, folder: str) -> DataFrame:
                         secret_scan.listed(F.col("found")).alias("spans"), count(3).alias("n_random"))
 
 
+def op11_bitmap_rank_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    proofs = merkle.manifest(merkle.leaves(table(spark, folder, "documents")))
+    shown = merkle.folded(F.coalesce("tampered", "leaf"), F.col("path"))
+    out = proofs.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), shown.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chroma_prints": op1_chroma_prints,
     "op2_chosen_path_join": op2_chosen_path_join,
@@ -81,5 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_word_first_backoff": op8_word_first_backoff,
     "op9_piece_backend": op9_piece_backend,
     "op10_markov_secrets": op10_markov_secrets,
+    "op11_bitmap_rank_manifest": op11_bitmap_rank_manifest,
 }
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]
