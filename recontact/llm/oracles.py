@@ -44,4 +44,28 @@ SELECT doc_id, leaf, subroot, root, sha256(array_to_string([e[2:] FOR e IN path]
 FROM done
 """
 
-ORACLES: dict[str, str] = {"op11_bitmap_rank_manifest": MERKLE}
+_GRAMS = " UNION ALL ".join(f"SELECT lang, unnest([w[i:i + {k - 1}] FOR i IN range(1, len(w) - {k - 2})]) AS p FROM words" for k in (1, 2, 3))
+
+COLLOCATIONS = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+f AS (SELECT lang, p, count(*) AS f FROM ({_GRAMS}) GROUP BY lang, p),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE len(p) = 1 GROUP BY lang),
+candidates AS (SELECT * FROM f WHERE len(p) >= 2 AND f >= 10),
+cuts AS (
+  SELECT c.lang, c.p, c.f AS a, x.f AS l, y.f AS r, k.k, (1000000::HUGEINT * c.f * c.f // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM candidates c JOIN (VALUES (1), (2)) k(k) ON k.k < len(c.p)
+  JOIN f x ON x.lang = c.lang AND x.p = c.p[:k.k] JOIN f y ON y.lang = c.lang AND y.p = c.p[k.k + 1:]),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+longer AS (
+  SELECT lang, p, max(f) AS f FROM (SELECT lang, p[:2] AS p, f FROM candidates WHERE len(p) = 3 UNION ALL SELECT lang, p[2:] AS p, f FROM candidates WHERE len(p) = 3)
+  GROUP BY lang, p),
+kept AS (
+  SELECT b.*, array_to_string(b.p, ' ') AS phrase FROM best b LEFT JOIN longer g ON g.lang = b.lang AND g.p = b.p AND 100 * g.f >= 50 * b.a WHERE g.f IS NULL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+ORACLES: dict[str, str] = {"op11_bitmap_rank_manifest": MERKLE, "op12_branch_bound_collocations": COLLOCATIONS}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recontact.llm import chosenpath, chroma, langid, lmscore, merkle, packing, pieces, rules, secret_scan, substrings, warc
+from recontact.llm import chosenpath, chroma, collocations, langid, lmscore, merkle, packing, pieces, rules, secret_scan, substrings, warc
 from recontact.llm.common import fold, prepare, table
 from recontact.llm.oracles import ORACLES
 
@@ -78,6 +78,10 @@ def op11_bitmap_rank_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_branch_bound_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.mine(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chroma_prints": op1_chroma_prints,
     "op2_chosen_path_join": op2_chosen_path_join,
@@ -90,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_piece_backend": op9_piece_backend,
     "op10_markov_secrets": op10_markov_secrets,
     "op11_bitmap_rank_manifest": op11_bitmap_rank_manifest,
+    "op12_branch_bound_collocations": op12_branch_bound_collocations,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
