@@ -44,27 +44,31 @@ SELECT doc_id, leaf, subroot, root, sha256(array_to_string([e[2:] FOR e IN path]
 FROM done
 """
 
-_GRAMS = " UNION ALL ".join(f"SELECT lang, unnest([w[i:i + {k - 1}] FOR i IN range(1, len(w) - {k - 2})]) AS p FROM words" for k in (1, 2, 3))
-
-COLLOCATIONS = rf"""
+COLLOCATIONS = r"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang,
     unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
 words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
-f AS (SELECT lang, p, count(*) AS f FROM ({_GRAMS}) GROUP BY lang, p),
-totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE len(p) = 1 GROUP BY lang),
-candidates AS (SELECT * FROM f WHERE len(p) >= 2 AND f >= 10),
+runs AS (SELECT lang, unnest(list_zip(w, w[2:], w[3:])) AS g FROM words),
+grams AS MATERIALIZED (SELECT lang, g[1] AS w1, g[2] AS w2, g[3] AS w3 FROM runs),
+f1 AS MATERIALIZED (SELECT lang, w1, count(*) AS f FROM grams GROUP BY ALL),
+f2 AS MATERIALIZED (SELECT lang, w1, w2, count(*) AS f FROM grams WHERE w2 IS NOT NULL GROUP BY ALL),
+f3 AS MATERIALIZED (SELECT lang, w1, w2, w3, count(*) AS f FROM grams WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY lang),
 cuts AS (
-  SELECT c.lang, c.p, c.f AS a, x.f AS l, y.f AS r, k.k, (1000000::HUGEINT * c.f * c.f // (x.f::HUGEINT * y.f))::BIGINT AS score
-  FROM candidates c JOIN (VALUES (1), (2)) k(k) ON k.k < len(c.p)
-  JOIN f x ON x.lang = c.lang AND x.p = c.p[:k.k] JOIN f y ON y.lang = c.lang AND y.p = c.p[k.k + 1:]),
-best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
-longer AS (
-  SELECT lang, p, max(f) AS f FROM (SELECT lang, p[:2] AS p, f FROM candidates WHERE len(p) = 3 UNION ALL SELECT lang, p[2:] AS p, f FROM candidates WHERE len(p) = 3)
-  GROUP BY lang, p),
-kept AS (
-  SELECT b.*, array_to_string(b.p, ' ') AS phrase FROM best b LEFT JOIN longer g ON g.lang = b.lang AND g.p = b.p AND 100 * g.f >= 50 * b.a WHERE g.f IS NULL),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+  SELECT c.lang, c.w1 || ' ' || c.w2 AS phrase, c.f AS a, x.f AS l, y.f AS r, 1 AS k
+  FROM f2 c JOIN f1 x ON x.lang = c.lang AND x.w1 = c.w1 JOIN f1 y ON y.lang = c.lang AND y.w1 = c.w2 WHERE c.f >= 10
+    AND NOT EXISTS (FROM f3 g WHERE g.lang = c.lang AND g.w1 = c.w1 AND g.w2 = c.w2 AND 100 * g.f >= 50 * c.f)
+    AND NOT EXISTS (FROM f3 g WHERE g.lang = c.lang AND g.w2 = c.w1 AND g.w3 = c.w2 AND 100 * g.f >= 50 * c.f)
+  UNION ALL
+  SELECT c.lang, c.w1 || ' ' || c.w2 || ' ' || c.w3, c.f, x.f, y.f, 1
+  FROM f3 c JOIN f1 x ON x.lang = c.lang AND x.w1 = c.w1 JOIN f2 y ON y.lang = c.lang AND y.w1 = c.w2 AND y.w2 = c.w3
+  UNION ALL
+  SELECT c.lang, c.w1 || ' ' || c.w2 || ' ' || c.w3, c.f, x.f, y.f, 2
+  FROM f3 c JOIN f2 x ON x.lang = c.lang AND x.w1 = c.w1 AND x.w2 = c.w2 JOIN f1 y ON y.lang = c.lang AND y.w1 = c.w3),
+scored AS (SELECT *, (1000000::HUGEINT * a * a // (l::HUGEINT * r))::BIGINT AS score FROM cuts),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
 """
 
