@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recontact.llm import chosenpath, chroma, collocations, langid, lmscore, merkle, packing, pieces, rules, secret_scan, substrings, warc
+from recontact.llm import chosenpath, chroma, collocations, langid, lmscore, merkle, packing, pieces, pii, rules, secret_scan, substrings, warc
 from recontact.llm.common import fold, prepare, table
 from recontact.llm.oracles import ORACLES
 
@@ -82,6 +82,14 @@ def op12_branch_bound_collocations(spark: SparkSession, folder: str) -> DataFram
     return collocations.mine(table(spark, folder, "documents"))
 
 
+def op13_boosted_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = pii.scan(docs, pii.train(docs), keep=["doc_id"])
+    counts = [F.size(pii.of_kinds(F.col("found"), range(i, i + 1))).cast("long").alias(f"n_{kind}") for i, kind in enumerate(pii.BASE)]
+    base = pii.listed(pii.of_kinds(F.col("found"), range(len(pii.BASE))))
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), pii.listed(F.col("found")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chroma_prints": op1_chroma_prints,
     "op2_chosen_path_join": op2_chosen_path_join,
@@ -95,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_markov_secrets": op10_markov_secrets,
     "op11_bitmap_rank_manifest": op11_bitmap_rank_manifest,
     "op12_branch_bound_collocations": op12_branch_bound_collocations,
+    "op13_boosted_candidates": op13_boosted_candidates,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
