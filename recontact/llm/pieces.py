@@ -23,8 +23,8 @@ from recontact.llm.common import prepare, staged
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Distinct units whose ids a task remembers, runs whose text it remembers, and texts that are encoded together.
-REMEMBERED, RUNS, BATCH = 300_000, 50_000, 512
+#: Bytes of units and ids that a task remembers, runs whose text it remembers, texts and new units that are encoded together.
+REMEMBERED, RUNS, BATCH, UNITS_AT_ONCE = 24 << 20, 20_000, 256, 1_000
 UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -112,8 +112,12 @@ class Backend:
         self.plain = spec.escape_whitespaces and not spec.precompiled_charsmap and not spec.remove_extra_whitespaces
         joined = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
         self.core.decoder = decoders.Sequence(joined)
-        self.known: dict[str, tuple[bytes, str]] = {}
+        #: Unit -> (ids, text, whether the library agrees), and about how many bytes they take.
+        self.known: dict[str, tuple[bytes, str, bool]] = {}
+        self.held = 0
         self.texts = reads
+        #: The library itself, where units are to be compared with it.
+        self.library = None
         #: Pieces as they read, which of them need no decoder, which are silent, and decoded runs of the others.
         self.shown = np.array([p.replace(MARK, " ") for p in self.pieces], dtype=object)
         self.reads = np.array([p.type in (NORMAL, UNUSED) for p in parsed.pieces])
@@ -127,19 +131,23 @@ class Backend:
         return MARK + marked if self.prefix and text else marked
 
     def _learn(self, units: list[str]) -> None:
-        """Ids and decoded text of new units, in one batch that the library spreads over its threads."""
-        found = [e.ids for e in self.core.encode_batch(units, add_special_tokens=False)]
-        for unit, ids in zip(units, found, strict=True):
+        """Ids and decoded text of new units, in batches that the tokenizers library spreads over its threads."""
+        for at in range(0, len(units), UNITS_AT_ONCE):
+            part = units[at:at + UNITS_AT_ONCE]
+            found = [e.ids for e in self.core.encode_batch_fast(part, add_special_tokens=False)]
             # Three equal runs leave at least two signs fewer than places.
-            if self.scores and len(unit) - len(set(unit)) >= 2 and PERIODIC.search(unit):
-                ids = self._periodic(unit)
-            if not self.texts:
-                self.known[unit] = (array("I", ids).tobytes(), "")
-                continue
-            text = "".join([self.pieces[i] for i in ids])
-            # Only bytes, unknown signs and user pieces need the decoder; other pieces read as they are written.
-            text = unit.replace(MARK, " ") if text == unit else self.core.decode(ids, skip_special_tokens=False)
-            self.known[unit] = (array("I", ids).tobytes(), text)
+            found = [self._periodic(unit) if self.scores and len(unit) - len(set(unit)) >= 2 and PERIODIC.search(unit) else ids for unit, ids in zip(part, found, strict=True)]
+            agrees = [True] * len(part) if self.library is None else [ids == own for ids, own in zip(found, self.library.encode([self._plain(u) for u in part], num_threads=1), strict=True)]
+            for unit, ids, same in zip(part, found, agrees, strict=True):
+                text = "".join([self.pieces[i] for i in ids]) if self.texts else ""
+                # Only bytes, unknown signs and user pieces need the decoder; other pieces read as they are written.
+                text = unit.replace(MARK, " ") if text == unit else self.core.decode(ids, skip_special_tokens=False) if self.texts else ""
+                self.known[unit] = (array("I", ids).tobytes(), text, same)
+                self.held += 250 + 3 * len(unit) + 4 * len(ids)
+
+    def _plain(self, unit: str) -> str:
+        """The text that the model's own normaliser turns into the unit."""
+        return (unit.removeprefix(MARK) if self.prefix else unit).replace(MARK, " ")
 
     def _periodic(self, unit: str) -> list[int]:
         out: list[int] = []
@@ -152,10 +160,11 @@ class Backend:
                 out.append(self.unknown)
         return out
 
-    def both(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
-        """(little-endian unsigned 32-bit ids, text decoded from them) of every text; null counts as empty."""
-        if len(self.known) > REMEMBERED:
+    def both(self, texts: list[str | None]) -> list[tuple[bytes, str, bool]]:
+        """(little-endian unsigned 32-bit ids, text decoded from them, whether the library agrees on every unit) of every text; null counts as empty."""
+        if self.held > REMEMBERED:
             self.known.clear()
+            self.held = 0
         rows = []
         for text in texts:
             normal = self.normalise(text or "")
@@ -167,7 +176,7 @@ class Backend:
         for units in rows:
             found = [self.known[unit] for unit in units]
             text = "".join([f[1] for f in found])
-            out.append((b"".join([f[0] for f in found]), text[1:] if self.prefix and text[:1] == " " else text))
+            out.append((b"".join([f[0] for f in found]), text[1:] if self.prefix and text[:1] == " " else text, all([f[2] for f in found])))
         return out
 
     def encode(self, text: str | None) -> list[int]:
@@ -213,31 +222,38 @@ def _model(path: str) -> bytes:
         return file.read()
 
 
-def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", verify: int = 100) -> DataFrame:
-    """doc_id, text, ids, parity: one row per input row; null text counts as empty, a null key stays null.
+def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", verify: int = 100, keep: tuple[str, ...] = ("text",)) -> DataFrame:
+    """doc_id, the columns ``keep``, ids, parity: one row per input row; null text counts as empty, a null key stays null, keys are of any type.
 
-    ``parity``: for keys divisible by ``verify``, whether the sentencepiece library itself gives the same ids; null elsewhere.
+    ``parity``: whether the sentencepiece library gives the same ids. Every distinct unit is compared once when a task learns it (no
+    piece crosses units); texts whose crc32 ``verify`` divides, and all texts of models that are not cut into units, are compared whole.
     """
     prepare(docs.sparkSession)
     model = _model(path)
+    given = docs.select(F.col(f"`{key}`").alias("doc_id"), *[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("_text"))
+    names = given.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sentencepiece
         backend = Backend(model, reads=False)
         library = sentencepiece.SentencePieceProcessor(model_proto=model)
+        # Units can be given to the library only where its normaliser leaves them as they are.
+        backend.library = library if backend.plain and backend.cuts else None
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH)
-                keys, texts = part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
-                found = [raw for raw, _ in backend.both(texts)]
-                same = [np.frombuffer(raw, "<u4").tolist() == library.encode(value) if ident is not None and ident % verify == 0 else None
-                        for ident, value, raw in zip(keys, texts, found, strict=True)]
+                texts = [t or "" for t in part.column(len(names)).to_pylist()]
+                found, same = [], []
+                for value, (raw, _, agrees) in zip(texts, backend.both(texts), strict=True):
+                    if backend.library is None or zlib.crc32(value.encode()) % verify == 0:
+                        agrees = np.frombuffer(raw, "<u4").tolist() == library.encode(value)
+                    found.append(raw)
+                    same.append(agrees)
                 ids = _lists(b"".join(found), [len(raw) // 4 for raw in found])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), ids, pa.array(same, pa.bool_())], names=["doc_id", "text", "ids", "parity"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids, pa.array(same, pa.bool_())], names=[*names, "ids", "parity"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return (docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
-            .mapInArrow(run, f"doc_id {kind}, text string, ids array<int>, parity boolean"))
+    kinds = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1])
+    return given.mapInArrow(run, f"{kinds}, ids array<int>, parity boolean")
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -249,11 +265,13 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", into: str = "decoded")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         backend = Backend(model, encodes=False)
         for batch in batches:
-            column = batch.column(place)
-            values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-            texts = [backend.decoded(values[a:b]) if there else None
-                     for a, b, there in zip(ends[:-1], ends[1:], column.is_valid().to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, into])
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
+                column = part.column(place)
+                values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+                texts = [backend.decoded(values[a:b]) if there else None
+                         for a, b, there in zip(ends[:-1], ends[1:], column.is_valid().to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, into])
 
     return rows.mapInArrow(run, rows.withColumn(into, F.lit(None).cast("string")).schema)
 
@@ -278,8 +296,9 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
 
     kind = docs.schema[key].dataType.simpleString()
     # Written between the two, so that no executor holds the workers of both; the text is compared by its SHA-256.
-    given = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("given")
-    encoded = staged(encode(docs, path, key, text, verify).select("doc_id", "ids", given, "parity"), "piece-ids")
+    given = F.sha2(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary"), 256).alias("given")
+    hashed = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), given)
+    encoded = staged(encode(hashed, path, "doc_id", "text", verify, ("given",)), "piece-ids")
     light = decode(encoded, path).select("doc_id", "ids", F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"),
                                          (F.sha2(F.col("decoded").cast("binary"), 256) == F.col("given")).alias("round_trip"), "parity")
     schema = f"doc_id {kind}, n_ids long, ids_crc32 long, n_bytes long, decoded_crc32 long, round_trip boolean, parity boolean"

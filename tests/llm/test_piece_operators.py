@@ -34,3 +34,21 @@ def test_ids_beyond_the_model_are_refused():
     for bad in (-1, len(backend.pieces)):
         with pytest.raises(ValueError):
             backend.decoded(np.array([5, bad]))
+
+
+def test_string_keys_and_every_unit_is_compared(spark, documents, monkeypatch):
+    monkeypatch.setattr(pieces, "REMEMBERED", 20_000)
+    monkeypatch.setattr(pieces, "UNITS_AT_ONCE", 7)
+    library = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    docs = documents.selectExpr("concat('k', doc_id) as doc_id", "text")
+    rows = pieces.encode(docs, PATH).collect()
+    assert len(rows) == docs.count() and all(r.parity and list(r.ids) == library.encode(r.text) for r in rows)
+    assert all(r.round_trip and r.parity for r in pieces.encode_documents(docs, PATH).collect())
+
+
+def test_a_wrong_unit_is_reported():
+    backend = pieces.Backend(open(PATH, "rb").read())
+    backend.library = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    assert all(same for *_, same in backend.both(["the text  here", " é ▁ 😀", ""]))
+    backend.library = type("Other", (), {"encode": staticmethod(lambda units, num_threads: [[1] for _ in units])})
+    assert [same for *_, same in backend.both(["quite another sentence", ""])] == [False, True]
