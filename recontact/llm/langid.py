@@ -3,14 +3,20 @@
 Training counts words per language over all labelled texts; n-grams are counted over those words with their
 counts as weights. A known word is scored by its log frequency in each language. An unseen one by the
 longest n-grams of it that the model knows, from five characters down to one.
+
+Every counted word is known, whatever the corpus holds: tasks score the most frequent ones from a table of bounded size, the others
+are looked up by joining the texts' rare words with the written counts.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -18,14 +24,36 @@ from pyspark.sql import DataFrame, functions as F
 
 from recontact.llm.common import prepare, staged
 
-#: A word is a run of letters; runs beyond 64 letters are several words, so no text grows a long key.
-WORD = re.compile(r"[^\W\d_]{1,64}")
+
+def _class_of(kinds: str, first: int, last: int) -> str:
+    """A character class of all characters whose Unicode category begins with one of the letters."""
+    inside = (c for c in range(first, last + 1) if unicodedata.category(chr(c))[0] in kinds)
+    runs = [[c for _, c in run] for _, run in groupby(enumerate(inside), lambda pair: pair[1] - pair[0])]
+    return "".join(f"\\U{run[0]:08x}-\\U{run[-1]:08x}" for run in runs)
+
+
+def _word_pattern(last: int) -> re.Pattern:
+    return re.compile(f"[{_class_of('L', 0, last)}][{_class_of('LM', 0, last)}]{{0,63}}")
+
+
+#: A word is a letter and the letters and combining marks behind it; runs beyond 64 are several words, so no text grows a long key.
+#: The shorter class does for texts without characters beyond the basic plane.
+BASIC, WORD = _word_pattern(0xFFFF), _word_pattern(sys.maxunicode)
 UNDETERMINED = "und"
 ORDERS = (5, 4, 3, 2, 1)
-#: Bounds of the model: the most frequent words and n-grams (per order) of each language.
+#: Sizes of what every task holds: the most frequent words and n-grams (per order) of each language. Words beyond them are joined.
 MAX_WORDS, MAX_GRAMS = 40_000, 10_000
+#: Languages are a code set; more are refused.
+MAX_LANGS = 500
 #: Distinct entries that a counting task holds before it hands them on, and unseen words a scoring task remembers.
 HELD = 200_000
+#: Sums of joined words are whole numbers of this part of a log unit, so they do not depend on the order of rows.
+UNIT = 1e-9
+
+
+def words_in(text: str) -> list[str]:
+    low = text.lower()
+    return (BASIC if low.isascii() or len(low.encode("utf-16-le", "surrogatepass")) == 2 * len(low) else WORD).findall(low)
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -43,6 +71,9 @@ class Model:
     word_scores: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
     grams: dict[str, int] = field(default_factory=dict)
     gram_scores: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    #: word, n0, n1, ...: the counts of all words, and the denominators of their frequencies.
+    counts: DataFrame | None = None
+    below: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     def __post_init__(self):
         self.memory: dict[str, np.ndarray | None] = {}
@@ -62,12 +93,12 @@ class Model:
         return self.memory[word]
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        """Language and its posterior among the learned ones.
+        """Language and its posterior among the learned ones, by the words and n-grams in memory alone (all, for a small corpus).
 
         ``und`` and 0.0 where the text is null or has no letter, or nothing was learned. A text whose letters are
         all unknown gives every language the same score; ties go to the first name in order.
         """
-        counts = Counter(WORD.findall((text or "").lower()))
+        counts = Counter(words_in(text or ""))
         if not counts or not self.langs:
             return UNDETERMINED, 0.0
         rows, times, total = [], [], np.zeros(len(self.langs))
@@ -102,7 +133,7 @@ def count_words(labelled: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    held.setdefault(lang, Counter()).update(WORD.findall(text.lower()))
+                    held.setdefault(lang, Counter()).update(words_in(text))
                 if sum(map(len, held.values())) >= HELD:
                     yield handed()
         yield handed()
@@ -135,6 +166,13 @@ def count_grams(words: DataFrame) -> DataFrame:
     return words.select("lang", "word", "n").mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def _below(totals: dict, order: int, langs: list[str]) -> np.ndarray:
+    """Denominators of the smoothed frequencies of an order: all counts and half of one more than the most distinct entries of a language."""
+    n = np.array([totals.get((lang, order), (0, 0))[0] for lang in langs], dtype=float)
+    kinds = max((totals.get((lang, order), (0, 0))[1] for lang in langs), default=1)
+    return n + 0.5 * (kinds + 1)
+
+
 def _frequencies(found: pa.Table, totals: dict, langs: list[str]) -> tuple[dict[str, int], np.ndarray]:
     """Places of the items, and the log of their smoothed relative frequency; ``totals``: (lang, order) -> all counts and distinct entries."""
     places = {item: place for place, item in enumerate(found.column("item").to_pylist())}
@@ -142,70 +180,151 @@ def _frequencies(found: pa.Table, totals: dict, langs: list[str]) -> tuple[dict[
     counts = np.column_stack([found.column(f"n{i}").to_numpy() for i in range(len(langs))]).astype(float)
     out = np.zeros_like(counts)
     for order in set(orders.tolist()):
-        n = np.array([totals.get((lang, order), (0, 0))[0] for lang in langs], dtype=float)
-        kinds = max((totals.get((lang, order), (0, 0))[1] for lang in langs), default=1)
         at = orders == order
-        out[at] = np.log((counts[at] + 0.5) / (n + 0.5 * (kinds + 1)))
+        out[at] = np.log((counts[at] + 0.5) / _below(totals, order, langs))
     return places, out
 
 
+def _wide(counted: DataFrame, langs: list[str], *keys: str) -> DataFrame:
+    """The keys, n0, n1, ...: an item's counts in every language."""
+    return counted.groupBy(*keys).agg(*[F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, lang in enumerate(langs)])
+
+
 def _most_frequent(counted: DataFrame, size, bound: int, langs: list[str]) -> tuple[pa.Table, dict]:
-    """item, size, n0, n1, ... (its counts in every language) of the most frequent items per language and order; totals over all items.
+    """item, size, n0, n1, ... (its counts in every language) of about ``bound`` most frequent items per language and order; totals over all items.
 
-    Counts are cut at whole sixteenths of an octave, as many from the top as the bound allows: nothing is sorted, no task gets a
-    language's items whole, and the driver gets at most ``bound`` items per language and order, whatever the corpus holds.
+    Counts are cut at whole sixteenths of an octave; of the step that crosses the bound the items with the lowest hashes fill what is
+    left. Nothing is sorted, no task gets a language's items whole, and what the driver gets does not grow with the corpus.
     """
     sized = counted.withColumn("size", size)
     totals = {(r.lang, r.size): (r.n, r.kinds) for r in sized.groupBy("lang", "size").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect()}
     step = F.floor(F.log2("n") * 16).cast("int")
-    room, least = dict.fromkeys(totals, bound), {}
+    room, edges = dict.fromkeys(totals, bound), {}
     for r in sorted(sized.groupBy("lang", "size", step.alias("step")).agg(F.count("*").alias("items")).collect(), key=lambda r: -r.step):
-        room[r.lang, r.size] -= r.items
-        if room[r.lang, r.size] >= 0:
-            least[r.lang, r.size] = r.step
+        left = room[r.lang, r.size]
+        if left > 0:
+            edges[r.lang, r.size] = (r.step, min(1.0, left / r.items))
+        room[r.lang, r.size] = left - r.items
     # One row per language and order.
-    cuts = F.broadcast(counted.sparkSession.createDataFrame([(*k, v) for k, v in least.items()], "lang string, size int, least int"))
-    chosen = sized.join(cuts, ["lang", "size"]).where(step >= F.col("least")).select("item").distinct()
-    own = [F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, lang in enumerate(langs)]
-    return sized.join(chosen, "item", "left_semi").groupBy("item", "size").agg(*own).toArrow(), totals
+    cuts = F.broadcast(counted.sparkSession.createDataFrame([(*k, *v) for k, v in edges.items()], "lang string, size int, edge int, share double"))
+    low = F.pmod(F.xxhash64("item"), F.lit(1 << 20)) < F.col("share") * (1 << 20)
+    chosen = sized.join(cuts, ["lang", "size"]).where((step > F.col("edge")) | ((step == F.col("edge")) & low)).select("item").distinct()
+    return _wide(sized.join(chosen, "item", "left_semi"), langs, "item", "size").toArrow(), totals
 
 
 def train(labelled: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
     """Fit on the columns lang and text; rows with null in either teach nothing.
 
-    All texts and all words are counted. The model keeps the most frequent words and n-grams of every language
-    (documented bounds); what it leaves out is scored by shorter n-grams. An empty table gives a model that answers
-    ``und``. Languages are expected to be a code set: their number times the bounds is the model's size.
+    All texts and all words are counted and every counted word is known. ``max_words`` only divides words into those that tasks hold and
+    those that are joined; of the n-grams the most frequent ``max_grams`` per order and language serve, as a documented bound. An empty
+    table gives a model that answers ``und``. Repeated rows count every time, other columns are not read.
     """
     prepare(labelled.sparkSession)
     usable = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     words = staged(count_words(usable), "lang-words")
-    langs = sorted(r.lang for r in usable.select("lang").distinct().collect())
+    langs = sorted(r.lang for r in usable.select("lang").distinct().limit(MAX_LANGS + 1).collect())
+    if len(langs) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} values of lang are no set of languages")
     model = Model(langs)
     if langs:
         grams = staged(count_grams(words), "lang-grams")
-        model.words, model.word_scores = _frequencies(*_most_frequent(words.select("lang", F.col("word").alias("item"), "n"), F.lit(0), max_words, langs), langs)
+        found, totals = _most_frequent(words.select("lang", F.col("word").alias("item"), "n"), F.lit(0), max_words, langs)
+        model.words, model.word_scores = _frequencies(found, totals, langs)
         model.grams, model.gram_scores = _frequencies(*_most_frequent(grams.select("lang", F.col("gram").alias("item"), "n"), F.length("item"), max_grams, langs), langs)
+        model.counts, model.below = words, _below(totals, 0, langs)
     return model
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """The rows, all columns kept, with the predicted language and its score (0 to 1).
+class _Places(dict):
+    """Rows of the common words' scores; other words get numbers behind them as they come."""
+
+    def __init__(self, words: dict[str, int]):
+        super().__init__(words)
+        self.common, self.rare = len(words), []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = place = self.common + len(self.rare)
+        self.rare.append(word)
+        return place
+
+    def forget(self) -> None:
+        for word in self.rare:
+            del self[word]
+        self.rare = []
+
+
+def _common_scores(places: _Places, scores: np.ndarray, texts: list[str | None]) -> tuple[np.ndarray, list[int], list[str], np.ndarray, np.ndarray]:
+    """Per text the sum over its common words, and the number of its words; the rare words of each (flat, with counts and ends)."""
+    parts = []
+    for text in texts:
+        words = words_in(text or "")
+        parts.append(np.fromiter(map(places.__getitem__, words), np.int64, len(words)))
+    sizes = [len(p) for p in parts]
+    flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    of = np.repeat(np.arange(len(texts)), sizes)
+    known = flat < places.common
+    sums = np.column_stack([np.bincount(of[known], weights=column[flat[known]], minlength=len(texts)).astype(float) for column in scores.T]) if scores.size else np.zeros((len(texts), scores.shape[1]))
+    pairs, counts = np.unique(of[~known] << 32 | (flat[~known] - places.common), return_counts=True)
+    ends = np.searchsorted(pairs >> 32, np.arange(len(texts) + 1))
+    return sums, sizes, [places.rare[i] for i in (pairs & 0xFFFFFFFF).tolist()], counts, ends
 
-    Columns of the input that are called like the two new ones are replaced. The text is the only thing looked at.
+
+def predict(docs: DataFrame, model: Model, text: str = "text", into: tuple[str, str] = ("lang_pred", "score"), keep: list[str] | None = None) -> DataFrame:
+    """The rows, with the columns ``keep`` (all if None), the predicted language and its score (0 to 1).
+
+    Columns of the input that are called like the two new ones are replaced. The text is the only thing looked at: a null text and one without a
+    letter are ``und`` with 0; equal chances go to the first language in order. Repeated rows are rows like any other.
     """
-    spark = docs.sparkSession
+    spark, langs = docs.sparkSession, model.langs
+    names = [c for c in (docs.columns if keep is None else keep) if c not in into]
+    if not langs:
+        return docs.select(*[F.col(f"`{c}`") for c in names], F.lit(UNDETERMINED).alias(into[0]), F.lit(0.0).alias(into[1]))
+    # Columns are known by place from here on, so no name clashes.
+    given = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(names)], F.col(f"`{text}`").cast("string").alias("text"))
+    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in given.schema.fields[:-1])
     # Bounded by max_words and max_grams.
-    shared = spark.sparkContext.broadcast((model.langs, model.words, model.word_scores, model.grams, model.gram_scores))
-    rest = docs.drop(*into)
-    place = rest.columns.index(text)
-    kinds = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in rest.schema.fields)
+    shared = spark.sparkContext.broadcast((model.words, model.word_scores))
+    backoff = spark.sparkContext.broadcast((model.grams, model.gram_scores))
+    below, n = model.below, len(langs)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Model(*shared.value)
+    def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, scores = _Places(shared.value[0]), shared.value[1]
         for batch in batches:
-            found = [known.predict(t) for t in batch.column(place).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
-                                             names=[*batch.schema.names, *into])
-
-    return rest.mapInArrow(run, f"{kinds}, `{into[0]}` string, `{into[1]}` double")
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sums, sizes, rare, counts, ends = _common_scores(places, scores, part.column(part.num_columns - 1).to_pylist())
+                pairs = pa.StructArray.from_arrays([pa.array(rare, pa.string()), pa.array(counts, pa.int64())], names=["word", "times"])
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, sums.size + 1, n), pa.int32()), pa.array(sums.ravel()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], flat, pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)],
+                                                 names=[*part.schema.names[:-1], "base", "n_words", "rare"])
+                if len(places.rare) > HELD:
+                    places.forget()
+
+    schema = f"{kinds}base array<double>, n_words long, rare array<struct<word:string,times:long>>"
+    partial = staged(given.mapInArrow(common, schema).withColumn("row", F.monotonically_increasing_id()), "lang-partials")
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = Model(langs, grams=backoff.value[0], gram_scores=backoff.value[1])
+        nothing = np.zeros(n)
+        for batch in batches:
+            seen = batch.column(3).is_valid().to_numpy(zero_copy_only=False)
+            logs = np.zeros((batch.num_rows, n))
+            counts = np.column_stack([batch.column(3 + i).fill_null(0).to_numpy() for i in range(n)])
+            logs[seen] = np.log((counts[seen] + 0.5) / below)
+            unseen = np.flatnonzero(~seen)
+            words = batch.column(1).take(pa.array(unseen)).to_pylist()
+            if words:
+                logs[unseen] = [nothing if (found := memory.unseen(w)) is None else found for w in words]
+            whole = np.rint(logs * batch.column(2).to_numpy()[:, None] / UNIT).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(whole[:, i]) for i in range(n)]], names=["row", *[f"s{i}" for i in range(n)]])
+
+    rare = partial.select("row", F.inline("rare"))
+    looked = rare.join(_wide(model.counts, langs, "word"), "word", "left").select("row", "word", "times", *[f"n{i}" for i in range(n)])
+    sums = looked.mapInArrow(rest, "row long, " + ", ".join(f"s{i} long" for i in range(n))).groupBy("row").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(n)])
+    totals = F.array(*[F.col("base")[i] + F.coalesce(F.col(f"s{i}"), F.lit(0)) * UNIT for i in range(n)])
+    out = partial.drop("rare").join(sums, "row", "left").select(*[f"k{i}" for i in range(len(names))], "n_words", totals.alias("totals"))
+    best = F.array_max("totals")
+    empty = F.col("n_words") == 0
+    lang = F.when(empty, F.lit(UNDETERMINED)).otherwise(F.element_at(F.array(*[F.lit(x) for x in langs]), F.array_position("totals", best).cast("int")))
+    score = F.when(empty, F.lit(0.0)).otherwise(1 / F.aggregate("totals", F.lit(0.0), lambda a, t: a + F.exp(t - best)))
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(names)], lang.alias(into[0]), score.alias(into[1]))

@@ -55,7 +55,7 @@ def op8_word_first_backoff(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
     model = langid.train(docs.where(fold(F.col("doc_id"), 4) != 2).select("lang", "text"))
     marked = docs.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "text")
-    return langid.predict(marked, model).drop("text")
+    return langid.predict(marked, model, keep=["doc_id", "held_out"])
 
 
 def op9_piece_backend(spark: SparkSession, folder: str) -> DataFrame:
