@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,6 +47,38 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+_recording: list[list[str]] = []
+
+
+@contextmanager
+def recorded_stages() -> Iterator[list[str]]:
+    """The folders of all stages that are written meanwhile, so that whoever knows when they are read no more can remove them."""
+    paths: list[str] = []
+    _recording.append(paths)
+    try:
+        yield paths
+    finally:
+        _recording.remove(paths)
+
+
+def record_stage(path: str) -> None:
+    for paths in _recording:
+        paths.append(path)
+
+
+def remove_stages(spark: SparkSession, paths: list[str], still_read: DataFrame | None = None) -> list[str]:
+    """Delete written stages; those that hold an input file of ``still_read`` stay and are returned."""
+    files = still_read.inputFiles() if paths and still_read is not None else []
+    names = {path: path.rstrip("/").rsplit("/", 1)[-1] for path in paths}
+    kept = [path for path in paths if any(f"/{names[path]}/" in file for file in files)]
+    jvm = spark._jvm
+    for path in paths:
+        if path not in kept:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return kept
+
+
 def staged(frame: DataFrame, name: str) -> DataFrame:
     """Write a stage of a study as Parquet in the shared folder and go on from the file.
 
@@ -54,5 +88,6 @@ def staged(frame: DataFrame, name: str) -> DataFrame:
     spark = frame.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/stage-{name}-{uuid.uuid4().hex}"
+    record_stage(path)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
