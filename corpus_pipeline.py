@@ -2,15 +2,40 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from recontact.llm import chosenpath, langid, packing, secret_scan, substrings
 from recontact.llm.common import numbered, prepare, staged, table
 from recontact.llm.queries import tokenizer_path
+from recontact.session import recorded_stages, remove_stages
 
 #: A document is rejected where no language is found or none has the larger part of the posterior.
 LEAST_SCORE = 0.5
 CAPACITY, END_ID = 1024, 2
+#: Columns that stages read or change; all others pass by place, whatever their names.
+USED = ("doc_id", "text", "lang", "n_chars")
+
+
+#: Tables that earlier stages wrote for themselves. A stage's result is written and read again before the next one starts, so they go then.
+_left: list[str] = []
+
+
+def _stage(function):
+    """The stage on columns that no name inside clashes with, beginning with the removal of what earlier stages left behind.
+
+    Write a stage's result before the next stage is called; a table that the next one's input still reads stays.
+    """
+    @wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _left[:] = remove_stages(spark, _left, docs)
+        inner = [c if c in USED else f"_c{i}" for i, c in enumerate(docs.columns)]
+        with recorded_stages() as made:
+            out = function(spark, docs.toDF(*inner), sf_dir)
+        _left.extend(made)
+        return out.toDF(*docs.columns) if out.columns == inner else out
+    return run_stage
 
 
 def _with_text(docs: DataFrame, columns: list[str], text) -> DataFrame:
@@ -19,6 +44,7 @@ def _with_text(docs: DataFrame, columns: list[str], text) -> DataFrame:
     return (changed.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in columns else changed).select(*[F.col(f"`{c}`") for c in columns])
 
 
+@_stage
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages that the labelled ones teach; null, letterless and undecided texts go."""
     prepare(spark)
@@ -27,6 +53,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.where((F.col("_lang_found") != langid.UNDETERMINED) & (F.col("_lang_score") >= LEAST_SCORE)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+@_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of near duplicates: the one with the smallest doc_id (null last, then the first row)."""
     with_row = numbered(docs, "_row", "near-duplicate-input")
@@ -35,18 +62,21 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return with_row.join(first.select(F.col("first.row").alias("_row")), "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+@_stage
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of windows that occur elsewhere; a text without such words stays as it is."""
     columns = docs.columns
-    return _with_text(substrings.remove_repeats(docs), columns, F.col("kept_text"))
+    return _with_text(substrings.remove_repeats(docs, in_place=True), columns, F.col("text"))
 
 
+@_stage
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with every found secret replaced by a mark; a text without one stays as it is."""
     found = secret_scan.scan(docs, secret_scan.train(docs), into="_secrets")
     return _with_text(found, docs.columns, F.when(F.col("text").isNotNull(), secret_scan.redacted(F.col("text"), F.col("_secrets"))))
 
 
+@_stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces with their token ids and their place in sequences of CAPACITY tokens."""
     return packing.pack(packing.cut_pieces(docs, tokenizer_path("byte_bpe_50k.json"), CAPACITY, END_ID), CAPACITY)
@@ -64,7 +94,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, written = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with recorded_stages() as made:
+            found = stage(spark, docs, sf_dir)
+        with recorded_stages() as result:
+            docs = staged(found, f"pipeline-{name}")
+        # The stage's own tables and its input are read no more.
+        _left[:] = [path for path in _left if path not in made]
+        remove_stages(spark, [*made, *written])
+        written = result
     return docs
