@@ -18,10 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from recontact.llm.common import ensure_checkpoint_dir, input_bytes, prepare, staged
 from recontact.llm.windows import WordHasher
+from recontact.session import remove_stages
 
 WINDOW = 35
 #: Text bytes of one block, and the most blocks (Spark's limit for bucketed tables); beyond it blocks grow.
@@ -96,20 +97,21 @@ REPLY = "block int, shard int, part int, bits binary, n int"
 REPLY_SCHEMA = pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("part", pa.int32()), ("bits", pa.binary()), ("n", pa.int32())])
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", block_bytes: int = BLOCK_BYTES, in_place: bool = False) -> DataFrame:
     """The rows, all columns kept, with n_words, n_removed (long), kept_sha256 and kept_text.
 
     A window is ``window`` consecutive words of one row's text. Every word is removed that a window covers whose words also start
     anywhere else, in the same or another row; repeated rows are rows like any other. Windows are judged on the
     input. ``kept_text``: the words left, joined by one space; where nothing is removed the text as it was (null stays null).
     ``kept_sha256``: lowercase hex of the kept words joined by one space in UTF-8.
+    ``in_place``: the kept text stands in the text's own column, and there is no ``kept_text``.
     Null and short texts have no window. Columns called like the new ones are replaced.
     Windows count as equal when two independent 64-bit polynomial hashes of their words agree.
     """
     spark = docs.sparkSession
     prepare(spark)
     ensure_checkpoint_dir(spark)
-    added = ["n_words", "n_removed", "kept_sha256", "kept_text"]
+    added = ["n_words", "n_removed", "kept_sha256", *([] if in_place else ["kept_text"])]
     rest = docs.drop(*added)
     if any(c.startswith("_w_") for c in rest.columns):
         raise ValueError("column names with _w_ are used inside")
@@ -121,8 +123,18 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", bl
     numbered = rest.withColumn("_w_block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
     # Read again by bucket: the passes below find their blocks without an exchange.
     spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "true")
-    (numbered.repartition(blocks, "_w_block").write.format("parquet").bucketBy(blocks, "_w_block").saveAsTable(name))
-    table = spark.table(name)
+    # The files lie in the shared folder, not in the warehouse; the catalogue only lends the table its buckets.
+    place = f"{spark.sparkContext.getCheckpointDir()}/{name}"
+    try:
+        numbered.repartition(blocks, "_w_block").write.format("parquet").option("path", place).bucketBy(blocks, "_w_block").saveAsTable(name)
+        return _passes(spark, spark.table(name), window, text, shards, width, added)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove_stages(spark, [place])
+
+
+def _passes(spark: SparkSession, table: DataFrame, window: int, text: str, shards: int, width: int, added: list[str]) -> DataFrame:
+    in_place = "kept_text" not in added
     texts = table.select("_w_block", F.col(text).cast("string").alias("_w_text"))
 
     def sketch(group: pa.Table) -> pa.Table:
@@ -219,7 +231,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", bl
     answers = estimated.unionByName(exact)
     names = [c for c in table.columns if c != "_w_block"]
     out_type = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in table.schema.fields if f.name != "_w_block")
-    out_type += ", n_words long, n_removed long, kept_sha256 string, kept_text string"
+    out_type += ", n_words long, n_removed long, kept_sha256 string" + ("" if in_place else ", kept_text string")
 
     def finish(block: pa.Table, answered: pa.Table) -> pa.Table:
         values = [None if t is None else str(t) for t in block.column(text).to_pylist()]
@@ -249,9 +261,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", bl
             rows.append((n, n - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode("utf-8", "surrogatepass") if len(marks) else value))
         new = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
-        return pa.table([*(block.column(c) for c in names), *(pa.array(v, k) for v, k in zip(new, kinds, strict=True))], names=[*names, *added])
+        made = [pa.array(v, k) for v, k in zip(new, kinds, strict=True)]
+        own = [made[3].cast(block.schema.field(c).type) if in_place and c == text else block.column(c) for c in names]
+        return pa.table([*own, *made[:len(added)]], names=[*names, *added])
 
     done = table.groupBy("_w_block").cogroup(answers.groupBy("block")).applyInArrow(finish, out_type)
-    result = staged(done, "kept-words")
-    spark.sql(f"DROP TABLE {name}")
-    return result
+    return staged(done, "kept-words")

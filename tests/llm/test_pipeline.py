@@ -1,6 +1,9 @@
 import hashlib
+import os
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from recontact.llm import queries
 
@@ -50,12 +53,37 @@ def test_odd_rows_pass_every_stage(spark, odd, tmp_path):
         assert docs.columns == odd.columns
     rows = docs.collect()
     assert {r.doc_id for r in rows} == {None, 4, 5, 7}
+    # Columns called like inner ones pass with their values.
+    own = {r.doc_id: (r.n_words, r.piece, r.failed) for r in odd.collect() if r.text}
+    assert {r.doc_id: (r.n_words, r.piece, r.failed) for r in rows} == {r.doc_id: own[r.doc_id] for r in rows}
     assert corpus_pipeline.pack_sequences(spark, docs.limit(0), "").collect() == []
     empty = odd.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, "").collect() == []
 
 
+def test_columns_with_inner_names_keep_their_values(spark, documents, tmp_path):
+    inner = ["n_words", "n_removed", "kept_sha256", "_row", "_secrets", "_lang_found", "_lang_score", "_c4", "row", "measures", "group_row"]
+    docs = documents.select("*", *[F.concat(F.lit(f"{c}-"), "doc_id").alias(c) for c in inner]).drop("source")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, "").write.parquet(f"{tmp_path}/{name}")
+        before, docs = docs, spark.read.parquet(f"{tmp_path}/{name}")
+        assert docs.columns == before.columns
+        rows = docs.collect()
+        assert rows and all(r[c] == f"{c}-{r.doc_id}" for r in rows for c in inner)
+
+
+def test_stages_leave_no_tables_but_those_that_are_read(spark, documents, tmp_path):
+    docs = documents.select("doc_id", "text", "lang")
+    lazy = corpus_pipeline.identify_language(spark, docs, "")
+    made = list(corpus_pipeline._left)
+    assert made
+    unread = corpus_pipeline.drop_near_duplicates(spark, lazy, "")
+    unread.write.parquet(f"{tmp_path}/a")
+    corpus_pipeline.redact_secrets(spark, spark.read.parquet(f"{tmp_path}/a"), "").write.parquet(f"{tmp_path}/b")
+    assert not set(made) & set(corpus_pipeline._left) and not any(os.path.exists(p.removeprefix("file:")) for p in made)
+
+
 def test_run_returns_the_last_stage(spark):
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     assert rows and {"doc_id", "sequence_id", "offset", "length"} <= set(rows[0].asDict())
