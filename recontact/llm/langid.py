@@ -46,7 +46,7 @@ MAX_WORDS, MAX_GRAMS = 40_000, 10_000
 #: Languages are a code set; more are refused.
 MAX_LANGS = 500
 #: Distinct entries that a counting task holds before it hands them on, and unseen words a scoring task remembers.
-HELD = 200_000
+HELD = 80_000
 #: Sums of joined words are whole numbers of this part of a log unit, so they do not depend on the order of rows.
 UNIT = 1e-9
 
@@ -238,8 +238,8 @@ def train(labelled: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_
 class _Places(dict):
     """Rows of the common words' scores; other words get numbers behind them as they come."""
 
-    def __init__(self, words: dict[str, int]):
-        super().__init__(words)
+    def __init__(self, words: list[str]):
+        super().__init__(zip(words, range(len(words)), strict=True))
         self.common, self.rare = len(words), []
 
     def __missing__(self, word: str) -> int:
@@ -283,7 +283,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", into: tuple[str,
     given = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(names)], F.col(f"`{text}`").cast("string").alias("text"))
     kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in given.schema.fields[:-1])
     # Bounded by max_words and max_grams.
-    shared = spark.sparkContext.broadcast((model.words, model.word_scores))
+    shared = spark.sparkContext.broadcast((list(model.words), model.word_scores))
     backoff = spark.sparkContext.broadcast((model.grams, model.gram_scores))
     below, n = model.below, len(langs)
 
@@ -302,6 +302,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text", into: tuple[str,
 
     schema = f"{kinds}base array<double>, n_words long, rare array<struct<word:string,times:long>>"
     partial = staged(given.mapInArrow(common, schema).withColumn("row", F.monotonically_increasing_id()), "lang-partials")
+    # What follows reads the written rows: the executors' copies of the table can go.
+    shared.destroy()
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = Model(langs, grams=backoff.value[0], gram_scores=backoff.value[1])
