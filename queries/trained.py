@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from queries.context import Context
@@ -9,8 +11,8 @@ from queries.spark_queries import SALTS, _cohort_events, query
 from recontact.functions import hawkes, metrics as m, uncertainty
 from recontact.operators import features as fe, splits
 from recontact.operators.pointintime import KEY
-from recontact.plans import audit, models
-from recontact.session import staged
+from recontact.plans import audit, kept_models, models, rolling, rolling_models
+from recontact.session import ensure_checkpoint_dir, staged
 
 MODEL = ["model", "window_days"]
 
@@ -183,3 +185,36 @@ def holdout_scores(c: Context):
 def partition_summary(c: Context):
     metrics = m.binary_metrics(_holdout(c), ["salt", "population", "model"])
     return uncertainty.partition_summary(metrics)
+
+
+def _rolling(c: Context) -> tuple[DataFrame, DataFrame]:
+    """Every ready fold and window of the logistic learner; the tree learners run through the same call, at minutes a fold."""
+    if not hasattr(c, "_rolling_trained"):
+        c._rolling_trained = rolling_models.rolling_trained(samples(c), c.roles, ("logistic_regression",), tuple(c.policy.windows), c.policy.seed)
+    return c._rolling_trained
+
+
+@query
+def rolling_trained(c: Context):
+    return _rolling(c)[0]
+
+
+@query
+def rolling_fit_status(c: Context):
+    return _rolling(c)[1]
+
+
+@query
+def rolling_trained_summary(c: Context):
+    return rolling.rolling_summary(_rolling(c)[0].drop("test_time"), c.policy)
+
+
+@query
+def kept_model_scores(c: Context):
+    """Test scores of a model that was saved with its contract, checked and loaded again; all lie after its information deadline."""
+    model, = _fit(c, ("logistic_regression",), (7,))
+    ensure_checkpoint_dir(c.spark)
+    folder = f"{c.spark.sparkContext.getCheckpointDir()}/kept-{uuid.uuid4().hex}"
+    kept_models.save(c.spark, model, samples(c), folder, fe.BOUNDED_FEATURES)
+    again, terms = kept_models.load(c.spark, folder, 7, fe.BOUNDED_FEATURES)
+    return kept_models.score_after_deadline(again, terms, _test(c)).select(*KEY, "window_days", "p", F.lit(again.threshold).alias("threshold"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from recontact.operators.pointintime import KEY
 
@@ -34,11 +34,42 @@ def one_to_one_join(left: DataFrame, right: DataFrame, keys: list[str] = KEY) ->
         F.count("*").alias("keys"), F.count_if((F.col("left_rows") > 1) | (F.col("right_rows") > 1)).alias("repeated_keys"))
 
 
+def refused(frame: DataFrame, faults: dict[str, Column], keep: Column | None = None) -> DataFrame:
+    """The rows (those to ``keep``), unless any of them has a fault: then the read fails with its name.
+
+    The check is a condition on rows, so it stays whatever columns are read later, and when rows are only counted.
+    """
+    fault = F.concat_ws(", ", *[F.when(test, F.lit(name)) for name, test in faults.items()])
+    # One condition: a second one could be pushed below a join and take the faulty rows away before they are seen.
+    return frame.where(F.when(fault == "", F.lit(True) if keep is None else keep).otherwise(F.raise_error(F.concat(F.lit("rows refused: "), fault)).cast("boolean")))
+
+
+def contract_join(left: DataFrame, right: DataFrame, keys: list[str] = KEY, spare_left: bool = False, spare_right: bool = False) -> DataFrame:
+    """The matched rows of two tables with one row per key each; all columns, the keys once.
+
+    Fails where a key is null or repeated on either side, or has no partner: unless rows of that side may be spare, which are then left
+    out. One full outer join on keys; how often a key occurs is counted in the exchange that the join needs anyway.
+    """
+    shared = [c for c in left.columns if c in right.columns and c not in keys]
+    if shared or any(c.startswith("_j_") for c in (*left.columns, *right.columns)):
+        raise ValueError(f"both sides have the columns {shared}, or one has a name that begins with _j_")
+    alone = Window.partitionBy(*keys)
+    sides = [frame.withColumn(f"_j_{side}", F.count("*").over(alone)) for frame, side in ((left, "left"), (right, "right"))]
+    joined = sides[0].join(sides[1], keys, "full")
+    times = {side: F.coalesce(F.col(f"_j_{side}"), F.lit(0)) for side in ("left", "right")}
+    null_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    faults = {"a null key": null_key, "a key repeated on the left": times["left"] > 1, "a key repeated on the right": times["right"] > 1}
+    if not spare_left:
+        faults["a key without partner on the right"] = times["right"] == 0
+    if not spare_right:
+        faults["a key without partner on the left"] = times["left"] == 0
+    checked = refused(joined, faults, (times["left"] == 1) & (times["right"] == 1))
+    return checked.select(*keys, *[c for c in left.columns if c not in keys], *[c for c in right.columns if c not in keys])
+
+
 def must_match(left: DataFrame, right: DataFrame, keys: list[str], flag: str) -> DataFrame:
-    """Left join that raises on the first row without a partner. ``flag`` is a non-null right column."""
-    joined = left.join(right, keys, "left")
-    found = F.when(F.col(flag).isNull(), F.raise_error(F.lit("a row has no matching key")).cast(right.schema[flag].dataType))
-    return joined.withColumn(flag, found.otherwise(F.col(flag)))
+    """Left join that fails on a row without a partner, whatever is read of it. ``flag`` is a non-null right column."""
+    return refused(left.join(right, keys, "left"), {"a row has no matching key": F.col(flag).isNull()})
 
 
 def missing_scores(rows: DataFrame, scored: DataFrame, keys: list[str] = KEY) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from recontact.functions.timemath import Span
+from recontact.operators.integrity import contract_join
 from recontact.operators.pointintime import KEY
 from recontact.policy import DAY, Policy
 
@@ -16,8 +17,9 @@ SETS = ("train", "validation", "test", "purged")
 
 
 def training_cohort(labels: DataFrame, bank: DataFrame) -> DataFrame:
+    """Features of every usable label. A label without features and a repeated key fail the read; features without label are spare."""
     known = labels.where("eligible_for_evaluation AND label_24h IS NOT NULL").select(*KEY, "label_24h")
-    return bank.join(known, KEY)
+    return contract_join(known, bank.drop("label_24h"), KEY, spare_right=True)
 
 
 def common_cohort(labels: DataFrame, candidates_1d: DataFrame, span: Span, dataset_id: str, history_days: int = 7) -> DataFrame:
