@@ -33,6 +33,10 @@ def pair_events(contacts: DataFrame, policy: Policy, days: int = 7) -> DataFrame
     return listed.select("day", *PAIR, F.transform("times", lambda t: (t - start) / HOUR).alias("events"))
 
 
+#: A fit with a larger residual has not settled.
+SETTLED = 1e-6
+
+
 def _excitation(times: np.ndarray, beta: float) -> np.ndarray:
     """A_i = (A_{i-1} + 1) * exp(-beta * gap): stable for any beta, column by column."""
     out = np.zeros_like(times)
@@ -46,8 +50,9 @@ def fit_rows(times: np.ndarray, live: np.ndarray, end: float, beta: float, round
     excite = np.where(live, beta * _excitation(times, beta), 0.0)
     loss = np.where(live, 1 - np.exp(-beta * (end - times)), 0.0).sum(axis=1)
     n = live.sum(axis=1)
-    mu = np.maximum(n / end * 0.5, 1e-3)
-    alpha = np.full(len(mu), 0.5)
+    # Any start inside the bounds reaches the one maximum: a fifth of the events are taken for echoes.
+    mu = np.maximum(0.8 * n / end, 2 * MU_MIN)
+    alpha = np.full(len(mu), 0.2)
 
     def value(m, a):
         rate = np.where(live, m[:, None] + a[:, None] * excite, 1.0)
@@ -90,9 +95,28 @@ def fit_rows(times: np.ndarray, live: np.ndarray, end: float, beta: float, round
     return mu, alpha
 
 
+def residuals(times: np.ndarray, live: np.ndarray, end: float, beta: float, mu: np.ndarray, alpha: np.ndarray) -> np.ndarray:
+    """How far each row is from the maximum: the larger slope of the likelihood that does not point out of the bounds.
+
+    The likelihood is concave, so a row with residual 0 is its maximum, however it was found.
+    """
+    excite = np.where(live, beta * _excitation(times, beta), 0.0)
+    inverse = np.where(live, 1.0 / np.where(live, mu[:, None] + alpha[:, None] * excite, 1.0), 0.0)
+    g_mu = inverse.sum(axis=1) - end
+    g_alpha = (excite * inverse).sum(axis=1) - np.where(live, 1 - np.exp(-beta * (end - times)), 0.0).sum(axis=1)
+    g_mu = np.where((mu <= MU_MIN) & (g_mu < 0), 0.0, g_mu)
+    g_alpha = np.where(((alpha <= 0) & (g_alpha < 0)) | ((alpha >= ALPHA_MAX) & (g_alpha > 0)), 0.0, g_alpha)
+    return np.maximum(np.abs(g_mu) * mu, np.abs(g_alpha))
+
+
 def forecast_rows(events: list[np.ndarray], end: float, beta: float, horizon: float = 24.0) -> np.ndarray:
     """P(at least one event in the horizon), ignoring excitation by future events."""
-    out = np.zeros(len(events))
+    return fitted_rows(events, end, beta, horizon)[0]
+
+
+def fitted_rows(events: list[np.ndarray], end: float, beta: float, horizon: float = 24.0) -> tuple[np.ndarray, np.ndarray]:
+    """``forecast_rows`` and the residual of every row's fit."""
+    out, left = np.zeros(len(events)), np.zeros(len(events))
     lengths = np.array([len(e) for e in events])
     order = np.argsort(lengths, kind="stable")
     start = 0
@@ -111,26 +135,31 @@ def forecast_rows(events: list[np.ndarray], end: float, beta: float, horizon: fl
         age = end - times
         decay = np.where(live, np.exp(-beta * age) - np.exp(-beta * (age + horizon)), 0.0).sum(axis=1)
         out[rows] = 1 - np.exp(-(mu * horizon + alpha * decay))
+        left[rows] = residuals(times, live, end, beta, mu, alpha)
         start = stop
-    return out
+    return out, left
 
 
-def half_life_beta(hours: float) -> float:
+def decay_rate(hours: float) -> float:
     return math.log(2) / hours
 
 
 def hawkes_forecast(events: DataFrame, policy: Policy, half_lives: tuple[float, ...], days: int = 7) -> DataFrame:
-    """One row per key and half-life with its 24 h contact probability."""
+    """One row per key and half-life: its 24 h contact probability, the fit's residual and ``status`` (settled below ``SETTLED``)."""
 
     @F.pandas_udf(ArrayType(DoubleType()))
     def solve(series: pd.Series) -> pd.Series:
         lists = [np.asarray(e, dtype=float) for e in series]
-        columns = [forecast_rows(lists, days * 24.0, half_life_beta(h)) for h in half_lives]
+        fits = [fitted_rows(lists, days * 24.0, decay_rate(h)) for h in half_lives]
+        columns = [fit[k] for k in (0, 1) for fit in fits]
         return pd.Series([list(row) for row in np.stack(columns, axis=1)]) if lists else pd.Series([], dtype=object)
 
     scored = events.withColumn("scores", solve("events"))
-    grid = F.arrays_zip(F.array(*[F.lit(float(h)) for h in half_lives]).alias("half_life_hours"), F.col("scores").alias("p"))
-    return scored.select(snapshot_time("day", policy).alias("timestamp"), *PAIR, F.inline(grid))
+    k = len(half_lives)
+    grid = F.arrays_zip(F.array(*[F.lit(float(h)) for h in half_lives]).alias("half_life_hours"), F.slice("scores", 1, k).alias("p"),
+                        F.slice("scores", k + 1, k).alias("residual"))
+    out = scored.select(snapshot_time("day", policy).alias("timestamp"), *PAIR, F.inline(grid))
+    return out.withColumn("status", F.when(F.col("residual") < SETTLED, "settled").otherwise("not_settled"))
 
 
 def excitation_totals(events: Column, beta: Column) -> Column:

@@ -29,7 +29,7 @@ def grid_likelihood(events, end, beta):
 
 def test_fit_reaches_the_likelihood_maximum():
     rng = np.random.default_rng(5)
-    for beta in (hawkes.half_life_beta(0.5), hawkes.half_life_beta(8)):
+    for beta in (hawkes.decay_rate(0.5), hawkes.decay_rate(8)):
         events = simulate(rng, 0.1, 0.5, beta, 168.0)
         times = events[None, :]
         mu, alpha = hawkes.fit_rows(times, np.ones_like(times, dtype=bool), 168.0, beta)
@@ -38,17 +38,29 @@ def test_fit_reaches_the_likelihood_maximum():
         assert value(mu[0], alpha[0]) >= best - 1e-6
 
 
+def test_residuals_tell_a_maximum_from_other_points():
+    rng = np.random.default_rng(8)
+    for beta in (hawkes.decay_rate(0.5), hawkes.decay_rate(8)):
+        times = np.sort(rng.uniform(0, 168, (6, 30)))
+        live = np.ones_like(times, dtype=bool)
+        mu, alpha = hawkes.fit_rows(times, live, 168.0, beta)
+        assert (hawkes.residuals(times, live, 168.0, beta, mu, alpha) < hawkes.SETTLED).all()
+        assert (hawkes.residuals(times, live, 168.0, beta, mu * 1.01, alpha) > hawkes.SETTLED).all()
+        few = hawkes.fit_rows(times, live, 168.0, beta, rounds=0)
+        assert (hawkes.residuals(times, live, 168.0, beta, *few) > hawkes.SETTLED).all()
+
+
 def test_padding_and_order_do_not_change_a_forecast():
     rng = np.random.default_rng(2)
     lists = [np.sort(rng.uniform(0, 168, n)) for n in (1, 40, 3, 7)]
-    together = hawkes.forecast_rows(lists, 168.0, hawkes.half_life_beta(2))
-    alone = [hawkes.forecast_rows([e], 168.0, hawkes.half_life_beta(2))[0] for e in lists]
+    together = hawkes.forecast_rows(lists, 168.0, hawkes.decay_rate(2))
+    alone = [hawkes.forecast_rows([e], 168.0, hawkes.decay_rate(2))[0] for e in lists]
     assert together == pytest.approx(alone, abs=1e-7) and ((together > 0) & (together < 1)).all()
 
 
 def test_short_half_lives_stay_finite():
     events = np.sort(np.random.default_rng(1).uniform(0, 168, 300))
-    assert np.isfinite(hawkes.forecast_rows([events], 168.0, hawkes.half_life_beta(5 / 60))).all()
+    assert np.isfinite(hawkes.forecast_rows([events], 168.0, hawkes.decay_rate(5 / 60))).all()
 
 
 def test_excitation_fold_equals_the_double_sum(spark):
@@ -64,13 +76,15 @@ def test_excitation_fold_equals_the_double_sum(spark):
 
 @pytest.fixture(scope="module")
 def samples(spark):
-    rng = np.random.default_rng(0)
+    """Pairs with a lasting tie strength; contact follows it by a logistic rule, and the first feature is a noisy count of it."""
+    draw = np.random.default_rng(23)
+    tie = draw.gamma(1.5, 1.0, size=30)
     rows = []
     for d in range(12):
         split = "train" if d < 7 else "validation" if d < 9 else "test"
-        for a in range(30):
-            label = int(a % 3 == 0)
-            rows.append((d * DAY, a, a + 1, 7, split, label, *[float(2 * label + rng.normal())] + [float(rng.normal()) for _ in BOUNDED_FEATURES[2:]]))
+        for a, strength in enumerate(tie):
+            label = int(draw.random() < 1 / (1 + np.exp(14.0 - 6.0 * strength)))
+            rows.append((d * DAY, a, a + 1, 7, split, label, float(draw.poisson(12 * strength)) / 12, *map(float, draw.normal(size=len(BOUNDED_FEATURES) - 2))))
     frame = spark.createDataFrame(rows, "timestamp long, user_min long, user_max long, window_days int, split string, label int, " + ", ".join(f"{n} double" for n in BOUNDED_FEATURES[1:]))
     return frame.withColumn("pair_contact_count", F.lit(None).cast("double")).withColumn(
         "rssi_mean", F.when(F.col("user_min") % 5 != 0, F.col("rssi_mean"))).cache()
