@@ -24,7 +24,7 @@ MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Bytes of units and ids that a task remembers, runs whose text it remembers, texts and new units that are encoded together.
-REMEMBERED, RUNS, BATCH, UNITS_AT_ONCE = 24 << 20, 20_000, 256, 1_000
+REMEMBERED, RUNS, BATCH, UNITS_AT_ONCE = 40 << 20, 20_000, 256, 1_000
 UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -222,11 +222,12 @@ def _model(path: str) -> bytes:
         return file.read()
 
 
-def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", verify: int = 100, keep: tuple[str, ...] = ("text",)) -> DataFrame:
+def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", verify: int = 100, keep: tuple[str, ...] = ("text",), units: bool = False) -> DataFrame:
     """doc_id, the columns ``keep``, ids, parity: one row per input row; null text counts as empty, a null key stays null, keys are of any type.
 
-    ``parity``: whether the sentencepiece library gives the same ids. Every distinct unit is compared once when a task learns it (no
-    piece crosses units); texts whose crc32 ``verify`` divides, and all texts of models that are not cut into units, are compared whole.
+    ``parity``: whether the sentencepiece library gives the same ids, for texts whose crc32 ``verify`` divides, and all texts of models that
+    are not cut into units; null elsewhere. With ``units`` every distinct unit is compared as well when a task learns it (no piece
+    crosses units), so every row has an answer; that about doubles the work.
     """
     prepare(docs.sparkSession)
     model = _model(path)
@@ -238,15 +239,18 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
         backend = Backend(model, reads=False)
         library = sentencepiece.SentencePieceProcessor(model_proto=model)
         # Units can be given to the library only where its normaliser leaves them as they are.
-        backend.library = library if backend.plain and backend.cuts else None
+        cut = backend.plain and backend.cuts
+        backend.library = library if units and cut else None
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH)
                 texts = [t or "" for t in part.column(len(names)).to_pylist()]
                 found, same = [], []
                 for value, (raw, _, agrees) in zip(texts, backend.both(texts), strict=True):
-                    if backend.library is None or zlib.crc32(value.encode()) % verify == 0:
+                    if not cut or zlib.crc32(value.encode()) % verify == 0:
                         agrees = np.frombuffer(raw, "<u4").tolist() == library.encode(value)
+                    elif not units:
+                        agrees = None
                     found.append(raw)
                     same.append(agrees)
                 ids = _lists(b"".join(found), [len(raw) // 4 for raw in found])
