@@ -15,7 +15,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from recontact.llm.common import prepare, staged
 
@@ -23,8 +23,9 @@ from recontact.llm.common import prepare, staged
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Bytes of units and ids that a task remembers, runs whose text it remembers, texts and new units that are encoded together.
-REMEMBERED, RUNS, BATCH, UNITS_AT_ONCE = 40 << 20, 20_000, 256, 1_000
+#: Bytes of units and ids that a task remembers in each of two generations, runs whose text it remembers, texts and new units that are
+#: encoded together, units in a line of them, threads of the library in a task, rows that travel at once.
+REMEMBERED, RUNS, BATCH, UNITS_AT_ONCE, LINE, THREADS, ROWS = 24 << 20, 20_000, 256, 4_000, 100, 2, 2_000
 UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -112,9 +113,11 @@ class Backend:
         self.plain = spec.escape_whitespaces and not spec.precompiled_charsmap and not spec.remove_extra_whitespaces
         joined = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
         self.core.decoder = decoders.Sequence(joined)
-        #: Unit -> (ids, text, whether the library agrees), and about how many bytes they take.
-        self.known: dict[str, tuple[bytes, str, bool]] = {}
+        #: Unit -> ids, as units came since the last turn and as they came before it; how many bytes the first take; units the library reads otherwise.
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.held = 0
+        self.differs: set[str] = set()
         self.texts = reads
         #: The library itself, where units are to be compared with it.
         self.library = None
@@ -123,6 +126,10 @@ class Backend:
         self.reads = np.array([p.type in (NORMAL, UNUSED) for p in parsed.pieces])
         self.silent = np.array([self._silent(i) for i in range(len(self.pieces))])
         self.runs: dict[bytes, str] = {}
+        #: Characters that a piece stands for; the first byte of a sign counts for the sign.
+        self.widths = np.array([(int(p.piece[3:5], 16) & 0xC0 != 0x80) if p.type == BYTE else len(p.piece) for p in parsed.pieces], dtype=np.int64)
+        #: Merges in a line of units are those of its units, and every sign has an id, so the line's ids can be dealt out again.
+        self.lines = bool(self.scores) and self.cuts and self.fallback and sum(p.type == BYTE for p in parsed.pieces) == 256
 
     def normalise(self, text: str) -> str:
         if not self.plain:
@@ -131,19 +138,43 @@ class Backend:
         return MARK + marked if self.prefix and text else marked
 
     def _learn(self, units: list[str]) -> None:
-        """Ids and decoded text of new units, in batches that the tokenizers library spreads over its threads."""
-        for at in range(0, len(units), UNITS_AT_ONCE):
-            part = units[at:at + UNITS_AT_ONCE]
-            found = [e.ids for e in self.core.encode_batch_fast(part, add_special_tokens=False)]
-            # Three equal runs leave at least two signs fewer than places.
-            found = [self._periodic(unit) if self.scores and len(unit) - len(set(unit)) >= 2 and PERIODIC.search(unit) else ids for unit, ids in zip(part, found, strict=True)]
-            agrees = [True] * len(part) if self.library is None else [ids == own for ids, own in zip(found, self.library.encode([self._plain(u) for u in part], num_threads=1), strict=True)]
-            for unit, ids, same in zip(part, found, agrees, strict=True):
-                text = "".join([self.pieces[i] for i in ids]) if self.texts else ""
-                # Only bytes, unknown signs and user pieces need the decoder; other pieces read as they are written.
-                text = unit.replace(MARK, " ") if text == unit else self.core.decode(ids, skip_special_tokens=False) if self.texts else ""
-                self.known[unit] = (array("I", ids).tobytes(), text, same)
-                self.held += 250 + 3 * len(unit) + 4 * len(ids)
+        """Ids of new units, in batches that the tokenizers library spreads over its threads; where the library is given, compared with it."""
+        joined = [u for u in units if self.lines and u[0] == MARK and u[-1] != MARK]
+        for group, line in ((joined, LINE), ([u for u in units if not self.lines or u[0] != MARK or u[-1] == MARK], 1)):
+            for at in range(0, len(group), UNITS_AT_ONCE):
+                self._learn_lines([group[i:i + line] for i in range(at, min(at + UNITS_AT_ONCE, len(group)), line)])
+
+    def _learn_lines(self, lines: list[list[str]]) -> None:
+        encoded = self.core.encode_batch_fast(["".join(line) for line in lines], add_special_tokens=False)
+        for line, encoding in zip(lines, encoded, strict=True):
+            ids = np.array(encoding.ids, dtype="<u4")
+            raw, ends = ids.tobytes(), [len(ids)]
+            if len(line) > 1:
+                # A unit starts with a piece that stands for signs: the last of those ids that start at its place.
+                starts = np.cumsum(self.widths[ids]) - self.widths[ids]
+                ends = [*(np.searchsorted(starts, list(accumulate(map(len, line[:-1]))), "right") - 1).tolist(), len(ids)]
+            first = 0
+            for unit, end in zip(line, ends, strict=True):
+                # Three equal runs leave at least two signs fewer than places.
+                periodic = self.scores and len(unit) - len(set(unit)) >= 2 and PERIODIC.search(unit)
+                self.known[unit] = found = array("I", self._periodic(unit)).tobytes() if periodic else raw[4 * first:4 * end]
+                self.held += 250 + 3 * len(unit) + len(found)
+                first = end
+            if self.library is not None:
+                self._compare(line)
+
+    def _compare(self, line: list[str]) -> None:
+        """Remember the units whose ids the library gives otherwise; a line that it gives otherwise is compared unit by unit."""
+        own = np.array(self.library.encode(self._plain("".join(line))), dtype="<u4").tobytes()
+        if own == b"".join([self.known[u] for u in line]):
+            return
+        self.differs.update(u for u in line if np.array(self._own(u), dtype="<u4").tobytes() != self.known[u])
+
+    def _own(self, unit: str) -> list[int]:
+        """The library's ids of a unit. Markers alone never are a whole text to it, so they are read behind a sign and its ids taken off."""
+        if unit.strip(MARK):
+            return self.library.encode(self._plain(unit))
+        return self.library.encode("x" + unit.replace(MARK, " "))[len(self.library.encode("x")):]
 
     def _plain(self, unit: str) -> str:
         """The text that the model's own normaliser turns into the unit."""
@@ -163,20 +194,25 @@ class Backend:
     def both(self, texts: list[str | None]) -> list[tuple[bytes, str, bool]]:
         """(little-endian unsigned 32-bit ids, text decoded from them, whether the library agrees on every unit) of every text; null counts as empty."""
         if self.held > REMEMBERED:
-            self.known.clear()
-            self.held = 0
+            self.known, self.older, self.held = {}, self.known, 0
         rows = []
         for text in texts:
             normal = self.normalise(text or "")
             rows.append(UNITS.findall(normal) if self.cuts else [normal] if normal else [])
-        missing = list({unit for units in rows for unit in units if unit not in self.known})
-        if missing:
-            self._learn(missing)
+        missing = []
+        for unit in set().union(*rows):
+            if unit in self.known:
+                continue
+            if (found := self.older.get(unit)) is None:
+                missing.append(unit)
+            else:
+                self.known[unit] = found
+                self.held += 250 + 3 * len(unit) + len(found)
+        self._learn(missing)
         out = []
         for units in rows:
-            found = [self.known[unit] for unit in units]
-            text = "".join([f[1] for f in found])
-            out.append((b"".join([f[0] for f in found]), text[1:] if self.prefix and text[:1] == " " else text, all([f[2] for f in found])))
+            raw = b"".join([self.known[unit] for unit in units])
+            out.append((raw, self.decoded(np.frombuffer(raw, "<u4")) if self.texts else "", self.differs.isdisjoint(units)))
         return out
 
     def encode(self, text: str | None) -> list[int]:
@@ -222,35 +258,41 @@ def _model(path: str) -> bytes:
         return file.read()
 
 
-def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", verify: int = 100, keep: tuple[str, ...] = ("text",), units: bool = False) -> DataFrame:
+def _few_rows(spark: SparkSession) -> None:
+    """Long texts travel in small batches, whose buffers both sides of a worker hold."""
+    prepare(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS)
+
+
+def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ("text",)) -> DataFrame:
     """doc_id, the columns ``keep``, ids, parity: one row per input row; null text counts as empty, a null key stays null, keys are of any type.
 
-    ``parity``: whether the sentencepiece library gives the same ids, for texts whose crc32 ``verify`` divides, and all texts of models that
-    are not cut into units; null elsewhere. With ``units`` every distinct unit is compared as well when a task learns it (no piece
-    crosses units), so every row has an answer; that about doubles the work.
+    ``parity``: whether the sentencepiece library gives the same ids. Every text is answered for: every distinct unit is compared when a
+    task learns it (no piece crosses units), and texts of models that are not cut into units are compared whole.
     """
-    prepare(docs.sparkSession)
+    _few_rows(docs.sparkSession)
     model = _model(path)
     given = docs.select(F.col(f"`{key}`").alias("doc_id"), *[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("_text"))
     names = given.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import os
+        # Read when the library starts its threads: a task has its share of the executor's cores, not all of the machine's.
+        os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
         import sentencepiece
         backend = Backend(model, reads=False)
         library = sentencepiece.SentencePieceProcessor(model_proto=model)
         # Units can be given to the library only where its normaliser leaves them as they are.
         cut = backend.plain and backend.cuts
-        backend.library = library if units and cut else None
+        backend.library = library if cut else None
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH)
                 texts = [t or "" for t in part.column(len(names)).to_pylist()]
                 found, same = [], []
                 for value, (raw, _, agrees) in zip(texts, backend.both(texts), strict=True):
-                    if not cut or zlib.crc32(value.encode()) % verify == 0:
+                    if not cut:
                         agrees = np.frombuffer(raw, "<u4").tolist() == library.encode(value)
-                    elif not units:
-                        agrees = None
                     found.append(raw)
                     same.append(agrees)
                 ids = _lists(b"".join(found), [len(raw) // 4 for raw in found])
@@ -262,7 +304,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """The rows with the text that a column of ids stands for; null ids give null, an id beyond the model is refused."""
-    prepare(rows.sparkSession)
+    _few_rows(rows.sparkSession)
     model = _model(path)
     place = rows.columns.index(ids)
 
@@ -280,7 +322,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", into: str = "decoded")
     return rows.mapInArrow(run, rows.withColumn(into, F.lit(None).cast("string")).schema)
 
 
-def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", verify: int = 100) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Digests of what ``encode`` and ``decode`` give: doc_id, n_ids, ids_crc32, n_bytes (byte-fallback ids), decoded_crc32, round_trip, parity.
 
     ids_crc32 and decoded_crc32 are of the little-endian 32-bit ids and of the decoded UTF-8 text. ``round_trip``: decoding gives
@@ -302,7 +344,7 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
     # Written between the two, so that no executor holds the workers of both; the text is compared by its SHA-256.
     given = F.sha2(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary"), 256).alias("given")
     hashed = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), given)
-    encoded = staged(encode(hashed, path, "doc_id", "text", verify, ("given",)), "piece-ids")
+    encoded = staged(encode(hashed, path, "doc_id", "text", ("given",)), "piece-ids")
     light = decode(encoded, path).select("doc_id", "ids", F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"),
                                          (F.sha2(F.col("decoded").cast("binary"), 256) == F.col("given")).alias("round_trip"), "parity")
     schema = f"doc_id {kind}, n_ids long, ids_crc32 long, n_bytes long, decoded_crc32 long, round_trip boolean, parity boolean"

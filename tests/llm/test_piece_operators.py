@@ -41,15 +41,29 @@ def test_string_keys_and_every_unit_is_compared(spark, documents, monkeypatch):
     monkeypatch.setattr(pieces, "UNITS_AT_ONCE", 7)
     library = sentencepiece.SentencePieceProcessor(model_file=PATH)
     docs = documents.selectExpr("concat('k', doc_id) as doc_id", "text")
-    rows = pieces.encode(docs, PATH, units=True).collect()
+    rows = pieces.encode(docs, PATH).collect()
     assert len(rows) == docs.count() and all(r.parity and list(r.ids) == library.encode(r.text) for r in rows)
-    assert all(r.round_trip and r.parity is not False for r in pieces.encode_documents(docs, PATH, verify=3).collect())
-    assert any(r.parity for r in pieces.encode_documents(docs, PATH, verify=3).collect())
+    assert all(r.round_trip and r.parity for r in pieces.encode_documents(docs, PATH).collect())
+
+
+def test_units_in_lines_have_the_ids_they_have_alone(monkeypatch):
+    backend, library = pieces.Backend(open(PATH, "rb").read()), sentencepiece.SentencePieceProcessor(model_file=PATH)
+    assert backend.lines
+    backend.library = library
+    draw = random.Random(8)
+    signs = [*"abelnrst.,1é中😀²", "▁", " ", "  ", "ing", "the", "\n", "\x00", "aaa"]
+    texts = ["".join(draw.choice(signs) for _ in range(draw.randint(0, 60))) for _ in range(1500)]
+    monkeypatch.setattr(pieces, "LINE", 9)
+    monkeypatch.setattr(pieces, "REMEMBERED", 5_000)
+    for at in range(0, len(texts), 50):
+        part = texts[at:at + 50]
+        for text, (raw, read, same) in zip(part, backend.both(part), strict=True):
+            assert np.frombuffer(raw, "<u4").tolist() == library.encode(text) and read == library.decode(library.encode(text)) and same, text
 
 
 def test_a_wrong_unit_is_reported():
     backend = pieces.Backend(open(PATH, "rb").read())
     backend.library = sentencepiece.SentencePieceProcessor(model_file=PATH)
     assert all(same for *_, same in backend.both(["the text  here", " é ▁ 😀", ""]))
-    backend.library = type("Other", (), {"encode": staticmethod(lambda units, num_threads: [[1] for _ in units])})
+    backend.library = type("Other", (), {"encode": staticmethod(lambda given, num_threads=1: [1] if isinstance(given, str) else [[1] for _ in given])})
     assert [same for *_, same in backend.both(["quite another sentence", ""])] == [False, True]

@@ -56,6 +56,5 @@ def test_documents(documents, odd, nothing, model):
         rows = sorted(pieces.encode_documents(docs, tokenizer("piece_bpe_32k.model")).collect(), key=lambda r: str(r.doc_id))
         expected = sorted(((k, len(i := library.encode(t or "")), zlib.crc32(array("I", i).tobytes()), zlib.crc32((t or "").encode())) for k, t in source), key=str)
         assert sorted([(r.doc_id, r.n_ids, r.ids_crc32, r.decoded_crc32) for r in rows], key=str) == expected
-        chosen = sum(zlib.crc32((t or "").encode()) % 100 == 0 for _, t in source)
-        assert all(r.round_trip for r in rows) and [r.parity for r in rows if r.parity is not None] == [True] * chosen
+        assert all(r.round_trip and r.parity for r in rows)
     assert pieces.encode_documents(nothing, tokenizer("piece_bpe_32k.model")).collect() == []
