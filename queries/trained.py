@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from queries.context import Context
 from queries.spark_queries import SALTS, _cohort_events, query
 from recontact.functions import hawkes, metrics as m, uncertainty
-from recontact.operators import features as fe, splits
+from recontact.operators import features as fe, pointintime as pit, splits
 from recontact.operators.pointintime import KEY
-from recontact.plans import audit, kept_models, models, rolling, rolling_models
+from recontact.plans import audit, kept_models, models, rolling, rolling_models, sealed
 from recontact.session import ensure_checkpoint_dir, staged
 
 MODEL = ["model", "window_days"]
@@ -126,13 +126,33 @@ def feature_importance(c: Context):
     return models.importance_table(_fit(c, ("logistic_regression", "random_forest"), (7,)), c.spark)
 
 
+def _sealed(c: Context) -> str:
+    """Folder of the sealed scores of every available 1-day candidate after the information deadline, by each window's model."""
+    if not hasattr(c, "_sealed"):
+        fitted = _fit(c, ("logistic_regression",), c.policy.windows)
+        bank = staged(c.bounded(audit.audited_keys(c)), "sealed-bank")
+        ready = audit.availability(bank).where("prediction_available").select(*KEY)
+        deadline = kept_models.label_deadline(samples(c))
+        scores = models.predictions(fitted, bank.join(ready, KEY, "left_semi").where(F.col("timestamp") >= deadline))
+        ensure_checkpoint_dir(c.spark)
+        folder = f"{c.spark.sparkContext.getCheckpointDir()}/sealed-{uuid.uuid4().hex}"
+        sealed.seal(scores, folder, deadline, by=MODEL)
+        c._sealed = folder
+    return c._sealed
+
+
 @query
 def asof_scores(c: Context):
-    """Every available 1-day candidate after the information deadline, scored by each window's model."""
-    fitted = _fit(c, ("logistic_regression",), c.policy.windows)
-    bank = c.bounded(audit.audited_keys(c))
-    ready = audit.availability(bank).where("prediction_available").select(*KEY)
-    return models.predictions(fitted, bank.join(ready, KEY, "left_semi"))
+    """Scores as they were sealed, before any outcome was read."""
+    return sealed.unsealed(c.spark, _sealed(c))[0]
+
+
+@query
+def revealed_scores(c: Context):
+    """Sealed scores beside the outcomes that were revealed afterwards."""
+    folder = _sealed(c)
+    outcomes = pit.reveal_outcomes(c.reveal_keys, c.contacts, c.seen, c.span)
+    return sealed.reveal(c.spark, folder, outcomes.select(*KEY, F.col("label_24h").cast("int").alias("label"), "outcome", "outcome_reason"))
 
 
 def _hawkes(c: Context) -> DataFrame:
