@@ -9,9 +9,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from recontact.functions.metrics import exact_quantiles, running_totals
+from recontact.functions.metrics import dealt_by_value, exact_quantiles
 from recontact.policy import DAY, Policy
 
 def snapshot_times(rows: DataFrame) -> list[int]:
@@ -26,32 +26,69 @@ def draw_weights(days: int, draws: int, seed: int) -> np.ndarray:
     return np.stack([np.bincount(p, minlength=days) for p in picks], axis=1).astype(float)
 
 
+#: Cells (scores times days) of the count matrices that a task holds at once.
+CELLS = 2_000_000
+
+
+def _listed(day_rows: DataFrame, keys: list[str], kind: int) -> DataFrame:
+    """Counts per day as three arrays beside the key; at most one entry per day."""
+    entries = F.array_sort(F.collect_list(F.when((F.col("n") > 0), F.struct("timestamp", "n", "pos")))).alias("e")
+    made = day_rows.groupBy(*keys).agg(entries)
+    return made.select(*keys, F.lit(kind).alias("kind"), F.col("e.timestamp").alias("days"), F.col("e.n").alias("n"), F.col("e.pos").alias("pos"))
+
+
+def _earlier_days(dealt: DataFrame, keys: list[str], times: list[int]) -> DataFrame:
+    """Per range of scores the counts of every day in the group's earlier ranges: ranges times days rows."""
+    long = dealt.select(*keys, "part", F.inline(F.arrays_zip(F.col("days").alias("timestamp"), "n", "pos")))
+    totals = long.groupBy(*keys, "part", "timestamp").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    spine = dealt.select(*keys, "part").distinct().withColumn("timestamp", F.explode(F.lit(times).cast("array<bigint>")))
+    earlier = Window.partitionBy(*keys, "timestamp").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    summed = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c)
+    return spine.join(totals, [*keys, "part", "timestamp"], "left").select(*keys, "part", "timestamp", summed("n"), summed("pos"))
+
+
 def weighted_average_precision(rows: DataFrame, keys: list[str], times: list[int], weights: np.ndarray) -> DataFrame:
-    """keys, draw, average_precision for every weight column.
+    """keys, draw, average_precision for every weight column; the plan is the same for any number of days.
 
-    Running totals of all days come from windows over score buckets (they spill); Python only
-    multiplies Arrow batches with the weights and returns one partial sum per batch and key.
+    A score's counts per day are one vector. Vectors are added up in two levels: ranges of scores start at the day totals of the
+    group's earlier ranges (ranges times days rows in Spark), and inside a range a task adds them up in score order, a block of rows at a
+    time, multiplies with the weights and returns one partial sum per group and block.
     """
-    on = lambda value, t: F.expr(f"CAST(sum(CASE WHEN timestamp = {t} THEN {value} ELSE 0 END) AS DOUBLE)")
-    span = range(len(times))
     daily = rows.groupBy(*keys, "p", "timestamp").agg(F.count("*").alias("n"), F.sum(F.col("label").cast("long")).alias("pos"))
-    wide = daily.groupBy(*keys, "p").agg(*[on(v, times[i]).alias(f"{v}_{i}") for v in ("n", "pos") for i in span])
-    steps = running_totals(wide, keys, "p", [f"{v}_{i}" for v in ("n", "pos") for i in span])
-    listed = lambda name: f"array({', '.join(f'{name}_{i}' for i in span)})"
-    vectors = steps.selectExpr(*keys, f"{listed('pos')} AS pos", f"{listed('cum_n')} AS cum_n", f"{listed('cum_pos')} AS cum_pos")
+    dealt = dealt_by_value(_listed(daily, [*keys, "p"], 1), keys, "p", True)
+    heads = _listed(_earlier_days(dealt, keys, times), [*keys, "part"], 0).withColumn("p", F.lit(None).cast(rows.schema["p"].dataType))
+    ordered = (dealt.unionByName(heads).repartition(*keys, "part")
+               .sortWithinPartitions(*keys, "part", "kind", F.col("p").desc()).select(*keys, "kind", "days", "n", "pos"))
+    known, block = np.array(times, dtype=np.int64), max(1, CELLS // max(1, len(times)))
+
+    def dense(part: pd.DataFrame, name: str) -> np.ndarray:
+        lengths = part["days"].map(len).to_numpy()
+        out = np.zeros((len(part), len(known)))
+        if lengths.sum():
+            day = np.searchsorted(known, np.concatenate(part["days"].to_numpy()))
+            out[np.repeat(np.arange(len(part)), lengths), day] = np.concatenate(part[name].to_numpy())
+        return out
 
     def partial(batches):
+        shown_before = found_before = np.zeros(len(known))
         for batch in batches:
-            for group, part in batch.groupby(keys, sort=False):
-                drawn = np.stack(part["pos"].to_numpy()) @ weights
-                shown = np.stack(part["cum_n"].to_numpy()) @ weights
-                found = np.stack(part["cum_pos"].to_numpy()) @ weights
-                gain = np.divide(drawn * found, shown, out=np.zeros_like(drawn), where=shown > 0).sum(axis=0)
-                yield pd.DataFrame({**{k: [v] for k, v in zip(keys, group)}, "gain": [gain.tolist()], "positives": [drawn.sum(axis=0).tolist()]})
+            edges = sorted({0, len(batch), *np.flatnonzero(batch["kind"].to_numpy() == 0).tolist()})
+            for a, b in zip(edges[:-1], edges[1:]):
+                if batch["kind"].iat[a] == 0:  # the totals that a range starts at
+                    head = batch.iloc[a:a + 1]
+                    shown_before, found_before, a = dense(head, "n")[0], dense(head, "pos")[0], a + 1
+                for at in range(a, b, block):
+                    part = batch.iloc[at:min(at + block, b)]
+                    n, pos = dense(part, "n"), dense(part, "pos")
+                    shown, found = shown_before + n.cumsum(axis=0), found_before + pos.cumsum(axis=0)
+                    shown_before, found_before = shown[-1], found[-1]
+                    drawn, seen = pos @ weights, shown @ weights
+                    gain = np.divide(drawn * (found @ weights), seen, out=np.zeros_like(drawn), where=seen > 0).sum(axis=0)
+                    yield pd.DataFrame({**{k: [part[k].iat[0]] for k in keys}, "gain": [gain.tolist()], "positives": [drawn.sum(axis=0).tolist()]})
 
     types = dict(rows.dtypes)
     schema = ", ".join([f"{k} {types[k]}" for k in keys] + ["gain array<double>", "positives array<double>"])
-    tall = vectors.mapInPandas(partial, schema).select(*keys, F.posexplode(F.arrays_zip("gain", "positives")).alias("draw", "part"))
+    tall = ordered.mapInPandas(partial, schema).select(*keys, F.posexplode(F.arrays_zip("gain", "positives")).alias("draw", "part"))
     summed = tall.groupBy(*keys, "draw").agg(F.sum("part.gain").alias("gain"), F.sum("part.positives").alias("positives"))
     return summed.select(*keys, "draw", F.when(F.col("positives") > 0, F.col("gain") / F.col("positives")).alias("average_precision"))
 
@@ -77,7 +114,7 @@ def paired_deltas(rows: DataFrame, contrasts) -> DataFrame:
     identity = np.eye(len(times))
     scored = weighted_average_precision(rows, KEYS, times, np.concatenate([identity, 1 - identity], axis=1))
     deltas = contrast_deltas(scored, contrasts, ["draw"])
-    listed = F.array(*[F.lit(t).cast("long") for t in times])
+    listed = F.lit(times).cast("array<bigint>")
     day = F.element_at(listed, (F.col("draw") % len(times) + 1).cast("int"))
     return deltas.select("contrast", (F.floor(day / DAY) + 1).alias("study_day"),
                          F.when(F.col("draw") < len(times), "only_this_day").otherwise("without_this_day").alias("kind"),

@@ -93,3 +93,28 @@ def test_bootstrap_interval_holds_the_pooled_delta_and_needs_days(frame):
     assert ci.status == "paired_day_block_bootstrap" and ci.low < ci.high
     few = u.block_bootstrap(frame.where(f"timestamp < {3 * DAY}"), contrasts, Policy()).first()
     assert few.low is None and few.status == "insufficient_days_for_ci"
+
+
+def test_weighted_curves_have_one_plan_for_any_number_of_days(spark, monkeypatch):
+    draw = np.random.default_rng(6)
+    monkeypatch.setattr(u, "CELLS", 40)
+    shapes = []
+    for days in (3, 60):
+        rows = [(("x", "y")[i % 2], int(draw.integers(days)) * DAY, int(draw.random() < 0.4), float(draw.integers(9)) / 8) for i in range(400)]
+        made = spark.createDataFrame(rows, "model string, timestamp long, label int, p double")
+        times = u.snapshot_times(made)
+        weights = u.draw_weights(len(times), 4, 2)
+        result = u.weighted_average_precision(made, ["model"], times, weights)
+        plan = result._jdf.queryExecution().analyzed().toString().strip().split("\n")
+        shapes.append((len(plan), len(result.columns)))
+        found = {(r.model, r.draw): r.average_precision for r in result.collect()}
+        for model in "xy":
+            for k in range(4):
+                # Rows repeated as often as their day is drawn.
+                drawn = [(p, label) for m, t, label, p in rows if m == model for _ in range(int(weights[times.index(t), k]))]
+                positives, total = sum(label for _, label in drawn), 0.0
+                for p in {p for p, _ in drawn}:
+                    above = [label for q, label in drawn if q >= p]
+                    total += sum(label for q, label in drawn if q == p) / positives * sum(above) / len(above)
+                assert found[model, k] == pytest.approx(total)
+    assert shapes[0] == shapes[1]
