@@ -72,4 +72,46 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
 """
 
-ORACLES: dict[str, str] = {"op11_bitmap_rank_manifest": MERKLE, "op12_branch_bound_collocations": COLLOCATIONS}
+#: Rules and their bits are written out: bit i of ``failed`` is the i-th line.
+RULE_LEDGER = r"""
+WITH texts AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+cut AS (SELECT row, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM texts),
+words AS (SELECT row, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM cut),
+windows AS (
+  SELECT row, i, word AS a, lead(word, 1) OVER line AS b, lead(word, 2) OVER line AS c FROM words WINDOW line AS (PARTITION BY row ORDER BY i)),
+twice AS (SELECT row, i FROM windows WHERE c IS NOT NULL QUALIFY count(*) OVER (PARTITION BY row, a, b, c) >= 2),
+covered AS (SELECT row, count(DISTINCT i + k)::BIGINT AS n FROM twice, (VALUES (0), (1), (2)) AS t(k) GROUP BY row),
+bodies AS (SELECT *, array_to_string(w, '') AS body FROM cut),
+counts AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(body)::BIGINT AS word_chars, (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, len(lines) AS n_lines, coalesce(covered.n, 0) AS n_repeat_words,
+    length(regexp_replace(body, '[^\p{L}]+', '', 'g')) AS n_letters, length(regexp_replace(body, '[^\p{Lu}]+', '', 'g')) AS n_upper,
+    length(regexp_replace(body, '[^\p{Lu}\p{Ll}]+', '', 'g')) AS n_cased
+  FROM bodies LEFT JOIN covered USING (row)),
+judged AS (
+  SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END
+    + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
+    + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END
+    + CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 8 ELSE 0 END
+    + CASE WHEN n_cased >= 20 AND 2 * n_upper > n_cased THEN 16 ELSE 0 END
+    + CASE WHEN word_chars > 20 * n_words THEN 32 ELSE 0 END
+    + CASE WHEN 2 * n_letters < word_chars THEN 64 ELSE 0 END)::BIGINT AS failed FROM counts)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed FROM judged
+"""
+
+ARCHIVE = """
+WITH bodies AS (SELECT page_id::BIGINT AS page_id, coalesce(html, '') AS body FROM pages),
+sized AS (SELECT *, strlen(body)::BIGINT AS payload_bytes, sha1(body) AS payload_digest FROM bodies),
+placed AS (
+  SELECT *, payload_bytes < 1000 OR row_number() OVER (PARTITION BY body ORDER BY page_id DESC NULLS LAST) = 1 AS holds,
+    max(page_id) OVER (PARTITION BY body) AS holder FROM sized)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN holds THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN NOT holds THEN holder END AS refers_to
+FROM placed
+"""
+
+ORACLES: dict[str, str] = {
+    "op4_rule_ledger": RULE_LEDGER,
+    "op6_content_archive": ARCHIVE,
+    "op11_bitmap_rank_manifest": MERKLE,
+    "op12_branch_bound_collocations": COLLOCATIONS,
+}
