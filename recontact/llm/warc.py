@@ -7,6 +7,7 @@ nothing else. The original records come back by joining both, and every payload
 from __future__ import annotations
 
 import uuid
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -22,19 +23,39 @@ def _line(name: str, value: Column | str) -> Column:
 
 
 def records(pages: DataFrame, key: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:
-    """page_id, record_id, url, payload (binary), payload_bytes, address (SHA-256), payload_digest (SHA-1).
+    """page_id, url, payload (binary), payload_bytes, address (SHA-256), payload_digest (SHA-1).
 
-    Null bodies are empty payloads; null keys and urls are written as empty header values.
+    Null bodies are empty payloads; null keys and urls stay null.
     """
     payload = F.coalesce(F.col(body).cast("binary"), F.lit(b""))
-    return (pages.select(F.col(key).cast("long").alias("page_id"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("url"), payload.alias("payload"))
+    return (pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), payload.alias("payload"))
             .withColumn("payload_bytes", F.octet_length("payload").cast("long"))
             .withColumn("address", F.unhex(F.sha2("payload", 256))).withColumn("payload_digest", F.sha1("payload")))
 
 
-def store(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", body: str = "html") -> None:
+def record_uuid(archive_id: str, record: Column) -> Column:
+    """A name-based UUID (version 5 layout) of a record of an archive: repeated and null page_ids have their own."""
+    digest = F.sha1(F.concat(F.lit(f"{archive_id}/"), record.cast("string")).cast("binary"))
+    part = lambda start, size: F.substring(digest, start, size)
+    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("5"), part(14, 3)),
+                                                    F.concat(F.lit("8"), part(18, 3)), part(21, 12)), F.lit(">"))
+
+
+def _target(url: Column) -> Column:
+    """The target lines: the URL with its line breaks escaped and, where that is not the URL itself, its exact form."""
+    plain = F.coalesce(F.regexp_replace(F.regexp_replace(url, "\r", "%0D"), "\n", "%0A"), F.lit(""))
+    exact = (F.when(url.isNull(), _line("X-Target-URI", "null"))
+             .when(url.rlike(r"[\r\n]") | (F.trim(url) != url) | (url == ""), _line("X-Target-URI", F.concat(F.lit("hex:"), F.hex(F.encode(url, "UTF-8")))))
+             .otherwise(F.lit("")))
+    return F.concat(_line("WARC-Target-URI", F.when(F.trim(plain) == "", F.lit("about:blank")).otherwise(plain)), exact)
+
+
+def store(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", body: str = "html", date: datetime | None = None) -> None:
     """Write ``payloads`` and ``headers`` below the folder.
 
+    A header block is the record's WARC header and, as its content begins with it, the HTTP head of the answer the payload came with.
+    ``date``: the WARC-Date of all records, by default the time of the call (the tables hold none). URLs come back exactly, null ones too.
+
     Of rows with equal payloads (equal SHA-256 and length) of at least ``LEAST_SHARED`` bytes, the one with the
     largest page_id becomes the response and the others revisit it (a null page_id is smaller than all; of repeated rows with
     one page_id, one is the response). Shorter payloads are all responses.
@@ -52,17 +73,21 @@ def store(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
              .withColumn("record_type", F.when(F.col("holds") | (F.col("payload_bytes") < LEAST_SHARED), "response").otherwise("revisit"))
              .withColumn("refers_to", F.when(F.col("record_type") == "revisit", F.col("holder.page_id"))))
     address = F.lower(F.hex("address"))
-    ident = lambda page: F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("")), F.lit(">"))
-    safe_url = F.regexp_replace("url", r"[\r\n]+", " ")
-    stored = F.when(F.col("record_type") == "response", F.col("payload_bytes")).otherwise(F.lit(0))
+    archive_id = uuid.uuid4().hex
+    number = lambda page: F.coalesce(page.cast("string"), F.lit(""))
+    moment = (date or datetime.now(timezone.utc)).astimezone(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    size = F.col("payload_bytes").cast("string")
+    http = F.concat(F.lit("HTTP/1.1 200 OK" + CRLF), _line("Content-Type", "text/html; charset=utf-8"), _line("Content-Length", size), F.lit(CRLF))
+    stored = F.octet_length(http) + F.when(F.col("record_type") == "response", F.col("payload_bytes")).otherwise(F.lit(0))
     header = F.concat(
-        F.lit("WARC/1.1" + CRLF), _line("WARC-Type", F.col("record_type")), _line("WARC-Record-ID", ident(F.col("page_id"))),
-        _line("WARC-Target-URI", safe_url), _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
+        F.lit("WARC/1.1" + CRLF), _line("WARC-Type", F.col("record_type")), _line("WARC-Record-ID", record_uuid(archive_id, F.col("record"))),
+        _line("WARC-Date", moment), _target(F.col("url")), _line("X-Page-ID", number(F.col("page_id"))),
+        _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
         F.when(F.col("record_type") == "revisit", F.concat(
-            _line("WARC-Refers-To", ident(F.col("refers_to"))),
-            _line("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))).otherwise(F.lit("")),
-        _line("X-Payload-Address", F.concat(F.lit("sha256:"), address)), _line("X-Payload-Length", F.col("payload_bytes").cast("string")),
-        _line("Content-Type", "text/html; charset=utf-8"), _line("Content-Length", stored.cast("string")), F.lit(CRLF))
+            _line("WARC-Refers-To", record_uuid(archive_id, F.col("holder.record"))), _line("X-Refers-To-Page", number(F.col("refers_to"))),
+            _line("WARC-Refers-To-Date", moment), _line("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))).otherwise(F.lit("")),
+        _line("X-Payload-Address", F.concat(F.lit("sha256:"), address)), _line("X-Payload-Length", size),
+        _line("Content-Type", "application/http; msgtype=response"), _line("Content-Length", stored.cast("string")), F.lit(CRLF), http)
     heads.select("address", "record", header.cast("binary").alias("header")).write.parquet(f"{folder}/headers")
     # A row with the holder's payload and page_id writes the bytes, whatever its number: equal rows become one before the exchange.
     same = ["address", "payload_bytes", "page"]
@@ -75,7 +100,7 @@ def store(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
 def reconstruct(spark: SparkSession, folder: str) -> DataFrame:
     """record (the original bytes of a WARC record), header, payload: one row per stored header.
 
-    The record of a revisit has no content block, as it was written; ``payload`` is the full one either way. Raises if the
+    The content block of a revisit is the HTTP head alone, as it was written; ``payload`` is the full one either way. Raises if the
     bytes do not have the digest they are stored under, or if a header finds no payload.
     """
     payloads = spark.read.parquet(f"{folder}/payloads")
@@ -96,11 +121,14 @@ def parse(found: DataFrame) -> DataFrame:
     """
     head = F.col("header").cast("string")
     value = lambda name: F.regexp_extract(head, rf"\r\n{name}: ([^\r]*)\r\n", 1)
-    page = lambda name: F.nullif(F.regexp_extract(head, rf"\r\n{name}: <urn:page:(-?\d*)>\r\n", 1), F.lit("")).cast("long")
+    page = lambda name: F.nullif(F.regexp_extract(head, rf"\r\n{name}: (-?\d*)\r\n", 1), F.lit("")).cast("long")
+    exact = value("X-Target-URI")
+    url = (F.when(exact == "null", F.lit(None).cast("string")).when(exact.startswith("hex:"), F.decode(F.unhex(F.substring(exact, 5, 1 << 30)), "UTF-8"))
+           .otherwise(value("WARC-Target-URI")))
     rows = found.select(
-        page("WARC-Record-ID").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"),
-        F.sha1("payload").alias("payload_digest"), value("WARC-Type").alias("record_type"), page("WARC-Refers-To").alias("refers_to"),
-        value("WARC-Target-URI").alias("url"), value("WARC-Payload-Digest").alias("said"), value("X-Payload-Length").cast("long").alias("said_bytes"))
+        page("X-Page-ID").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha1("payload").alias("payload_digest"), value("WARC-Type").alias("record_type"), page("X-Refers-To-Page").alias("refers_to"),
+        url.alias("url"), value("WARC-Payload-Digest").alias("said"), value("X-Payload-Length").cast("long").alias("said_bytes"))
     agrees = (F.col("said") == F.concat(F.lit("sha1:"), F.col("payload_digest"))) & (F.col("said_bytes") == F.col("payload_bytes"))
     return rows.withColumn("payload_digest", F.when(agrees, F.col("payload_digest")).otherwise(
         F.raise_error(F.lit("a record's header does not agree with its payload")).cast("string"))).drop("said", "said_bytes")

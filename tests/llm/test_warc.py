@@ -1,4 +1,6 @@
 import hashlib
+import uuid
+from datetime import datetime, timezone
 
 import pytest
 
@@ -51,6 +53,30 @@ def test_records_are_whole_and_payloads_stored_once(spark, tmp_path):
         assert bytes(r.payload).decode() == body
 
 
+def test_records_are_complete_responses_and_urls_come_back(spark, tmp_path):
+    urls = ["http://h/a?x=%0D&y=%25", "http://h/b\r\nSet: x\n", "", None, " http://h/c ", "http://h/é", "hex:41", "null", "x\r\nWARC-Type: revisit\r\n"]
+    body = "<p>é</p>" * 300
+    rows = [(p, u, body if i % 2 else f"short {i}") for i, (p, u) in enumerate(zip([1, 1, 2, None, None, 5, 6, 7, 8], urls, strict=True))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.store(pages, str(tmp_path), date=datetime(2024, 5, 6, 7, 8, 9, tzinfo=timezone.utc))
+    found = warc.reconstruct(spark, str(tmp_path))
+    named = {}
+    for r in found.collect():
+        head, _, rest = bytes(r.record).partition(b"\r\n\r\n")
+        fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
+        assert fields["WARC-Date"] == "2024-05-06T07:08:09Z" and fields["Content-Type"] == "application/http; msgtype=response"
+        http, _, payload = rest.removesuffix(b"\r\n\r\n").partition(b"\r\n\r\n")
+        answer = dict(line.split(": ", 1) for line in http.decode().split("\r\n")[1:])
+        assert http.startswith(b"HTTP/1.1 200 OK\r\n") and int(answer["Content-Length"]) == len(r.payload)
+        assert payload == (b"" if fields["WARC-Type"] == "revisit" else bytes(r.payload))
+        assert str(uuid.UUID(fields["WARC-Record-ID"][10:-1])) == fields["WARC-Record-ID"][10:-1]
+        named[fields["WARC-Record-ID"]] = (fields["WARC-Type"], bytes(r.payload), fields.get("WARC-Refers-To"))
+    assert len(named) == len(rows)
+    assert all(named[refers][:2] == ("response", payload) for kind, payload, refers in named.values() if kind == "revisit")
+    back = sorted([(r.page_id, r.url, r.payload_bytes) for r in warc.parse(found).collect()], key=str)
+    assert back == sorted([(p, u, len(b.encode())) for p, u, b in rows], key=str)
+
+
 def test_repeated_rows_have_one_response(spark):
     pages = spark.createDataFrame([(5, "u", "z" * 2000)] * 3 + [(4, "u", "z" * 2000)], "page_id long, url string, html string").coalesce(1)
     rows = digest_rows(warc.archive(pages))
