@@ -31,6 +31,8 @@ SIZE = len(ALPHABET) + 1
 THRESHOLD = 0.35
 #: Labelled strings of each class that the models are fitted on: a bound of the fit, not of the search.
 SAMPLE = 20_000
+#: Different texts that the ordinary strings of the fit are taken from.
+SAMPLE_TEXTS = 500
 
 
 SPANS = "array<struct<start:int,end:int>>"
@@ -66,17 +68,21 @@ def pairs_of(codes: str) -> str:
             f"i -> element_at({codes}, i) * {SIZE} + element_at({codes}, i + 1)), array())")
 
 
-def labelled_sample(docs: DataFrame, text: str = "text", size: int = SAMPLE) -> DataFrame:
+def labelled_sample(docs: DataFrame, text: str = "text", size: int = SAMPLE, texts: int = SAMPLE_TEXTS) -> DataFrame:
     """sample, random (boolean): at most ``size`` strings of each class, those with the smallest hash.
 
-    Ordinary identifiers are the longest letter runs of the documents' lines of text and their snake and camel joins;
-    random strings are digests of row keys written in the usual alphabets, random by construction. Which documents
-    serve is decided by a hash of the text, so the sample does not depend on order or partitions.
+    Ordinary identifiers are the letter runs of at most ``texts`` documents and their snake and camel joins;
+    random strings are digests of the numbers from 0 to ``size`` in the usual alphabets, random by construction. Which documents
+    serve is decided by a hash of the text, so the sample does not depend on order or partitions. Copies of a text count
+    once, and texts without a run of four letters (null and empty ones among them) never take a place.
     """
     spark = docs.sparkSession
     value = F.coalesce(F.col(text).cast("string"), F.lit(""))
     runs = F.array_distinct(F.regexp_extract_all("t", F.lit(r"[A-Za-z]{4,40}"), F.lit(0)))
-    few = docs.select(value.alias("t")).orderBy(F.xxhash64("t")).limit(max(1, size // 100))
+    named = docs.select(value.alias("t")).where(F.col("t").rlike("[A-Za-z]{4}")).withColumn("h", F.xxhash64("t"))
+    # The hashes are chosen alone; only the chosen texts, one of each, are exchanged.
+    chosen = named.select("h").distinct().orderBy("h").limit(texts)
+    few = named.join(chosen, "h", "left_semi").dropDuplicates(["h"]).select("t")
     words = few.select(runs.alias("words")).select(F.posexplode("words").alias("k", "word"), "words")
     partner = F.element_at("words", F.pmod(F.col("k") * 7 + 3, F.size("words")) + 1)
     joined = (F.when(F.col("k") % 4 == 0, F.concat_ws("_", "word", partner)).when(F.col("k") % 4 == 1, F.concat("word", F.initcap(partner)))
@@ -164,8 +170,3 @@ def redacted(text: Column, found: Column, mark: str = "[secret]") -> Column:
     walked = F.aggregate(found, start, step)
     whole = F.concat(walked["out"], F.substring(text, walked["at"] + 1, F.length(text)))
     return F.when(F.size(found) > 0, whole).otherwise(text)
-
-
-def train(docs: DataFrame, text: str = "text") -> list[float]:
-    prepare(docs.sparkSession)
-    return fit(labelled_sample(docs, text))
