@@ -26,7 +26,7 @@ def samples(c: Context) -> DataFrame:
         plan = splits.split_plan(splits.time_counts(c.cohort), (0.5, 0.3, 0.2))
         part = splits.validation_plan(plan)
         rows = (c.bounded(c.recent_keys).join(c.cohort.select(*KEY, F.col("label_24h").cast("int").alias("label")), KEY)
-                .join(F.broadcast(plan.select("timestamp", "split")), "timestamp").join(F.broadcast(part), "timestamp", "left"))
+                .join(plan.select("timestamp", "split"), "timestamp").join(part, "timestamp", "left"))
         c._samples = staged(rows, "samples")
     return c._samples
 
@@ -102,7 +102,7 @@ def calibration_compare(c: Context):
 def window_ablation(c: Context):
     """The 14-day bank masked to each model window; communication features stay unavailable."""
     plan = splits.split_plan(splits.time_counts(c.cohort), c.policy.fractions)
-    base = c.bank.join(c.cohort.select(*KEY, F.col("label_24h").cast("int").alias("label")), KEY).join(F.broadcast(plan.select("timestamp", "split")), "timestamp")
+    base = c.bank.join(c.cohort.select(*KEY, F.col("label_24h").cast("int").alias("label")), KEY).join(plan.select("timestamp", "split"), "timestamp")
     rows = None
     for w in c.policy.bank_windows:
         part = fe.feature_window_view(base, w).withColumn("window_days", F.lit(w))
@@ -165,7 +165,7 @@ def _hawkes(c: Context) -> DataFrame:
 def select_half_life(c: Context):
     """Per fold the half-life with the best validation AP (ties: the shorter), and its threshold."""
     labels = c.cohort.select(*KEY, F.col("label_24h").cast("int").alias("label"))
-    rows = _hawkes(c).join(labels, KEY).join(F.broadcast(c.roles.where("role = 'validation'")), "timestamp")
+    rows = _hawkes(c).join(labels, KEY).join(c.folds.select("test_time", F.explode("validation").alias("timestamp")), "timestamp")
     keys = ["test_time", "half_life_hours"]
     scored = m.average_precision(rows, keys).join(m.best_threshold(rows, keys), keys)
     order = Window.partitionBy("test_time").orderBy(F.col("average_precision").desc(), "half_life_hours")
@@ -210,7 +210,7 @@ def partition_summary(c: Context):
 def _rolling(c: Context) -> tuple[DataFrame, DataFrame]:
     """Every ready fold and window of the logistic learner; the tree learners run through the same call, at minutes a fold."""
     if not hasattr(c, "_rolling_trained"):
-        c._rolling_trained = rolling_models.rolling_trained(samples(c), c.roles, ("logistic_regression",), tuple(c.policy.windows), c.policy.seed)
+        c._rolling_trained = rolling_models.rolling_trained(samples(c), c.folds, ("logistic_regression",), tuple(c.policy.windows), c.policy.seed)
     return c._rolling_trained
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from recontact.policy import DAY, Policy
 
@@ -38,6 +38,19 @@ def snapshot_time(day, policy: Policy) -> Column:
     return (_col(day) * DAY + policy.offset).cast("long")
 
 
+def sums_until(daily: DataFrame, asked: DataFrame, keys: list[str], columns: tuple[str, ...], at: str) -> DataFrame:
+    """``asked`` with the sums of ``columns`` over the daily rows of the same keys whose timestamp is ``at`` or earlier; 0 without any.
+
+    One running sum over both tables together: an asked row never meets the days it adds up, so work is one sort of daily and asked rows.
+    """
+    wanted = asked.select(*keys, F.col(at).alias("_at"), *[F.lit(0).cast("long").alias(c) for c in columns], F.struct(*asked.columns).alias("_asked"))
+    days = daily.select(*keys, F.col("timestamp").alias("_at"), *[F.col(c).cast("long").alias(c) for c in columns],
+                        F.lit(None).cast(wanted.schema["_asked"].dataType).alias("_asked"))
+    upto = Window.partitionBy(*keys).orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = days.unionByName(wanted).select("_asked", *[F.sum(c).over(upto).alias(c) for c in columns])
+    return summed.where("_asked IS NOT NULL").select("_asked.*", *columns)
+
+
 def study_day(ts) -> Column:
     return floor_div(ts, DAY) + 1
 

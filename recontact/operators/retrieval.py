@@ -52,7 +52,7 @@ def retrieval_scores(unique: DataFrame, policy: Policy) -> DataFrame:
         F.sum("contacts").over(Window.partitionBy(*SOURCE, *PAIR).orderBy("day").rangeBetween(-(w - 1), 0)).alias(f"count_{w}") for w in windows])
     tall = candidate.select(*SOURCE, "day", *PAIR, "last_contact", F.inline(F.array(*[
         F.struct(F.lit(w).alias("window_days"), F.col(f"count_{w}").alias("records")) for w in windows])))
-    times = F.broadcast(source_times(unique, policy))  # sources x windows x days rows
+    times = source_times(unique, policy)  # sources x windows x days rows
     asked = tall.join(times, [*SOURCE, "window_days", "day"], "left_semi")
     graph = presence(pairs, windows, tuple(SOURCE)).join(times, [*SOURCE, "window_days", "day"], "left_semi")
     shared = expand_smaller_end(asked.select(*SOURCE, "window_days", "day", *PAIR), graph, _degrees(graph), [*SOURCE, "window_days", "day"])
@@ -73,7 +73,7 @@ def network_densities(unique: DataFrame, policy: Policy) -> DataFrame:
     """Nodes, edges and density of each source's window graph at each complete snapshot."""
     pairs = unique.select(*SOURCE, *PAIR, history_day("timestamp", policy).alias("day")).distinct()
     graph = presence(pairs, policy.windows, tuple(SOURCE)).join(
-        F.broadcast(source_times(unique, policy)), [*SOURCE, "window_days", "day"], "left_semi")
+        source_times(unique, policy), [*SOURCE, "window_days", "day"], "left_semi")
     nodes = _degrees(graph).groupBy(*SOURCE, "window_days", "day").agg(F.count("*").alias("nodes"), F.sum("degree").alias("ends"))
     n = F.col("nodes")
     return nodes.select(*SOURCE, snapshot_time("day", policy).alias("timestamp"), "window_days", "nodes",
@@ -189,7 +189,7 @@ def pool_sets(scores: DataFrame, unique: DataFrame, policy: Policy) -> DataFrame
     candidate = scores.where(F.col("window_days") == 1).select(
         *SOURCE, ((F.col("timestamp") - policy.offset) / DAY).cast("long").alias("day"), *PAIR)
     times = source_times(unique, policy).where(F.col("window_days") == 1)
-    positive = future_pairs(unique, policy).join(F.broadcast(times), [*SOURCE, "day"], "left_semi")
+    positive = future_pairs(unique, policy).join(times, [*SOURCE, "day"], "left_semi")
     sets = {"both": candidate.intersect(positive), "candidate_only": candidate.exceptAll(positive), "positive_only": positive.exceptAll(candidate)}
     parts = [frame.groupBy("dataset_id").agg(F.count("*").alias("pairs")).withColumn("part", F.lit(name)) for name, frame in sets.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])

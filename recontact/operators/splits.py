@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from recontact.functions.timemath import Span
+from recontact.functions.timemath import Span, sums_until
 from recontact.operators.integrity import contract_join
 from recontact.operators.pointintime import KEY
 from recontact.policy import DAY, Policy
@@ -75,7 +75,7 @@ def split_plan(times: DataFrame, fractions: tuple[float, float, float]) -> DataF
 
 
 def assign_split(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    return rows.join(F.broadcast(plan.select("timestamp", "split")), "timestamp")  # one row per study day
+    return rows.join(plan.select("timestamp", "split"), "timestamp")  # one row per study day
 
 
 def chrono_split(rows: DataFrame, policy: Policy) -> DataFrame:
@@ -151,7 +151,7 @@ def _walk_roles(starts: DataFrame, times: DataFrame, policy: Policy, test_days:
 
 def rolling_roles(times: DataFrame, policy: Policy) -> DataFrame:
     """test_time, timestamp, role: every time tested once, the last 3 purged earlier times
-    validate, everything purged before those trains."""
+    validate, everything purged before those trains. Days squared rows, to look at: ``fold_spans`` says the same in one row a fold."""
     starts = times.select(F.col("timestamp").alias("test_time"))
     spread = _spread(starts, times, policy)
     t, test = F.col("timestamp"), F.col("test_time")
@@ -165,6 +165,34 @@ def rolling_roles(times: DataFrame, policy: Policy) -> DataFrame:
         "test_time", "timestamp", "role", "rows", "positive", "negative")
 
 
+def fold_spans(times: DataFrame, policy: Policy) -> DataFrame:
+    """One row per time, tested by the fold it belongs to: times and classes of every role, the span that trains
+    (train_first, train_last: every time between belongs to it) and the few times that validate (``validation``, an array).
+
+    Everything purged before a time, and the purged times before its first validation time, are beginnings of the same order
+    of times. So a fold is a running sum, looked up at two places: as many rows as times, not folds times days.
+    """
+    order = Window.orderBy("timestamp")
+    earlier = order.rangeBetween(Window.unboundedPreceding, -DAY - 1)
+    so_far = lambda name: F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(name)
+    before = F.struct(F.count("*").over(earlier).alias("times"), so_far("positive"), so_far("negative"),
+                      F.min("timestamp").over(earlier).alias("first"), F.max("timestamp").over(earlier).alias("last"))
+    placed = times.select("timestamp", "positive", "negative", F.row_number().over(order).alias("place"), before.alias("before"))
+    few = Window.orderBy("place").rowsBetween(1 - policy.validation_times, Window.currentRow)
+    recent = placed.select(F.col("place").alias("upto"), F.collect_list(F.struct("timestamp", "positive", "negative", "before")).over(few).alias("recent"))
+    joined = placed.join(recent, F.col("before.times") == F.col("upto"), "left")
+    validation = F.coalesce(F.col("recent"), F.expr("slice(array(struct(timestamp, positive, negative, before)), 1, 0)"))
+    rows = joined.select("timestamp", "positive", "negative", validation.alias("held")).withColumn("train", F.try_element_at("held", F.lit(1))["before"])
+    held = lambda name: F.aggregate("held", F.lit(0).cast("long"), lambda n, r: n + r[name])
+    count = lambda name: F.coalesce(F.col(f"train.{name}"), F.lit(0).cast("long"))
+    return rows.select(
+        F.col("timestamp").alias("test_time"), count("times").alias("train_times"), F.size("held").cast("long").alias("validation_times"),
+        F.lit(1).cast("long").alias("test_times"), count("positive").alias("train_positive"), count("negative").alias("train_negative"),
+        held("positive").alias("validation_positive"), held("negative").alias("validation_negative"), F.col("positive").alias("test_positive"),
+        F.col("negative").alias("test_negative"), F.col("train.first").alias("train_first"), F.col("train.last").alias("train_last"),
+        F.col("held.timestamp").alias("validation"))
+
+
 def _counts(keys: list[str], roles: DataFrame) -> DataFrame:
     part = lambda role, value: F.coalesce(F.sum(F.when(F.col("role") == role, value)), F.lit(0))
     names = ("train", "validation", "test")
@@ -184,14 +212,33 @@ def _fold_table(roles: DataFrame, keys: list[str], policy: Policy, min_train: in
     return counts.withColumn("status", F.when(ready, "ready").otherwise(failed))
 
 
-def rolling_folds(rows: DataFrame, policy: Policy) -> DataFrame:
-    counts = _counts(["test_time"], rolling_roles(time_counts(rows), policy))
+SPANS = ("train_first", "train_last", "validation")
+
+
+def _rated_folds(rows: DataFrame, policy: Policy) -> DataFrame:
     short = (F.col("validation_times") < policy.validation_times) | (F.col("train_times") < policy.min_train_times)
-    return counts.withColumn("status", F.when(short, "insufficient_history").when(_balanced(policy), "ready").otherwise("insufficient_class_rows"))
+    status = F.when(short, "insufficient_history").when(_balanced(policy), "ready").otherwise("insufficient_class_rows")
+    return fold_spans(time_counts(rows), policy).withColumn("status", status)
+
+
+def rolling_folds(rows: DataFrame, policy: Policy) -> DataFrame:
+    return _rated_folds(rows, policy).drop(*SPANS)
+
+
+def ready_folds(rows: DataFrame, policy: Policy) -> DataFrame:
+    """test_time, train_first, train_last, validation (array of times): the folds that may be evaluated, one row each."""
+    return _rated_folds(rows, policy).where("status = 'ready'").select("test_time", *SPANS)
+
+
+def evaluated_times(folds: DataFrame) -> DataFrame:
+    """One row per fold and time that it validates or tests on: the folds' columns but ``validation``, timestamp and role."""
+    item = lambda t, role: F.struct(t.alias("timestamp"), F.lit(role).alias("role"))
+    items = F.concat(F.transform("validation", lambda t: item(t, "validation")), F.array(item(F.col("test_time"), "test")))
+    return folds.withColumn("item", F.explode(items)).drop("validation").select("*", "item.*").drop("item")
 
 
 def ready_roles(rows: DataFrame, policy: Policy) -> DataFrame:
-    """test_time, timestamp, role of the folds that may be evaluated (days squared rows)."""
+    """test_time, timestamp, role of the folds that may be evaluated: the long form of ``ready_folds``, days squared rows."""
     roles = rolling_roles(time_counts(rows), policy).select("test_time", "timestamp", "role")
     return roles.join(rolling_folds(rows, policy).where("status = 'ready'").select("test_time"), "test_time", "left_semi")
 
@@ -217,11 +264,14 @@ def holdout_gate(rows: DataFrame, policy: Policy, salts: tuple[str, ...], datase
     """Class counts per salt, fold and set, and whether the fold may be evaluated."""
     counts = holdout_population(rows, salts, dataset_id).groupBy("salt", "timestamp", "population").agg(
         F.count("*").alias("rows"), F.count_if(F.col("label_24h") == 1).alias("positive"), F.count_if(F.col("label_24h") == 0).alias("negative"))
-    used = counts.join(ready_roles(rows, policy), "timestamp").withColumn("set_name", F.when(
-        (F.col("role") != "test") & (F.col("population") == "train"), F.col("role")).when(
-        (F.col("role") == "test") & (F.col("population") != "train"), F.col("population"))).where("set_name IS NOT NULL")
-    sets = used.groupBy("salt", "test_time", "set_name").agg(
-        F.sum("rows").alias("rows"), F.sum("positive").alias("positive"), F.sum("negative").alias("negative"))
+    sums = ("rows", "positive", "negative")
+    folds = ready_folds(rows, policy)
+    seen = F.col("population") == "train"
+    asked = folds.select("test_time", "train_last", F.explode(F.array(*[F.lit(s) for s in salts])).alias("salt"))
+    trained = sums_until(counts.where(seen), asked, ["salt"], sums, "train_last").where("rows > 0").select("salt", "test_time", F.lit("train").alias("set_name"), *sums)
+    used = counts.join(evaluated_times(folds), "timestamp").withColumn("set_name", F.when(
+        (F.col("role") == "validation") & seen, F.col("role")).when((F.col("role") == "test") & ~seen, F.col("population"))).where("set_name IS NOT NULL")
+    sets = trained.unionByName(used.groupBy("salt", "test_time", "set_name").agg(*[F.sum(c).alias(c) for c in sums]))
     whole = Window.partitionBy("salt", "test_time")
     enough = (F.min(F.least("positive", "negative")).over(whole) >= policy.min_class_rows) & (F.count("*").over(whole) == 4)
     return sets.withColumn("status", F.when(enough, "evaluated").otherwise("insufficient_class_rows"))

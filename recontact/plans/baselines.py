@@ -1,7 +1,7 @@
 """Untrained probability rules: constant prior, historical frequency and a smoothed time rule.
 
-Rates are counted per (snapshot, bucket) first. A fold then adds up days, so training rows are
-never repeated per fold.
+Rates are counted per (snapshot, bucket) first. A fold trains on a beginning of the days, so its rates are
+a running sum looked up at its last training day: neither rows nor days are repeated per fold.
 """
 
 from __future__ import annotations
@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from recontact.functions.metrics import best_threshold
+from recontact.functions.timemath import sums_until
 from recontact.operators.pointintime import KEY
+from recontact.operators.splits import evaluated_times
 from recontact.policy import DAY, HOUR
 
 BASELINES = ("constant", "historical_frequency", "time_rule")
@@ -29,24 +31,24 @@ def _daily(cohort: DataFrame, keys: list[str]) -> DataFrame:
     return cohort.groupBy("timestamp", *keys).agg(F.count("*").alias("n"), F.sum(F.col("label").cast("long")).alias("pos"))
 
 
-def score_baselines(cohort: DataFrame, roles: DataFrame, alpha: float = 1.0) -> DataFrame:
+def score_baselines(cohort: DataFrame, folds: DataFrame, alpha: float = 1.0) -> DataFrame:
     """Long predictions of the test and validation rows of every fold.
 
-    ``cohort``: KEY, window_days, label, probability, recency. ``roles``: test_time, timestamp, role.
+    ``cohort``: KEY, window_days, label, probability, recency. ``folds``: test_time, train_last, validation (``splits.ready_folds``).
     The result has test_time, role, KEY, label, window_days, model and p.
     """
     if alpha < 0:
         raise ValueError("the smoothing constant cannot be negative")
     keyed = rule_key(cohort, "recency")
-    train = roles.where("role = 'train'").select("test_time", "timestamp")
-    prior = (_daily(keyed, ["window_days"]).join(train, "timestamp").groupBy("test_time", "window_days")
-             .agg((F.sum("pos") / F.sum("n")).alias("prior")))
-    cell = ["hour", "recency_bucket"]
-    cells = (_daily(keyed, ["window_days", *cell]).join(train, "timestamp").groupBy("test_time", "window_days", *cell)
-             .agg(F.sum("pos").alias("cell_pos"), F.sum("n").alias("cell_n")))
-    # Folds, windows and cells are a few hundred rows; the prediction rows stay partitioned.
-    used = keyed.join(F.broadcast(roles.where("role <> 'train'")), "timestamp")
-    rated = used.join(F.broadcast(prior), ["test_time", "window_days"]).join(F.broadcast(cells), ["test_time", "window_days", *cell], "left")
+    cell = ["window_days", "hour", "recency_bucket"]
+    used = keyed.join(evaluated_times(folds), "timestamp")
+    asked = used.select("test_time", "train_last", *cell).distinct()
+    fold = ["test_time", "window_days"]
+    prior = (sums_until(_daily(keyed, ["window_days"]), asked.select("train_last", *fold).distinct(), ["window_days"], ("pos", "n"), "train_last")
+             .where("n > 0").select(*fold, (F.col("pos") / F.col("n")).alias("prior")))
+    cells = (sums_until(_daily(keyed, cell), asked, cell, ("pos", "n"), "train_last")
+             .where("n > 0").select("test_time", *cell, F.col("pos").alias("cell_pos"), F.col("n").alias("cell_n")))
+    rated = used.join(prior, fold).join(cells, ["test_time", *cell], "left")
     prior_value = F.col("prior")
     frequency = F.coalesce(F.least(F.greatest(F.col("probability"), F.lit(0.0)), F.lit(1.0)), prior_value)
     rule = F.coalesce((F.col("cell_pos") + alpha * prior_value) / (F.col("cell_n") + alpha), prior_value)
@@ -59,4 +61,4 @@ def with_thresholds(scored: DataFrame) -> DataFrame:
     """Test rows with the threshold chosen on the same fold's validation rows."""
     keys = ["test_time", "window_days", "model"]
     chosen = best_threshold(scored.where("role = 'validation'"), keys)
-    return scored.where("role = 'test'").drop("role").join(F.broadcast(chosen), keys)  # folds x windows x models rows
+    return scored.where("role = 'test'").drop("role").join(chosen, keys)  # folds x windows x models rows

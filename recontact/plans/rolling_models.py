@@ -31,7 +31,10 @@ class Fold:
 
 
 def folds_of(roles: DataFrame) -> list[Fold]:
-    """The folds of a role table (test_time, timestamp, role): three spans per fold, whatever the number of its days."""
+    """The folds of a fold table (``splits.ready_folds``) or of a role table (test_time, timestamp, role): two spans per fold, whatever the number of its days."""
+    if "train_last" in roles.columns:
+        ends = roles.select("test_time", "train_first", "train_last", F.array_min("validation").alias("a"), F.array_max("validation").alias("b"))
+        return [Fold(r.test_time, (r.train_first, r.train_last), (r.a, r.b)) for r in ends.orderBy("test_time").collect()]
     spans = roles.groupBy("test_time", "role").agg(F.min("timestamp").alias("a"), F.max("timestamp").alias("b")).collect()
     by_fold: dict[int, dict] = {}
     for r in spans:
@@ -69,7 +72,7 @@ def rolling_trained(samples: DataFrame, roles: DataFrame, names: tuple[str, ...]
                     columns: tuple[str, ...] = BOUNDED_FEATURES, pool: int = POOL) -> tuple[DataFrame, DataFrame]:
     """(predictions, statuses) of every learner over the test rows of all folds and windows.
 
-    ``samples``: KEY, window_days, label and the features; written once and read by every fit, at most ``pool`` at a time. A fit trains on
+    ``roles``: folds as rows with spans, or as rows with roles. ``samples``: KEY, window_days, label and the features; written once and read by every fit, at most ``pool`` at a time. A fit trains on
     its fold's training days, chooses its threshold on the same fold's validation days and scores the test day. Its predictions are
     a file of their own, so a lost executor repeats one fit. A fit that cannot be made or did not settle has a status row and no
     predictions: one_class_train, one_class_validation, no_usable_feature, not_settled.

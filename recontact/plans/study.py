@@ -1,7 +1,7 @@
 """The study as one object: each property is the next table of the pipeline.
 
 A few tables are written out on first use, because several later steps read them: contacts,
-pair-days, participant-days, the cohort with its rule inputs, the fold roles and the rolling predictions.
+pair-days, participant-days, the cohort with its rule inputs, the folds and the rolling predictions.
 """
 
 from __future__ import annotations
@@ -117,12 +117,13 @@ class Study:
         return staged(labels.join(facts, pit.KEY), "scored-cohort")
 
     @cached_property
-    def roles(self) -> DataFrame:
-        return staged(splits.ready_roles(self.cohort, self.policy), "roles")
+    def folds(self) -> DataFrame:
+        """The rolling folds that may be evaluated, one row each."""
+        return staged(splits.ready_folds(self.cohort, self.policy), "folds")
 
     @cached_property
     def predictions(self) -> DataFrame:
         """Rolling test predictions of the untrained rules: KEY, label, window_days, model, p, threshold."""
         rows = self.scored_cohort.select(*pit.KEY, "label", "window_days", "probability", "recency")
-        scored = staged(baselines.score_baselines(rows, self.roles), "scored")
+        scored = staged(baselines.score_baselines(rows, self.folds), "scored")
         return staged(baselines.with_thresholds(scored).drop("test_time"), "predictions")

@@ -1,5 +1,6 @@
 import pytest
 
+from recontact.functions.timemath import sums_until
 from recontact.operators import catalog, disclosure, graph, integrity, retrieval, splits
 from recontact.policy import DAY, Policy
 from recontact.sources import readers, sinks
@@ -29,6 +30,31 @@ def test_rolling_folds_train_strictly_before_validation(spark):
     assert splits.rolling_folds(rows, Policy()).where("status = 'insufficient_class_rows'").count() > 0
 
 
+@pytest.mark.parametrize("days", [(), (3,), tuple(range(12)), (0, 1, 2, 5, 6, 7, 11, 12, 13, 14, 20)])
+def test_fold_spans_say_the_same_as_roles_in_one_row_a_fold(spark, days):
+    policy = Policy(min_class_rows=1)
+    rows = labels(spark, days)
+    spans = {r.test_time: r for r in splits.fold_spans(splits.time_counts(rows), policy).collect()}
+    assert sorted(spans) == [d * DAY + 28800 for d in days]
+    long = {}
+    for r in splits.rolling_roles(splits.time_counts(rows), policy).collect():
+        long.setdefault((r.test_time, r.role), []).append(r)
+    for t, s in spans.items():
+        train, held = (sorted(long.get((t, role), []), key=lambda r: r.timestamp) for role in ("train", "validation"))
+        assert (s.train_times, s.train_positive, s.train_negative) == tuple(map(sum, zip(*[(1, r.positive, r.negative) for r in train]))) if train else s.train_times == 0
+        assert [r.timestamp for r in held] == s.validation and s.validation_positive == sum(r.positive for r in held)
+        assert (s.train_first, s.train_last) == ((train[0].timestamp, train[-1].timestamp) if train else (None, None))
+    ready = {f.test_time for f in splits.ready_folds(rows, policy).collect()}
+    assert ready == {r.test_time for r in splits.ready_roles(rows, policy).select("test_time").distinct().collect()}
+
+
+def test_sums_until_add_up_every_earlier_day_of_the_same_key(spark):
+    daily = spark.createDataFrame([("a", 10, 1), ("a", 20, 2), ("a", 30, 4), ("b", 20, 8)], "k string, timestamp long, n int")
+    asked = spark.createDataFrame([("a", 1, 5), ("a", 2, 20), ("a", 3, 99), ("b", 4, 19), ("c", 5, 50), ("a", 3, 99)], "k string, id int, at long")
+    got = sorted((r.k, r.id, r.at, r.n) for r in sums_until(daily, asked, ["k"], ("n",), "at").collect())
+    assert got == [("a", 1, 5, 0), ("a", 2, 20, 3), ("a", 3, 99, 7), ("a", 3, 99, 7), ("b", 4, 19, 0), ("c", 5, 50, 0)]
+
+
 def test_holdout_groups_follow_the_digest_parity(spark):
     import hashlib
     from pyspark.sql import functions as F
