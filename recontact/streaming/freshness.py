@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from recontact.operators.clean import PAIR
 from recontact.functions.timemath import snapshot_time
@@ -53,3 +57,52 @@ def start_gate(stream: DataFrame, pairs: DataFrame, sink, checkpoint: str, max_a
 
     return (latest_observations(stream).writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
             .foreachBatch(each).trigger(availableNow=True).start())
+
+
+CHANGE = "user_min long, user_max long, changed_at timestamp, fresh boolean"
+ENDS = "last_a long, last_b long, fresh boolean"
+
+
+def gate_changes(stream: DataFrame, pairs: DataFrame, max_age_seconds: int = 600, delay_seconds: int = 60) -> DataFrame:
+    """user_min, user_max, changed_at, fresh: one row whenever the gate of a pair opens or closes, in event time.
+
+    ``stream`` has event_time (timestamp), user_id and scan_observed, ``pairs`` the distinct pairs to watch. A pair opens when both ends were seen within
+    the limit of each other, at the later of the two times, and closes the limit after the earlier end's last observation, once the
+    watermark (``delay_seconds`` behind the latest event) has passed that time; no row of the pair is needed for that. Later rows
+    than the watermark allows are dropped. State is two times and a flag per pair with a recent end, and it goes when both are too old.
+    An observation costs one row per watched pair of its participant; the pairs are joined by participant and never collected.
+    """
+    check_age(max_age_seconds)
+    limit = max_age_seconds * 1000
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last_a, last_b, fresh = state.get if state.exists else (None, None, False)
+        for frame in frames:
+            for at, is_a in zip(frame["at"], frame["is_a"], strict=True):
+                if is_a:
+                    last_a = int(at) if last_a is None else max(last_a, int(at))
+                else:
+                    last_b = int(at) if last_b is None else max(last_b, int(at))
+        now, changes = state.getCurrentWatermarkMs(), []
+        both = last_a is not None and last_b is not None
+        if not fresh and both and abs(last_a - last_b) <= limit:
+            fresh = True
+            changes.append((*key, pd.Timestamp(max(last_a, last_b), unit="ms"), True))
+        # An open gate waits for the earlier end, a closed one for the last trace of the pair.
+        due = (min(last_a, last_b) if fresh else max(t for t in (last_a, last_b) if t is not None)) + limit
+        if fresh and due <= now:
+            fresh = False
+            changes.append((*key, pd.Timestamp(due, unit="ms"), False))
+            due = max(last_a, last_b) + limit
+        if not fresh and due <= now:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((last_a, last_b, fresh))
+            state.setTimeoutTimestamp(due)
+        yield pd.DataFrame(changes, columns=["user_min", "user_max", "changed_at", "fresh"])
+
+    watched = pairs.select(*PAIR, F.inline(F.array(*[F.struct(F.col(end).alias("user_id"), F.lit(end == PAIR[0]).alias("is_a")) for end in PAIR])))
+    seen = stream.where(F.col("scan_observed")).withWatermark("event_time", f"{delay_seconds} seconds")
+    rows = seen.join(watched, "user_id").select(*PAIR, "event_time", F.unix_millis("event_time").alias("at"), "is_a")
+    return rows.groupBy(*PAIR).applyInPandasWithState(step, CHANGE, ENDS, "append", GroupStateTimeout.EventTimeTimeout)
