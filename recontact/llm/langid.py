@@ -20,7 +20,8 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType
 
 from recontact.llm.common import prepare, staged
 
@@ -49,6 +50,13 @@ MAX_LANGS = 500
 HELD = 80_000
 #: Sums of joined words are whole numbers of this part of a log unit, so they do not depend on the order of rows.
 UNIT = 1e-9
+#: Bytes of the batches that pass between Spark and its Python workers, which hold several of them at a time.
+BATCH_BYTES = 4 << 20
+
+
+def _prepare(spark: SparkSession) -> None:
+    prepare(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def words_in(text: str) -> list[str]:
@@ -219,7 +227,7 @@ def train(labelled: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_
     those that are joined; of the n-grams the most frequent ``max_grams`` per order and language serve, as a documented bound. An empty
     table gives a model that answers ``und``. Repeated rows count every time, other columns are not read.
     """
-    prepare(labelled.sparkSession)
+    _prepare(labelled.sparkSession)
     usable = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     words = staged(count_words(usable), "lang-words")
     langs = sorted(r.lang for r in usable.select("lang").distinct().limit(MAX_LANGS + 1).collect())
@@ -276,12 +284,17 @@ def predict(docs: DataFrame, model: Model, text: str = "text", into: tuple[str,
     letter are ``und`` with 0; equal chances go to the first language in order. Repeated rows are rows like any other.
     """
     spark, langs = docs.sparkSession, model.langs
+    _prepare(spark)
     names = [c for c in (docs.columns if keep is None else keep) if c not in into]
     if not langs:
         return docs.select(*[F.col(f"`{c}`") for c in names], F.lit(UNDETERMINED).alias(into[0]), F.lit(0.0).alias(into[1]))
     # Columns are known by place from here on, so no name clashes.
-    given = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(names)], F.col(f"`{text}`").cast("string").alias("text"))
-    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in given.schema.fields[:-1])
+    given = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(names)])
+    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in given.schema.fields)
+    # A text that is kept anyway goes to the tasks once.
+    place, width = (names.index(text) if text in names and docs.schema[text].dataType == StringType() else len(names)), len(names)
+    if place == width:
+        given = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(names)], F.col(f"`{text}`").cast("string").alias("text"))
     # Bounded by max_words and max_grams.
     shared = spark.sparkContext.broadcast((list(model.words), model.word_scores))
     backoff = spark.sparkContext.broadcast((model.grams, model.gram_scores))
@@ -292,11 +305,11 @@ def predict(docs: DataFrame, model: Model, text: str = "text", into: tuple[str,
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sums, sizes, rare, counts, ends = _common_scores(places, scores, part.column(part.num_columns - 1).to_pylist())
+                sums, sizes, rare, counts, ends = _common_scores(places, scores, part.column(place).to_pylist())
                 pairs = pa.StructArray.from_arrays([pa.array(rare, pa.string()), pa.array(counts, pa.int64())], names=["word", "times"])
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, sums.size + 1, n), pa.int32()), pa.array(sums.ravel()))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], flat, pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)],
-                                                 names=[*part.schema.names[:-1], "base", "n_words", "rare"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:width], flat, pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)],
+                                                 names=[*part.schema.names[:width], "base", "n_words", "rare"])
                 if len(places.rare) > HELD:
                     places.forget()
 
