@@ -23,6 +23,12 @@ SETTINGS = {
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    # A size guessed from compressed files knows nothing of the rows that a window graph adds to
+    # them, so joins are broadcast by the size that was measured after their exchange, or by a hint.
+    guessed = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    if guessed != "-1":
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", guessed)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     return spark
 
 
