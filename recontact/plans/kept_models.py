@@ -7,7 +7,7 @@ import json
 from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel, RandomForestClassificationModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recontact.plans.models import Model, Preparation
+from recontact.plans.models import GroupedForest, Model, Preparation
 from recontact.policy import DAY
 
 KINDS = {"logistic_regression": LogisticRegressionModel, "random_forest": RandomForestClassificationModel, "boosted_trees": GBTClassificationModel}
@@ -39,11 +39,16 @@ def save(spark: SparkSession, model: Model, samples: DataFrame, folder: str, col
     ``samples``: the rows that the model was fitted on, with their split: the information deadline comes from those rows, not from
     another split. The contract table is written last, so a folder without it is no model.
     """
-    model.fitted.write().save(f"{folder}/fitted")
+    grouped = isinstance(model.fitted, GroupedForest)
+    if grouped:
+        model.fitted.save(f"{folder}/fitted")
+    else:
+        model.fitted.write().save(f"{folder}/fitted")
     terms = {
         "name": model.name, "window_days": model.window_days, "columns": list(columns), "threshold": model.threshold, "parameters": model.parameters,
         "kept_columns": model.preparation.columns, "medians": model.preparation.medians, "indicators": model.preparation.indicators,
-        "information_deadline": label_deadline(samples), "digest": files_digest(spark, f"{folder}/fitted")}
+        "information_deadline": label_deadline(samples), "digest": files_digest(spark, f"{folder}/fitted"),
+        **({"trees": model.fitted.trees} if grouped else {})}
     text = json.dumps(terms, sort_keys=True)
     spark.createDataFrame([(text,)], "terms string").withColumn("terms_digest", F.sha2("terms", 256)).coalesce(1).write.parquet(f"{folder}/contract")
     return terms
@@ -62,7 +67,7 @@ def load(spark: SparkSession, folder: str, window_days: int, columns: tuple[str,
     if files_digest(spark, f"{folder}/fitted") != terms["digest"]:
         raise ContractError("the saved model has been changed")
     preparation = Preparation(terms["kept_columns"], terms["medians"], terms["indicators"])
-    fitted = KINDS[terms["name"]].load(f"{folder}/fitted")
+    fitted = GroupedForest.load(f"{folder}/fitted", terms["trees"]) if "trees" in terms else KINDS[terms["name"]].load(f"{folder}/fitted")
     return Model(terms["name"], preparation, fitted, window_days, terms["threshold"], terms["parameters"]), terms
 
 

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import DenseVector
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
 from recontact.functions.metrics import best_threshold, binary_metrics, exact_quantiles
 from recontact.operators.features import BOUNDED_FEATURES
 from recontact.operators.pointintime import KEY
+from recontact.session import ensure_checkpoint_dir, record_stage, recorded_stages, remove_stages, staged
 
 # Defaults of the compared learners (fixed values). Forests have no limit of depth; 30 is MLlib's own.
 PARAMETERS = {
@@ -21,6 +24,10 @@ PARAMETERS = {
     "boosted_trees": {"trees": 200, "depth": 4, "rate": 0.05},
 }
 
+#: Training rows times trees that are grown at once. A tree grows with the rows and is held by the driver while it
+#: grows, so a forest over more rows is grown in groups of trees (of one tree at least).
+ROWS_TIMES_TREES = 2_000_000
+
 
 @dataclass
 class Preparation:
@@ -61,6 +68,8 @@ class Model:
     parameters: dict = field(default_factory=dict)
 
     def score(self, frame: DataFrame) -> DataFrame:
+        if isinstance(self.fitted, GroupedForest):
+            return self.fitted.score(self.preparation.transform(frame))
         scored = self.fitted.transform(self.preparation.transform(frame))
         return scored.withColumn("p", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
@@ -70,6 +79,53 @@ class Model:
         return sorted(zip(self.preparation.names, map(float, weights)), key=lambda item: (-item[1], item[0]))
 
 
+@dataclass
+class GroupedForest:
+    """A random forest whose groups of trees lie in the shared folder; the driver holds one group at a time."""
+
+    folders: list[str]
+    trees: list[int]
+    featureImportances: DenseVector
+
+    @classmethod
+    def fit(cls, estimator: RandomForestClassifier, ready: DataFrame, group: int) -> "GroupedForest":
+        spark, whole = ready.sparkSession, estimator.getNumTrees()
+        ensure_checkpoint_dir(spark)
+        trees = [min(group, whole - start) for start in range(0, whole, group)]
+        folders, weights = [], 0.0
+        for number, n in enumerate(trees):
+            folder = f"{spark.sparkContext.getCheckpointDir()}/forest-{uuid.uuid4().hex}"
+            record_stage(folder)
+            # Groups need seeds of their own, or they would be the same trees again.
+            part = estimator.copy({estimator.numTrees: n, estimator.seed: estimator.getSeed() + number}).fit(ready)
+            part.write().save(folder)
+            weights = weights + n * part.featureImportances.toArray()
+            folders.append(folder)
+        return cls(folders, trees, DenseVector(weights / whole))
+
+    def save(self, folder: str) -> None:
+        for number, part in enumerate(self.folders):
+            RandomForestClassificationModel.load(part).write().save(f"{folder}/group-{number}")
+
+    @classmethod
+    def load(cls, folder: str, trees: list[int]) -> "GroupedForest":
+        folders = [f"{folder}/group-{number}" for number in range(len(trees))]
+        weights = sum(n * RandomForestClassificationModel.load(part).featureImportances.toArray() for n, part in zip(trees, folders))
+        return cls(folders, trees, DenseVector(weights / sum(trees)))
+
+    def score(self, ready: DataFrame) -> DataFrame:
+        """The rows with ``p``, the mean of all trees; the votes are added up group by group in written rows."""
+        spark, rest, last = ready.sparkSession, [c for c in ready.columns if c != "features"], []
+        with recorded_stages() as written:
+            rows = staged(ready.withColumn("p", F.lit(0.0)), "votes")
+            for folder, n in zip(self.folders, self.trees):
+                last, share = written[-1:], n / sum(self.trees)
+                scored = RandomForestClassificationModel.load(folder).transform(rows)
+                rows = staged(scored.select(*rest, "features", (F.col("p") + share * vector_to_array("probability")[1]).alias("p")), "votes")
+                remove_stages(spark, last)
+        return rows.drop("features")
+
+
 def _estimator(name: str, parameters: dict, rows: int, seed: int):
     options = {**PARAMETERS[name], **parameters}
     if name == "logistic_regression":
@@ -93,6 +149,9 @@ def fit_model(name: str, train: DataFrame, window_days: int, seed: int, paramete
         raise ValueError("no usable feature in the training rows")
     ready = preparation.transform(train).select(F.col("label").cast("double").alias("label"), "features")
     estimator = _estimator(name, parameters or {}, counts.n, seed)
+    group = max(1, ROWS_TIMES_TREES // counts.n)
+    if name == "random_forest" and group < estimator.getNumTrees():
+        return Model(name, preparation, GroupedForest.fit(estimator, staged(ready, "forest-rows"), group), window_days, parameters=parameters or {})
     return Model(name, preparation, estimator.fit(ready), window_days, parameters=parameters or {})
 
 
