@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from recontact.functions.timemath import Span, floor_div
 from recontact.operators.clean import PAIR
-from recontact.operators.pointintime import KEY, attach_users, presence
+from recontact.operators.pointintime import KEY, attach_users, nested_presence
 from recontact.policy import DAY, HOUR, Policy
 
 # Names and order of the published feature columns.
@@ -80,14 +80,18 @@ def user_history(pairs: DataFrame, scans: DataFrame, span: Span, windows: tuple[
     return dense.where(F.col("day").between(span.first_snapshot, span.last_snapshot))
 
 
-def pair_history(pairs: DataFrame, keys: DataFrame, windows: tuple[int, ...]) -> DataFrame:
-    """count/bins/days/rssi/last/touched-mask per window for the given (pair, day) keys."""
+def pair_history(pairs: DataFrame, keys: DataFrame, windows: tuple[int, ...], counted: DataFrame | None = None) -> DataFrame:
+    """count/bins/days/rssi/last/touched-mask per window for the given (pair, day) keys.
+
+    ``counted``: further numbers of some of the keys, which are merged by the same exchange.
+    """
+    further = [] if counted is None else [c for c in counted.columns if c not in ("day", *PAIR)]
     group = ", ".join(PAIR)
     facts = pairs.select(*PAIR, "day", "contacts", "bins", "rssi_sum", "rssi_n", "rssi_max", "last_contact", "on_day", "on_next")
     asked = keys.select(*PAIR, "day").withColumn("asked", F.lit(1))
     # One exchange by pair serves the merge and every window below.
-    merged = _union_all([facts, asked]).repartition(*PAIR).groupBy(*PAIR, "day").agg(*[
-        F.expr(f"max({c}) AS {c}") for c in ("asked", "contacts", "bins", "rssi_sum", "rssi_n", "rssi_max", "last_contact", "on_day", "on_next")])
+    merged = _union_all([facts, asked, *([] if counted is None else [counted])]).repartition(*PAIR).groupBy(*PAIR, "day").agg(*[
+        F.expr(f"max({c}) AS {c}") for c in ("asked", "contacts", "bins", "rssi_sum", "rssi_n", "rssi_max", "last_contact", "on_day", "on_next", *further)])
     # The late calendar day of yesterday's slot is the early calendar day of today's slot.
     before = f"OVER (PARTITION BY {group} ORDER BY day RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING)"
     marked = merged.selectExpr("*", "coalesce(on_day + on_next, 0) AS touched", f"coalesce(on_day * max(on_next) {before}, 0) AS overlap")
@@ -100,36 +104,44 @@ def pair_history(pairs: DataFrame, keys: DataFrame, windows: tuple[int, ...]) ->
                     f"sum(rssi_sum) {frame} AS rssi_sum_{w}", f"{total('rssi_n')} AS rssi_n_{w}", f"max(rssi_max) {frame} AS rssi_max_{w}",
                     f"max(last_contact) {frame} AS last_{w}", f"bit_or({_day_bit('contacts IS NOT NULL')}) {frame} AS mask_{w}"]
     ever = f"max(last_contact) {_over(group, None)} AS last_ever"
-    return marked.selectExpr(*PAIR, "day", "asked", ever, *columns).where("asked = 1").drop("asked")
+    return marked.selectExpr(*PAIR, "day", "asked", *further, ever, *columns).where("asked = 1").drop("asked")
 
 
 def window_edges(pairs: DataFrame, span: Span, windows: tuple[int, ...]) -> DataFrame:
-    return presence(pairs, windows).where(F.col("day").between(span.first_snapshot, span.last_snapshot))
+    """The nested window graphs: each edge of the widest one once per day, with the shortest window that holds it."""
+    return nested_presence(pairs, windows).where(F.col("day").between(span.first_snapshot, span.last_snapshot))
 
 
 def common_neighbours(keys: DataFrame, edges: DataFrame, people: DataFrame, windows: tuple[int, ...]) -> DataFrame:
-    """Shared neighbours of each key in its window graph: expand the end with fewer neighbours.
+    """Shared neighbours of each key in each window graph that has any, one row per (key, window_days)."""
+    counted = ", ".join(_record({"window_days": str(w), "common_neighbors": f"common_{w}"}) for w in windows)
+    wide = neighbour_counts(keys, edges, people, windows)
+    return wide.selectExpr("day", *PAIR, f"inline(array({counted}))").where("common_neighbors > 0").select("window_days", "day", *PAIR, "common_neighbors")
+
+
+def neighbour_counts(keys: DataFrame, edges: DataFrame, people: DataFrame, windows: tuple[int, ...]) -> DataFrame:
+    """common_w of each key: expand the end with fewer neighbours in the widest window graph, once for all windows.
 
     The neighbours of the smaller end are looked up in the edge table of the other end by an
     exact key. The work is the sum of the smaller degrees; a hub's list is only read where its
     partner is a hub as well.
     """
-    listed = ", ".join(_record({"window_days": str(w), "degree": f"degree_{w}"}) for w in windows)
-    degrees = people.selectExpr("day", "user_id", f"inline(array({listed}))").where("degree > 0")
-    asked = keys.selectExpr("day", *PAIR, f"explode(array({', '.join(map(str, windows))})) AS window_days")
-    return expand_smaller_end(asked, edges, degrees, ["window_days", "day"])
+    degrees = people.selectExpr("day", "user_id", f"degree_{max(windows)} AS degree").where("degree > 0")
+    return expand_smaller_end(keys.select("day", *PAIR), edges, degrees, ["day"], windows)
 
 
-def expand_smaller_end(asked: DataFrame, edges: DataFrame, degrees: DataFrame, by: list[str]) -> DataFrame:
+def expand_smaller_end(asked: DataFrame, edges: DataFrame, degrees: DataFrame, by: list[str], windows: tuple[int, ...]) -> DataFrame:
+    """common_w per asked pair. A path lies in the graphs that hold both of its edges: in those from the longer of their windows on."""
     ends = attach_users(asked, degrees, {"degree": ("degree_a", "degree_b")}, tuple(by)).where("degree_a > 0 AND degree_b > 0")
     smaller_a = "degree_a < degree_b OR (degree_a = degree_b AND user_min < user_max)"
     sided = ends.selectExpr(*by, *PAIR, f"if({smaller_a}, user_min, user_max) AS expand", f"if({smaller_a}, user_max, user_min) AS probe")
-    lists = edges.selectExpr(*by, "inline(array(named_struct('expand', user_min, 'third', user_max), named_struct('expand', user_max, 'third', user_min)))")
+    lists = edges.selectExpr(*by, "window_days AS opens",
+                             "inline(array(named_struct('expand', user_min, 'third', user_max), named_struct('expand', user_max, 'third', user_min)))")
     paths = sided.join(lists, [*by, "expand"]).where("third <> probe")
-    closing = edges.selectExpr(*by, "user_min AS low", "user_max AS high")
-    closed = (paths.selectExpr(*by, *PAIR, "least(probe, third) AS low", "greatest(probe, third) AS high")
-              .join(closing, [*by, "low", "high"], "left_semi"))
-    return closed.groupBy(*by, *PAIR).agg(F.count("*").alias("common_neighbors"))
+    closing = edges.selectExpr(*by, "user_min AS low", "user_max AS high", "window_days AS closes")
+    closed = (paths.selectExpr(*by, *PAIR, "opens", "least(probe, third) AS low", "greatest(probe, third) AS high")
+              .join(closing, [*by, "low", "high"]))
+    return closed.groupBy(*by, *PAIR).agg(*[F.count_if(F.greatest("opens", "closes") <= w).alias(f"common_{w}") for w in windows])
 
 
 def _probability(mask: str, seen_a: str, seen_b: str) -> tuple[str, str]:
@@ -148,7 +160,8 @@ def bounded_bank(pairs: DataFrame, people: DataFrame, keys: DataFrame, span: Spa
     """
     policy = span.policy
     known = policy.scan_coverage_available
-    wide = attach_users(pair_history(pairs, keys, windows), people, {
+    shared = neighbour_counts(keys, window_edges(pairs, span, windows), people, windows) if neighbours else None
+    wide = attach_users(pair_history(pairs, keys, windows, shared), people, {
         f"{fact}_{w}": (f"{fact}_a_{w}", f"{fact}_b_{w}") for w in windows for fact in ("activity", "degree", "scans", "seen")})
     t = f"(day * {DAY} + {policy.offset})"
     rows = []
@@ -162,14 +175,10 @@ def bounded_bank(pairs: DataFrame, people: DataFrame, keys: DataFrame, span: Spa
             values[f"scan_coverage_{side}"] = f"coalesce(scans_{side}_{w}, 0L) / {w * policy.expected_bins}" if known else "NULL"
         values["historical_contact_probability"] = probability if known else "NULL"
         values["observed_history_days"] = observed if known else "NULL"
+        values["common_neighbors"] = f"coalesce(common_{w}, 0L)" if neighbours else "NULL"
         rows.append(_record({"window_days": str(w), **{name: f"double({value})" for name, value in values.items()}}))
     tall = wide.selectExpr("day", *PAIR, f"inline(array({', '.join(rows)}))")
-    if neighbours:
-        shared = common_neighbours(keys, window_edges(pairs, span, windows), people, windows)
-        tall = tall.join(shared, ["window_days", "day", *PAIR], "left")
-    counted = "double(coalesce(common_neighbors, 0L))" if neighbours else "double(NULL)"
-    rest = [f"{counted} AS common_neighbors" if name == "common_neighbors" else name for name in BOUNDED_FEATURES]
-    return tall.selectExpr(f"{t} AS timestamp", *PAIR, "window_days", *rest)
+    return tall.selectExpr(f"{t} AS timestamp", *PAIR, "window_days", *BOUNDED_FEATURES)
 
 
 def time_context(keys: DataFrame, policy: Policy) -> DataFrame:
@@ -193,9 +202,8 @@ def feature_bank(pairs: DataFrame, people: DataFrame, keys: DataFrame, span: Spa
     known = policy.scan_coverage_available
     facts = {"activity_7": ("activity_a", "activity_b"), "degree_7": ("degree_a", "degree_b"),
              "scans_7": ("scans_a", "scans_b"), "seen_14": ("seen_a", "seen_b")}
-    wide = attach_users(pair_history(pairs, keys, policy.bank_windows), people, facts)
-    shared = common_neighbours(keys, window_edges(pairs, span, (7,)), people, (7,)).drop("window_days")
-    wide = wide.join(shared, ["day", *PAIR], "left")
+    shared = neighbour_counts(keys, window_edges(pairs, span, (7,)), people, (7,))
+    wide = attach_users(pair_history(pairs, keys, policy.bank_windows, shared), people, facts)
     t = f"(day * {DAY} + {policy.offset})"
     values = {
         **{f"contact_count_{w}d": f"contacts_{w}" for w in policy.bank_windows}, "contact_bins_1d": "bins_1", "contact_bins_7d": "bins_7",
@@ -205,7 +213,7 @@ def feature_bank(pairs: DataFrame, people: DataFrame, keys: DataFrame, span: Spa
         # Message and call logs carry no arrival times, so their counts stay unknown.
         "sms_count_7d": "NULL", "call_count_7d": "NULL",
         "participant_a_activity_7d": "coalesce(activity_a, 0L)", "participant_b_activity_7d": "coalesce(activity_b, 0L)",
-        "common_neighbors_historical": "coalesce(common_neighbors, 0L)",
+        "common_neighbors_historical": "coalesce(common_7, 0L)",
         "historical_network_degree_a": "coalesce(degree_a, 0L)", "historical_network_degree_b": "coalesce(degree_b, 0L)",
         **{f"scan_coverage_{side}": f"coalesce(scans_{side}, 0L) / {7 * policy.expected_bins}" if known else "NULL" for side in ("a", "b")}}
     rows = wide.selectExpr(f"{t} AS timestamp", *PAIR, *[f"double({value}) AS {name}" for name, value in values.items()])

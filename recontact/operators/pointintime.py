@@ -102,6 +102,19 @@ def presence(pairs: DataFrame, windows: tuple[int, ...], extra: tuple[str, ...]
     return spread.select(*extra, "window_days", F.explode(F.sequence("day", last)).alias("day"), *PAIR)
 
 
+def nested_presence(pairs: DataFrame, windows: tuple[int, ...], extra: tuple[str, ...] = ()) -> DataFrame:
+    """Each pair once per snapshot day whose longest history holds a contact; ``window_days`` is the shortest of the windows that does.
+
+    Shorter histories lie inside longer ones, so every window's graph is the rows up to that window.
+    """
+    following = F.lead("day").over(Window.partitionBy(*extra, *PAIR).orderBy("day"))
+    seen = pairs.select(*extra, *PAIR, F.col("day").alias("since"), following.alias("next_day"))
+    last = F.least(F.col("since") + max(windows) - 1, F.coalesce(F.col("next_day") - 1, F.lit(2**40)))
+    age = F.col("day") - F.col("since")
+    shortest = F.coalesce(*[F.when(age < w, F.lit(w)) for w in sorted(windows)])
+    return seen.select(*extra, *PAIR, "since", F.explode(F.sequence("since", last)).alias("day")).select(*extra, shortest.alias("window_days"), "day", *PAIR)
+
+
 def in_span(frame: DataFrame, span: Span, history: int = 0) -> DataFrame:
     return frame.where(F.col("day").between(span.history_from(history), span.last_snapshot))
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from recontact.functions.timemath import history_day, horizon_day, snapshot_time
 from recontact.operators.clean import PAIR
 from recontact.operators.features import expand_smaller_end
-from recontact.operators.pointintime import presence
+from recontact.operators.pointintime import nested_presence, presence
 from recontact.policy import DAY, Policy
 from recontact.session import checkpointed
 
@@ -50,13 +50,15 @@ def retrieval_scores(unique: DataFrame, policy: Policy) -> DataFrame:
         F.count("*").alias("contacts"), F.max("timestamp").alias("last_contact"))
     candidate = pairs.select(*SOURCE, *PAIR, "day", "last_contact", *[
         F.sum("contacts").over(Window.partitionBy(*SOURCE, *PAIR).orderBy("day").rangeBetween(-(w - 1), 0)).alias(f"count_{w}") for w in windows])
-    tall = candidate.select(*SOURCE, "day", *PAIR, "last_contact", F.inline(F.array(*[
-        F.struct(F.lit(w).alias("window_days"), F.col(f"count_{w}").alias("records")) for w in windows])))
     times = source_times(unique, policy)  # sources x windows x days rows
-    asked = tall.join(times, [*SOURCE, "window_days", "day"], "left_semi")
-    graph = presence(pairs, windows, tuple(SOURCE)).join(times, [*SOURCE, "window_days", "day"], "left_semi")
-    shared = expand_smaller_end(asked.select(*SOURCE, "window_days", "day", *PAIR), graph, _degrees(graph), [*SOURCE, "window_days", "day"])
-    rows = asked.join(shared, [*SOURCE, "window_days", "day", *PAIR], "left")
+    days = times.select(*SOURCE, "day").distinct()
+    asked = candidate.join(days, [*SOURCE, "day"], "left_semi")
+    graph = nested_presence(pairs, windows, tuple(SOURCE)).join(days, [*SOURCE, "day"], "left_semi")
+    by = [*SOURCE, "day"]
+    shared = expand_smaller_end(asked.select(*by, *PAIR), graph, _degrees(graph, by), by, windows)
+    rows = asked.join(shared, [*by, *PAIR], "left").select(*by, *PAIR, "last_contact", F.inline(F.array(*[
+        F.struct(F.lit(w).alias("window_days"), F.col(f"count_{w}").alias("records"), F.col(f"common_{w}").alias("common_neighbors"))
+        for w in windows]))).join(times, [*SOURCE, "window_days", "day"], "left_semi")
     t = snapshot_time("day", policy)
     return rows.select(*SOURCE, t.alias("timestamp"), "window_days", *PAIR,
                        (F.col("records") / F.col("window_days")).alias("historical_frequency"),
@@ -64,9 +66,9 @@ def retrieval_scores(unique: DataFrame, policy: Policy) -> DataFrame:
                        F.coalesce("common_neighbors", F.lit(0)).cast("double").alias("common_neighbors"))
 
 
-def _degrees(graph: DataFrame) -> DataFrame:
-    ends = graph.select(*SOURCE, "window_days", "day", F.explode(F.array(*PAIR)).alias("user_id"))
-    return ends.groupBy(*SOURCE, "window_days", "day", "user_id").agg(F.count("*").alias("degree"))
+def _degrees(graph: DataFrame, by: list[str]) -> DataFrame:
+    ends = graph.select(*by, F.explode(F.array(*PAIR)).alias("user_id"))
+    return ends.groupBy(*by, "user_id").agg(F.count("*").alias("degree"))
 
 
 def network_densities(unique: DataFrame, policy: Policy) -> DataFrame:
@@ -74,7 +76,7 @@ def network_densities(unique: DataFrame, policy: Policy) -> DataFrame:
     pairs = unique.select(*SOURCE, *PAIR, history_day("timestamp", policy).alias("day")).distinct()
     graph = presence(pairs, policy.windows, tuple(SOURCE)).join(
         source_times(unique, policy), [*SOURCE, "window_days", "day"], "left_semi")
-    nodes = _degrees(graph).groupBy(*SOURCE, "window_days", "day").agg(F.count("*").alias("nodes"), F.sum("degree").alias("ends"))
+    nodes = _degrees(graph, [*SOURCE, "window_days", "day"]).groupBy(*SOURCE, "window_days", "day").agg(F.count("*").alias("nodes"), F.sum("degree").alias("ends"))
     n = F.col("nodes")
     return nodes.select(*SOURCE, snapshot_time("day", policy).alias("timestamp"), "window_days", "nodes",
                         (F.col("ends") / 2).cast("long").alias("edges"),
