@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -37,8 +38,9 @@ def _fit(c: Context, names, windows, columns=fe.BOUNDED_FEATURES, rows=None):
         return models.train_windows(rows, names, windows, c.policy.seed, columns=columns)
     if not hasattr(c, "_models"):
         c._models = {}
-    for key in [(w, name) for w in windows for name in names if (w, name) not in c._models]:
-        c._models[key] = models.train_windows(samples(c), (key[1],), (key[0],), c.policy.seed, columns=columns)[0]
+    missing = [name for name in names if any((w, name) not in c._models for w in windows)]
+    for model in models.train_windows(samples(c), tuple(missing), tuple(windows), c.policy.seed, columns=columns) if missing else []:
+        c._models.setdefault((model.window_days, model.name), model)
     return [c._models[w, name] for w in windows for name in names]
 
 
@@ -187,13 +189,13 @@ def score_gbt_hawkes(c: Context):
 def _holdout(c: Context) -> DataFrame:
     """Train on pairs inside one half of the participants, test on pairs that touch the other."""
     rows = staged(splits.holdout_population(samples(c).where("window_days = 7"), SALTS, "scans"), "holdout")
-    result = None
-    for salt in SALTS:
+
+    def part(salt: str) -> DataFrame:
         mine = rows.where(F.col("salt") == salt)
         model = _fit(c, ("logistic_regression",), (7,), rows=mine.where("population = 'train'"))
-        part = models.predictions(model, mine.where("split = 'test' AND population <> 'train'"), ("label", "population", "salt"))
-        result = part if result is None else result.unionByName(part)
-    return result
+        return models.predictions(model, mine.where("split = 'test' AND population <> 'train'"), ("label", "population", "salt"))
+
+    return reduce(DataFrame.unionByName, models.in_pool(part, SALTS))
 
 
 @query

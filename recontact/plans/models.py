@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -28,23 +30,35 @@ PARAMETERS = {
 #: grows, so a forest over more rows is grown in groups of trees (of one tree at least).
 ROWS_TIMES_TREES = 2_000_000
 
+#: Fits that run at the same time; each is a series of Spark jobs of its own.
+POOL = 4
+
 
 @dataclass
 class Preparation:
-    """Columns kept from training, their medians and missing indicators."""
+    """Columns kept from training, their medians and missing indicators; rows and classes of what was trained on."""
 
     columns: list[str]
     medians: dict[str, float]
     indicators: list[str]
+    rows: int = 0
+    classes: int = 0
+
+    @classmethod
+    def of(cls, columns: list[str], medians: dict[str, float], gaps: dict[str, int], rows: int, classes: int) -> "Preparation":
+        kept = [c for c in columns if c in medians]
+        return cls(kept, {c: medians[c] for c in kept}, [c for c in kept if gaps[c] > 0], rows, classes)
 
     @classmethod
     def fit(cls, train: DataFrame, columns: list[str]) -> "Preparation":
         """Exact medians of all columns in one long-form pass; all-null columns are dropped."""
         tall = train.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns])))
         medians = {r["name"]: r["median"] for r in exact_quantiles(tall, ["name"], "value", {"median": 0.5}).collect()}
-        gaps = train.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
-        kept = [c for c in columns if c in medians]
-        return cls(kept, medians, [c for c in kept if gaps[c] > 0])
+        gaps = [F.count_if(F.col(c).isNull()).alias(c) for c in columns]
+        found = train.agg(F.struct(*gaps).alias("gaps"), F.count("*").alias("n"), F.count_if(F.col("label").isNotNull()).alias("labelled"),
+                          F.min("label").alias("least"), F.max("label").alias("most")).first()
+        classes = 0 if not found.labelled else 1 + (found.least != found.most)
+        return cls.of(columns, medians, found.gaps.asDict(), found.n, classes)
 
     @property
     def names(self) -> list[str]:
@@ -140,21 +154,27 @@ def _estimator(name: str, parameters: dict, rows: int, seed: int):
 
 
 def fit_model(name: str, train: DataFrame, window_days: int, seed: int, parameters: dict | None = None,
-              columns: tuple[str, ...] = BOUNDED_FEATURES) -> Model:
-    preparation = Preparation.fit(train, list(columns))
-    counts = train.agg(F.count("*").alias("n"), F.count_distinct("label").alias("classes")).first()
-    if counts.classes != 2:
+              columns: tuple[str, ...] = BOUNDED_FEATURES, preparation: Preparation | None = None) -> Model:
+    """``preparation``: that of the same training rows and columns, where several models share it."""
+    preparation = preparation or Preparation.fit(train, list(columns))
+    if preparation.classes != 2:
         raise ValueError("training needs both classes")
     if not preparation.columns:
         raise ValueError("no usable feature in the training rows")
     ready = preparation.transform(train).select(F.col("label").cast("double").alias("label"), "features")
-    estimator = _estimator(name, parameters or {}, counts.n, seed)
-    group = max(1, ROWS_TIMES_TREES // counts.n)
+    estimator = _estimator(name, parameters or {}, preparation.rows, seed)
+    group = max(1, ROWS_TIMES_TREES // preparation.rows)
     if name == "random_forest" and group < estimator.getNumTrees():
         return Model(name, preparation, GroupedForest.fit(estimator, staged(ready, "forest-rows"), group), window_days, parameters=parameters or {})
     return Model(name, preparation, estimator.fit(ready), window_days, parameters=parameters or {})
 
 
+def in_pool(function, jobs) -> list:
+    """The results in the order of the jobs, POOL at a time: a fit is a long series of small Spark jobs, which leaves most cores idle."""
+    with ThreadPoolExecutor(max_workers=POOL) as workers:
+        return list(workers.map(function, jobs))
+
+
 def choose_threshold(model: Model, validation: DataFrame) -> Model:
     row = best_threshold(model.score(validation).select(F.lit(0).alias("g"), "label", "p"), ["g"]).first()
     model.threshold = float(row.threshold) if row else 0.5
@@ -167,14 +187,21 @@ def train_windows(samples: DataFrame, names: tuple[str, ...], windows: tuple[int
 
     ``samples``: KEY, window_days, split, label and the features; materialise it before calling.
     """
-    models = []
-    for w in windows:
-        rows = samples.where(F.col("window_days") == w)
-        train, validation = rows.where("split = 'train'"), rows.where("split = 'validation'")
-        for name in names:
-            model = fit_model(name, train, w, seed, (parameters or {}).get(name), columns)
-            models.append(choose_threshold(model, validation))
-    return models
+    def part(w: int, split: str) -> DataFrame:
+        return samples.where(F.col("window_days") == w).where(F.col("split") == split)
+
+    def fit(job: tuple) -> Model:
+        w, name = job
+        model = fit_model(name, part(w, "train"), w, seed, (parameters or {}).get(name), columns, prepared[w])
+        return choose_threshold(model, part(w, "validation"))
+
+    prepared = dict(zip(windows, in_pool(lambda w: Preparation.fit(part(w, "train"), list(columns)), windows)))
+    jobs = [(w, name) for w in windows for name in names]
+    # The driver holds a forest while it grows, so forests follow one another.
+    forests = [job for job in jobs if job[1] == "random_forest"]
+    others = [job for job in jobs if job not in forests]
+    fitted = dict(zip(others, in_pool(fit, others))) | {job: fit(job) for job in forests}
+    return [fitted[job] for job in jobs]
 
 
 def predictions(models: list[Model], samples: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -193,12 +220,17 @@ def grid_search(samples: DataFrame, name: str, window_days: int, grid: list[dict
         raise ValueError("a grid has 1..32 parameter sets")
     rows = samples.where(F.col("window_days") == window_days)
     train, validation = rows.where("split = 'train'"), rows.where("split = 'validation'")
-    result = None
-    for number, options in enumerate(grid):
-        model = choose_threshold(fit_model(name, train, window_days, seed, options), validation)
-        part = model.score(validation).select(F.lit(number).alias("trial"), F.lit(str(sorted(options.items()))).alias("parameters"),
-                                              "label", "p", F.lit(model.threshold).alias("threshold"))
-        result = part if result is None else result.unionByName(part)
+    preparation = Preparation.fit(train, list(BOUNDED_FEATURES))
+
+    def trial(job: tuple) -> DataFrame:
+        number, options = job
+        model = fit_model(name, train, window_days, seed, options, preparation=preparation)
+        scored = staged(model.score(validation).select("label", "p"), "trial")
+        chosen = best_threshold(scored.withColumn("g", F.lit(0)), ["g"]).first()
+        return scored.select(F.lit(number).alias("trial"), F.lit(str(sorted(options.items()))).alias("parameters"),
+                             "label", "p", F.lit(float(chosen.threshold) if chosen else 0.5).alias("threshold"))
+
+    result = reduce(DataFrame.unionByName, in_pool(trial, enumerate(grid)))
     metrics = binary_metrics(result, ["trial", "parameters"])
     least = metrics.agg(F.min(F.struct("log_loss", "trial"))["trial"].alias("t")).scalar()
     return metrics.withColumn("selected", F.col("trial") == least)

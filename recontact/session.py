@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -53,22 +54,29 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
-_recording: list[list[str]] = []
+#: Each thread records its own stages: fits that run at the same time must not remove one another's.
+_recorders = threading.local()
+
+
+def _recording() -> list[list[str]]:
+    if not hasattr(_recorders, "lists"):
+        _recorders.lists = []
+    return _recorders.lists
 
 
 @contextmanager
 def recorded_stages() -> Iterator[list[str]]:
     """The folders of all stages that are written meanwhile, so that whoever knows when they are read no more can remove them."""
     paths: list[str] = []
-    _recording.append(paths)
+    _recording().append(paths)
     try:
         yield paths
     finally:
-        _recording.remove(paths)
+        _recording()[:] = [made for made in _recording() if made is not paths]
 
 
 def record_stage(path: str) -> None:
-    for paths in _recording:
+    for paths in _recording():
         paths.append(path)
 
 
