@@ -197,6 +197,22 @@ def exact_quantiles(rows: DataFrame, keys: list[str], value: str, probabilities:
     return steps.groupBy(*keys).agg(*out)
 
 
+def weighted_medians(counts: DataFrame, keys: list[str], value: str, weights: list[str]) -> DataFrame:
+    """Interpolated medians of ``value`` by each of several columns of whole counts, all from one pass of running sums; null without a count.
+
+    ``counts``: one row per key and value.
+    """
+    steps = running_totals(counts, keys, value, weights, descending=False)
+
+    def median(w: str) -> Column:
+        place = (F.col(f"all_{w}") - 1) * F.lit(0.5)
+        at = lambda rank: F.max(F.when((F.col(f"cum_{w}") - F.col(w) <= rank) & (rank < F.col(f"cum_{w}")), F.col(value)))
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        return low + (high - low) * F.max(place - F.floor(place))
+
+    return steps.groupBy(*keys).agg(*[median(w).alias(w) for w in weights])
+
+
 def ranking_metrics(rows: DataFrame, keys: list[str], ks: tuple[int, ...]) -> DataFrame:
     """Mean Precision/Recall/NDCG@K over (timestamp, participant) groups with a positive.
 

@@ -9,16 +9,17 @@ from dataclasses import dataclass
 from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import DataFrame, functions as F
 
-from recontact.functions.metrics import best_threshold
+from recontact.functions.metrics import best_threshold, weighted_medians
 from recontact.operators.features import BOUNDED_FEATURES
 from recontact.operators.pointintime import KEY
-from recontact.plans.models import PARAMETERS, fit_model
+from recontact.plans.models import PARAMETERS, POOL, Preparation, fit_model
 from recontact.session import ensure_checkpoint_dir, record_stage, staged
 
-#: Fits that run at the same time; each is a series of Spark jobs of its own.
-POOL = 4
+#: Folds whose medians are found by one pass; each is a column of counts.
+FOLDS_AT_ONCE = 16
 STATUS = "test_time long, window_days int, model string, status string, train_rows long, validation_rows long, test_rows long, threshold double"
-PREDICTION = "test_time long, timestamp long, user_min long, user_max long, label int, window_days int, model string, p double, threshold double"
+SCORED = "test_time long, timestamp long, user_min long, user_max long, label int, window_days int, model string, p double"
+PREDICTION = f"{SCORED}, threshold double"
 
 
 @dataclass(frozen=True)
@@ -42,49 +43,102 @@ def folds_of(roles: DataFrame) -> list[Fold]:
     return [Fold(t, s["train"], s["validation"]) for t, s in sorted(by_fold.items()) if {"train", "validation", "test"} <= set(s)]
 
 
-def _fit_one(samples: DataFrame, fold: Fold, window: int, name: str, seed: int, parameters: dict | None, columns: tuple[str, ...], folder: str) -> tuple:
-    rows = samples.where(F.col("window_days") == window)
-    train, validation = (rows.where(F.col("timestamp").between(*span)) for span in (fold.train, fold.validation))
-    test = rows.where(F.col("timestamp") == fold.test_time)
-    classes = lambda part: part.agg(F.count("*").alias("n"), F.count_distinct("label").alias("k")).first()
-    seen = [classes(part) for part in (train, validation, test)]
-    state = lambda status, threshold=None: (fold.test_time, window, name, status, *[s.n for s in seen], threshold)
-    if seen[0].k < 2:
+@dataclass(frozen=True)
+class Days:
+    """Per window and day: rows, rows of label 1, and rows without a value in each column. What a fold trains on is a sum of days."""
+
+    found: dict[tuple[int, int], tuple]
+    columns: tuple[str, ...]
+
+    @classmethod
+    def of(cls, rows: DataFrame, columns: tuple[str, ...]) -> "Days":
+        daily = rows.groupBy("window_days", "timestamp").agg(
+            F.count("*").alias("n"), F.count("label").alias("labelled"), F.count_if(F.col("label") == 1).alias("positive"),
+            *[F.count_if(F.col(c).isNull()).alias(f"gaps_{i}") for i, c in enumerate(columns)])
+        return cls({(r.window_days, r.timestamp): tuple(r)[2:] for r in daily.collect()}, columns)
+
+    def between(self, window: int, first: int, last: int) -> tuple[int, int, dict[str, int]]:
+        """(rows, classes, rows without a value per column) of a run of days."""
+        own = [v for (w, t), v in self.found.items() if w == window and first <= t <= last]
+        n, labelled, positive, *gaps = [sum(column) for column in zip(*own)] if own else [0] * (3 + len(self.columns))
+        return n, (positive > 0) + (labelled > positive), dict(zip(self.columns, gaps))
+
+
+def fold_medians(rows: DataFrame, folds: list[Fold], columns: tuple[str, ...]) -> dict[tuple[Fold, int], dict[str, float]]:
+    """The training medians of every fold and window. Training spans overlap, so each value is counted once, by all folds that train on it.
+
+    One pass for every FOLDS_AT_ONCE folds; no row is repeated per fold.
+    """
+    found: dict[tuple[Fold, int], dict[str, float]] = {}
+    for start in range(0, len(folds), FOLDS_AT_ONCE):
+        part = folds[start:start + FOLDS_AT_ONCE]
+        weights = [f"n_{i}" for i in range(len(part))]
+        tall = rows.select("window_days", "timestamp", F.inline(F.array(*[
+            F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns]))).where("value IS NOT NULL")
+        counts = tall.groupBy("window_days", "name", "value").agg(*[
+            F.count_if(F.col("timestamp").between(*fold.train)).alias(w) for fold, w in zip(part, weights)])
+        for r in weighted_medians(counts, ["window_days", "name"], "value", weights).collect():
+            for fold, w in zip(part, weights):
+                if r[w] is not None:
+                    found.setdefault((fold, r.window_days), {})[r["name"]] = r[w]
+    return found
+
+
+def _fit_one(rows: DataFrame, days: Days, medians: dict, fold: Fold, window: int, name: str, seed: int, parameters: dict | None, folder: str) -> tuple:
+    """The status of one fit; its scores of the validation and test days are a file of their own."""
+    seen = [days.between(window, *span) for span in (fold.train, fold.validation, (fold.test_time, fold.test_time))]
+    state = lambda status: (fold.test_time, window, name, status, *[s[0] for s in seen])
+    if seen[0][1] < 2:
         return state("one_class_train")
-    if seen[1].k < 2:
+    if seen[1][1] < 2:
         # No threshold can be chosen; none is made up.
         return state("one_class_validation")
-    if not any(train.agg(*[F.max(F.col(c).isNotNull()).alias(c) for c in columns]).first()):
+    n, classes, gaps = seen[0]
+    if all(gaps[c] == n for c in days.columns):
         return state("no_usable_feature")
-    model = fit_model(name, train, window, seed, parameters, columns)
+    own = rows.where(F.col("window_days") == window)
+    preparation = Preparation.of(list(days.columns), medians.get((fold, window), {}), gaps, n, classes)
+    model = fit_model(name, own.where(F.col("timestamp").between(*fold.train)), window, seed, parameters, days.columns, preparation)
     if isinstance(model.fitted, LogisticRegressionModel) and model.fitted.hasSummary \
             and model.fitted.summary.totalIterations >= {**PARAMETERS[name], **(parameters or {})}["max_iter"]:
         return state("not_settled")
-    chosen = best_threshold(model.score(validation).select(F.lit(0).alias("g"), "label", "p"), ["g"]).first()
-    scored = model.score(test).select(
-        F.lit(fold.test_time).cast("long").alias("test_time"), *KEY, F.col("label").cast("int").alias("label"), F.col("window_days").cast("int").alias("window_days"),
-        F.lit(name).alias("model"), "p", F.lit(float(chosen.threshold)).alias("threshold"))
+    held = F.col("timestamp").between(*fold.validation)
+    scored = model.score(own.where(held | (F.col("timestamp") == fold.test_time))).select(
+        F.lit(fold.test_time).cast("long").alias("test_time"), *KEY, F.col("label").cast("int").alias("label"),
+        F.col("window_days").cast("int").alias("window_days"), F.lit(name).alias("model"), "p")
     scored.write.parquet(f"{folder}/test_time={fold.test_time}/window={window}/learner={name}")
-    return state("evaluated", float(chosen.threshold))
+    return state("evaluated")
 
 
 def rolling_trained(samples: DataFrame, roles: DataFrame, names: tuple[str, ...], windows: tuple[int, ...], seed: int, parameters: dict[str, dict] | None = None,
                     columns: tuple[str, ...] = BOUNDED_FEATURES, pool: int = POOL) -> tuple[DataFrame, DataFrame]:
     """(predictions, statuses) of every learner over the test rows of all folds and windows.
 
-    ``roles``: folds as rows with spans, or as rows with roles. ``samples``: KEY, window_days, label and the features; written once and read by every fit, at most ``pool`` at a time. A fit trains on
-    its fold's training days, chooses its threshold on the same fold's validation days and scores the test day. Its predictions are
-    a file of their own, so a lost executor repeats one fit. A fit that cannot be made or did not settle has a status row and no
+    ``roles``: folds as rows with spans, or as rows with roles. ``samples``: KEY, window_days, label and the features; written once, by window and day, and read by every fit, at most ``pool`` at a time. A fit trains on
+    its fold's training days, chooses its threshold on the same fold's validation days and scores the test day. Its scores are
+    a file of their own, so a lost executor repeats one fit. What fits would each work out again (rows, classes, gaps, medians, thresholds)
+    is worked out for all of them together. A fit that cannot be made or did not settle has a status row and no
     predictions: one_class_train, one_class_validation, no_usable_feature, not_settled.
     """
     spark = samples.sparkSession
-    rows = staged(samples.select(*KEY, "window_days", "label", *columns), "fold-samples")
+    rows = staged(samples.select(*KEY, "window_days", "label", *columns).repartitionByRange("window_days", "timestamp")
+                  .sortWithinPartitions("window_days", "timestamp"), "fold-samples")
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/rolling-{uuid.uuid4().hex}"
     record_stage(folder)
-    jobs = [(fold, window, name) for fold in folds_of(roles) for window in windows for name in names]
+    folds = folds_of(roles)
+    days, medians = Days.of(rows, columns), fold_medians(rows, folds, columns)
+    jobs = [(fold, window, name) for fold in folds for window in windows for name in names]
     with ThreadPoolExecutor(max_workers=pool) as workers:
-        states = list(workers.map(lambda job: _fit_one(rows, *job, seed, (parameters or {}).get(job[2]), columns, folder), jobs))
+        states = list(workers.map(lambda job: _fit_one(rows, days, medians, *job, seed, (parameters or {}).get(job[2]), folder), jobs))
     made = [f"{folder}/test_time={s[0]}/window={s[1]}/learner={s[2]}" for s in states if s[3] == "evaluated"]
-    found = spark.read.schema(PREDICTION).parquet(*made) if made else spark.createDataFrame([], PREDICTION)
-    return found, spark.createDataFrame(states, STATUS)
+    if not made:
+        return spark.createDataFrame([], PREDICTION), spark.createDataFrame([(*s, None) for s in states], STATUS)
+    fits = ["test_time", "window_days", "model"]
+    scored = spark.read.schema(SCORED).parquet(*made)
+    chosen = best_threshold(scored.where(F.col("timestamp") < F.col("test_time")), fits).collect()
+    thresholds = {tuple(r[c] for c in fits): float(r.threshold) for r in chosen}
+    states = [(*s, thresholds.get(s[:3]) if s[3] == "evaluated" else None) for s in states]
+    limits = spark.createDataFrame([(*s[:3], s[-1]) for s in states], "test_time long, window_days int, model string, threshold double")
+    found = scored.where(F.col("timestamp") == F.col("test_time")).join(F.broadcast(limits), fits)  # one row per fit
+    return found.select(*[f.strip().split(" ")[0] for f in PREDICTION.split(",")]), spark.createDataFrame(states, STATUS)
