@@ -18,6 +18,13 @@ from recontact.session import ensure_checkpoint_dir, staged
 MODEL = ["model", "window_days"]
 
 
+def recent_bank(c: Context) -> DataFrame:
+    """The 1-day candidates' features, written once per session: samples and sealed scores are rows of it."""
+    if not hasattr(c, "_recent_bank"):
+        c._recent_bank = staged(c.bounded(c.recent_keys), "recent-bank")
+    return c._recent_bank
+
+
 def samples(c: Context) -> DataFrame:
     """Cohort rows per window with features, label and split, written once per session.
 
@@ -26,7 +33,7 @@ def samples(c: Context) -> DataFrame:
     if not hasattr(c, "_samples"):
         plan = splits.split_plan(splits.time_counts(c.cohort), (0.5, 0.3, 0.2))
         part = splits.validation_plan(plan)
-        rows = (c.bounded(c.recent_keys).join(c.cohort.select(*KEY, F.col("label_24h").cast("int").alias("label")), KEY)
+        rows = (recent_bank(c).join(c.cohort.select(*KEY, F.col("label_24h").cast("int").alias("label")), KEY)
                 .join(plan.select("timestamp", "split"), "timestamp").join(part, "timestamp", "left"))
         c._samples = staged(rows, "samples")
     return c._samples
@@ -132,7 +139,7 @@ def _sealed(c: Context) -> str:
     """Folder of the sealed scores of every available 1-day candidate after the information deadline, by each window's model."""
     if not hasattr(c, "_sealed"):
         fitted = _fit(c, ("logistic_regression",), c.policy.windows)
-        bank = staged(c.bounded(audit.audited_keys(c)), "sealed-bank")
+        bank = audit.audited_rows(c, recent_bank(c))
         ready = audit.availability(bank).where("prediction_available").select(*KEY)
         deadline = kept_models.label_deadline(samples(c))
         scores = models.predictions(fitted, bank.join(ready, KEY, "left_semi").where(F.col("timestamp") >= deadline))

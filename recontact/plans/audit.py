@@ -45,10 +45,16 @@ def availability(bank: DataFrame) -> DataFrame:
         "inference_reason", F.when(F.col("prediction_available"), "valid_pre_t_inputs").otherwise("missing_historical_scan_evidence"))
 
 
+def audited_rows(study: Study, rows: DataFrame) -> DataFrame:
+    """Rows of snapshots with a full history, after the deadline."""
+    first, last = study.span.history_from(max(study.policy.windows)), study.span.last_snapshot
+    whole = rows.where(F.col("timestamp").between(first * DAY + study.policy.offset, last * DAY + study.policy.offset))
+    return deadline_gate(whole, contract(study))
+
+
 def audited_keys(study: Study) -> DataFrame:
     """1-day candidates with a full history, at snapshots after the deadline, as (day, pair)."""
-    keys = study.timed(pit.in_span(study.recent_keys, study.span, max(study.policy.windows)))
-    gated = deadline_gate(keys, contract(study))
+    gated = audited_rows(study, study.timed(study.recent_keys))
     return gated.select(((F.col("timestamp") - study.policy.offset) / DAY).cast("long").alias("day"), "user_min", "user_max")
 
 
