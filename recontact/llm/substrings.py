@@ -43,16 +43,32 @@ def cells_of(keys: np.ndarray, row: int, width: int, shards: int) -> np.ndarray:
     return spread >> np.uint64(64 - (width.bit_length() - 1))
 
 
+def run_heads(values: np.ndarray) -> np.ndarray:
+    """Where a run of equal values begins in ascending ones. (np.unique without counts goes through a hash table, at many times the cost of a sort.)"""
+    fresh = np.ones(len(values), bool)
+    fresh[1:] = values[1:] != values[:-1]
+    return fresh
+
+
 def distinct_cells(keys: np.ndarray, row: int, width: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
     """Ascending distinct cells of ascending keys of one shard, and every key's place among them."""
     cells = cells_of(keys, row, width, shards)
     if row:
         return np.unique(cells, return_inverse=True)
-    fresh = np.ones(len(cells), bool)
-    fresh[1:] = cells[1:] != cells[:-1]
+    fresh = run_heads(cells)
     return cells[fresh], np.cumsum(fresh) - 1
 
 
+def pair_heads(first: np.ndarray, second: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where equal pairs begin, the places in order of (first, second), and both hashes in that order; ``order`` has the places by first already."""
+    a, b = first[order], second[order]
+    if np.any((a[1:] == a[:-1]) & (b[1:] != b[:-1])):
+        # Two windows share the first hash only: these need the second one's order.
+        order = order[np.lexsort((b, a))]
+        a, b = first[order], second[order]
+    return np.flatnonzero(run_heads(a) | run_heads(b)), order, a, b
+
+
 def packed(cells: np.ndarray) -> bytes:
     """Ascending cells as compressed differences."""
     steps = np.diff(cells, prepend=np.uint64(0))
@@ -179,20 +195,18 @@ def _passes(spark: SparkSession, table: DataFrame, window: int, text: str, shard
             left = np.flatnonzero(seen)
             if len(left):
                 cells = cells_of(mine, 1, width, shards)
-                seen[left] = replies[shard, 1][np.searchsorted(np.unique(cells), cells[left])]
+                asked, cells = cells[left], np.sort(cells)
+                seen[left] = replies[shard, 1][np.searchsorted(cells[run_heads(cells)], asked)]
             hit[places] = seen
         return hit
 
     def exact_keys(first: np.ndarray, second: np.ndarray, replies: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Sorted distinct candidate pairs of hashes, how often each is here, and the places of all candidates."""
-        unique = np.unique(first)
-        hit = candidates_of(unique, replies)
-        places = np.flatnonzero(hit[np.searchsorted(unique, first)])
-        order = places[np.lexsort((second[places], first[places]))]
-        a, b = first[order], second[order]
-        fresh = np.ones(len(a), bool)
-        fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        return np.flatnonzero(fresh), order, a, b
+        order = np.argsort(first)
+        ascending = first[order]
+        fresh = run_heads(ascending)
+        order = order[candidates_of(ascending[fresh], replies)[np.cumsum(fresh) - 1]]
+        return pair_heads(first, second, order)
 
     def send(block: pa.Table, answered: pa.Table) -> pa.Table:
         if not block.num_rows:

@@ -18,12 +18,20 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
+class _Digests(dict):
+    """Digests of words, worked out when first asked for."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        self[word] = digest = xxhash.xxh3_128_digest(word)
+        return digest
+
+
 class WordHasher:
     """Two independent 64-bit hashes of every run of ``length`` words."""
 
     def __init__(self, length: int):
         self.length = length
-        self.known: dict[bytes, bytes] = {}
+        self.known = _Digests()
         self.powers = [np.ones(1, np.uint64) for _ in BASES]
         self.inverses = [np.ones(1, np.uint64) for _ in BASES]
 
@@ -50,14 +58,7 @@ class WordHasher:
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        try:
-            joined = b"".join([known[w] for w in words])
-        except KeyError:
-            for w in words:
-                if w not in known:
-                    known[w] = xxhash.xxh3_128_digest(w)
-            joined = b"".join([known[w] for w in words])
-        digests = np.frombuffer(joined, np.uint64).reshape(n, 2)
+        digests = np.frombuffer(b"".join(map(known.__getitem__, words)), np.uint64).reshape(n, 2)
         self._grow(n + 1)
         out = []
         for k in range(2 if both else 1):

@@ -78,3 +78,23 @@ def test_window_hashes_depend_on_words_and_order_alone():
     assert len({*a.tolist()}) == len({tuple(words[i:i + 3]) for i in range(6)})
     other = WordHasher(3).hashes([b"zz", *words])
     assert (other[0][1:] == a).all() and (other[1][1:] == b).all()
+
+
+def test_candidate_places_come_from_one_sort(monkeypatch):
+    # r03: np.unique without counts and a search of every window among all took most of the CPU seconds.
+    monkeypatch.setattr(np, "searchsorted", None)
+    first = np.array([5, 1, 5, 9, 1, 5], np.uint64)
+    second = np.array([7, 2, 6, 3, 2, 7], np.uint64)
+    heads, order, a, b = substrings.pair_heads(first, second, np.argsort(first)[:-1])
+    assert list(zip(a.tolist(), b.tolist())) == [(1, 2), (1, 2), (5, 6), (5, 7), (5, 7)]
+    assert heads.tolist() == [0, 2, 3] and (first[order] == a).all() and (second[order] == b).all()
+    # No two windows share the first hash only: the order given stands.
+    heads, order, _, _ = substrings.pair_heads(first, first, np.array([4, 1, 0, 2, 5]))
+    assert heads.tolist() == [0, 2] and order.tolist() == [4, 1, 0, 2, 5]
+    assert substrings.run_heads(np.zeros(0, np.uint64)).tolist() == []
+
+
+def test_a_word_is_looked_up_once():
+    hasher = WordHasher(1)
+    hasher.hashes(b"a b a".split())
+    assert set(hasher.known) == {b"a", b"b"} and hasher.known[b"c"] == hasher.known.get(b"c")
