@@ -24,7 +24,9 @@ ENDS = b".,;:!?\n\x0b\x0c\r"
 TOKENS = re.compile(rb"[^\x20\x09.,;:!?\x0A-\x0D]+|[.,;:!?\x0A-\x0D]+")
 END = re.compile(rb"[.,;:!?\x0A-\x0D]")
 #: Bytes of a text that are cut into words at once, and words that a task holds before it counts them.
-SLICE, HELD = 4 << 20, 1 << 21
+SLICE, HELD = 4 << 20, 1 << 20
+#: Text bytes that a task is handed at once, and counted rows that it hands back at once: both stand in the memory of Python and of the JVM.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 1 << 15
 #: Address bits of the bitmaps: 8 MB each, whatever the corpus holds. A fuller bitmap leaves out less and is as right.
 ADDRESS = 26
 LEAST, TOP, MILLION = 10, 2000, 1_000_000
@@ -59,6 +61,11 @@ def _slices(data: bytes) -> Iterator[bytes]:
         at = end
 
 
+def _handed(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for at in range(0, rows.num_rows, BATCH_ROWS):
+        yield rows.slice(at, BATCH_ROWS)
+
+
 def _pair_keys(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mixed(hashes[a] * FIRST + hashes[b] * SECOND)
 
@@ -78,9 +85,13 @@ def _count(texts: DataFrame, rows_of: Callable[[str, Held], pa.RecordBatch], sch
             for lang, arrays in parts.items():
                 seed = xxhash.xxh3_64_intdigest(lang.encode())
                 hashes = np.array([xxhash.xxh3_64_intdigest(w, seed) for w in words[lang].named], np.uint64)
-                yield rows_of(lang, (words[lang].named, np.concatenate(arrays), hashes))
+                numbers = np.concatenate(arrays)
+                arrays.clear()
+                yield from _handed(rows_of(lang, (words[lang].named, numbers, hashes)))
             words.clear()
             parts.clear()
+            # What the columns took goes back, or it stands beside the next portion's words.
+            pa.default_memory_pool().release_unused()
 
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
@@ -260,6 +271,7 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = L
     A text is cut at ends of pieces, so only a single piece has to fit in memory.
     """
     prepare(docs.sparkSession)
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     texts = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text}`").cast("string").alias("text")).where("text IS NOT NULL")
     frequent = frequent_pairs(texts, least)
     counts = word_and_pair_counts(texts, frequent, least)
