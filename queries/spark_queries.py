@@ -759,7 +759,7 @@ def block_bootstrap(c: Context):
 
 
 def _day_table(c: Context):
-    return rolling.day_table(c.predictions, c.bounded(c.recent_keys, (7,), neighbours=False).drop("window_days"))
+    return rolling.day_table(c.predictions, c.scored_cohort.where("window_days = 7"))
 
 
 @query

@@ -53,13 +53,17 @@ DESCRIPTORS = ("rows", "positive_rate", "mean_pair_contact_days", "mean_recency_
                "mean_min_scan_coverage", "share_contact_days_1")
 
 
-def day_table(predictions: DataFrame, bank: DataFrame) -> DataFrame:
-    """Descriptors of each test day beside the AP and AP lift of every model."""
-    keys = ["timestamp", "user_min", "user_max"]
-    rows = predictions.select(*keys, "label").distinct().join(bank, keys)
+def day_table(predictions: DataFrame, cohort: DataFrame) -> DataFrame:
+    """Descriptors of each test day beside the AP and AP lift of every model.
+
+    ``cohort``: the scored rows of one window, each pair once a day. A day is predicted for all of its rows, so
+    the rows of the days that have predictions are those described, and no pair is looked up.
+    """
+    days = F.broadcast(predictions.select("timestamp").distinct())  # as many rows as test days
+    rows = cohort.join(days, "timestamp", "left_semi")
     days = rows.groupBy("timestamp").agg(
         F.count("*").alias("rows"), F.avg(F.col("label").cast("double")).alias("positive_rate"),
-        F.avg("pair_contact_days").alias("mean_pair_contact_days"), (F.avg("recency_seconds") / 3600).alias("mean_recency_hours"),
+        F.avg("pair_contact_days").alias("mean_pair_contact_days"), (F.avg("recency") / 3600).alias("mean_recency_hours"),
         F.avg((F.col("participant_a_activity") + F.col("participant_b_activity")) / 2).alias("mean_participant_activity"),
         F.avg(F.least("scan_coverage_a", "scan_coverage_b")).alias("mean_min_scan_coverage"),
         F.avg((F.col("pair_contact_days") == 1).cast("double")).alias("share_contact_days_1"))
