@@ -13,6 +13,7 @@ from recontact.functions import hawkes, metrics as m, uncertainty
 from recontact.operators import features as fe, pointintime as pit, splits
 from recontact.operators.pointintime import KEY
 from recontact.plans import audit, kept_models, models, rolling, rolling_models, sealed
+from recontact.plans.study import Study
 from recontact.session import ensure_checkpoint_dir, staged
 
 MODEL = ["model", "window_days"]
@@ -107,11 +108,16 @@ def calibration_compare(c: Context):
     return m.brier_logloss(both, keys).join(m.ece(both, keys).drop("rows"), keys)
 
 
+def ablation_bank(c: Study) -> DataFrame:
+    """The 14-day bank of the cohort's keys alone: the known pairs of every day are many times as many."""
+    return fe.feature_bank(c.pairs, c.user_days, c.cohort_keys, c.span)
+
+
 @query
 def window_ablation(c: Context):
-    """The 14-day bank masked to each model window; communication features stay unavailable."""
+    """The 14-day bank of the cohort masked to each model window; communication features stay unavailable."""
     plan = splits.split_plan(splits.time_counts(c.cohort), c.policy.fractions)
-    base = c.bank.join(c.cohort.select(*KEY, F.col("label_24h").cast("int").alias("label")), KEY).join(plan.select("timestamp", "split"), "timestamp")
+    base = ablation_bank(c).join(c.cohort.select(*KEY, F.col("label_24h").cast("int").alias("label")), KEY).join(plan.select("timestamp", "split"), "timestamp")
     rows = None
     for w in c.policy.bank_windows:
         part = fe.feature_window_view(base, w).withColumn("window_days", F.lit(w))
