@@ -20,7 +20,7 @@ MODEL = ["model", "window_days"]
 
 
 def recent_bank(c: Context) -> DataFrame:
-    """The 1-day candidates' features, written once per session: samples and sealed scores are rows of it."""
+    """The 1-day candidates' features, written once per session: sealed scores are rows of it, and samples made after it."""
     if not hasattr(c, "_recent_bank"):
         c._recent_bank = staged(c.bounded(c.recent_keys), "recent-bank")
     return c._recent_bank
@@ -29,12 +29,14 @@ def recent_bank(c: Context) -> DataFrame:
 def samples(c: Context) -> DataFrame:
     """Cohort rows per window with features, label and split, written once per session.
 
-    Half of the days train, so that the validation days can be parted into calibration and tuning.
+    Half of the days train, so that the validation days can be parted into calibration and tuning. The bank of all
+    candidates is read if it is there; otherwise the features of the cohort's keys alone are worked out.
     """
     if not hasattr(c, "_samples"):
         plan = splits.split_plan(splits.time_counts(c.cohort), (0.5, 0.3, 0.2))
         part = splits.validation_plan(plan)
-        rows = (recent_bank(c).join(c.cohort.select(*KEY, F.col("label_24h").cast("int").alias("label")), KEY)
+        bank = recent_bank(c) if hasattr(c, "_recent_bank") else c.bounded(c.cohort_keys)
+        rows = (bank.join(c.cohort.select(*KEY, F.col("label_24h").cast("int").alias("label")), KEY)
                 .join(plan.select("timestamp", "split"), "timestamp").join(part, "timestamp", "left"))
         c._samples = staged(rows, "samples")
     return c._samples
@@ -144,8 +146,8 @@ def feature_importance(c: Context):
 def _sealed(c: Context) -> str:
     """Folder of the sealed scores of every available 1-day candidate after the information deadline, by each window's model."""
     if not hasattr(c, "_sealed"):
+        bank = audit.audited_rows(c, recent_bank(c))  # first: the samples are then rows of it
         fitted = _fit(c, ("logistic_regression",), c.policy.windows)
-        bank = audit.audited_rows(c, recent_bank(c))
         ready = audit.availability(bank).where("prediction_available").select(*KEY)
         deadline = kept_models.label_deadline(samples(c))
         scores = models.predictions(fitted, bank.join(ready, KEY, "left_semi").where(F.col("timestamp") >= deadline))

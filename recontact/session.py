@@ -20,10 +20,24 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
+#: Shuffled bytes of one task at most where partitions are joined or split. Rows of days, pairs and counts weigh up to
+#: a hundred times more in memory than in a compressed shuffle, so Spark's own 64 MB and 256 MB are gigabytes to a task.
+TASK_BYTES = {
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": 8 << 20,
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": 32 << 20,
+}
+
+
+def _bytes(spark: SparkSession, size: str) -> int:
+    return int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(size))
+
 
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    for key, most in TASK_BYTES.items():
+        if _bytes(spark, spark.conf.get(key)) > most:
+            spark.conf.set(key, f"{most}b")
     # A size guessed from compressed files knows nothing of the rows that a window graph adds to
     # them, so joins are broadcast by the size that was measured after their exchange, or by a hint.
     guessed = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
