@@ -110,7 +110,7 @@ class Study:
     @cached_property
     def scored_cohort(self) -> DataFrame:
         """Cohort rows per window with the two inputs of the untrained rules and what the days are described by."""
-        facts = self.bounded(self.recent_keys, neighbours=False).select(
+        facts = self.bounded(self.cohort_keys, neighbours=False).select(
             *pit.KEY, "window_days", F.col("historical_contact_probability").alias("probability"),
             F.col("recency_seconds").alias("recency"), "pair_contact_bins", "scan_coverage_a", "scan_coverage_b",
             "pair_contact_days", "participant_a_activity", "participant_b_activity")
