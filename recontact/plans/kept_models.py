@@ -67,7 +67,7 @@ def load(spark: SparkSession, folder: str, window_days: int, columns: tuple[str,
     if files_digest(spark, f"{folder}/fitted") != terms["digest"]:
         raise ContractError("the saved model has been changed")
     preparation = Preparation(terms["kept_columns"], terms["medians"], terms["indicators"])
-    fitted = GroupedForest.load(f"{folder}/fitted", terms["trees"]) if "trees" in terms else KINDS[terms["name"]].load(f"{folder}/fitted")
+    fitted = GroupedForest.load(spark, f"{folder}/fitted", terms["trees"]) if "trees" in terms else KINDS[terms["name"]].load(f"{folder}/fitted")
     return Model(terms["name"], preparation, fitted, window_days, terms["threshold"], terms["parameters"]), terms
 
 

@@ -12,11 +12,12 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseVector
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from recontact.functions.metrics import best_threshold, binary_metrics, exact_quantiles
 from recontact.operators.features import BOUNDED_FEATURES
 from recontact.operators.pointintime import KEY
+from recontact.plans import forests
 from recontact.session import ensure_checkpoint_dir, record_stage, recorded_stages, remove_stages, staged
 
 # Defaults of the compared learners (fixed values). Forests have no limit of depth; 30 is MLlib's own.
@@ -26,9 +27,10 @@ PARAMETERS = {
     "boosted_trees": {"trees": 200, "depth": 4, "rate": 0.05},
 }
 
-#: Training rows times trees that are grown at once. A tree grows with the rows and is held by the driver while it
-#: grows, so a forest over more rows is grown in groups of trees (of one tree at least). A group at this bound has
-#: about 160,000 nodes on the given tables, which a driver heap of 750 MB holds.
+#: Training rows times trees that MLlib grows at once. There a tree grows with the rows and is held by the driver while it
+#: grows, so a forest over more rows is grown by tasks (``forests``) or, over more cells than a task holds, by MLlib in groups of
+#: trees. Either way it is kept in groups of so many rows times trees (of one tree at least), so that MLlib can load each. A group
+#: at this bound has about 160,000 nodes on the given tables, which a driver heap of 750 MB holds.
 ROWS_TIMES_TREES = 500_000
 
 #: Fits that run at the same time; each is a series of Spark jobs of its own.
@@ -96,51 +98,66 @@ class Model:
 
 @dataclass
 class GroupedForest:
-    """A random forest whose groups of trees lie in the shared folder; the driver holds one group at a time."""
+    """A random forest whose groups of trees lie in the shared folder, each as MLlib saves a forest."""
 
     folders: list[str]
     trees: list[int]
+    listed: DataFrame  # all trees as rows
     featureImportances: DenseVector
 
+    @classmethod
+    def of(cls, folders: list[str], trees: list[int], listed: DataFrame) -> "GroupedForest":
+        return cls(folders, trees, listed, DenseVector(forests.importances(listed)))
+
+    @classmethod
+    def grow(cls, estimator: RandomForestClassifier, ready: DataFrame, group: int) -> "GroupedForest":
+        """All trees grown by tasks that hold the rows."""
+        trees = cls.parts(estimator.getNumTrees(), group)
+        folders, listed = forests.grow(estimator, ready, trees)
+        return cls.of(folders, trees, listed)
+
     @classmethod
     def fit(cls, estimator: RandomForestClassifier, ready: DataFrame, group: int) -> "GroupedForest":
-        spark, whole = ready.sparkSession, estimator.getNumTrees()
+        """Group by group by MLlib; the driver holds one group at a time."""
+        spark = ready.sparkSession
         ensure_checkpoint_dir(spark)
-        trees = [min(group, whole - start) for start in range(0, whole, group)]
-        folders, weights = [], 0.0
+        trees = cls.parts(estimator.getNumTrees(), group)
+        folders = []
         for number, n in enumerate(trees):
             folder = f"{spark.sparkContext.getCheckpointDir()}/forest-{uuid.uuid4().hex}"
             record_stage(folder)
-            # Groups need seeds of their own, or they would be the same trees again.
-            part = estimator.copy({estimator.numTrees: n, estimator.seed: estimator.getSeed() + number}).fit(ready)
+            # Groups need seeds of their own, or they would be the same trees again. A group of one tree would choose among
+            # all columns at every node if it were not told that it is part of a forest.
+            part = estimator.copy({estimator.numTrees: n, estimator.seed: estimator.getSeed() + number,
+                                   estimator.featureSubsetStrategy: "sqrt" if len(trees) > 1 else "auto"}).fit(ready)
             part.write().save(folder)
-            weights = weights + n * part.featureImportances.toArray()
             folders.append(folder)
             del part  # or the driver holds it while the next group grows
-        return cls(folders, trees, DenseVector(weights / whole))
+        return cls.of(folders, trees, forests.read(spark, folders, trees))
+
+    @staticmethod
+    def parts(whole: int, group: int) -> list[int]:
+        return [min(group, whole - start) for start in range(0, whole, group)]
 
     def save(self, folder: str) -> None:
         for number, part in enumerate(self.folders):
             RandomForestClassificationModel.load(part).write().save(f"{folder}/group-{number}")
 
     @classmethod
-    def load(cls, folder: str, trees: list[int]) -> "GroupedForest":
+    def load(cls, spark: SparkSession, folder: str, trees: list[int]) -> "GroupedForest":
         folders = [f"{folder}/group-{number}" for number in range(len(trees))]
-        weights = sum(n * RandomForestClassificationModel.load(part).featureImportances.toArray() for n, part in zip(trees, folders))
-        return cls(folders, trees, DenseVector(weights / sum(trees)))
+        return cls.of(folders, trees, forests.read(spark, folders, trees))
 
     def score(self, ready: DataFrame) -> DataFrame:
-        """The rows with ``p``, the mean of all trees; the votes are added up group by group in written rows."""
-        spark, rest, last = ready.sparkSession, [c for c in ready.columns if c != "features"], []
+        """The rows with ``p``, the mean of all trees; tasks hold a few trees and the rows that they vote on."""
+        spark, rest = ready.sparkSession, [c for c in ready.columns if c != "features"]
         with recorded_stages() as written:
-            rows = staged(ready.withColumn("p", F.lit(0.0)), "votes")
-            for folder, n in zip(self.folders, self.trees):
-                last, share = written[-1:], n / sum(self.trees)
-                scored = RandomForestClassificationModel.load(folder).transform(rows)
-                rows = staged(scored.select(*rest, "features", (F.col("p") + share * vector_to_array("probability")[1]).alias("p")), "votes")
-                del scored  # its plan holds the group's trees
-                remove_stages(spark, last)
-        return rows.drop("features")
+            rows = staged(ready.withColumn("row", F.monotonically_increasing_id()), "votes")  # written, or a later read would number them anew
+            means = forests.scored(self.listed, sum(self.trees), rows)
+            made = written[:]
+            result = staged(rows.join(means, "row").select(*rest, "p"), "votes")
+            remove_stages(spark, made)
+        return result
 
 
 def _estimator(name: str, parameters: dict, rows: int, seed: int):
@@ -169,7 +186,9 @@ def fit_model(name: str, train: DataFrame, window_days: int, seed: int, paramete
     estimator = _estimator(name, parameters or {}, preparation.rows, seed)
     group = max(1, ROWS_TIMES_TREES // preparation.rows)
     if name == "random_forest" and group < estimator.getNumTrees():
-        return Model(name, preparation, GroupedForest.fit(estimator, staged(ready, "forest-rows"), group), window_days, parameters=parameters or {})
+        held = preparation.rows * len(preparation.names) <= forests.TASK_CELLS
+        grown = (GroupedForest.grow if held else GroupedForest.fit)(estimator, staged(ready, "forest-rows"), group)
+        return Model(name, preparation, grown, window_days, parameters=parameters or {})
     return Model(name, preparation, estimator.fit(ready), window_days, parameters=parameters or {})
 
 
