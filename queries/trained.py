@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from queries.context import Context
 from queries.spark_queries import SALTS, _cohort_events, query
 from recontact.functions import hawkes, metrics as m, uncertainty
+from recontact.functions.timemath import sums_until
 from recontact.operators import features as fe, pointintime as pit, splits
 from recontact.operators.pointintime import KEY
 from recontact.plans import audit, kept_models, models, rolling, rolling_models, sealed
@@ -178,9 +179,7 @@ def _hawkes(c: Context) -> DataFrame:
     return c._hawkes
 
 
-@query
-def select_half_life(c: Context):
-    """Per fold the half-life with the best validation AP (ties: the shorter), and its threshold."""
+def _half_lives(c: Context) -> DataFrame:
     labels = c.cohort.select(*KEY, F.col("label_24h").cast("int").alias("label"))
     rows = _hawkes(c).join(labels, KEY).join(c.folds.select("test_time", F.explode("validation").alias("timestamp")), "timestamp")
     keys = ["test_time", "half_life_hours"]
@@ -190,6 +189,12 @@ def select_half_life(c: Context):
             .select("test_time", "half_life_hours", "average_precision", "threshold"))
 
 
+@query
+def select_half_life(c: Context):
+    """Per fold the half-life with the best validation AP (ties: the shorter), and its threshold."""
+    return _half_lives(c)
+
+
 @query
 def score_gbt_hawkes(c: Context):
     """Boosted trees with the forecast of every half-life as further columns."""
@@ -218,10 +223,73 @@ def holdout_scores(c: Context):
     return _holdout(c)
 
 
+#: What the learner that has not seen the participants is compared with: the same learner over all participants, and two rules.
+HELD = "logistic_regression_holdout"
+HELD_CONTRASTS = tuple((HELD, 7, other, 7) for other in ("logistic_regression", "hawkes", "historical_frequency_holdout"))
+
+
+def _hawkes_tests(c: Context) -> DataFrame:
+    """Test forecasts of every fold at the half-life of its best validation AP."""
+    best = F.broadcast(_half_lives(c).select(F.col("test_time").alias("timestamp"), "half_life_hours"))  # a row per fold
+    return _hawkes(c).join(best, ["timestamp", "half_life_hours"]).select(*KEY, F.col("p").alias("hawkes"))
+
+
+def _held_frequency(c: Context, folds: DataFrame) -> DataFrame:
+    """Historical frequency; a pair without one has the rate of the training population at the fold's last training day."""
+    rows = c.scored_cohort.where("window_days = 7").select(*KEY, "label", "probability")
+    seen = splits.holdout_population(rows, SALTS, "scans").where("population = 'train'")
+    daily = seen.groupBy("salt", "timestamp").agg(F.count("*").alias("n"), F.sum(F.col("label").cast("long")).alias("pos"))
+    prior = (sums_until(daily, folds.select("salt", "test_time", "train_last"), ["salt"], ("pos", "n"), "train_last").where("n > 0")
+             .select("salt", F.col("test_time").alias("timestamp"), (F.col("pos") / F.col("n")).alias("prior")))
+    known = F.least(F.greatest(F.col("probability"), F.lit(0.0)), F.lit(1.0))
+    return rows.join(F.broadcast(prior), "timestamp").select("salt", *KEY, F.coalesce(known, "prior").alias("historical_frequency_holdout"))
+
+
+def _holdout_study(c: Context) -> DataFrame:
+    """Rolling test scores of pairs with participants that no fit of their partition has seen, beside those of the references.
+
+    Per partition the folds with enough rows of both classes in every set train and choose thresholds on pairs of the one half and
+    test the others. All models are compared on the same rows.
+    """
+    if not hasattr(c, "_holdout_rows"):
+        own = samples(c).where("window_days = 7")
+        gate = splits.holdout_gate(c.cohort, c.policy, SALTS, "scans").where("status = 'evaluated'").select("salt", "test_time").distinct()
+        folds = staged(c.folds.join(gate, "test_time"), "holdout-folds")
+
+        def partition(salt: str) -> DataFrame:
+            rows = splits.holdout_population(own, (salt,), "scans").withColumn("held", F.col("population") != "train")
+            mine = folds.where(F.col("salt") == salt).drop("salt")
+            return splits.holdout_population(rolling_models.rolling_trained(
+                rows, mine, ("logistic_regression",), (7,), c.policy.seed, held="held")[0], (salt,), "scans")
+
+        held = reduce(DataFrame.unionByName, [partition(salt) for salt in SALTS])
+        seen = _rolling(c)[0] if hasattr(c, "_rolling_trained") else rolling_models.rolling_trained(
+            own, c.folds, ("logistic_regression",), (7,), c.policy.seed)[0]
+        wide = (held.select("salt", "population", *KEY, "label", F.col("p").alias(HELD))
+                .join(seen.where("window_days = 7").select(*KEY, F.col("p").alias("logistic_regression")), KEY)
+                .join(_hawkes_tests(c), KEY).join(_held_frequency(c, folds), ["salt", *KEY]))
+        models_ = F.array(*[F.struct(F.lit(name).alias("model"), F.col(name).alias("p")) for name in (HELD, *[other for _, _, other, _ in HELD_CONTRASTS])])
+        c._holdout_rows = staged(wide.select("salt", "population", *KEY, "label", F.lit(7).alias("window_days"), F.inline(models_)), "holdout-study")
+    return c._holdout_rows
+
+
 @query
 def partition_summary(c: Context):
-    metrics = m.binary_metrics(_holdout(c), ["salt", "population", "model"])
-    return uncertainty.partition_summary(metrics)
+    rows, cell = _holdout_study(c), ["salt", "population", "model", "window_days"]
+    # Thresholds differ per fold, so no metric at a threshold is summed up.
+    measured = m.binary_metrics(rows.withColumn("threshold", F.lit(None).cast("double")), cell).join(m.ranking_metrics(rows, cell, (5,)), cell)
+    metrics = staged(measured.select(*cell, *uncertainty.ACROSS), "holdout-metrics")
+    deltas = uncertainty.contrast_deltas(metrics, HELD_CONTRASTS, ["salt", "population"])
+
+    def interval(key) -> DataFrame:
+        own = rows.where((F.col("salt") == key.salt) & (F.col("population") == key.population))
+        return staged(uncertainty.block_bootstrap(own, HELD_CONTRASTS, c.policy).select(
+            F.lit(key.salt).alias("salt"), F.lit(key.population).alias("population"), "contrast", "low", "high"), "holdout-interval")
+
+    made = models.in_pool(interval, metrics.select("salt", "population").distinct().collect())
+    empty = c.spark.createDataFrame([], "salt string, population string, contrast string, low double, high double")
+    intervals = reduce(DataFrame.unionByName, made, empty)
+    return uncertainty.partition_summary(metrics, deltas.join(intervals, ["salt", "population", "contrast"], "left"))
 
 
 def _rolling(c: Context) -> tuple[DataFrame, DataFrame]:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from recontact.operators.integrity import refused
 from recontact.session import staged
 
 # Log-loss clips at the double machine epsilon (fixed value).
@@ -114,7 +115,13 @@ def threshold_metrics(rows: DataFrame, keys: list[str], threshold: str = "thresh
 
 
 def binary_metrics(rows: DataFrame, keys: list[str], threshold: str = "threshold") -> DataFrame:
-    """Every headline metric per group: one pointwise pass and one pass over score counts."""
+    """Every headline metric per group: one pointwise pass and one pass over score counts.
+
+    A label that is not 0 or 1 and a score that is not in 0..1 fail the read: they would count as a class or shift the ranks.
+    """
+    label, p = F.col("label"), F.col("p")
+    rows = refused(rows, {"a label that is not 0 or 1": F.coalesce(~label.isin(0, 1), F.lit(True)),
+                          "a score outside 0..1": F.coalesce(F.isnan("p") | (p < 0) | (p > 1), F.lit(True))})
     points = _decided(rows.groupBy(*keys).agg(*_pointwise(threshold))).drop("tp", "fp", "tn", "fn")
     ranks = _rank_metrics(score_steps(rows, keys), keys).drop("rows")
     return points.join(ranks, keys).select(

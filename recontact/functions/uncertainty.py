@@ -138,8 +138,20 @@ def block_bootstrap(rows: DataFrame, contrasts, policy: Policy) -> DataFrame:
                        F.lit("paired_day_block_bootstrap").alias("status"))
 
 
-def partition_summary(intervals: DataFrame) -> DataFrame:
-    """Across participant partitions: mean, min, max of a metric and intervals that exclude zero."""
-    return intervals.groupBy("population", "model").agg(
-        F.avg("average_precision").alias("ap_mean"), F.min("average_precision").alias("ap_min"), F.max("average_precision").alias("ap_max"),
-        F.avg("brier_score").alias("brier_mean"), F.count("*").alias("partitions"))
+#: The metrics that are summed up across partitions, and what they are called there.
+ACROSS = {"average_precision": "ap", "roc_auc": "roc_auc", "brier_score": "brier", "ndcg_at_5": "ndcg_at_5", "precision_at_5": "precision_at_5"}
+
+
+def partition_summary(metrics: DataFrame, contrasts: DataFrame) -> DataFrame:
+    """Across participant partitions: mean, least and most of each metric per model; per contrast every partition's AP difference
+    and the number of partitions whose interval excludes zero.
+
+    ``metrics``: salt, population, model and the metrics. ``contrasts``: salt, population, contrast, delta, low, high (null without an interval).
+    """
+    spread = [f(column).alias(f"{name}_{kind}") for column, name in ACROSS.items() for kind, f in (("mean", F.avg), ("min", F.min), ("max", F.max))]
+    models = metrics.groupBy("population", "model").agg(*spread, F.count("*").alias("partitions"))
+    deltas = F.array_sort(F.collect_list(F.struct("salt", "delta")))["delta"]
+    found = contrasts.groupBy("population", "contrast").agg(
+        deltas.alias("pooled_delta_ap_by_salt"), F.count("low").alias("intervals"),
+        F.count_if((F.col("low") > 0) | (F.col("high") < 0)).alias("intervals_excluding_zero"), F.count("*").alias("partitions"))
+    return models.unionByName(found, allowMissingColumns=True)

@@ -7,7 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegressionModel
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from recontact.functions.metrics import best_threshold, weighted_medians
 from recontact.operators.features import BOUNDED_FEATURES
@@ -84,9 +84,9 @@ def fold_medians(rows: DataFrame, folds: list[Fold], columns: tuple[str, ...]) -
     return found
 
 
-def _fit_one(rows: DataFrame, days: Days, medians: dict, fold: Fold, window: int, name: str, seed: int, parameters: dict | None, folder: str) -> tuple:
+def _fit_one(rows: DataFrame, held: Column, days: Days, tested: Days, medians: dict, fold: Fold, window: int, name: str, seed: int, parameters: dict | None, folder: str) -> tuple:
     """The status of one fit; its scores of the validation and test days are a file of their own."""
-    seen = [days.between(window, *span) for span in (fold.train, fold.validation, (fold.test_time, fold.test_time))]
+    seen = [days.between(window, *fold.train), days.between(window, *fold.validation), tested.between(window, fold.test_time, fold.test_time)]
     state = lambda status: (fold.test_time, window, name, status, *[s[0] for s in seen])
     if seen[0][1] < 2:
         return state("one_class_train")
@@ -98,12 +98,12 @@ def _fit_one(rows: DataFrame, days: Days, medians: dict, fold: Fold, window: int
         return state("no_usable_feature")
     own = rows.where(F.col("window_days") == window)
     preparation = Preparation.of(list(days.columns), medians.get((fold, window), {}), gaps, n, classes)
-    model = fit_model(name, own.where(F.col("timestamp").between(*fold.train)), window, seed, parameters, days.columns, preparation)
+    model = fit_model(name, own.where(F.col("timestamp").between(*fold.train) & (held != F.lit("only tested"))), window, seed, parameters, days.columns, preparation)
     if isinstance(model.fitted, LogisticRegressionModel) and model.fitted.hasSummary \
             and model.fitted.summary.totalIterations >= {**PARAMETERS[name], **(parameters or {})}["max_iter"]:
         return state("not_settled")
-    held = F.col("timestamp").between(*fold.validation)
-    scored = model.score(own.where(held | (F.col("timestamp") == fold.test_time))).select(
+    validates = F.col("timestamp").between(*fold.validation) & (held != F.lit("only tested"))
+    scored = model.score(own.where(validates | ((F.col("timestamp") == fold.test_time) & (held != F.lit("never tested"))))).select(
         F.lit(fold.test_time).cast("long").alias("test_time"), *KEY, F.col("label").cast("int").alias("label"),
         F.col("window_days").cast("int").alias("window_days"), F.lit(name).alias("model"), "p")
     scored.write.parquet(f"{folder}/test_time={fold.test_time}/window={window}/learner={name}")
@@ -111,7 +111,7 @@ def _fit_one(rows: DataFrame, days: Days, medians: dict, fold: Fold, window: int
 
 
 def rolling_trained(samples: DataFrame, roles: DataFrame, names: tuple[str, ...], windows: tuple[int, ...], seed: int, parameters: dict[str, dict] | None = None,
-                    columns: tuple[str, ...] = BOUNDED_FEATURES, pool: int = POOL) -> tuple[DataFrame, DataFrame]:
+                    columns: tuple[str, ...] = BOUNDED_FEATURES, pool: int = POOL, held: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(predictions, statuses) of every learner over the test rows of all folds and windows.
 
     ``roles``: folds as rows with spans, or as rows with roles. ``samples``: KEY, window_days, label and the features; written once, by window and day, and read by every fit, at most ``pool`` at a time. A fit trains on
@@ -119,18 +119,24 @@ def rolling_trained(samples: DataFrame, roles: DataFrame, names: tuple[str, ...]
     a file of their own, so a lost executor repeats one fit. What fits would each work out again (rows, classes, gaps, medians, thresholds)
     is worked out for all of them together. A fit that cannot be made or did not settle has a status row and no
     predictions: one_class_train, one_class_validation, no_usable_feature, not_settled.
+
+    ``held``: a boolean column of rows that are held out: they are tested and nothing else, and the others are never tested.
     """
     spark = samples.sparkSession
-    rows = staged(samples.select(*KEY, "window_days", "label", *columns).repartitionByRange("window_days", "timestamp")
+    part = F.when(F.col(held), "only tested").otherwise("never tested") if held else F.lit("both")
+    rows = staged(samples.select(*KEY, "window_days", "label", *columns, part.alias("held")).repartitionByRange("window_days", "timestamp")
                   .sortWithinPartitions("window_days", "timestamp"), "fold-samples")
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/rolling-{uuid.uuid4().hex}"
     record_stage(folder)
     folds = folds_of(roles)
-    days, medians = Days.of(rows, columns), fold_medians(rows, folds, columns)
+    part = F.col("held")
+    own = rows.where(part != "only tested")
+    days, medians = Days.of(own, columns), fold_medians(own, folds, columns)
+    tested = Days.of(rows.where(part != "never tested"), columns) if held else days
     jobs = [(fold, window, name) for fold in folds for window in windows for name in names]
     with ThreadPoolExecutor(max_workers=pool) as workers:
-        states = list(workers.map(lambda job: _fit_one(rows, days, medians, *job, seed, (parameters or {}).get(job[2]), folder), jobs))
+        states = list(workers.map(lambda job: _fit_one(rows, part, days, tested, medians, *job, seed, (parameters or {}).get(job[2]), folder), jobs))
     made = [f"{folder}/test_time={s[0]}/window={s[1]}/learner={s[2]}" for s in states if s[3] == "evaluated"]
     if not made:
         return spark.createDataFrame([], PREDICTION), spark.createDataFrame([(*s, None) for s in states], STATUS)
